@@ -145,7 +145,7 @@ def hourly_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("hour", *HOURLY_VARIABLES)))
     g = h.groupBy("site_id", "date").agg(ordered.alias("hrs"))
     variables = F.array(*[
-        F.struct(F.lit(v).alias("name"), F.transform("hrs", lambda r, v=v: r[v]).alias("values"))
+        F.struct(F.lit(v).alias("name"), F.col("hrs")[v].alias("values"))
         for v in HOURLY_VARIABLES
     ])
     return g.select(
@@ -178,6 +178,6 @@ def daily_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[e.alias(n) for n, e in vals.items()])))
     g = o.groupBy("site_id", F.trunc("date", "month").alias("month")).agg(rows.alias("r"))
     daily = F.struct(
-        F.transform("r", lambda x: x["time"]).alias("time"),
-        *[F.transform("r", lambda x, n=n: x[n]).alias(n) for n in vals])
+        F.col("r")["time"].alias("time"),
+        *[F.col("r")[n].alias(n) for n in vals])
     return g.select("site_id", "month", F.to_json(F.struct(daily.alias("daily"))).alias("body"))
