@@ -88,7 +88,7 @@ def sample_search_space(n_iter: int, seed: int = 42, space=None) -> list[dict]:
 
 def random_search(df: DataFrame, features, label: str = fixed.TARGET, n_iter: int = 30, folds: int = 4,
                   fold_col: str = "fold", weight_col: str | None = "weight", seed: int = 42,
-                  parallelism: int = 4):
+                  parallelism: int = 4, space=None):
     """M3: sampled candidates -> CrossValidator over the given stratified
     ``fold_col`` (M4), scored by F1 of the positive class, best refitted on all
     rows. ``balanced_subsample`` and ``min_samples_split`` have no Spark
@@ -96,7 +96,7 @@ def random_search(df: DataFrame, features, label: str = fixed.TARGET, n_iter: in
     recorded in the leaderboard but not applied.
 
     Returns (best PipelineModel, leaderboard DataFrame)."""
-    cands = sample_search_space(n_iter, seed)
+    cands = sample_search_space(n_iter, seed, space)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     if weight_col:
@@ -112,9 +112,9 @@ def random_search(df: DataFrame, features, label: str = fixed.TARGET, n_iter: in
         })
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=Pipeline(stages=[assembler, rf]), estimatorParamMaps=maps, evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    if fold_col is None:
-        cv.setNumFolds(folds)
+                        numFolds=folds, parallelism=parallelism, seed=seed)
+    if fold_col:
+        cv.setFoldCol(fold_col)
     model = cv.fit(df)
     spark = df.sparkSession
     rows = [(i, c["n_estimators"], c["max_depth"], c["min_samples_split"], c["min_samples_leaf"],
