@@ -1 +1,110 @@
-"""Queries registered later."""
+"""Streaming queries (R1-R5): each drains the landed events file with
+``availableNow`` into a sink under the checkpoint folder and reads the sink
+back. Batch = stream: the oracles are the batch equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import fixed
+from ..operators import train
+from ..session import table
+from ..streaming import monitor as m
+from .catalog import register, rounded, wrap
+
+_PROB = "cast(cast(json_extract_string(props, '$.k') as int) as double) / 100"
+READINGS = f"""
+readings as (
+  select user_id as station_id, cast(ts as timestamp) as ts, event_id,
+    cast(10 + cast(trunc(value) as int) % 25 as double) as temperatura,
+    cast(30 + event_id % 60 as double) as humedad,
+    cast((cast(trunc(value) as int) * 7) % 40 as double) as velocidad_viento,
+    {_PROB} as probability_fire, cast({_PROB} >= 0.5 as int) as prediction
+  from events)"""
+
+
+def _events_stream(spark, d: str):
+    """Landed event files: the testdata folder, filtered to the events file."""
+    return m.landed_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+
+
+def _scored_stream(spark, d):
+    ev = _events_stream(spark, d)
+    prob = F.get_json_object("props", "$.k").cast("int").cast("double") / 100
+    v = F.col("value").cast("int")
+    return ev.select(
+        F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        (10 + v % 25).cast("double").alias("temperatura"),
+        (30 + F.col("event_id") % 60).cast("double").alias("humedad"),
+        ((v * 7) % 40).cast("double").alias("velocidad_viento"),
+        prob.alias("probability_fire"), (prob >= 0.5).cast("int").alias("prediction"))
+
+
+# --------------------------------------------------------------------------- R1 (forest on the stream)
+def _stream_scores(spark, d):
+    batch = m.to_readings(table(spark, d, "events"))
+    model = train.train_forest(train.fixed_layout(batch, "station_id"),
+                               ["temperatura", "humedad", "velocidad_viento"], "y",
+                               num_trees=10, max_depth=5, seed=42)
+    ev = _events_stream(spark, d)
+    out = m.run_available_now(m.score_stream(model, m.to_readings(ev)), "stream_scores")
+    return spark.read.parquet(out)
+
+
+register("stream_scores")(_stream_scores)
+
+# --------------------------------------------------------------------------- R2
+register("stream_alerts", wrap("with " + READINGS.strip() + """
+select station_id, event_id, probability_fire, prediction from readings
+where probability_fire > 0.7 and prediction = 1""", ["probability_fire"]))(
+    lambda spark, d: rounded(spark.read.parquet(m.run_available_now(
+        m.alert_stream(_scored_stream(spark, d), fixed.ALERT_THRESHOLD), "stream_alerts"))
+        .select("station_id", "event_id", "probability_fire", "prediction")))
+
+
+# --------------------------------------------------------------------------- R3
+def _stream_last100(spark, d):
+    out = m.run_available_now(m.last_n_stream(_scored_stream(spark, d), 100), "stream_last100")
+    rows = spark.read.parquet(out)
+    w = Window.partitionBy("station_id").orderBy(F.desc("total_readings"))
+    return rows.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "last_ts")
+
+
+register("stream_last100", wrap("with " + READINGS.strip() + """,
+tot as (select station_id, count(*) as total_readings,
+          (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as uptime_seconds from readings group by 1),
+rec as (select station_id, count(*) as retained, avg(temperatura) as avg_temperatura, avg(humedad) as avg_humedad,
+          avg(velocidad_viento) as avg_velocidad_viento
+        from (select *, row_number() over (partition by station_id order by ts desc, event_id desc) as rk
+              from readings) r where rk <= 100 group by 1)
+select tot.station_id, total_readings, retained, avg_temperatura, avg_humedad, avg_velocidad_viento, uptime_seconds
+from tot join rec on tot.station_id = rec.station_id""",
+    ["avg_temperatura", "avg_humedad", "avg_velocidad_viento", "uptime_seconds"]))(
+    lambda spark, d: rounded(_stream_last100(spark, d)))
+
+# --------------------------------------------------------------------------- R4
+register("stream_alert_rate", wrap("with " + READINGS.strip() + """,
+a as (select *, coalesce(probability_fire > 0.7 and prediction = 1, false) as alert,
+        date_trunc('day', ts) as window_start from readings)
+select window_start, window_start + interval 1 day as window_end, count(*) as readings,
+  cast(count_if(alert) as bigint) as alerts, cast(count_if(alert) as double) / count(*) as alert_rate
+from a group by 1
+having window_start + interval 1 day <= (select max(ts) from readings) - interval 1 hour""", ["alert_rate"]))(
+    lambda spark, d: rounded(spark.read.parquet(m.run_available_now(
+        m.alert_rate_stream(_scored_stream(spark, d), "1 day", "1 hour"), "stream_alert_rate"))
+        .withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
+                      "window_end": F.col("window_end").cast("timestamp_ntz")})))
+
+
+# --------------------------------------------------------------------------- R5
+def _stream_dedup(spark, d):
+    s = _scored_stream(spark, d)
+    redelivered = s.unionByName(_scored_stream(spark, d))  # every record arrives twice
+    out = m.run_available_now(m.dedup_stream(redelivered, ("station_id", "event_id"), "ts", "1 hour")
+                              .select("station_id", "event_id", "ts"), "stream_dedup")
+    return spark.read.parquet(out).select("station_id", "event_id")
+
+
+register("stream_dedup", "with " + READINGS.strip() + " select distinct station_id, event_id from readings")(
+    _stream_dedup)
