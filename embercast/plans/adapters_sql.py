@@ -42,6 +42,15 @@ obs_dups as (
     case when (site_id + dayofyear(date)) % 2 = 0 then 0 else 2 end as ingest_seq
   from obs_daily)"""
 
+OBS_RAW = """
+obs_raw as (
+  select date, site_id,
+    case when dayofyear(date) % 11 >= 3 then temperatura end as temperatura,
+    case when dayofyear(date) % 13 >= 2 then humedad end as humedad,
+    case when dayofyear(date) > 2 then velocidad_viento end as velocidad_viento,
+    precipitacion, temp_max, temp_min, incendio, ingest_seq
+  from obs_dups)"""
+
 HOTSPOTS = """
 hotspots as (
   select event_id, cast(ts as date) as acq_date,
@@ -82,10 +91,11 @@ hourly as (
     avg((cast(trunc(value) as int)*7) % 40) as wind_speed_10m
   from located group by 1, 2, 3)"""
 
-_ORDER = ["obs_daily", "obs_nulls", "obs_dups", "hotspots", "sites", "scored", "hourly"]
-_TEXT = {"obs_daily": OBS_DAILY, "obs_nulls": OBS_NULLS, "obs_dups": OBS_DUPS, "hotspots": HOTSPOTS,
+_ORDER = ["obs_daily", "obs_nulls", "obs_dups", "obs_raw", "hotspots", "sites", "scored", "hourly"]
+_TEXT = {"obs_daily": OBS_DAILY, "obs_nulls": OBS_NULLS, "obs_dups": OBS_DUPS, "obs_raw": OBS_RAW,
+         "hotspots": HOTSPOTS,
          "sites": SITES, "scored": SCORED, "hourly": HOURLY}
-_NEEDS = {"obs_nulls": ["obs_daily"], "obs_dups": ["obs_daily"], "hourly": ["sites"]}
+_NEEDS = {"obs_nulls": ["obs_daily"], "obs_dups": ["obs_daily"], "obs_raw": ["obs_dups"], "hourly": ["sites"]}
 
 
 def with_views(*names: str, extra: str = "") -> str:

@@ -44,4 +44,4 @@ def wrap(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
 
 
 # Query modules register themselves on import.
-from . import q_clean, q_features, q_stats, q_hotspots, q_curves, q_scoring, q_models, q_stream  # noqa: E402,F401
+from . import q_clean, q_features, q_stats, q_hotspots, q_curves, q_scoring, q_models, q_stream, q_jobs  # noqa: E402,F401,E501

@@ -12,6 +12,7 @@ effects). Every adapter is lazy and reads whole tables; its work grows with them
 * ``sites``      one study box per nation (25 rows at every scale: a bounded dimension).
 * ``obs_nulls``  obs_daily with gaps in three variables (for the fill operators).
 * ``obs_dups``   obs_daily plus a re-delivered copy, with ``ingest_seq`` = file order.
+* ``obs_raw``    obs_dups with the gaps of obs_nulls (input of the cleaning job).
 * ``scored``     labelled scores (100 distinct values, heavy ties) for the curves.
 * ``hourly_json`` hourly weather replies per (site, day), JSON text (<= 24 values).
 * ``daily_json`` daily weather replies per (site, month), JSON text (<= 31 days).
@@ -77,6 +78,18 @@ def obs_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed daily rows as a cleaning job sees them: re-deliveries (obs_dups)
+    and the gaps of obs_nulls."""
+    o = obs_dups(spark, sf_dir)
+    doy = F.dayofyear("date")
+    return o.withColumns({
+        "temperatura": F.when(doy % 11 >= 3, F.col("temperatura")),
+        "humedad": F.when(doy % 13 >= 2, F.col("humedad")),
+        "velocidad_viento": F.when(doy > 2, F.col("velocidad_viento")),
+    })
+
+
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
