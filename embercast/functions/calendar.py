@@ -44,6 +44,11 @@ def yesterday() -> Column:
     return F.date_sub(F.current_date(), 1)
 
 
+def elapsed_micros(ts: str | Column, first: str | Column) -> Column:
+    """Exact microseconds since the first reading."""
+    return F.unix_micros(_c(ts).cast("timestamp")) - F.unix_micros(_c(first).cast("timestamp"))
+
+
 def elapsed_minutes(ts: str | Column, first: str | Column) -> Column:
     """minutes since the first reading."""
-    return (F.unix_micros(_c(ts).cast("timestamp")) - F.unix_micros(_c(first).cast("timestamp"))) / 6e7
+    return elapsed_micros(ts, first) / 6e7

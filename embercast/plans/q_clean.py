@@ -65,7 +65,8 @@ select {_cols(OBS_COLS)} from obs_nulls cross join (select {_rst} from obs_nulls
 HOT_VALUES = ["confidence", "brightness", "frp"]
 _hst = ", ".join([f"avg({c}) as m_{c}" for c in HOT_VALUES] + [f"stddev_samp({c}) as s_{c}" for c in HOT_VALUES])
 _cnt = ", ".join(
-    f"count_if(coalesce(abs(({c} - m_{c}) / nullif(s_{c}, 0)) > 3.0, false)) as {c}" for c in HOT_VALUES)
+    f"cast(count_if(coalesce(abs(({c} - m_{c}) / nullif(s_{c}, 0)) > 3.0, false)) as bigint) as {c}"
+    for c in HOT_VALUES)
 register("outlier_top", with_views("hotspots") + f"""
 select column_name, outliers from (
   unpivot (select {_cnt} from hotspots cross join (select {_hst} from hotspots) s)
@@ -74,7 +75,7 @@ where outliers > 0 order by outliers desc, column_name limit 5""")(
     lambda spark, d: clean.outlier_top(td.hotspots(spark, d), 3.0, HOT_VALUES, n=5))
 
 # --------------------------------------------------------------------------- A3
-_nc = ", ".join(f"count_if({c} is null) as {c}" for c in OBS_COLS)
+_nc = ", ".join(f"cast(count_if({c} is null) as bigint) as {c}" for c in OBS_COLS)
 register("null_counts", with_views("obs_nulls") + f"""
 select column_name, null_count from (
   unpivot (select {_nc} from obs_nulls) on {_cols(OBS_COLS)} into name column_name value null_count) u""")(
@@ -86,7 +87,8 @@ select n_rows, n_invalid, n_null, n_class0, n_class1,
   round(cast(100 as double) * n_class0 / n_rows, 4) as pct_class0,
   round(cast(100 as double) * n_class1 / n_rows, 4) as pct_class1
 from (select count(*) as n_rows,
-        count_if(incendio is not null and incendio not in (0, 1)) as n_invalid,
-        count_if(incendio is null) as n_null,
-        count_if(incendio = 0) as n_class0, count_if(incendio = 1) as n_class1 from obs_daily) t""")(
+        cast(count_if(incendio is not null and incendio not in (0, 1)) as bigint) as n_invalid,
+        cast(count_if(incendio is null) as bigint) as n_null,
+        cast(count_if(incendio = 0) as bigint) as n_class0,
+        cast(count_if(incendio = 1) as bigint) as n_class1 from obs_daily) t""")(
     lambda spark, d: clean.target_summary(td.obs_daily(spark, d), "incendio"))
