@@ -22,3 +22,19 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)
             and f.name not in ex]
+
+
+def scalars(stats: DataFrame) -> dict:
+    """Fit step: compute a ONE-row statistics table (one job, like an ML
+    ``fit``) and inline its values as typed literals (name -> Column).
+
+    The row is bounded by the number of columns, so moving it to the driver is
+    safe at any data size; the plan that applies it is a plain projection or
+    filter with constants (no join with the data, no nested subqueries)."""
+    return fit_row(stats)[1]
+
+
+def fit_row(stats: DataFrame):
+    """(Row, name -> literal Column) of a one-row statistics table."""
+    row = stats.first()
+    return row, {f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema.fields}

@@ -1,8 +1,8 @@
 """Cleaning operators: dedup, order, fill, outliers, null counts, target checks.
 
 Column statistics (mean, std, median) are computed in ONE aggregation over all
-columns and joined back with a broadcast of that single row: one extra job, no
-per-column passes, no driver round-trip. Per-site windows are bounded: after
+columns and used as scalar subqueries: Spark runs that aggregate once before the
+main stage; no join, no per-column passes, no driver round-trip. Per-site windows are bounded: after
 ``dedup_first`` a site holds at most one row per calendar day.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import numeric_columns
+from ..functions import numeric_columns, scalars
 
 
 # --------------------------------------------------------------------------- E1, O1
@@ -59,14 +59,13 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     w = Window.partitionBy(*part).orderBy(F.col(order))
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    med = df.agg(*[_median(c, approx_median).alias(f"_med_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(med))  # one row: size bound is exact
+    med = scalars(df.agg(*[_median(c, approx_median).alias(f"_med_{c}") for c in cols]))
     filled = {
         c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back),
-                      F.first(c, ignorenulls=True).over(ahead), F.col(f"_med_{c}").cast(df.schema[c].dataType))
+                      F.first(c, ignorenulls=True).over(ahead), med[f"_med_{c}"].cast(df.schema[c].dataType))
         for c in cols
     }
-    return joined.withColumns(filled).select(*df.columns)
+    return df.withColumns(filled)
 
 
 # --------------------------------------------------------------------------- C2
@@ -80,16 +79,14 @@ def fill_simple(df: DataFrame, strategy: str = "mean", cols=None, approx_median:
         raise ValueError("unsupported strategy: " + strategy)
     cols = list(cols) if cols is not None else numeric_columns(df)
     agg = (lambda c: F.avg(c)) if strategy == "mean" else (lambda c: _median(c, approx_median))
-    stats = df.agg(*[agg(c).alias(f"_fill_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(stats))
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")) for c in cols}) \
-                 .select(*df.columns)
+    st = scalars(df.agg(*[agg(c).alias(f"_fill_{c}") for c in cols]))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st[f"_fill_{c}"]) for c in cols})
 
 
 # --------------------------------------------------------------------------- C3, C4, O3
 
-def _zscore(c: str, mean: str, std: str) -> Column:
-    return F.abs(F.try_divide(F.col(c) - F.col(mean), F.col(std)))
+def _zscore(c: str, mean: Column, std: Column) -> Column:
+    return F.abs(F.try_divide(F.col(c) - mean, std))
 
 
 def outlier_flags(df: DataFrame, threshold: float = fixed.OUTLIER_FLAG_THRESHOLD, cols=None,
@@ -100,12 +97,12 @@ def outlier_flags(df: DataFrame, threshold: float = fixed.OUTLIER_FLAG_THRESHOLD
     only flags with at least one hit, like the modelled system (one small job).
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, "site_id"])
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(stats))
-    flags = {f"{c}_is_outlier": F.coalesce(_zscore(c, f"_m_{c}", f"_s_{c}") > F.lit(threshold), F.lit(False))
+    st = scalars(df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
+                        *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols]))
+    flags = {f"{c}_is_outlier": F.coalesce(_zscore(c, st[f"_m_{c}"], st[f"_s_{c}"]) > F.lit(threshold),
+                                           F.lit(False))
              for c in cols}
-    out = joined.withColumns(flags).select(*df.columns, *flags.keys())
+    out = df.withColumns(flags)
     if sparse:
         hits = out.agg(*[F.count_if(F.col(f)).alias(f) for f in flags]).first().asDict()
         out = out.drop(*[f for f, n in hits.items() if n == 0])
@@ -123,16 +120,15 @@ def outlier_remove(df: DataFrame, threshold: float = fixed.OUTLIER_REMOVE_THRESH
     """
     exclude = ["site_id"] + ([target] if exclude_target else [])
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(stats))
+    st = scalars(df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
+                        *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]))
     keep = F.lit(True)
     for c in cols:
-        ok = F.coalesce(_zscore(c, f"_m_{c}", f"_s_{c}") < F.lit(threshold), F.lit(False))
+        ok = F.coalesce(_zscore(c, st[f"_m_{c}"], st[f"_s_{c}"]) < F.lit(threshold), F.lit(False))
         if skip_constant:
-            ok = ok | (F.col(f"_s_{c}") == 0)
+            ok = ok | (st[f"_s_{c}"] == 0)
         keep = keep & ok
-    return joined.filter(keep).select(*df.columns)
+    return df.filter(keep)
 
 
 def outlier_top(df: DataFrame, threshold: float = fixed.OUTLIER_FLAG_THRESHOLD, cols=None,

@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 
 def _d(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -28,7 +30,19 @@ def _d(c) -> Column:
 
 # --------------------------------------------------------------------------- sweep
 
-def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1024) -> DataFrame:
+ROWS_PER_BUCKET = 2_000_000
+
+
+def _bucket_count(g: DataFrame, buckets: int | None) -> int:
+    """Explicit B, or enough buckets for ~2M distinct scores per window task
+    (between 1024 and 65536; one count job over the per-score table)."""
+    if buckets:
+        return int(buckets)
+    n = g.count()
+    return int(min(65536, max(1024, -(-n // ROWS_PER_BUCKET))))
+
+
+def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
     """One row per distinct score (descending sweep order) with
     ``pos, neg`` (rows at this score), ``tps, fps`` (rows with score >= it),
     ``next_pos, next_neg`` (counts at the next lower score, NULL for the last),
@@ -36,6 +50,7 @@ def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int =
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
+    buckets = _bucket_count(g, buckets)
     fracs = [i / buckets for i in range(1, buckets)]
     row = g.agg(F.percentile_approx("score", fracs, 10 * buckets).alias("q")).first()
     bounds = sorted(set(x for x in (row["q"] or []) if x is not None))
@@ -73,7 +88,7 @@ def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int =
 # --------------------------------------------------------------------------- V4, V5
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "prob", drop_intermediate: bool = True,
-               buckets: int = 1024) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """V4: (threshold, fpr, tpr). First point (0, 0) at max score + 1; with
     ``drop_intermediate`` a point is kept when the counts at it differ from
     the counts at the next lower score (= non-zero second difference), and the
@@ -91,7 +106,7 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "prob", drop_intermedia
     return start.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
     """V5: exact area, ties counted 1/2: sum(neg_i * (tps_i - pos_i / 2)) / (P * N).
     NULL unless both classes are present (V2)."""
     s = score_sweep(df, y, score, buckets)
@@ -101,7 +116,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 102
 
 # --------------------------------------------------------------------------- V6, V7, V8
 
-def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1024) -> DataFrame:
+def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
     """V6: (threshold, precision, recall) from the highest score down to the
     first score reaching full recall, then the end point (NULL, 1, 0)."""
     s = score_sweep(df, y, score, buckets)
@@ -114,14 +129,14 @@ def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1
     return pts.unionByName(end)
 
 
-def average_precision(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1024) -> DataFrame:
+def average_precision(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
     """V7: sum over scores of (recall step) * precision = sum(pos_i * prec_i) / P."""
     s = score_sweep(df, y, score, buckets)
     prec = F.try_divide(_d("tps"), _d("tps") + _d("fps"))
     return s.agg(F.try_divide(F.sum(_d("pos") * prec), F.first(_d("P"))).alias("average_precision"))
 
 
-def pr_auc_trapezoid(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = 1024) -> DataFrame:
+def pr_auc_trapezoid(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
     """V8: trapezoid area under the PR points (a different number from V7).
     The previous point of each score is its cumulative counts minus its own;
     before the first score it is the start point (recall 0, precision 1)."""
@@ -140,9 +155,8 @@ def confusion(df: DataFrame, y: str = "y", pred: str = "pred", normalize: bool =
     row share (per true class). The grid is 4 rows, windows over it are trivial."""
     counts = df.groupBy(F.col(y).cast("int").alias("y_true"), F.col(pred).cast("int").alias("y_pred")) \
                .agg(F.count(F.lit(1)).alias("count"))
-    spark = df.sparkSession
-    grid = spark.range(2).select(F.col("id").cast("int").alias("y_true")) \
-        .crossJoin(spark.range(2).select(F.col("id").cast("int").alias("y_pred")))
+    grid = df.sparkSession.range(4).select((F.col("id") / 2).cast("int").alias("y_true"),
+                                           (F.col("id") % 2).cast("int").alias("y_pred"))
     out = grid.join(counts, ["y_true", "y_pred"], "left").fillna(0, ["count"])
     if normalize:
         out = out.withColumn("share", F.try_divide(_d("count"), F.sum(_d("count")).over(Window.partitionBy("y_true"))))
@@ -196,7 +210,7 @@ def report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def metrics(df: DataFrame, y: str = "y", pred: str = "pred", score: str | None = "prob",
-            buckets: int = 1024) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """V1 + V2 as a long (metric, value) table: accuracy and weighted precision,
     recall, f1; roc_auc and average_precision only when both classes occur."""
     rep = report(df, y, pred)
@@ -211,6 +225,6 @@ def metrics(df: DataFrame, y: str = "y", pred: str = "pred", score: str | None =
     auc = roc_auc(df, y, score, buckets).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
     ap = average_precision(df, y, score, buckets).select(F.lit("average_precision").alias("metric"),
                                                          F.col("average_precision").alias("value"))
-    both = df.agg((F.count_distinct(F.col(y)) == 2).alias("_two"))
-    extra = auc.unionByName(ap).crossJoin(both).filter("_two").drop("_two")
+    both = scalars(df.agg((F.count_distinct(F.col(y)) == 2).alias("_two")))["_two"]
+    extra = auc.unionByName(ap).filter(both)
     return base.unionByName(extra)

@@ -1,7 +1,7 @@
 """Scaling (C5, C6) and PCA.
 
 Scalers are fitted on one DataFrame (the training part) into a one-row
-statistics table and applied to any other by a broadcast of that row, so the
+statistics table and applied to any other through scalar subqueries, so the
 fit never sees test rows (no leak) and apply is a map-only projection.
 """
 
@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 
 def fit_standard(df: DataFrame, cols, ddof: int = 0) -> DataFrame:
     """C5 fit: one row with mean and std (population by default, like the
@@ -23,10 +25,10 @@ def fit_standard(df: DataFrame, cols, ddof: int = 0) -> DataFrame:
 
 def apply_standard(df: DataFrame, stats: DataFrame, cols) -> DataFrame:
     """C5 apply: (x - mean) / std; a zero-variance column divides by 1."""
-    j = df.crossJoin(F.broadcast(stats))
-    new = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
+    st = scalars(stats)
+    new = {c: (F.col(c) - st[f"_m_{c}"]) / F.when(st[f"_s_{c}"] == 0, F.lit(1.0)).otherwise(st[f"_s_{c}"])
            for c in cols}
-    return j.withColumns(new).select(*df.columns)
+    return df.withColumns(new)
 
 
 def standard_scale(df: DataFrame, cols, fit_on: DataFrame | None = None, ddof: int = 0) -> DataFrame:
@@ -39,11 +41,11 @@ def fit_minmax(df: DataFrame, cols) -> DataFrame:
 
 def apply_minmax(df: DataFrame, stats: DataFrame, cols) -> DataFrame:
     """(x - min) / (max - min); a constant column becomes 0 (not Spark ML's 0.5)."""
-    j = df.crossJoin(F.broadcast(stats))
-    new = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")),
+    st = scalars(stats)
+    new = {c: F.coalesce(F.try_divide(F.col(c) - st[f"_lo_{c}"], st[f"_hi_{c}"] - st[f"_lo_{c}"]),
                          F.when(F.col(c).isNotNull(), F.lit(0.0)))
            for c in cols}
-    return j.withColumns(new).select(*df.columns)
+    return df.withColumns(new)
 
 
 def minmax_scale(df: DataFrame, cols, fit_on: DataFrame | None = None) -> DataFrame:

@@ -20,12 +20,14 @@ def row_hash(keys, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def class_rank(df: DataFrame, target: str, keys, seed: int = 42) -> DataFrame:
+def class_rank(df: DataFrame, target: str, keys, seed: int = 42, prefix_hex: int = 4) -> DataFrame:
     """Adds ``_h`` (md5), ``_rank`` (1-based rank by ``_h`` within the class)
-    and ``_n_class`` (class size)."""
+    and ``_n_class`` (class size). ``prefix_hex`` hex digits form the buckets
+    (16**prefix_hex per class): 4 keeps ~n/65536 rows per window task; use 5-6
+    for tens of billions of rows."""
     h = df.withColumn("_h", row_hash(keys, seed)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    counts = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_cnt"))  # <= classes x 65536 rows
+        "_b", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int"))
+    counts = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_cnt"))  # <= classes x 16**prefix_hex rows
     wc = Window.partitionBy(target).orderBy("_b")
     offs = counts.select(
         target, "_b",

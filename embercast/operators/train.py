@@ -45,7 +45,7 @@ def forest_pipeline(features, label: str = fixed.TARGET, num_trees: int = 200, m
         featuresCol="features", labelCol=label, numTrees=num_trees,
         maxDepth=MAX_DEPTH_UNBOUNDED if max_depth is None else max_depth,
         minInstancesPerNode=min_leaf, featureSubsetStrategy=max_features or "all",
-        bootstrap=bootstrap, seed=seed)
+        bootstrap=bootstrap, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     if weight_col:
         rf.setWeightCol(weight_col)
     stages.append(rf)

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import numeric_columns
+from ..functions import fit_row, numeric_columns
 from ..operators import clean, curves, features, hotspots, scale, scoring, split, train
+from ..session import cut_lineage
 from ..sources import files, sinks
 
 VALUES = ["temperatura", "humedad", "velocidad_viento", "precipitacion", "temp_max", "temp_min"]
@@ -33,9 +34,14 @@ def etl_daily(hourly_replies: DataFrame, detections: DataFrame, boxes: DataFrame
 def clean_job(raw: DataFrame, cols=VALUES, target: str = fixed.TARGET, validate: bool = True,
               out_path: str | None = None) -> DataFrame:
     """First-record dedup (E1) -> three-stage fill (C1) -> outlier flags
-    (C3) -> target validation (A5) -> calendar block (C11) [-> sink (S6)]."""
+    (C3) -> target validation (A5) -> calendar block (C11) [-> sink (S6)].
+
+    The deduplicated, filled table is read three times (flag statistics,
+    validation, output), so it is checkpointed once to the shared folder:
+    the dedup shuffle and the fill windows run once, and a lost executor
+    re-reads the checkpoint instead of recomputing the chain."""
     d = clean.dedup_first(raw, ("site_id", "date"), "ingest_seq")
-    f = clean.fill_three_stage(d, cols, ("site_id",), "date", target)
+    f = cut_lineage(clean.fill_three_stage(d, cols, ("site_id",), "date", target))
     flagged = clean.outlier_flags(f, fixed.OUTLIER_FLAG_THRESHOLD, cols, target)
     if validate:
         clean.validate_target(flagged, target)
@@ -56,7 +62,7 @@ def feature_job(df: DataFrame, value_cols=MA_COLS, target: str = fixed.TARGET, p
     t = features.temporal_features(df, "date", "feature")
     t = features.meteo_features(t)
     t = features.rolling_features(t, value_cols, ("site_id",), "date", (7, 30), "precipitacion")
-    t = features.interactions(t)
+    t = cut_lineage(features.interactions(t))  # read twice: scaling statistics and output
     cols = numeric_columns(t, exclude=FEATURE_NO_SCALE)
     t = scale.standard_scale(t, cols)
     t = t.withColumn(target, F.col(target).cast("int"))
@@ -73,13 +79,16 @@ def model_ready(df: DataFrame, target: str = fixed.TARGET, cols=VALUES, test_siz
     Returns one frame with ``is_test``."""
     if target not in df.columns:
         raise ValueError(f"target column {target} not found")
-    if df.limit(1).count() == 0:
+    fill_cols = list(cols) + [target]
+    row, st = fit_row(df.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in fill_cols]))
+    if row["_n"] == 0:  # the row count is part of the same one-row fit
         raise ValueError("empty input")
-    f = clean.fill_simple(df, "mean", list(cols) + [target])
+    f = df.withColumns({c: F.coalesce(F.col(c).cast("double"), st[c]) for c in fill_cols})  # C2 mean
     f = clean.outlier_remove(f, fixed.MODEL_READY_OUTLIER_THRESHOLD, list(cols), target,
                              exclude_target=exclude_target)
     f = f.withColumn(target, F.col(target).cast("int"))
-    s = split.stratified_split(f, target, ("site_id", "date"), test_size, seed)
+    # read twice (scaler fit on the training rows, then applied to all): checkpoint once
+    s = cut_lineage(split.stratified_split(f, target, ("site_id", "date"), test_size, seed))
     return scale.standard_scale(s, list(cols), fit_on=s.filter(~F.col("is_test")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import curves, scale, scoring, split, train
+from ..session import cut_lineage
 from ..sources import files
 from ..sources import testdata as td
 from .adapters_sql import with_views
@@ -84,7 +85,8 @@ register("pca_variance")(lambda spark, d: scale.pca_variance(td.obs_daily(spark,
 
 # --------------------------------------------------------------------------- M2, Q1, M5
 def _train_test(spark, d):
-    s = split.class_weights(_split(spark, d), "incendio")
+    # read by the learner (metadata, split sampling, binning) and by scoring: checkpoint once
+    s = cut_lineage(split.class_weights(_split(spark, d), "incendio"))
     return s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
 
 
