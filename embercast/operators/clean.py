@@ -56,13 +56,15 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *partition])
     part = [F.col(p) for p in partition]
-    w = Window.partitionBy(*part).orderBy(F.col(order))
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = Window.partitionBy(*part).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # backward fill = forward fill in descending order: a running frame (linear), whereas a
+    # current..unbounded-following frame is re-aggregated for every row (quadratic per series)
+    ahead = Window.partitionBy(*part).orderBy(F.col(order).desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     med = scalars(df.agg(*[_median(c, approx_median).alias(f"_med_{c}") for c in cols]))
     filled = {
         c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back),
-                      F.first(c, ignorenulls=True).over(ahead), med[f"_med_{c}"].cast(df.schema[c].dataType))
+                      F.last(c, ignorenulls=True).over(ahead), med[f"_med_{c}"].cast(df.schema[c].dataType))
         for c in cols
     }
     return df.withColumns(filled)

@@ -33,13 +33,25 @@ def _d(c) -> Column:
 ROWS_PER_BUCKET = 2_000_000
 
 
-def _bucket_count(g: DataFrame, buckets: int | None) -> int:
-    """Explicit B, or enough buckets for ~2M distinct scores per window task
-    (between 1024 and 65536; one count job over the per-score table)."""
+def _bucket_bounds(g: DataFrame, buckets: int | None) -> list[float]:
+    """B-1 approximate quantiles of the distinct scores. Without an explicit B,
+    one job returns the count and 1024-quantiles; only when that leaves more
+    than ~2M scores per bucket is a finer cut (<= 65536 buckets) computed."""
+    def cut(b: int, with_count: bool):
+        fr = [i / b for i in range(1, b)]
+        aggs = [F.percentile_approx("score", fr, 10 * b).alias("q")]
+        if with_count:
+            aggs.append(F.count(F.lit(1)).alias("n"))
+        return g.agg(*aggs).first()
+
     if buckets:
-        return int(buckets)
-    n = g.count()
-    return int(min(65536, max(1024, -(-n // ROWS_PER_BUCKET))))
+        row = cut(int(buckets), False)
+    else:
+        row = cut(1024, True)
+        need = -(-row["n"] // ROWS_PER_BUCKET)
+        if need > 1024:
+            row = cut(int(min(65536, need)), False)
+    return sorted(set(x for x in (row["q"] or []) if x is not None))
 
 
 def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
@@ -50,10 +62,7 @@ def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int |
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    buckets = _bucket_count(g, buckets)
-    fracs = [i / buckets for i in range(1, buckets)]
-    row = g.agg(F.percentile_approx("score", fracs, 10 * buckets).alias("q")).first()
-    bounds = sorted(set(x for x in (row["q"] or []) if x is not None))
+    bounds = _bucket_bounds(g, buckets)
     splits = [float("-inf")] + (bounds or [0.0]) + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="score", outputCol="_bf").transform(g) \
         .withColumn("bucket", F.col("_bf").cast("int")).drop("_bf")

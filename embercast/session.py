@@ -49,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="embercast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:  # set once per context (each call makes a new sub-folder)
+        sc.setCheckpointDir(current)
     return current
 
 
