@@ -16,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,5 +171,3 @@ def binary_auc_evaluator(label: str = fixed.TARGET) -> BinaryClassificationEvalu
     the exact figure is ``curves.roc_auc``."""
     return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
 
-
-_ = ParamGridBuilder

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import features as fe
 from ..operators import hotspots as hs
 from ..operators import stats
@@ -117,4 +115,3 @@ from obs_daily window w as (partition by site_id order by date rows between 99 p
                              .select("site_id", "date", "avg_temperatura_last100", "avg_humedad_last100",
                                      "readings_last100")))
 
-_ = F  # keep import for builders added later

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,4 +172,3 @@ def _report_sinks(spark, d):
 
 register("metrics_sink")(_report_sinks)
 
-_ = Window

@@ -38,6 +38,16 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", fmt: str =
     return out
 
 
+def run_continuous(df: DataFrame, name: str, every: str = "5 seconds", mode: str = "append",
+                   fmt: str = "parquet"):
+    """R1 cadence: a long-running query with a processing-time trigger (the
+    monitor's 5 s loop) and its checkpoint under ``<checkpoint dir>/<name>``,
+    so a restart resumes where it stopped. Returns the StreamingQuery."""
+    base = checkpoint_path(df.sparkSession, name)
+    return (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{base}/ckpt")
+            .option("path", f"{base}/out").trigger(processingTime=every).start())
+
+
 def landed_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
                   max_files: int | None = None) -> DataFrame:
     """Parquet files landing in ``folder`` (declared schema, no inference);

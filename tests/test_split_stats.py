@@ -38,8 +38,6 @@ def test_split_invariant_to_partitioning(spark):
 
 def test_folds_balanced(spark):
     out = split.stratified_folds(_frame(spark), "incendio", ("site_id", "date"), 4, 42)
-    for r in out.groupBy("incendio").agg(F.max("n").alias("hi"), F.min("n").alias("lo")).collect() if False else []:
-        pass
     per = out.groupBy("incendio", "fold").count().collect()
     for c in (0, 1):
         counts = [r["count"] for r in per if r.incendio == c]
