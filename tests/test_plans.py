@@ -56,3 +56,26 @@ def test_column_pruning_on_adapter_scan(spark):
     p = _plan(td.obs_daily(spark, SF).select("date", "incendio"))
     schema = p[p.index("ReadSchema"):].split("\n")[0]
     assert "l_quantity" not in schema and "l_orderkey" in schema
+
+
+def test_dedup_combines_before_shuffle(spark):
+    """A hot key is reduced inside every map task: a partial aggregate sits
+    below the exchange, so the shuffle carries one row per key and task."""
+    from embercast.operators import clean
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("site_id"),
+                                  F.lit(1).alias("date"), F.col("id").alias("ingest_seq"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(clean.dedup_first(df, ("site_id", "date"), "ingest_seq"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    below = p[p.index("Exchange"):]
+    assert "partial_min_by" in below
+    out = clean.dedup_first(df, ("site_id", "date"), "ingest_seq").filter("site_id = 0").first()
+    assert out.ingest_seq == 0
+
+
+def test_cluster_conf_sizes_partitions():
+    from embercast.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40))  # 100 TiB
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600 and c["spark.sql.adaptive.enabled"] == "true"
