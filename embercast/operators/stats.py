@@ -177,16 +177,21 @@ def series_long(df: DataFrame, value_cols, date_col: str = "date", target: str =
     return long.withColumn("is_fire", F.col(target) == 1).drop(target)
 
 
-def risk_bands(df: DataFrame, level_col: str = "risk_level") -> DataFrame:
-    """A13 on P8 levels: high = alto + critico, medium = medio, low = bajo."""
-    lv = F.lower(F.col(level_col))
+def risk_bands(df: DataFrame, level_col: str | None = "risk_level", code_col: str | None = None) -> DataFrame:
+    """Counts and shares of high / medium / low risk.
+
+    On P8 levels (default): high = alto + critico, medium = medio, low = bajo.
+    On a numeric class code (``code_col``, the dashboard form): high = code >= 3,
+    medium = code == 2, low = code <= 1."""
     n = F.count(F.lit(1))
-    out = df.agg(
-        n.alias("total"),
-        F.count_if(lv.isin("alto", "critico")).alias("high"),
-        F.count_if(lv == "medio").alias("medium"),
-        F.count_if(lv == "bajo").alias("low"),
-    )
+    if code_col is not None:
+        c = F.col(code_col)
+        high, medium, low = c >= 3, c == 2, c <= 1
+    else:
+        lv = F.lower(F.col(level_col))
+        high, medium, low = lv.isin("alto", "critico"), lv == "medio", lv == "bajo"
+    out = df.agg(n.alias("total"), F.count_if(high).alias("high"), F.count_if(medium).alias("medium"),
+                 F.count_if(low).alias("low"))
     return out.withColumns({
         f"{b}_pct": F.try_divide(F.col(b) * F.lit(100.0).cast("double"), F.col("total").cast("double"))
         for b in ("high", "medium", "low")})

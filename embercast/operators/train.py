@@ -128,10 +128,13 @@ def random_search(df: DataFrame, features, label: str = fixed.TARGET, n_iter: in
 
 
 def model_sweep(train: DataFrame, test: DataFrame, features, label: str = fixed.TARGET,
-                keys=("site_id", "date"), weight_col: str | None = "weight", seed: int = 42):
+                keys=("site_id", "date"), weight_col: str | None = "weight", seed: int = 42,
+                fold_col: str | None = None, folds: int = 5):
     """M6 (re-aimed managed AutoML): fit logistic regression, random forest and
     gradient-boosted trees, rank them by exact ROC-AUC on ``test`` and add a
-    soft-vote ensemble (mean probability). Returns (leaderboard, votes)."""
+    soft-vote ensemble (mean probability). With ``fold_col`` the leaderboard
+    also carries each model's mean cross-validated AUC (one CrossValidator
+    whose candidates swap the pipeline's learner stage). Returns (leaderboard, votes)."""
     from .curves import roc_auc
 
     assembler = VectorAssembler(inputCols=list(features), outputCol="_raw")
@@ -163,6 +166,17 @@ def model_sweep(train: DataFrame, test: DataFrame, features, label: str = fixed.
     board = boards[0]
     for b in boards[1:]:
         board = board.unionByName(b)
+    if fold_col:
+        pipe = Pipeline(stages=[assembler, scaler, learners["logistic_regression"]])
+        grid = [{pipe.stages: [assembler, scaler, est]} for est in learners.values()]
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol=fold_col,
+                            evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+                            parallelism=len(grid), seed=seed)
+        cvm = cv.fit(train)
+        spark = train.sparkSession
+        cv_auc = spark.createDataFrame([(n, float(m)) for n, m in zip(learners, cvm.avgMetrics)],
+                                       "model string, cv_auc double")
+        board = board.join(cv_auc, ["model"], "left")
     return board, votes
 
 

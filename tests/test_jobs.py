@@ -96,3 +96,22 @@ def test_results_invariant_to_partitioning(spark, parts):
     base_dd = sorted(tuple(r) for r in clean.dedup_first(df, ("site_id", "date"), "ingest_seq").collect())
     assert dd == base_dd
     assert auc == curves.roc_auc(df, "y", "prob", buckets=3).first()[0]
+
+
+def test_model_sweep_with_cv(spark):
+    from embercast.operators import split, train
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        t = rng.uniform(15, 35)
+        h = rng.uniform(20, 90)
+        rows.append((i % 5, dt.date(2020, 1, 1) + dt.timedelta(days=i), t, h, int(t - h / 3 > 12)))
+    df = spark.createDataFrame(rows, "site_id int, date date, temperatura double, humedad double, incendio int")
+    s = split.class_weights(split.stratified_split(df, "incendio", ("site_id", "date")), "incendio")
+    tr = split.stratified_folds(s.filter("not is_test"), "incendio", ("site_id", "date"), 2)
+    board, votes = train.model_sweep(tr, s.filter("is_test"), ["temperatura", "humedad"], "incendio",
+                                     fold_col="fold", folds=2)
+    b = {r.model: r for r in board.collect()}
+    assert set(b) == {"logistic_regression", "random_forest", "gradient_boosted_trees", "soft_vote"}
+    assert all(0.5 < b[m].cv_auc <= 1.0 for m in b if m != "soft_vote")
+    assert votes.count() == s.filter("is_test").count()

@@ -64,3 +64,9 @@ def test_advice_lookup(spark):
     got = {r.risk_level: r.heading for r in scoring.with_advice(df).collect()}
     assert got == {"ALTO": "ALERTA DE ALTO RIESGO", "bajo": "CONDICIONES FAVORABLES"}
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_risk_bands_on_class_code(spark):
+    codes = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,)], "c int")
+    r = stats.risk_bands(codes, code_col="c").first()
+    assert (r.total, r.high, r.medium, r.low) == (5, 2, 1, 2)
