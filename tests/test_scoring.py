@@ -70,3 +70,30 @@ def test_risk_bands_on_class_code(spark):
     codes = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,)], "c int")
     r = stats.risk_bands(codes, code_col="c").first()
     assert (r.total, r.high, r.medium, r.low) == (5, 2, 1, 2)
+
+
+class ConstantModel:
+    """Stand-in scorer that always answers P = [0.2, 0.8] (class 1)."""
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.2), F.lit(0.8)))) \
+                 .withColumn("prediction", F.lit(1.0))
+
+
+def test_constant_model_details_and_batch(spark):
+    df = spark.createDataFrame([tuple(FX2.values())] * 2, ", ".join(f"{k} double" for k in FX2))
+    r = scoring.score_with_details(ConstantModel(), df.limit(1)).first()
+    assert (r.prediction, r.prediction_label, r.risk_level) == (1, "incendio", "critico")
+    assert abs(r.probability_fire - 0.8) < 1e-12 and r.timestamp is not None
+    batch = scoring.batch_score(ConstantModel(), df)
+    assert batch.count() == 2 and "risk_level" in batch.columns
+    p = scoring.predict_proba(ConstantModel(), df).first()
+    assert abs(p.probability_no_fire + p.probability_fire - 1.0) < 1e-9
+    assert [x.prediction for x in scoring.predict(ConstantModel(), df).collect()] == [1, 1]
+
+
+def test_numeric_columns_types(spark):
+    from embercast.functions import numeric_columns
+    df = spark.createDataFrame([(1, 0.5, "x", True)], "a int, b double, s string, f boolean")
+    assert numeric_columns(df) == ["a", "b"]
