@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric_columns, scalars
+from .quantiles import exact_quantiles
 
 
 # --------------------------------------------------------------------------- E1, O1
@@ -40,10 +41,14 @@ def sort_chronological(df: DataFrame, date_col: str = "date", tie=("site_id",))
 
 # --------------------------------------------------------------------------- C1
 
-def _median(c: str, approx: bool) -> Column:
+def _medians(df: DataFrame, cols, approx: bool) -> dict:
+    """Fit: the median of each column as a literal (one row per column comes
+    back to the driver). Exact medians use the distributed two-level
+    quantile, so no task holds a whole column."""
     if approx:
-        return F.percentile_approx(F.col(c), 0.5, 100000)
-    return F.median(F.col(c))
+        return scalars(df.agg(*[F.percentile_approx(F.col(c), 0.5, 100000).cast("double").alias(c) for c in cols]))
+    got = {r.column_name: r.q for r in exact_quantiles(df, cols, [0.5]).collect()}
+    return {c: F.lit(got.get(c)).cast("double") for c in cols}
 
 
 def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: str = "date",
@@ -51,8 +56,8 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     """Forward fill, then backward fill within each series, then the column's
     global median. Numeric columns only; the target is never touched.
 
-    The exact median keeps a value->count map per column (bounded by distinct
-    values, merged map-side); ``approx_median=True`` uses a bounded sketch.
+    The exact median is the distributed two-level quantile (no task holds a
+    whole column); ``approx_median=True`` uses a bounded sketch instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *partition])
     part = [F.col(p) for p in partition]
@@ -61,10 +66,10 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     # current..unbounded-following frame is re-aggregated for every row (quadratic per series)
     ahead = Window.partitionBy(*part).orderBy(F.col(order).desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    med = scalars(df.agg(*[_median(c, approx_median).alias(f"_med_{c}") for c in cols]))
+    med = _medians(df, cols, approx_median)
     filled = {
         c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back),
-                      F.last(c, ignorenulls=True).over(ahead), med[f"_med_{c}"].cast(df.schema[c].dataType))
+                      F.last(c, ignorenulls=True).over(ahead), med[c].cast(df.schema[c].dataType))
         for c in cols
     }
     return df.withColumns(filled)
@@ -80,9 +85,11 @@ def fill_simple(df: DataFrame, strategy: str = "mean", cols=None, approx_median:
     if strategy not in ("mean", "median"):
         raise ValueError("unsupported strategy: " + strategy)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    agg = (lambda c: F.avg(c)) if strategy == "mean" else (lambda c: _median(c, approx_median))
-    st = scalars(df.agg(*[agg(c).alias(f"_fill_{c}") for c in cols]))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st[f"_fill_{c}"]) for c in cols})
+    if strategy == "mean":
+        st = scalars(df.agg(*[F.avg(c).alias(c) for c in cols]))
+    else:
+        st = _medians(df, cols, approx_median)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), st[c]) for c in cols})
 
 
 # --------------------------------------------------------------------------- C3, C4, O3

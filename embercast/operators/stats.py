@@ -15,12 +15,25 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric_columns
+from .quantiles import exact_quantiles
 
 
-def _pct(c: str, qs, approx: bool) -> Column:
+def _pct_approx(c: str, qs) -> Column:
+    return F.percentile_approx(F.col(c), list(qs), 100000).cast("array<double>")
+
+
+def _quantile_table(df: DataFrame, cols, probs, by=(), approx: bool = False) -> DataFrame:
+    """(*by, column_name, q_<p>...) with exact (distributed) or sketch quantiles.
+    The result has one row per group and column: bounded, joined back by key."""
+    names = {p: "q" + str(p).replace(".", "_") for p in probs}
     if approx:
-        return F.percentile_approx(F.col(c), list(qs), 100000).cast("array<double>")
-    return F.percentile(F.col(c), list(qs))
+        parts = [F.struct(F.lit(c).alias("column_name"), _pct_approx(c, probs).alias("qs")) for c in cols]
+        long = df.groupBy(*by).agg(F.array(*parts).alias("_a")) if by else df.agg(F.array(*parts).alias("_a"))
+        long = long.select(*by, F.explode("_a").alias("_x")).select(*by, "_x.column_name", "_x.qs")
+        return long.select(*by, "column_name", *[F.col("qs")[i].alias(names[p]) for i, p in enumerate(probs)])
+    q = exact_quantiles(df, cols, probs, by)
+    return q.groupBy(*by, "column_name").agg(
+        *[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(names[p]) for p in probs])
 
 
 # --------------------------------------------------------------------------- A2, A16, A17
@@ -34,25 +47,23 @@ def describe(df: DataFrame, cols=None, digits: int | None = 2, approx: bool = Fa
         e = e.cast("double")
         return F.round(e, digits) if digits is not None else e
 
-    parts = []
-    for c in cols:
-        q = _pct(c, [0.25, 0.5, 0.75], approx)
-        parts.append(F.struct(
-            F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"),
-            r(F.min(c)).alias("min"), r(q[0]).alias("p25"), r(q[1]).alias("p50"), r(q[2]).alias("p75"),
-            r(F.max(c)).alias("max")).alias(c))
-    wide = df.agg(*parts)
-    return wide.unpivot([], cols, "column_name", "s").select("column_name", "s.*")
+    parts = [F.struct(F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"),
+                      r(F.min(c)).alias("min"), r(F.max(c)).alias("max")).alias(c) for c in cols]
+    base = df.agg(*parts).unpivot([], cols, "column_name", "s").select("column_name", "s.*")
+    q = _quantile_table(df, cols, [0.25, 0.5, 0.75], approx=approx)  # one row per column
+    out = base.join(q, ["column_name"], "left")
+    return out.select("column_name", "count", "mean", "std", "min", r(F.col("q0_25")).alias("p25"),
+                      r(F.col("q0_5")).alias("p50"), r(F.col("q0_75")).alias("p75"), "max")
 
 
 def column_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """Mean, median, sample and population std per column (long table)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    parts = [F.struct(F.avg(c).cast("double").alias("mean"),
-                      (F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).cast("double").alias("median"),
-                      F.stddev_samp(c).alias("std_samp"), F.stddev_pop(c).alias("std_pop")).alias(c)
-             for c in cols]
-    return df.agg(*parts).unpivot([], cols, "column_name", "s").select("column_name", "s.*")
+    parts = [F.struct(F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std_samp"),
+                      F.stddev_pop(c).alias("std_pop")).alias(c) for c in cols]
+    base = df.agg(*parts).unpivot([], cols, "column_name", "s").select("column_name", "s.*")
+    med = _quantile_table(df, cols, [0.5], approx=approx).select("column_name", F.col("q0_5").alias("median"))
+    return base.join(med, ["column_name"], "left").select("column_name", "mean", "median", "std_samp", "std_pop")
 
 
 def date_extent(df: DataFrame, date_col: str = "date", by=()) -> DataFrame:
@@ -150,8 +161,8 @@ def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float =
     """A10: quartiles, IQR, whiskers (furthest values inside q +- 1.5 IQR) and
     the outlier count per group. Two aggregations; the per-group quartile row is
     bounded by the number of groups and broadcast back."""
-    q = df.filter(F.col(col).isNotNull()).groupBy(by).agg(_pct(col, [0.25, 0.5, 0.75], approx).alias("_q"))
-    q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")) \
+    q = _quantile_table(df, [col], [0.25, 0.5, 0.75], by=(by,), approx=approx)
+    q = q.select(by, F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"), F.col("q0_75").alias("q3")) \
          .withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
