@@ -51,6 +51,16 @@ def score_requests(model: PipelineModel, rows: DataFrame, model_name: str) -> Da
                  .withColumnRenamed("probability_fire", "probability")
 
 
+# --------------------------------------------------------------------------- P12
+
+def rename_vocabulary(df: DataFrame, mapping: dict) -> DataFrame:
+    """One explicit projection between column vocabularies (old -> new)."""
+    missing = sorted(set(mapping) - set(df.columns))
+    if missing:
+        raise ValueError(f"columns to rename not found: {missing}")
+    return df.withColumnsRenamed(mapping)
+
+
 # --------------------------------------------------------------------------- P10, P13
 
 def advice_table(spark) -> DataFrame:

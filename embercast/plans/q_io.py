@@ -102,7 +102,7 @@ register("vocabulary_rename", wrap(with_views("obs_daily") + _P12, [
     "direct_shortwave_radiation", "evapotranspiration", "vapor_pressure_deficit", "cloud_cover_high",
     "precipitation_sum", "wind_speed_mean", "wind_speed_max", "surface_pressure", "dew_point", "radiation_diffuse",
     "temperature_range", "humidity_range", "day_of_year", "month", "is_dry_season"]))(
-    lambda spark, d: rounded(q_models.scoring_rows(spark, d)))
+    lambda spark, d: rounded(td.scoring_rows(spark, d)))
 
 # --------------------------------------------------------------------------- F3, F13, F14
 _PROB = "cast(cast(json_extract_string(props, '$.k') as int) as double) / 100"

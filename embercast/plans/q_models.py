@@ -148,46 +148,11 @@ register("model_sweep")(_sweep)
 
 
 # --------------------------------------------------------------------------- S11 + Q4 (24-feature scorer)
-def scoring_rows(spark, d):
-    """The daily observations renamed to the 24-feature scoring vocabulary."""
-    o = td.obs_daily(spark, d)
-    dt = F.col("date")
-    return o.select(
-        "site_id", "date", "incendio",
-        F.col("temperatura").alias("temp_2m_mean"), F.col("temp_max").alias("temp_2m_max"),
-        F.col("temp_min").alias("temp_2m_min"), F.col("humedad").alias("relative_humidity_mean"),
-        (F.col("humedad") - 10).alias("relative_humidity_min"), (F.col("humedad") + 10).alias("relative_humidity_max"),
-        (F.col("humedad") / 400).alias("soil_moisture_7_28cm"), (F.col("humedad") / 350).alias("soil_moisture_28_100cm"),
-        (F.col("temperatura") - 5).alias("soil_temp_100_255cm"),
-        (F.col("temperatura") * 150).alias("direct_shortwave_radiation"),
-        (F.col("velocidad_viento") / 8).alias("evapotranspiration"),
-        ((100 - F.col("humedad")) / 25).alias("vapor_pressure_deficit"),
-        (F.col("precipitacion") * 4).alias("cloud_cover_high"), F.col("precipitacion").alias("precipitation_sum"),
-        F.col("velocidad_viento").alias("wind_speed_mean"), (F.col("velocidad_viento") * 2).alias("wind_speed_max"),
-        F.lit(910.0).alias("surface_pressure"), (F.col("temperatura") - 12).alias("dew_point"),
-        (F.col("temperatura") * 5).alias("radiation_diffuse"),
-        (F.col("temp_max") - F.col("temp_min")).alias("temperature_range"), F.lit(20.0).alias("humidity_range"),
-        F.dayofyear(dt).cast("double").alias("day_of_year"), F.month(dt).cast("double").alias("month"),
-        F.month(dt).isin(fixed.DRY_SEASON_MONTHS).cast("double").alias("is_dry_season"))
-
-
-def score_request_bodies(spark, d):
-    """Landed request bodies, one per (site, month) (<= 31 rows each); every
-    7th site sends 23 numbers in its rows (must be quarantined, not scored)."""
-    r = scoring_rows(spark, d)
-    vec = F.array(*[F.col(c) for c in fixed.SCORING_FEATURES])
-    vec = F.when(F.col("site_id") % 7 == 0, F.slice(vec, 1, 23)).otherwise(vec)
-    g = r.groupBy("site_id", F.trunc("date", "month").alias("month")).agg(
-        F.array_sort(F.collect_list(F.struct("date", vec.alias("v")))).alias("rows"))
-    return g.select(F.concat_ws(":", "site_id", "month").alias("request_id"),
-                    F.to_json(F.struct(F.col("rows")["v"].alias("data"))).alias("body"))
-
-
 def _requests(spark, d):
-    rows = scoring_rows(spark, d)
+    rows = td.scoring_rows(spark, d)
     model = train.train_forest(train.fixed_layout(rows, "site_id"), fixed.SCORING_FEATURES, "incendio",
                                num_trees=20, max_depth=8, seed=42)
-    good, bad = files.parse_score_requests(score_request_bodies(spark, d), "body", "request_id")
+    good, bad = files.parse_score_requests(td.score_request_bodies(spark, d), "body", "request_id")
     scored = scoring.score_requests(model, good, "RandomForestClassifier")
     return scored.select("request_id", "row_idx", "prediction", "probability", "risk_level", "model_name") \
         .unionByName(bad.select("request_id", "row_idx", F.lit(None).cast("int").alias("prediction"),

@@ -16,6 +16,8 @@ effects). Every adapter is lazy and reads whole tables; its work grows with them
 * ``scored``     labelled scores (100 distinct values, heavy ties) for the curves.
 * ``hourly_json`` hourly weather replies per (site, day), JSON text (<= 24 values).
 * ``daily_json`` daily weather replies per (site, month), JSON text (<= 31 days).
+* ``scoring_rows`` / ``score_request_bodies`` the 24-feature scoring vocabulary and
+  landed bulk-scoring requests per (site, month) (<= 31 rows each).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..session import table
 
 
@@ -194,3 +197,40 @@ def daily_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r")["time"].alias("time"),
         *[F.col("r")[n].alias(n) for n in vals])
     return g.select("site_id", "month", F.to_json(F.struct(daily.alias("daily"))).alias("body"))
+
+
+def scoring_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily observations in the 24-feature scoring vocabulary: direct
+    renames, plus derived stand-ins for the variables the testdata lacks."""
+    from ..operators.scoring import rename_vocabulary
+
+    o = rename_vocabulary(obs_daily(spark, sf_dir), {
+        "temperatura": "temp_2m_mean", "temp_max": "temp_2m_max", "temp_min": "temp_2m_min",
+        "humedad": "relative_humidity_mean", "precipitacion": "precipitation_sum",
+        "velocidad_viento": "wind_speed_mean"})
+    dt = F.col("date")
+    t, h, w, p = (F.col(c) for c in ("temp_2m_mean", "relative_humidity_mean", "wind_speed_mean",
+                                    "precipitation_sum"))
+    return o.select(
+        "site_id", "date", "incendio", "temp_2m_mean", "temp_2m_max", "temp_2m_min", "relative_humidity_mean",
+        (h - 10).alias("relative_humidity_min"), (h + 10).alias("relative_humidity_max"),
+        (h / 400).alias("soil_moisture_7_28cm"), (h / 350).alias("soil_moisture_28_100cm"),
+        (t - 5).alias("soil_temp_100_255cm"), (t * 150).alias("direct_shortwave_radiation"),
+        (w / 8).alias("evapotranspiration"), ((100 - h) / 25).alias("vapor_pressure_deficit"),
+        (p * 4).alias("cloud_cover_high"), "precipitation_sum", "wind_speed_mean", (w * 2).alias("wind_speed_max"),
+        F.lit(910.0).alias("surface_pressure"), (t - 12).alias("dew_point"), (t * 5).alias("radiation_diffuse"),
+        (F.col("temp_2m_max") - F.col("temp_2m_min")).alias("temperature_range"), F.lit(20.0).alias("humidity_range"),
+        F.dayofyear(dt).cast("double").alias("day_of_year"), F.month(dt).cast("double").alias("month"),
+        F.month(dt).isin(fixed.DRY_SEASON_MONTHS).cast("double").alias("is_dry_season"))
+
+
+def score_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed request bodies, one per (site, month) (<= 31 rows each); every
+    7th site sends 23 numbers in its rows (must be quarantined, not scored)."""
+    r = scoring_rows(spark, sf_dir)
+    vec = F.array(*[F.col(c) for c in fixed.SCORING_FEATURES])
+    vec = F.when(F.col("site_id") % 7 == 0, F.slice(vec, 1, 23)).otherwise(vec)
+    g = r.groupBy("site_id", F.trunc("date", "month").alias("month")).agg(
+        F.array_sort(F.collect_list(F.struct("date", vec.alias("v")))).alias("rows"))
+    return g.select(F.concat_ws(":", "site_id", "month").alias("request_id"),
+                    F.to_json(F.struct(F.col("rows")["v"].alias("data"))).alias("body"))
