@@ -46,10 +46,9 @@ select site_id, date, incendio,
 # --------------------------------------------------------------------------- C10
 register("class_weights", wrap(with_views("obs_daily") + """
 select site_id, date, incendio,
-  cast(count(*) over () as double) / (count(*) over (partition by by_one) * count(*) over (partition by incendio))
-    as weight
-from (select *, 1 as by_one from obs_daily) o""".replace(
-    "count(*) over (partition by by_one)", "(select count(distinct incendio) from obs_daily)"), ["weight"]))(
+  cast(count(*) over () as double)
+    / ((select count(distinct incendio) from obs_daily) * count(*) over (partition by incendio)) as weight
+from obs_daily""", ["weight"]))(
     lambda spark, d: rounded(split.class_weights(td.obs_daily(spark, d), "incendio")
                              .select("site_id", "date", "incendio", "weight")))
 

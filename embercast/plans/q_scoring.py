@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import fixed
 from ..functions import risk
 from ..operators import scoring, stats
@@ -47,12 +45,11 @@ from (select event_id, {_R4} as risk_level from scored) s left join adv a on s.r
 
 # --------------------------------------------------------------------------- A12
 register("prediction_stats", with_views("scored") + f"""
-select sum(n) as total_predictions,
+select cast(sum(n) as bigint) as total_predictions,
   cast(coalesce(sum(case when label = 'incendio' then n end), 0) as bigint) as n_incendio,
   cast(coalesce(sum(case when label = 'sin_incendio' then n end), 0) as bigint) as n_sin_incendio,
   arg_max(label, n * 1000 - ascii(label)) as most_common_prediction
-from (select {_LBL} as label, count(*) as n from scored group by 1) g""".replace(
-    "select sum(n) as total_predictions", "select cast(sum(n) as bigint) as total_predictions"))(
+from (select {_LBL} as label, count(*) as n from scored group by 1) g""")(
     lambda spark, d: scoring.prediction_stats(td.scored(spark, d), "pred"))
 
 # --------------------------------------------------------------------------- A13, A14
@@ -60,13 +57,11 @@ register("risk_bands", wrap(with_views("scored") + f"""
 select total, high, medium, low,
   high * cast(100 as double) / total as high_pct, medium * cast(100 as double) / total as medium_pct,
   low * cast(100 as double) / total as low_pct
-from (select count(*) as total, count_if(lv in ('alto', 'critico')) as high, count_if(lv = 'medio') as medium,
-        count_if(lv = 'bajo') as low from (select {_R4} as lv from scored) s) t""".replace(
-    "count(*) as total, count_if(lv in ('alto', 'critico')) as high, count_if(lv = 'medio') as medium,\n"
-    "        count_if(lv = 'bajo') as low",
-    "count(*) as total, cast(count_if(lv in ('alto', 'critico')) as bigint) as high, "
-    "cast(count_if(lv = 'medio') as bigint) as medium,\n        cast(count_if(lv = 'bajo') as bigint) as low"),
-    ["high_pct", "medium_pct", "low_pct"]))(
+from (select count(*) as total,
+        cast(count_if(lv in ('alto', 'critico')) as bigint) as high,
+        cast(count_if(lv = 'medio') as bigint) as medium,
+        cast(count_if(lv = 'bajo') as bigint) as low
+      from (select {_R4} as lv from scored) s) t""", ["high_pct", "medium_pct", "low_pct"]))(
     lambda spark, d: rounded(stats.risk_bands(_levels(spark, d), "risk_level")))
 
 register("risk_distribution", wrap(with_views("scored") + f"""
@@ -83,16 +78,8 @@ select event_id, prob, pred, coalesce(prob > 0.7 and pred = 1, false) as alert f
 
 # --------------------------------------------------------------------------- A15
 def readings(spark, d):
-    """Sensor readings (T9) from events: one station per user."""
-    ev = table(spark, d, "events")
-    prob = F.get_json_object("props", "$.k").cast("int").cast("double") / 100
-    v = F.col("value").cast("int")
-    r = ev.select(
-        F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
-        (10 + v % 25).cast("double").alias("temperatura"),
-        (30 + F.col("event_id") % 60).cast("double").alias("humedad"),
-        ((v * 7) % 40).cast("double").alias("velocidad_viento"),
-        prob.alias("probability_fire"), (prob >= 0.5).cast("int").alias("prediction"))
+    """Scored sensor readings (T9) from events, with the alert flag."""
+    r = td.scored_readings(table(spark, d, "events"))
     return scoring.alerts(r, "probability_fire", "prediction", fixed.ALERT_THRESHOLD)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..operators import train
 from ..session import table
+from ..sources import testdata as td
 from ..streaming import monitor as m
 from .catalog import register, rounded, wrap
 
@@ -30,15 +31,7 @@ def _events_stream(spark, d: str):
 
 
 def _scored_stream(spark, d):
-    ev = _events_stream(spark, d)
-    prob = F.get_json_object("props", "$.k").cast("int").cast("double") / 100
-    v = F.col("value").cast("int")
-    return ev.select(
-        F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
-        (10 + v % 25).cast("double").alias("temperatura"),
-        (30 + F.col("event_id") % 60).cast("double").alias("humedad"),
-        ((v * 7) % 40).cast("double").alias("velocidad_viento"),
-        prob.alias("probability_fire"), (prob >= 0.5).cast("int").alias("prediction"))
+    return td.scored_readings(_events_stream(spark, d))
 
 
 # --------------------------------------------------------------------------- R1 (forest on the stream)

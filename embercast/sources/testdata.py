@@ -119,6 +119,20 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored_readings(events: DataFrame) -> DataFrame:
+    """T9 sensor readings from events (batch or streaming): one station per
+    user, event time as TIMESTAMP, and the probability landed with each event
+    (k / 100) with its class (>= .5)."""
+    prob = F.get_json_object("props", "$.k").cast("int").cast("double") / 100
+    v = F.col("value").cast("int")
+    return events.select(
+        F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        (10 + v % 25).cast("double").alias("temperatura"),
+        (30 + F.col("event_id") % 60).cast("double").alias("humedad"),
+        ((v * 7) % 40).cast("double").alias("velocidad_viento"),
+        prob.alias("probability_fire"), (prob >= 0.5).cast("int").alias("prediction"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     prob = F.get_json_object("props", "$.k").cast("int").cast("double") / 100
