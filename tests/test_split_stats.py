@@ -5,7 +5,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from embercast.operators import split, stats
 
