@@ -14,6 +14,9 @@ pieces only:
 4. only those buckets are ranked (a window per (group, bucket), ~1/B of the
    distinct values each), giving the exact order statistics;
 5. q = v_lo + (v_hi - v_lo) * frac, frac = p * (n - 1) - floor(p * (n - 1)).
+
+When the distinct (group, value) rows are few (<= 2M, counted in the same job
+as the splits), steps 2-4 collapse into one running count per group.
 """
 
 from __future__ import annotations
@@ -23,57 +26,92 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _splits(values: DataFrame, buckets: int) -> list[float]:
+SMALL_DISTINCT = 2_000_000
+
+
+def _fit(values: DataFrame, buckets: int):
+    """One job: number of distinct (group, value) rows and the bucket splits."""
     fr = [i / buckets for i in range(1, buckets)]
-    row = values.agg(F.percentile_approx("v", fr, 10 * buckets).alias("q")).first()
+    row = values.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", fr, 10 * buckets).alias("q")).first()
     bounds = sorted(set(float(x) for x in (row["q"] or []) if x is not None))
-    return [float("-inf")] + (bounds or [0.0]) + [float("inf")]
+    return row["n"], [float("-inf")] + (bounds or [0.0]) + [float("inf")]
+
+
+def _targets(sizes: DataFrame, probs, by) -> DataFrame:
+    """(*by, n, p, pos, lo, hi) from (*by, n): the order statistics to find."""
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    return sizes.select(*by, "n", F.explode(ps).alias("p")) \
+        .withColumn("pos", F.col("p") * (F.col("n") - 1)) \
+        .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
 
 
-def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024) -> DataFrame:
-    """``long`` holds (*by, v); returns (*by, p, q) for every group and p."""
+def _interpolate(tgt: DataFrame, hits: DataFrame, by) -> DataFrame:
+    """hits: (*by, p, which, v) -> (*by, p, q) with linear interpolation."""
+    stat = hits.groupBy(*by, "p").agg(
+        F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("which") == "hi", F.col("v"))).alias("v_hi"))
+    return tgt.join(stat, by + ["p"]).select(
+        *by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))).alias("q"))
+
+
+def _needed(tgt: DataFrame, by) -> DataFrame:
+    return tgt.select(*by, "p", F.explode(F.array(
+        F.struct(F.lit("lo").alias("which"), F.col("lo").alias("rank")),
+        F.struct(F.lit("hi").alias("which"), F.col("hi").alias("rank")))).alias("t")) \
+        .select(*by, "p", "t.which", "t.rank")
+
+
+def _direct(vc: DataFrame, probs, by) -> DataFrame:
+    """Few distinct values (measured): one running count per group over the
+    distinct (group, value) rows, then the rows that hold each needed rank."""
+    w = Window.partitionBy(*by).orderBy("v")
+    r = vc.select(*by, "v", "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+                  F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    tgt = _targets(r.select(*by, "n").distinct(), probs, by)
+    hits = _needed(tgt, by).join(r, by).filter(
+        (F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("c")))
+    return _interpolate(tgt, hits.select(*by, "p", "which", "v"), by)
+
+
+def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024,
+                         small: int = SMALL_DISTINCT) -> DataFrame:
+    """``long`` holds (*by, v); returns (*by, p, q) for every group and p.
+    With at most ``small`` distinct (group, value) rows (counted in the same job
+    as the splits) a single running count per group is enough."""
     by = list(by)
     if not by:  # one global group: a constant key keeps every join an equi-join
-        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], buckets).drop("_g")
+        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], buckets, small).drop("_g")
     vc = long.filter(F.col("v").isNotNull()).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    b = Bucketizer(splits=_splits(vc, buckets), inputCol="v", outputCol="_bf").transform(vc) \
+    n_distinct, splits = _fit(vc, buckets)
+    if n_distinct <= small:
+        return _direct(vc, probs, by)
+    b = Bucketizer(splits=splits, inputCol="v", outputCol="_bf").transform(vc) \
         .withColumn("b", F.col("_bf").cast("int")).drop("_bf")
     bt = b.groupBy(*by, "b").agg(F.sum("c").alias("bc"))
     wg = Window.partitionBy(*by).orderBy("b")
     bt = bt.select(*by, "b", "bc",
                    F.coalesce(F.sum("bc").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
                    F.sum("bc").over(Window.partitionBy(*by)).alias("n"))
-    # target order statistics (0-based ranks) per group and probability: lo and hi
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    tgt = bt.select(*by, "n").distinct().select(*by, "n", F.explode(ps).alias("p")) \
-        .withColumn("pos", F.col("p") * (F.col("n") - 1)) \
-        .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
-    need = tgt.select(*by, "p", F.explode(F.array(
-        F.struct(F.lit("lo").alias("which"), F.col("lo").alias("rank")),
-        F.struct(F.lit("hi").alias("which"), F.col("hi").alias("rank")))).alias("t")) \
-        .select(*by, "p", "t.which", "t.rank")
+    tgt = _targets(bt.select(*by, "n").distinct(), probs, by)
     # bucket holding each needed rank (bucket table is bounded: <= B rows per group)
-    loc = need.join(bt, by, "inner").filter((F.col("rank") >= F.col("off")) & (F.col("rank") < F.col("off") + F.col("bc"))) \
+    loc = _needed(tgt, by).join(bt, by).filter(
+        (F.col("rank") >= F.col("off")) & (F.col("rank") < F.col("off") + F.col("bc"))) \
         .select(*by, "p", "which", "rank", "b", "off")
     # rank values inside only the buckets that are needed
     cand = b.join(loc.select(*by, "b").distinct(), by + ["b"], "left_semi")
     wb = Window.partitionBy(*by, "b").orderBy("v")
     cand = cand.withColumn("cum", F.sum("c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = loc.join(cand, by + ["b"]).filter(
+    hits = loc.join(cand, by + ["b"]).filter(
         (F.col("rank") - F.col("off") < F.col("cum")) & (F.col("rank") - F.col("off") >= F.col("cum") - F.col("c")))
-    stat = hit.groupBy(*by, "p").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("v"))).alias("v_hi"))
-    out = tgt.join(stat, by + ["p"]).select(
-        *by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))).alias("q"))
-    return out
+    return _interpolate(tgt, hits.select(*by, "p", "which", "v"), by)
 
 
-def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024,
+                    small: int = SMALL_DISTINCT) -> DataFrame:
     """(*by, column_name, p, q) for each column: the columns are stacked into one
     long table so that all of them share one pass."""
     by = list(by)
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x")) \
         .select(*by, "_x.column_name", "_x.v")
-    return exact_quantiles_long(long, probs, by + ["column_name"], buckets)
+    return exact_quantiles_long(long, probs, by + ["column_name"], buckets, small)
