@@ -37,40 +37,38 @@ def _fit(values: DataFrame, buckets: int):
     return row["n"], [float("-inf")] + (bounds or [0.0]) + [float("inf")]
 
 
-def _targets(sizes: DataFrame, probs, by) -> DataFrame:
-    """(*by, n, p, pos, lo, hi) from (*by, n): the order statistics to find."""
+def _ranks(df: DataFrame, probs) -> DataFrame:
+    """Per row and probability: pos = p * (n - 1) and its floor / ceil ranks
+    (0-based order statistics), from the group size ``n`` carried on the row."""
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    return sizes.select(*by, "n", F.explode(ps).alias("p")) \
-        .withColumn("pos", F.col("p") * (F.col("n") - 1)) \
+    return df.select("*", F.explode(ps).alias("p")).withColumn("pos", F.col("p") * (F.col("n") - 1)) \
         .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
 
 
-def _interpolate(tgt: DataFrame, hits: DataFrame, by) -> DataFrame:
-    """hits: (*by, p, which, v) -> (*by, p, q) with linear interpolation."""
+def _interpolate(hits: DataFrame, by) -> DataFrame:
+    """hits: rows holding the lo and/or hi order statistic -> (*by, p, q)."""
     stat = hits.groupBy(*by, "p").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("v"))).alias("v_hi"))
-    return tgt.join(stat, by + ["p"]).select(
-        *by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))).alias("q"))
+        F.max(F.when(F.col("has_lo"), F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("has_hi"), F.col("v"))).alias("v_hi"),
+        F.first("pos").alias("pos"), F.first("lo").alias("lo"))
+    return stat.select(*by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo"))
+                                  * (F.col("pos") - F.col("lo"))).alias("q"))
 
 
-def _needed(tgt: DataFrame, by) -> DataFrame:
-    return tgt.select(*by, "p", F.explode(F.array(
-        F.struct(F.lit("lo").alias("which"), F.col("lo").alias("rank")),
-        F.struct(F.lit("hi").alias("which"), F.col("hi").alias("rank")))).alias("t")) \
-        .select(*by, "p", "t.which", "t.rank")
+def _covers(rank: str, start, end):
+    return (F.col(rank) >= start) & (F.col(rank) < end)
 
 
 def _direct(vc: DataFrame, probs, by) -> DataFrame:
     """Few distinct values (measured): one running count per group over the
-    distinct (group, value) rows, then the rows that hold each needed rank."""
+    distinct (group, value) rows; the rows covering each needed rank are kept."""
     w = Window.partitionBy(*by).orderBy("v")
     r = vc.select(*by, "v", "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
                   F.sum("c").over(Window.partitionBy(*by)).alias("n"))
-    tgt = _targets(r.select(*by, "n").distinct(), probs, by)
-    hits = _needed(tgt, by).join(r, by).filter(
-        (F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("c")))
-    return _interpolate(tgt, hits.select(*by, "p", "which", "v"), by)
+    x = _ranks(r, probs)
+    start, end = F.col("cum") - F.col("c"), F.col("cum")
+    x = x.withColumns({"has_lo": _covers("lo", start, end), "has_hi": _covers("hi", start, end)})
+    return _interpolate(x.filter(F.col("has_lo") | F.col("has_hi")), by)
 
 
 def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024,
@@ -92,18 +90,19 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024,
     bt = bt.select(*by, "b", "bc",
                    F.coalesce(F.sum("bc").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
                    F.sum("bc").over(Window.partitionBy(*by)).alias("n"))
-    tgt = _targets(bt.select(*by, "n").distinct(), probs, by)
-    # bucket holding each needed rank (bucket table is bounded: <= B rows per group)
-    loc = _needed(tgt, by).join(bt, by).filter(
-        (F.col("rank") >= F.col("off")) & (F.col("rank") < F.col("off") + F.col("bc"))) \
-        .select(*by, "p", "which", "rank", "b", "off")
+    # buckets holding each needed rank (bucket table is bounded: <= B rows per group)
+    loc = _ranks(bt, probs)
+    loc = loc.withColumns({"has_lo": _covers("lo", F.col("off"), F.col("off") + F.col("bc")),
+                           "has_hi": _covers("hi", F.col("off"), F.col("off") + F.col("bc"))}) \
+        .filter(F.col("has_lo") | F.col("has_hi")).select(*by, "b", "off", "p", "pos", "lo", "hi")
     # rank values inside only the buckets that are needed
     cand = b.join(loc.select(*by, "b").distinct(), by + ["b"], "left_semi")
     wb = Window.partitionBy(*by, "b").orderBy("v")
     cand = cand.withColumn("cum", F.sum("c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    hits = loc.join(cand, by + ["b"]).filter(
-        (F.col("rank") - F.col("off") < F.col("cum")) & (F.col("rank") - F.col("off") >= F.col("cum") - F.col("c")))
-    return _interpolate(tgt, hits.select(*by, "p", "which", "v"), by)
+    x = loc.join(cand, by + ["b"])
+    start, end = F.col("off") + F.col("cum") - F.col("c"), F.col("off") + F.col("cum")
+    x = x.withColumns({"has_lo": _covers("lo", start, end), "has_hi": _covers("hi", start, end)})
+    return _interpolate(x.filter(F.col("has_lo") | F.col("has_hi")), by)
 
 
 def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024,
