@@ -93,9 +93,9 @@ def parse_score_requests(df: DataFrame, body: str = "body", request_id: str = "r
     """``{"data": [[24 numbers], ...]}`` or ``{"data": [{name: value}, ...]}``.
 
     Returns (rows, quarantine). Rows carry (request_id, row_idx, features...).
-    A request without ``data``, an empty list, or a row whose length or names do
-    not match goes to quarantine with a reason; every row is checked, not only
-    the first."""
+    A request without ``data``, an empty list, a row whose length or names do
+    not match, or a row holding a NULL value goes to quarantine with a reason;
+    every row is checked, not only the first."""
     features = list(features or fixed.SCORING_FEATURES)
     pos_schema = T.StructType([T.StructField("data", T.ArrayType(T.ArrayType(T.DoubleType())))])
     named_schema = T.StructType([T.StructField("data", T.ArrayType(T.MapType(T.StringType(), T.DoubleType())))])
@@ -113,7 +113,12 @@ def parse_score_requests(df: DataFrame, body: str = "body", request_id: str = "r
     have_all = F.forall(F.array(*[F.lit(f) for f in features]), lambda k: F.map_contains_key("_row", k))
     named_rows = named.filter(have_all).select(
         request_id, "row_idx", *[F.col("_row")[f].alias(f) for f in features])
-    rows = pos_rows.unionByName(named_rows)
+    both = pos_rows.unionByName(named_rows)
+    any_null = F.lit(False)
+    for f in features:
+        any_null = any_null | F.col(f).isNull()
+    rows = both.filter(~any_null)
+    bad_null = both.filter(any_null).select(request_id, "row_idx", F.lit("null value").alias("reason"))
     bad_req = p.filter(F.col("_raw").isNull() | (F.coalesce(F.size("_p.data"), F.size("_n.data")) <= 0)).select(
         request_id, F.lit(None).cast("int").alias("row_idx"),
         F.when(F.col("_raw").isNull(), F.lit("missing data")).otherwise(F.lit("empty data")).alias("reason"))
@@ -122,7 +127,7 @@ def parse_score_requests(df: DataFrame, body: str = "body", request_id: str = "r
                                                F.size("_row")).alias("reason"))
     bad_named = named.filter(~have_all).select(
         request_id, "row_idx", F.lit("missing columns").alias("reason"))
-    return rows, bad_req.unionByName(bad_pos).unionByName(bad_named)
+    return rows, bad_req.unionByName(bad_pos).unionByName(bad_named).unionByName(bad_null)
 
 
 def require_columns(df: DataFrame, features=None) -> DataFrame:

@@ -70,7 +70,7 @@ def test_daily_reply_flatten_all_days(spark):
 def test_score_requests_quarantine(spark):
     good = json.dumps({"data": [[1.0] * 24, [2.0] * 24]})
     short = json.dumps({"data": [[1.0] * 24, [1.0] * 23]})
-    named = json.dumps({"data": [{f"f{i}": 1.0 for i in range(3)}, {"f0": 1.0}]})
+    named = json.dumps({"data": [{f"f{i}": 1.0 for i in range(3)}, {"f0": 1.0}, {"f0": None, "f1": 1.0, "f2": 1.0}]})
     df = spark.createDataFrame([("a", good), ("b", short), ("c", json.dumps({"x": 1})), ("d", json.dumps({"data": []})),
                                 ("e", named)], "request_id string, body string")
     rows, bad = files.parse_score_requests(df, "body", "request_id")
@@ -81,4 +81,5 @@ def test_score_requests_quarantine(spark):
     assert reasons[("d", None)] == "empty data"
     rows3, bad3 = files.parse_score_requests(df.filter("request_id = 'e'"), "body", "request_id",
                                              features=["f0", "f1", "f2"])
-    assert rows3.count() == 1 and bad3.count() == 1  # every row is checked, not only the first
+    assert rows3.count() == 1 and bad3.count() == 2  # every row is checked, not only the first
+    assert {r.reason for r in bad3.collect()} == {"missing columns", "null value"}

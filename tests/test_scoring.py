@@ -97,3 +97,15 @@ def test_numeric_columns_types(spark):
     from embercast.functions import numeric_columns
     df = spark.createDataFrame([(1, 0.5, "x", True)], "a int, b double, s string, f boolean")
     assert numeric_columns(df) == ["a", "b"]
+
+
+def test_forest_is_reproducible_with_fixed_layout(spark):
+    rows = [(i % 9, float(i % 17), float((i * 7) % 23), int((i * 7) % 23 > 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "site_id int, a double, b double, incendio int")
+
+    def probs(frame):
+        m = train.train_forest(train.fixed_layout(frame, "site_id", 4), ["a", "b"], "incendio",
+                               num_trees=8, max_depth=4, seed=7)
+        return sorted(r.probability_fire for r in scoring.batch_score(m, df).collect())
+
+    assert probs(df) == probs(df.repartition(5))  # same seed + same layout -> same model
