@@ -29,9 +29,11 @@ def register(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE column (comparison-friendly output)."""
+    """Round every DOUBLE column (comparison-friendly output); ``+ 0.0`` turns
+    a rounded negative zero into zero, as in the oracle text."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType)
+        else F.col(f.name)
         for f in df.schema.fields])
 
 
@@ -39,7 +41,7 @@ def wrap(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
     """Oracle text: round the listed DOUBLE columns of ``sql``'s result."""
     if not doubles:
         return sql
-    rep = ", ".join(f'round("{c}", {digits}) as "{c}"' for c in doubles)
+    rep = ", ".join(f'round("{c}", {digits}) + 0.0 as "{c}"' for c in doubles)
     return f"select * replace ({rep}) from (\n{sql}\n) q"
 
 
