@@ -1,0 +1 @@
+"""Typed readers, JSON-reply flatteners, sinks and the testdata adapters."""

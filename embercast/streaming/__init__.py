@@ -1,0 +1 @@
+"""Structured Streaming jobs (scoring, alerts, bounded state, windows, dedup)."""
