@@ -53,3 +53,19 @@ def test_weekday_and_elapsed_minutes(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0), dt.datetime(2024, 1, 1, 1, 30))], "a timestamp, b timestamp")
     r = df.select(cal.weekday_mon0("a").alias("w"), cal.elapsed_minutes("b", "a").alias("m")).first()
     assert (r.w, r.m) == (0, 90.0)  # 2024-01-01 is a Monday
+
+
+def test_rename_vocabulary_and_bounded_replies(spark):
+    import pytest
+    from embercast.operators.scoring import rename_vocabulary
+    from embercast.sources import testdata as td
+    from .conftest import SF
+    df = spark.createDataFrame([(1.0, 2.0)], "temperatura double, humedad double")
+    assert rename_vocabulary(df, {"temperatura": "temp_2m_mean"}).columns == ["temp_2m_mean", "humedad"]
+    with pytest.raises(ValueError, match="viento"):
+        rename_vocabulary(df, {"viento": "wind_speed_mean"})
+    # each landed hourly reply carries at most 24 values per variable (a bounded group)
+    sizes = td.hourly_json(spark, SF).select(
+        F.expr("max(size(from_json(body, 'hourly struct<variables: array<struct<name: string, "
+               "values: array<double>>>>').hourly.variables[0]['values']))").alias("m")).first().m
+    assert 1 <= sizes <= 24
