@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, token_files
+from embercast.llm import bpe, edit_counts, mixing, quality_rules, token_files
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -30,6 +30,43 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars",
+    )
+
+
+#: Every source the same share of the characters; the seed of the draws.
+MIX_WEIGHTS, MIX_SEED = {f"src{i}": 1.0 for i in range(20)}, 17
+
+
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SEED)
+
+
+OP4_SQL = """
+WITH have AS (
+    SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS n FROM documents
+    WHERE source IN (SELECT 'src' || i FROM range(20) t(i)) GROUP BY source HAVING sum(length(coalesce(text, ''))) > 0
+), rates AS (
+    SELECT source, 1.0 / (SELECT count(*) FROM have)::DOUBLE * (SELECT sum(n) FROM have) / n AS rate FROM have
+), steps AS (
+    SELECT source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS step
+    FROM rates, range(200) t(k)
+), drawn AS (
+    SELECT d.*, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM documents d
+), counted AS (
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(s.step) AS n
+    FROM drawn d JOIN steps s ON s.source = d.source AND s.step <= d.u GROUP BY ALL
+    UNION ALL
+    SELECT doc_id, text, lang, source, n_chars, 1 FROM documents
+    WHERE source IS NULL OR source NOT IN (SELECT 'src' || i FROM range(20) t(i))
+)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy FROM counted, range(1, 50) t(copy) WHERE copy <= n
+"""
+
+
 def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after personal data are taken out of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,5 +78,11 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_byte_bpe": op2_byte_bpe, "op5_edit_counts": op5_edit_counts}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_rules": op3_line_rules,
+    "op4_poisson_mix": op4_poisson_mix,
+    "op5_edit_counts": op5_edit_counts,
+}
+ORACLE = {"op4_poisson_mix": OP4_SQL}
