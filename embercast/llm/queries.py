@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, mixing, quality_rules, token_files
+from embercast.llm import bpe, edit_counts, mixing, quality_model, quality_rules, token_files
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -78,11 +78,26 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    net = quality_model.train(docs, labels.where(~held_out()))
+    return quality_model.score(docs, net).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_rules": op3_line_rules,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_edit_counts": op5_edit_counts,
+    "op8_quality_net": op8_quality_net,
 }
 ORACLE = {"op4_poisson_mix": OP4_SQL}
