@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, mixing, quality_model, quality_rules, token_files
+from embercast.llm import bpe, edit_counts, mixing, quality_model, quality_rules, token_files, topk
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -92,6 +92,25 @@ def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, step=50, scale=256.0)
+
+
+OP9_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.place, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.place <> c.place AND len(q.x) = len(c.x)
+)
+SELECT query_id, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -99,5 +118,6 @@ QUERIES = {
     "op4_poisson_mix": op4_poisson_mix,
     "op5_edit_counts": op5_edit_counts,
     "op8_quality_net": op8_quality_net,
+    "op9_top_k": op9_top_k,
 }
-ORACLE = {"op4_poisson_mix": OP4_SQL}
+ORACLE = {"op4_poisson_mix": OP4_SQL, "op9_top_k": OP9_SQL}
