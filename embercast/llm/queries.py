@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, mixing, quality_model, quality_rules, token_files, topk
+from embercast.llm import bpe, edit_counts, minhash, mixing, quality_model, quality_rules, token_files, topk
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -111,6 +111,10 @@ FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, v
 """
 
 
+def op10_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -119,5 +123,6 @@ QUERIES = {
     "op5_edit_counts": op5_edit_counts,
     "op8_quality_net": op8_quality_net,
     "op9_top_k": op9_top_k,
+    "op10_fast_sketch": op10_fast_sketch,
 }
 ORACLE = {"op4_poisson_mix": OP4_SQL, "op9_top_k": OP9_SQL}
