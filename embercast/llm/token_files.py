@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -132,36 +133,75 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Marks that, after a letter at a word's end, are always a piece of their own.
+TAILS = b".,;:!?"
+#: Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+class Words(dict):
+    """Packed ids of words, made when first asked for.
+
+    The tokenizer's normaliser lower-cases, its splitter puts a mark after a
+    letter apart and leaves a run of letters whole, written byte by byte. So a
+    word of letters up to U+024F (composed, with or without a last mark) goes
+    straight to the library's BPE model; any other word takes the whole
+    library.
+    """
+
+    def __init__(self, of, old: dict):
+        super().__init__()
+        self.tokenizer, self.old, self.direct = of, old, False
+        self.tokenize = of.model.tokenize
+        kinds = repr(of.normalizer) + repr(of.pre_tokenizer)
+        self.direct = all(x in kinds for x in ("NFC", "Lowercase", "ByteLevel", r"[\p{L}]+"))
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.made(word)
+        self[word] = got
+        return got
+
+    def made(self, word: bytes) -> bytes:
+        s = word.decode()
+        if self.direct:
+            if s.isalpha() and max(s) <= "\u024f" and unicodedata.is_normalized("NFC", s):
+                lower = s.lower()
+                if lower.isalpha():
+                    chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(ALPHABET)
+                    return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(chars)])
+            elif word[-1] in TAILS and len(s) > 1 and s[-2].lower().isalpha() and s[-2] <= "\u024f":
+                return self[word[:-1]] + self[word[-1:]]
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordEncoder:
     """Ids of whole texts, by a tokenizer that drops white space between words.
 
     Such a tokenizer never merges across ASCII white space, so a text's ids are
-    those of its words one after another. Words are encoded by the library once
-    and kept in two generations; when the young one is full the old one is
-    forgotten, so memory is bounded and frequent words stay.
+    those of its words one after another. Known words are kept in two
+    generations; when the young one is full the old one is forgotten, so memory
+    is bounded and frequent words stay.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        self.tokenizer, self.most, self.young, self.old = tokenizer(path), most, {}, {}
+        self.tokenizer, self.most = tokenizer(path), most
+        self.words = Words(self.tokenizer, {})
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        rows = [t.split() for t in texts]
-        young = self.young
-        missing = set().union(*rows).difference(young) if rows else set()
-        new = []
-        for w in missing:
-            if (got := self.old.get(w)) is not None:
-                young[w] = got
-            else:
-                new.append(w)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                young[w] = np.array(x.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(young.__getitem__, ws)), "<u4") for ws in rows]
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        return out
+        if len(self.words) > self.most:
+            self.words.old = {}
+            self.words = Words(self.tokenizer, self.words)
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, t.split())), "<u4") for t in texts]
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that words stay known from task to task."""
+    return WordEncoder(path)
 
 
 def write(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -179,7 +219,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(folder)
-        encode, end = WordEncoder(tokenizer_path), np.array([end_id], np.uint32)
+        encode, end = word_encoder(tokenizer_path), np.array([end_id], np.uint32)
         part, number, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
