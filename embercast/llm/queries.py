@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, minhash, mixing, quality_model, quality_rules, token_files, topk
+from embercast.llm import bpe, edit_counts, minhash, mixing, phrases, quality_model, quality_rules, token_files, topk
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -115,12 +115,18 @@ def op10_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return phrases.remove_phrases(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_rules": op3_line_rules,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_edit_counts": op5_edit_counts,
+    "op6_phrase_automata": op6_phrase_automata,
     "op8_quality_net": op8_quality_net,
     "op9_top_k": op9_top_k,
     "op10_fast_sketch": op10_fast_sketch,
