@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embercast.llm.arrays import mix, schema_with, text_or_empty
+from embercast.llm.arrays import mix, schema_with
 
 CHUNK_BYTES = 4 << 20
 
@@ -97,8 +98,8 @@ def unpacked(data: bytes) -> tuple:
 class Chunk:
     """One chunk's rows in a fixed order, with their segments."""
 
-    def __init__(self, table: pa.Table, doc_id: str, units_of: Callable[[list[bytes]], Units], window: int, run: int, shards: int):
-        texts, ids = table.column("_text").cast(pa.large_binary()).to_pylist(), table.column(doc_id).to_pylist()
+    def __init__(self, table: pa.Table, doc_id: str, text: str, units_of: Callable[[list[bytes]], Units], window: int, run: int, shards: int):
+        texts, ids = pc.fill_null(table.column(text).cast(pa.large_binary()), b"").to_pylist(), table.column(doc_id).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], texts[i]) if ids[i] is not None else (True, 0, texts[i]))
         self.table, self.ids, self.texts = table.take(pa.array(order, pa.int64())), [ids[i] for i in order], [texts[i] for i in order]
         # rows without an id take no part: they are left out as if they were empty
@@ -126,10 +127,17 @@ class Chunk:
         known: dict[bytes, int] = {}
         texts = self.content(chosen)
         kind = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
-        first = np.full(len(known), len(kind), np.int64)
-        np.minimum.at(first, kind, np.arange(len(kind)))
+        doc, place = self.places(chosen)
+        order = np.lexsort((place, doc, kind))
+        first = order[np.append(True, np.diff(kind[order]) > 0)] if len(order) else order
         return chosen, kind, chosen[first], list(known)
 
+    def places(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document id and first unit in the document of segments."""
+        row = self.segments.row[i]
+        ids = np.array([x if x is not None else 0 for x in self.ids], np.int64)
+        return ids[row], self.segments.start[i] - self.units.first[row]
+
     def recurring(self, answers: dict[int, bytes]) -> np.ndarray:
         out = np.zeros(len(self.anchors), bool)
         for s, at in self.by_shard():
@@ -160,11 +168,11 @@ def removed_units(chunk: Chunk, recurring: np.ndarray, answers: dict[int, bytes]
             flags[place] = np.unpackbits(np.frombuffer(answers[s], np.uint8), count=len(place)).astype(bool)
         size = seg.windows[chosen]
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        (doc, place), (doc_first, place_first) = chunk.places(chosen), chunk.places(first)
         if whole_documents:  # only another document's occurrence counts as earlier
-            ids = np.array([i if i is not None else 0 for i in chunk.ids], np.int64)
-            later = ids[seg.row[chosen]] != ids[seg.row[first[kind]]]
+            later = doc != doc_first[kind]
         else:
-            later = chosen != first[kind]
+            later = (doc != doc_first[kind]) | (place != place_first[kind])
         bad = flags[np.repeat(at[kind], size) + inner] | np.repeat(later, size)
         mark[(np.repeat(seg.start[chosen], size) + inner)[bad]] = 1
     covered = np.cumsum(mark)
@@ -183,9 +191,9 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
-    docs = df.withColumn("_text", text_or_empty(text)).withColumn(doc_id, F.col(doc_id).cast("long"))
-    docs = docs.withColumn("_chunk", F.pmod(F.xxhash64(doc_id, "_text"), F.lit(chunks))).repartition(shards, "_chunk")
-    made = lambda table: Chunk(table, doc_id, units_of, window, run, shards)
+    docs = df.withColumn(text, F.col(text).cast("string")).withColumn(doc_id, F.col(doc_id).cast("long"))
+    docs = docs.withColumn("_chunk", F.pmod(F.xxhash64(doc_id, text), F.lit(chunks))).repartition(shards, "_chunk")
+    made = lambda table: Chunk(table, doc_id, text, units_of, window, run, shards)
     answer = "_chunk long, shard long, bits binary"
 
     def report(table: pa.Table) -> pa.Table:
@@ -217,9 +225,7 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
             answers = {r["shard"]: r["bits"] for r in known.to_pylist()}
             recurring = c.recurring(answers)
             _, _, first, contents = c.distinct(recurring)
-            ids = np.array([i if i is not None else 0 for i in c.ids], np.int64)
-            s = c.segments
-            begin = s.start[first] - c.units.first[s.row[first]]
+            s, (doc, place) = c.segments, c.places(first)
             parts = {k: at for k, at in shard_order(c, first)}
             for k, bits in answers.items():
                 at = parts.get(k, np.zeros(0, np.int64))
@@ -227,7 +233,7 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
                 out["_chunk"].append(table.column("_chunk")[0].as_py())
                 out["shard"].append(k)
                 out["bits"].append(bits)  # comes back with the shard's answer
-                out["data"].append(packed((s.anchor[f] & np.uint64(0xFFFFFFFF)).astype(np.uint32), s.windows[f].astype(np.int32), ids[s.row[f]], begin[at], [contents[i] for i in at.tolist()]))
+                out["data"].append(packed((s.anchor[f] & np.uint64(0xFFFFFFFF)).astype(np.uint32), s.windows[f].astype(np.int32), doc[at], place[at], [contents[i] for i in at.tolist()]))
         kinds = {"_chunk": pa.int64(), "shard": pa.int64(), "bits": pa.binary(), "data": pa.binary()}
         return pa.table({name: pa.array(x, kinds[name]) for name, x in out.items()})
 
@@ -246,11 +252,11 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
         c, rows = made(table), known.to_pylist()
         gone = removed_units(c, c.recurring({r["shard"]: r["bits"] for r in rows}), {r["shard"]: r["found"] for r in rows}, whole_documents)
         columns = finish(c, gone)
-        keep = c.table.drop_columns(["_chunk", "_text"])
+        keep = c.table.drop_columns(["_chunk"])
         names = [*keep.schema.names, *(x for x in columns if x not in keep.schema.names)]
         return pa.table([columns[x] if x in columns else keep.column(x) for x in names], names=names)
 
-    result = schema_with(df.withColumn(doc_id, F.col(doc_id).cast("long")), added)
+    result = schema_with(docs.drop("_chunk"), added)
     empty = pa.table([])
     reports = docs.groupBy("_chunk").applyInArrow(report, "_chunk long, shard long, anchors binary, bits binary")
     first_answers = reports.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(recur, answer)

@@ -123,9 +123,8 @@ def remove_phrases(df: DataFrame, window: int = 13, run: int = 5, doc_id: str =
     on the input. ``run`` (at most ``window``) is the length of the runs that
     anchors come from. Null text has no words. A row with a null doc_id takes
     no part and stays whole; rows of equal doc_id count as one document. All
-    rows and columns stay, but columns of these four names are replaced, as are
-    none called _text or _chunk, which must not exist. An empty table stays
-    empty. One text must fit in a worker's memory some sixty times over.
+    rows and columns stay, but columns of these four names are replaced, and one
+    called _chunk is lost. An empty table stays empty. One text must fit in a worker's memory some sixty times over.
     """
     added = {"kept_text": "string", "n_words": "bigint", "n_removed": "bigint", "removed": "array<struct<start:bigint,end:bigint>>"}
     return find(df, word_units(run), window, run, earlier_windows(window), kept_words, added, True, doc_id, text)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, minhash, mixing, phrases, quality_model, quality_rules, token_files, topk
+from embercast.llm import bpe, edit_counts, minhash, mixing, phrases, quality_model, quality_rules, suffix_dedup, token_files, topk
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -120,6 +120,13 @@ def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_phrases(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, window=100).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -127,6 +134,7 @@ QUERIES = {
     "op4_poisson_mix": op4_poisson_mix,
     "op5_edit_counts": op5_edit_counts,
     "op6_phrase_automata": op6_phrase_automata,
+    "op7_induced_suffixes": op7_induced_suffixes,
     "op8_quality_net": op8_quality_net,
     "op9_top_k": op9_top_k,
     "op10_fast_sketch": op10_fast_sketch,
