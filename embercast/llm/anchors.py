@@ -247,8 +247,6 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
             )
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return empty
         c, rows = made(table), known.to_pylist()
         gone = removed_units(c, c.recurring({r["shard"]: r["bits"] for r in rows}), {r["shard"]: r["found"] for r in rows}, whole_documents)
         columns = finish(c, gone)
@@ -257,7 +255,6 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
         return pa.table([columns[x] if x in columns else keep.column(x) for x in names], names=names)
 
     result = schema_with(docs.drop("_chunk"), added)
-    empty = pa.table([])
     reports = docs.groupBy("_chunk").applyInArrow(report, "_chunk long, shard long, anchors binary, bits binary")
     first_answers = reports.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(recur, answer)
     sent = docs.groupBy("_chunk").cogroup(first_answers.groupBy("_chunk")).applyInArrow(send, answer + ", data binary")

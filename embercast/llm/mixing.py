@@ -69,7 +69,7 @@ def mix(df: DataFrame, weights: dict[str, float], seed: int, expected_chars: flo
     its source; a source that isn't listed, or is null, has no target: each of
     its documents stands ``unlisted`` times. Rows of equal doc_id draw the same
     number (null ids count as one id). Null text has no characters but may be
-    drawn. A column called ``copy`` is replaced; others stay. The result is
+    drawn. A column called ``copy`` is replaced, _n and _at are lost; others stay. The result is
     sorted by the shuffling hash, which no column keeps; an empty table stays
     empty.
     """

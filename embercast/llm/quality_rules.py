@@ -58,7 +58,8 @@ def apply_rules(df: DataFrame, text: str = "text", least_words: int = 50, least_
 
     Null text counts as empty: no words, so the base rules fail it. A text of
     white space alone likewise. Rows are judged one by one, so repeated rows
-    get equal results; columns of these names are replaced, others stay.
+    get equal results; columns of these names are replaced, others stay, but
+    _text, _words, _windows, _lines and _good are working names and are lost.
     Windows are compared by 64-bit hashes within one document.
     """
     clean = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -196,14 +196,18 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols."""
-    out = np.zeros(len(order), np.uint8)
-    long = np.append(text, np.arange(most, dtype=text.dtype))
+    long = np.append(text, np.arange(most + 4, dtype=text.dtype)).astype(np.uint64)
+    four = long[:-3] | long[1:-2] << np.uint64(16) | long[2:-1] << np.uint64(32) | long[3:] << np.uint64(48)
+    out = np.zeros(len(order), np.int64)
     at, k = np.arange(1, len(order)), 0
-    while len(at) and k < most:
-        at = at[long[order[at] + k] == long[order[at - 1] + k]]
-        out[at] += 1
-        k += 1
-    return out
+    while len(at) and k < most:  # four symbols at a time, then the equal ones of the first four that differ
+        other = four[order[at] + k] ^ four[order[at - 1] + k]
+        differ = other != 0
+        low = other[differ] & (~other[differ] + np.uint64(1))
+        out[at[differ]] = k + (low >= 1 << 16).astype(np.int64) + (low >= 1 << 32) + (low >= 1 << 48)
+        at, k = at[~differ], k + 4
+    out[at] = most
+    return np.minimum(out, most).astype(np.uint8)
 
 
 def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None) -> np.ndarray:
@@ -311,7 +315,7 @@ def earlier_windows(window: int, folder: str | None):
     return in_shard
 
 
-def kept_bytes(chunk: Chunk, gone: np.ndarray) -> dict[str, pa.Array]:
+def kept_bytes(chunk: Chunk, gone: np.ndarray, as_text: bool = False) -> dict[str, pa.Array]:
     kept, n_bytes, n_removed, spans = [], [], [], []
     first = chunk.units.first.tolist()
     for t, a, b in zip(chunk.texts, first[:-1], first[1:], strict=True):
@@ -326,11 +330,13 @@ def kept_bytes(chunk: Chunk, gone: np.ndarray) -> dict[str, pa.Array]:
         kept.append(t)
         spans.append(own)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return {"kept_bytes": pa.array(kept, pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(spans, kind)}
+    result = {"kept_text": pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string())} if as_text else {"kept_bytes": pa.array(kept, pa.binary())}
+    return result | {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(spans, kind)}
 
 
-def remove_repeats(df: DataFrame, window: int = 100, run: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 100, run: int = 32, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """``df`` with kept_bytes (the bytes that stay), n_bytes, n_removed and removed (byte spans).
+    With ``as_text`` kept_text stands for kept_bytes: a string without characters that were cut.
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes covers it that
     also starts earlier: in a row with a smaller doc_id, or before it in the
@@ -342,6 +348,6 @@ def remove_repeats(df: DataFrame, window: int = 100, run: int = 32, doc_id: str
     replaced, and one called _chunk is lost. An empty table stays empty. One
     text must fit in a worker's memory some sixty times over.
     """
-    added = {"kept_bytes": "binary", "n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:bigint,end:bigint>>"}
+    added = ({"kept_text": "string"} if as_text else {"kept_bytes": "binary"}) | {"n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:bigint,end:bigint>>"}
     folder = work_folder(df.sparkSession, "suffix-queue")
-    return find(df, byte_units(run), window, run, earlier_windows(window, folder), kept_bytes, added, False, doc_id, text)
+    return find(df, byte_units(run), window, run, earlier_windows(window, folder), lambda c, g: kept_bytes(c, g, as_text), added, False, doc_id, text)
