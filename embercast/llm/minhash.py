@@ -31,7 +31,7 @@ from embercast.llm.components import components
 
 COORDINATES, BAND = 128, 4
 #: Sets in one task's group, of each of its two blocks.
-GROUP = 96
+GROUP = 256
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:

@@ -163,7 +163,7 @@ def near_copies(seed, n, base_words, edits):
     return rows
 
 
-@pytest.mark.parametrize("block", [96, 3])
+@pytest.mark.parametrize("block", [256, 3])
 def test_near_duplicates_on_documents(spark, monkeypatch, block):
     """Edits enough that many members of a bucket are not linked with its smallest, or with one another."""
     monkeypatch.setattr(minhash, "GROUP", block)
