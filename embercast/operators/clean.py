@@ -1,8 +1,8 @@
 """Cleaning operators: dedup, order, fill, outliers, null counts, target checks.
 
-Column statistics (mean, std, median) are computed in ONE aggregation over all
-columns and used as scalar subqueries: Spark runs that aggregate once before the
-main stage; no join, no per-column passes, no driver round-trip. Per-site windows are bounded: after
+Column statistics (mean, std) are computed in ONE aggregation over all columns,
+whose single row comes to the driver and goes into the plan as literals; no join
+and no per-column passes. Per-site windows are bounded: after
 ``dedup_first`` a site holds at most one row per calendar day.
 """
 
@@ -19,7 +19,9 @@ from .quantiles import exact_quantiles
 # --------------------------------------------------------------------------- E1, O1
 
 def dedup_first(df: DataFrame, keys=("site_id", "date"), order: str = "ingest_seq") -> DataFrame:
-    """Keep the first record (lowest ``order``) of each key.
+    """Keep the first record (lowest ``order``, NULL last) of each key; ties
+    fall to the lowest of the other columns, so the result doesn't depend on
+    the order of arrival.
 
     Expressed as an aggregation (``min_by`` over a struct of the row), not a
     window: the aggregation combines map-side, so a hot key that holds a third of
@@ -27,7 +29,8 @@ def dedup_first(df: DataFrame, keys=("site_id", "date"), order: str = "ingest_se
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    packed = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order)).alias("_first")
+    first = F.struct(F.col(order).isNull().alias("_null"), F.col(order).alias("_order"), *[F.col(c) for c in rest])
+    packed = F.min(first).alias("_first")
     out = df.groupBy(*keys).agg(packed)
     return out.select(*[F.col(k) for k in keys], *[F.col("_first." + c).alias(c) for c in rest]) \
               .select(*df.columns)

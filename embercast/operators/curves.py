@@ -21,8 +21,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-
 
 def _d(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -30,31 +28,18 @@ def _d(c) -> Column:
 
 # --------------------------------------------------------------------------- sweep
 
-ROWS_PER_BUCKET = 2_000_000
-
-
-def _bucket_bounds(g: DataFrame, buckets: int | None) -> list[float]:
-    """B-1 approximate quantiles of the distinct scores. Without an explicit B,
-    one job returns the count and 1024-quantiles; only when that leaves more
-    than ~2M scores per bucket is a finer cut (<= 65536 buckets) computed."""
-    def cut(b: int, with_count: bool):
-        fr = [i / b for i in range(1, b)]
-        aggs = [F.percentile_approx("score", fr, 10 * b).alias("q")]
-        if with_count:
-            aggs.append(F.count(F.lit(1)).alias("n"))
-        return g.agg(*aggs).first()
-
-    if buckets:
-        row = cut(int(buckets), False)
-    else:
-        row = cut(1024, True)
-        need = -(-row["n"] // ROWS_PER_BUCKET)
-        if need > 1024:
-            row = cut(int(min(65536, need)), False)
+BUCKETS = 1024
+
+
+def _bucket_bounds(g: DataFrame, buckets: int) -> list[float]:
+    """B-1 approximate quantiles of the distinct scores; one path for every size,
+    a window task holds about distinct scores / B rows."""
+    fr = [i / buckets for i in range(1, buckets)]
+    row = g.agg(F.percentile_approx("score", fr, 10 * buckets).alias("q")).first()
     return sorted(set(x for x in (row["q"] or []) if x is not None))
 
 
-def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
+def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = BUCKETS) -> DataFrame:
     """One row per distinct score (descending sweep order) with
     ``pos, neg`` (rows at this score), ``tps, fps`` (rows with score >= it),
     ``next_pos, next_neg`` (counts at the next lower score, NULL for the last),
@@ -83,7 +68,7 @@ def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int |
 
     w = Window.partitionBy("bucket").orderBy(F.desc("score"))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    s = b.join(F.broadcast(bt), ["bucket"])  # bucket table: at most B rows
+    s = b.join(bt, ["bucket"])  # bucket table: at most B rows
     return s.select(
         "score", "pos", "neg", "bucket",
         (F.sum("pos").over(run) + F.col("_op")).alias("tps"),
@@ -97,7 +82,7 @@ def score_sweep(df: DataFrame, y: str = "y", score: str = "prob", buckets: int |
 # --------------------------------------------------------------------------- V4, V5
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "prob", drop_intermediate: bool = True,
-               buckets: int | None = None) -> DataFrame:
+               buckets: int = BUCKETS) -> DataFrame:
     """V4: (threshold, fpr, tpr). First point (0, 0) at max score + 1; with
     ``drop_intermediate`` a point is kept when the counts at it differ from
     the counts at the next lower score (= non-zero second difference), and the
@@ -115,21 +100,23 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "prob", drop_intermedia
     return start.unionByName(pts)
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
+def _auc_value() -> Column:
+    return F.try_divide(F.sum(_d("neg") * (_d("tps") - _d("pos") / 2)), F.first(_d("P")) * F.first(_d("N")))
+
+
+def roc_auc(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = BUCKETS) -> DataFrame:
     """V5: exact area, ties counted 1/2: sum(neg_i * (tps_i - pos_i / 2)) / (P * N).
     NULL unless both classes are present (V2)."""
-    s = score_sweep(df, y, score, buckets)
-    return s.agg(F.try_divide(F.sum(_d("neg") * (_d("tps") - _d("pos") / 2)),
-                              F.first(_d("P")) * F.first(_d("N"))).alias("roc_auc"))
+    return score_sweep(df, y, score, buckets).agg(_auc_value().alias("roc_auc"))
 
 
 # --------------------------------------------------------------------------- V6, V7, V8
 
-def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
-    """V6: (threshold, precision, recall) from the highest score down to the
-    first score reaching full recall, then the end point (NULL, 1, 0)."""
+def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = BUCKETS) -> DataFrame:
+    """V6: (threshold, precision, recall) for every distinct score, down to the
+    lowest (past full recall too), then the end point (NULL, 1, 0)."""
     s = score_sweep(df, y, score, buckets)
-    pts = s.filter(F.col("tps") - F.col("pos") < F.col("P")).select(
+    pts = s.select(
         F.col("score").alias("threshold"),
         F.try_divide(_d("tps"), _d("tps") + _d("fps")).alias("precision"),
         F.try_divide(_d("tps"), _d("P")).alias("recall"))
@@ -138,14 +125,17 @@ def pr_points(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | N
     return pts.unionByName(end)
 
 
-def average_precision(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
-    """V7: sum over scores of (recall step) * precision = sum(pos_i * prec_i) / P."""
-    s = score_sweep(df, y, score, buckets)
+def _ap_value() -> Column:
     prec = F.try_divide(_d("tps"), _d("tps") + _d("fps"))
-    return s.agg(F.try_divide(F.sum(_d("pos") * prec), F.first(_d("P"))).alias("average_precision"))
+    return F.try_divide(F.sum(_d("pos") * prec), F.first(_d("P")))
+
+
+def average_precision(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = BUCKETS) -> DataFrame:
+    """V7: sum over scores of (recall step) * precision = sum(pos_i * prec_i) / P."""
+    return score_sweep(df, y, score, buckets).agg(_ap_value().alias("average_precision"))
 
 
-def pr_auc_trapezoid(df: DataFrame, y: str = "y", score: str = "prob", buckets: int | None = None) -> DataFrame:
+def pr_auc_trapezoid(df: DataFrame, y: str = "y", score: str = "prob", buckets: int = BUCKETS) -> DataFrame:
     """V8: trapezoid area under the PR points (a different number from V7).
     The previous point of each score is its cumulative counts minus its own;
     before the first score it is the start point (recall 0, precision 1)."""
@@ -219,7 +209,7 @@ def report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def metrics(df: DataFrame, y: str = "y", pred: str = "pred", score: str | None = "prob",
-            buckets: int | None = None) -> DataFrame:
+            buckets: int = BUCKETS) -> DataFrame:
     """V1 + V2 as a long (metric, value) table: accuracy and weighted precision,
     recall, f1; roc_auc and average_precision only when both classes occur."""
     rep = report(df, y, pred)
@@ -231,9 +221,8 @@ def metrics(df: DataFrame, y: str = "y", pred: str = "pred", score: str | None =
     base = acc.unionByName(wavg)
     if score is None:
         return base
-    auc = roc_auc(df, y, score, buckets).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-    ap = average_precision(df, y, score, buckets).select(F.lit("average_precision").alias("metric"),
-                                                         F.col("average_precision").alias("value"))
-    both = scalars(df.agg((F.count_distinct(F.col(y)) == 2).alias("_two")))["_two"]
-    extra = auc.unionByName(ap).filter(both)
-    return base.unionByName(extra)
+    both = (F.first("P") > 0) & (F.first("N") > 0)
+    extra = score_sweep(df, y, score, buckets).agg(F.array(
+        F.struct(F.lit("roc_auc").alias("metric"), _auc_value().alias("value")),
+        F.struct(F.lit("average_precision").alias("metric"), _ap_value().alias("value"))).alias("m"), both.alias("both"))
+    return base.unionByName(extra.filter("both").select(F.inline("m")))

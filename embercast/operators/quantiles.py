@@ -15,8 +15,9 @@ pieces only:
    distinct values each), giving the exact order statistics;
 5. q = v_lo + (v_hi - v_lo) * frac, frac = p * (n - 1) - floor(p * (n - 1)).
 
-When the distinct (group, value) rows are few (<= 2M, counted in the same job
-as the splits), steps 2-4 collapse into one running count per group.
+There is one path for every size. ``buckets`` comes from the caller: a window
+task holds about distinct values / buckets rows of one group, so a table with
+1e11 distinct values wants 100,000 buckets, not another algorithm.
 """
 
 from __future__ import annotations
@@ -26,15 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SMALL_DISTINCT = 2_000_000
-
-
-def _fit(values: DataFrame, buckets: int):
-    """One job: number of distinct (group, value) rows and the bucket splits."""
+def _splits(values: DataFrame, buckets: int) -> list[float]:
+    """Bucket edges at global approximate quantiles of the distinct values."""
     fr = [i / buckets for i in range(1, buckets)]
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", fr, 10 * buckets).alias("q")).first()
+    row = values.agg(F.percentile_approx("v", fr, 10 * buckets).alias("q")).first()
     bounds = sorted(set(float(x) for x in (row["q"] or []) if x is not None))
-    return row["n"], [float("-inf")] + (bounds or [0.0]) + [float("inf")]
+    return [float("-inf")] + (bounds or [0.0]) + [float("inf")]
 
 
 def _ranks(df: DataFrame, probs) -> DataFrame:
@@ -59,30 +57,21 @@ def _covers(rank: str, start, end):
     return (F.col(rank) >= start) & (F.col(rank) < end)
 
 
-def _direct(vc: DataFrame, probs, by) -> DataFrame:
-    """Few distinct values (measured): one running count per group over the
-    distinct (group, value) rows; the rows covering each needed rank are kept."""
-    w = Window.partitionBy(*by).orderBy("v")
-    r = vc.select(*by, "v", "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-                  F.sum("c").over(Window.partitionBy(*by)).alias("n"))
-    x = _ranks(r, probs)
-    start, end = F.col("cum") - F.col("c"), F.col("cum")
-    x = x.withColumns({"has_lo": _covers("lo", start, end), "has_hi": _covers("hi", start, end)})
-    return _interpolate(x.filter(F.col("has_lo") | F.col("has_hi")), by)
+def _same_group(a: DataFrame, b: DataFrame, by):
+    """Equal group columns, where NULL is a group of its own (``b`` has them with a leading _)."""
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col("_" + c))
+    return cond
 
 
-def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024,
-                         small: int = SMALL_DISTINCT) -> DataFrame:
-    """``long`` holds (*by, v); returns (*by, p, q) for every group and p.
-    With at most ``small`` distinct (group, value) rows (counted in the same job
-    as the splits) a single running count per group is enough."""
+def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024) -> DataFrame:
+    """``long`` holds (*by, v); returns (*by, p, q) for every group and p."""
     by = list(by)
     if not by:  # one global group: a constant key keeps every join an equi-join
-        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], buckets, small).drop("_g")
+        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], buckets).drop("_g")
     vc = long.filter(F.col("v").isNotNull()).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    n_distinct, splits = _fit(vc, buckets)
-    if n_distinct <= small:
-        return _direct(vc, probs, by)
+    splits = _splits(vc, buckets)
     b = Bucketizer(splits=splits, inputCol="v", outputCol="_bf").transform(vc) \
         .withColumn("b", F.col("_bf").cast("int")).drop("_bf")
     bt = b.groupBy(*by, "b").agg(F.sum("c").alias("bc"))
@@ -96,21 +85,22 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024,
                            "has_hi": _covers("hi", F.col("off"), F.col("off") + F.col("bc"))}) \
         .filter(F.col("has_lo") | F.col("has_hi")).select(*by, "b", "off", "p", "pos", "lo", "hi")
     # rank values inside only the buckets that are needed
-    cand = b.join(loc.select(*by, "b").distinct(), by + ["b"], "left_semi")
+    need = loc.select(*[F.col(c).alias("_" + c) for c in by], F.col("b").alias("_b")).distinct()
+    cand = b.join(need, _same_group(b, need, by) & (F.col("b") == F.col("_b")), "left_semi")
     wb = Window.partitionBy(*by, "b").orderBy("v")
     cand = cand.withColumn("cum", F.sum("c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    x = loc.join(cand, by + ["b"])
+    loc = loc.select(*[F.col(c).alias("_" + c) for c in by], F.col("b").alias("_b"), "off", "p", "pos", "lo", "hi")
+    x = cand.join(loc, _same_group(cand, loc, by) & (F.col("b") == F.col("_b")))
     start, end = F.col("off") + F.col("cum") - F.col("c"), F.col("off") + F.col("cum")
     x = x.withColumns({"has_lo": _covers("lo", start, end), "has_hi": _covers("hi", start, end)})
     return _interpolate(x.filter(F.col("has_lo") | F.col("has_hi")), by)
 
 
-def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024,
-                    small: int = SMALL_DISTINCT) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024) -> DataFrame:
     """(*by, column_name, p, q) for each column: the columns are stacked into one
     long table so that all of them share one pass."""
     by = list(by)
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x")) \
         .select(*by, "_x.column_name", "_x.v")
-    return exact_quantiles_long(long, probs, by + ["column_name"], buckets, small)
+    return exact_quantiles_long(long, probs, by + ["column_name"], buckets)

@@ -1,8 +1,8 @@
 """Scaling (C5, C6) and PCA.
 
 Scalers are fitted on one DataFrame (the training part) into a one-row
-statistics table and applied to any other through scalar subqueries, so the
-fit never sees test rows (no leak) and apply is a map-only projection.
+statistics table; its row comes to the driver and goes into the plan as
+literals, so the fit never sees test rows (no leak) and apply is a map-only projection.
 """
 
 from __future__ import annotations
@@ -58,11 +58,12 @@ def fit_pca(df: DataFrame, cols, n_components=0.95):
     """C7 fit: centre (Spark's PCA does not), fit all components, then keep
     ``k`` = the int given, or the smallest k whose cumulative explained
     variance ratio exceeds the float given. The covariance is a distributed
-    tree aggregate of a d x d matrix. Returns (model, k, ratios, signs)."""
+    tree aggregate of a d x d matrix. A row with a NULL or NaN in ``cols`` is an
+    error, not a lost row: fill or filter first. Returns (model, k, ratios, signs)."""
     cols = list(cols)
     d = len(cols)
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=cols, outputCol="_pca_in", handleInvalid="skip"),
+        VectorAssembler(inputCols=cols, outputCol="_pca_in", handleInvalid="error"),
         StandardScaler(inputCol="_pca_in", outputCol="_pca_c", withMean=True, withStd=False),
         PCA(k=d, inputCol="_pca_c", outputCol="_pca_out"),
     ])

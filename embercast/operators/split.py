@@ -5,7 +5,7 @@ Exact per-class counts need each row's rank by hash within its class; a window
 per class would put the majority class (most rows) into one task, so the rank
 is a two-level prefix: counts per (class, 16-bit hash prefix) -> offsets from
 that bounded table -> rank inside each (class, prefix) bucket, which holds
-about n / 65536 rows whatever the class sizes.
+about n / 16**prefix_hex rows whatever the class sizes (a caller's parameter).
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ def row_hash(keys, seed: int) -> Column:
 
 def class_rank(df: DataFrame, target: str, keys, seed: int = 42, prefix_hex: int = 4) -> DataFrame:
     """Adds ``_h`` (md5), ``_rank`` (1-based rank by ``_h`` within the class)
-    and ``_n_class`` (class size). ``prefix_hex`` hex digits form the buckets
-    (16**prefix_hex per class): 4 keeps ~n/65536 rows per window task; use 5-6
-    for tens of billions of rows."""
+    and ``_n_class`` (class size). ``prefix_hex`` hex digits form the buckets:
+    a window task holds about n / 16**prefix_hex rows (every caller passes it on)."""
     h = df.withColumn("_h", row_hash(keys, seed)).withColumn(
         "_b", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int"))
     counts = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_cnt"))  # <= classes x 16**prefix_hex rows
@@ -39,29 +38,30 @@ def class_rank(df: DataFrame, target: str, keys, seed: int = 42, prefix_hex: int
 
 
 def stratified_split(df: DataFrame, target: str, keys, test_size: float = 0.2, seed: int = 42,
-                     exact: bool = True) -> DataFrame:
+                     exact: bool = True, prefix_hex: int = 4) -> DataFrame:
     """Adds ``is_test``. ``exact``: per class exactly round(test_size * n_c)
     rows, the lowest hashes. ``exact=False``: hash threshold on the first 32
     bits (map-only, no shuffle; class shares exact in expectation)."""
     if not exact:
         bits = F.conv(F.substring(row_hash(keys, seed), 1, 8), 16, 10).cast("long")
         return df.withColumn("is_test", bits < F.lit(int(test_size * 2 ** 32)))
-    r = class_rank(df, target, keys, seed)
+    r = class_rank(df, target, keys, seed, prefix_hex)
     n_test = F.round(F.lit(float(test_size)) * F.col("_n_class"))
     return r.withColumn("is_test", F.col("_rank") <= n_test).drop("_h", "_rank", "_n_class")
 
 
-def stratified_folds(df: DataFrame, target: str, keys, k: int = 4, seed: int = 42) -> DataFrame:
+def stratified_folds(df: DataFrame, target: str, keys, k: int = 4, seed: int = 42,
+                     prefix_hex: int = 4) -> DataFrame:
     """M4: ``fold`` = (rank within class by hash - 1) mod k: every fold gets
     each class in equal shares (+-1)."""
-    r = class_rank(df, target, keys, seed)
+    r = class_rank(df, target, keys, seed, prefix_hex)
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_n_class")
 
 
 def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    """C10 "balanced": weight = n / (n_classes * n_c). The per-class table has
-    one row per class (bounded) and is broadcast back."""
+    """C10 "balanced": weight = n / (n_classes * n_c). The per-class table is
+    joined back without a hint: AQE broadcasts it when it is small."""
     c = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
     w = c.select(target, (F.sum("_nc").over(Window.partitionBy()).cast("double")
                           / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), [target], "left")
+    return df.join(w, [target], "left")

@@ -141,12 +141,15 @@ def hist_density(df: DataFrame, col: str, by: str = fixed.TARGET, bins: int = 30
     hi = F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5)
     stats = stats.select(by, lo.cast("double").alias("_lo"), hi.cast("double").alias("_hi"), "_n") \
                  .withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
-    # one row per class: bounded, broadcast is safe
-    binned = df.filter(F.col(col).isNotNull()).join(F.broadcast(stats), [by]).select(
+    # a NULL class is a class of its own, so the joins are null-safe; AQE decides how the group table travels
+    own = stats.withColumnRenamed(by, "_by")
+    binned = df.filter(F.col(col).isNotNull()).join(own, F.col(by).eqNullSafe(F.col("_by"))).select(
         by, F.least(F.floor((F.col(col) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = stats.select(by, "_lo", "_w", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, [by, "bin"], "left").fillna(0, ["count"])
+    counts = counts.select(F.col(by).alias("_by"), F.col("bin").alias("_bin"), "count")
+    out = grid.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bin") == F.col("_bin")), "left") \
+        .fillna(0, ["count"])
     return out.select(
         by, "bin",
         (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),
@@ -159,8 +162,7 @@ def hist_density(df: DataFrame, col: str, by: str = fixed.TARGET, bins: int = 30
 def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float = 1.5,
               approx: bool = False) -> DataFrame:
     """A10: quartiles, IQR, whiskers (furthest values inside q +- 1.5 IQR) and
-    the outlier count per group. Two aggregations; the per-group quartile row is
-    bounded by the number of groups and broadcast back."""
+    the outlier count per group; a NULL group is a group of its own."""
     q = _quantile_table(df, [col], [0.25, 0.5, 0.75], by=(by,), approx=approx)
     q = q.select(by, F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"), F.col("q0_75").alias("q3")) \
          .withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -168,13 +170,14 @@ def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float =
     hi_f = F.col("q3") + whisker * F.col("iqr")
     x = F.col(col)
     inside = x.between(lo_f, hi_f)
-    agg = df.filter(x.isNotNull()).join(F.broadcast(q), [by]).groupBy(by).agg(
+    own = q.withColumnRenamed(by, "_by")
+    agg = df.filter(x.isNotNull()).join(own, F.col(by).eqNullSafe(F.col("_by"))).groupBy("_by").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    return q.join(agg, [by])
+    return q.join(agg, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 # --------------------------------------------------------------------------- V9, A13, A15
@@ -210,9 +213,9 @@ def risk_bands(df: DataFrame, level_col: str | None = "risk_level", code_col: st
 
 def monitor_stats(df: DataFrame, station: str = "station_id", ts: str = "ts",
                   alert: str = "alert", means=("temperatura", "humedad", "velocidad_viento"),
-                  history: int = fixed.MONITOR_HISTORY) -> DataFrame:
+                  tie: str = "event_id", history: int = fixed.MONITOR_HISTORY) -> DataFrame:
     """A15 per station: readings, alerts, alert rate (0 when no readings), means
-    over the last ``history`` readings, uptime seconds (last - first reading).
+    over the last ``history`` readings (equal times: the larger ``tie`` is later), uptime seconds (last - first reading).
 
     Skew-safe: the counts are a plain aggregation (combined map-side), and the
     last-N means use ``row_number() <= N`` as a filter, which Spark turns into a
@@ -224,7 +227,7 @@ def monitor_stats(df: DataFrame, station: str = "station_id", ts: str = "ts",
         ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp")))
          / 1e6).alias("uptime_seconds"),
     )
-    w = Window.partitionBy(station).orderBy(F.col(ts).desc())
+    w = Window.partitionBy(station).orderBy(F.col(ts).desc(), F.col(tie).desc())
     recent = df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= history) \
                .groupBy(station).agg(*[F.avg(F.col(m)).alias(f"avg_{m}") for m in means])
     return totals.join(recent, [station], "left").withColumn("alert_rate", F.coalesce(

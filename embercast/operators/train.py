@@ -3,7 +3,7 @@
 Trees are grown by Spark's distributed learner (per-level histogram jobs on the
 executors); the driver holds only parameter maps, metrics and the model.
 For reproducible forests the input layout is fixed first
-(``repartition(n, key).sortWithinPartitions(key)``): same seed + same layout ->
+(rows spread and sorted by a key that names them): same seed + same layout ->
 same model.
 """
 
@@ -25,10 +25,13 @@ from .. import fixed
 MAX_DEPTH_UNBOUNDED = 30  # Spark's ceiling for maxDepth (31 is rejected)
 
 
-def fixed_layout(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Deterministic row layout so that a seeded forest is reproducible."""
+def fixed_layout(df: DataFrame, keys, partitions: int | None = None) -> DataFrame:
+    """Deterministic row layout so that a seeded forest is reproducible, whatever
+    files the rows come from. ``keys`` must name a row: rows spread by the hash
+    of all of them (no site fills a partition) and are sorted by all of them."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.col(key)).sortWithinPartitions(key)
+    return df.repartition(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
 def forest_pipeline(features, label: str = fixed.TARGET, num_trees: int = 200, max_depth: int | None = None,

@@ -1,5 +1,6 @@
-"""Composite jobs (X1-X6): operator chains as one lazy plan each; only the
-final write (or the model fit) triggers work."""
+"""Composite jobs (X1-X6): operator chains. Statistics that later steps need
+(medians, means, counts) are fitted by small jobs while a chain is built; the
+rest is lazy until the final write or the model fit."""
 
 from __future__ import annotations
 
@@ -40,7 +41,7 @@ def clean_job(raw: DataFrame, cols=VALUES, target: str = fixed.TARGET, validate:
     validation, output), so it is checkpointed once to the shared folder:
     the dedup shuffle and the fill windows run once, and a lost executor
     re-reads the checkpoint instead of recomputing the chain."""
-    d = clean.dedup_first(raw, ("site_id", "date"), "ingest_seq")
+    d = cut_lineage(clean.dedup_first(raw, ("site_id", "date"), "ingest_seq"))  # medians and the fill read it
     f = cut_lineage(clean.fill_three_stage(d, cols, ("site_id",), "date", target))
     flagged = clean.outlier_flags(f, fixed.OUTLIER_FLAG_THRESHOLD, cols, target)
     if validate:
@@ -96,9 +97,10 @@ def train_job(df: DataFrame, features_cols=VALUES, target: str = fixed.TARGET, m
               n_iter: int = 20, folds: int = 4, seed: int = 42, space=None):
     """Split -> balanced weights -> stratified folds -> random search ->
     refit best -> save (S10). Returns (model, leaderboard, test rows)."""
-    s = split.class_weights(split.stratified_split(df, target, ("site_id", "date"), 0.2, seed), target)
-    tr = split.stratified_folds(s.filter(~F.col("is_test")), target, ("site_id", "date"), folds, seed)
-    model, board = train.random_search(train.fixed_layout(tr, "site_id"), features_cols, target, n_iter, folds,
+    # every fold reads the training rows again: split, weights and folds are made once
+    s = cut_lineage(split.class_weights(split.stratified_split(df, target, ("site_id", "date"), 0.2, seed), target))
+    tr = cut_lineage(split.stratified_folds(s.filter(~F.col("is_test")), target, ("site_id", "date"), folds, seed))
+    model, board = train.random_search(train.fixed_layout(tr, ("site_id", "date")), features_cols, target, n_iter, folds,
                                        "fold", "weight", seed, space=space)
     if model_path:
         sinks.save_model(model, model_path)
@@ -109,8 +111,8 @@ def evaluation_job(model, test: DataFrame, target: str = fixed.TARGET, metrics_p
                    report_path: str | None = None):
     """Score the test rows, then metrics (V1/V2), report (V3), confusion
     (A11) and curves; optional JSON / CSV sinks (S7, S9)."""
-    scored = scoring.batch_score(model, test, keep=(target,)).select(
-        F.col(target).alias("y"), F.col("prediction").alias("pred"), F.col("probability_fire").alias("prob"))
+    scored = cut_lineage(scoring.batch_score(model, test, keep=(target,)).select(  # scored once, read by four results
+        F.col(target).alias("y"), F.col("prediction").alias("pred"), F.col("probability_fire").alias("prob")))
     m = curves.metrics(scored, "y", "pred", "prob")
     rep = curves.report(scored, "y", "pred")
     if metrics_path:

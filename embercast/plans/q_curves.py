@@ -87,7 +87,7 @@ select sum(neg * (tps - pos / 2.0)) / (max(P) * max(N)) as roc_auc from c""", ["
 
 # --------------------------------------------------------------------------- V6, V7, V8
 register("pr_points", wrap(with_views("scored", extra=SWEEP) + """
-select score as threshold, tps / (tps + fps) as precision, tps / P as recall from c where tps - pos < P
+select score as threshold, tps / (tps + fps) as precision, tps / P as recall from c
 union all
 select cast(null as double), cast(1 as double), cast(0 as double)""", ["threshold", "precision", "recall"]))(
     lambda spark, d: rounded(curves.pr_points(td.scored(spark, d), "y", "prob")))

@@ -91,7 +91,7 @@ def _train_test(spark, d):
 
 def _example_forest(spark, d):
     tr, te = _train_test(spark, d)
-    model = train.train_forest(train.fixed_layout(tr, "site_id"), VALUES, "incendio", num_trees=100,
+    model = train.train_forest(train.fixed_layout(tr, ("site_id", "date")), VALUES, "incendio", num_trees=100,
                                max_depth=10, weight_col="weight", seed=42)
     return model, te
 
@@ -128,7 +128,7 @@ CHECK_SEARCH_SPACE = {
 def _search(spark, d):
     tr, _ = _train_test(spark, d)
     tr = split.stratified_folds(tr, "incendio", KEYS, 3, 42)
-    _, board = train.random_search(train.fixed_layout(tr, "site_id"), VALUES, "incendio", n_iter=4, folds=3,
+    _, board = train.random_search(train.fixed_layout(tr, ("site_id", "date")), VALUES, "incendio", n_iter=4, folds=3,
                                    fold_col="fold", weight_col="weight", seed=42, parallelism=4,
                                    space=CHECK_SEARCH_SPACE)
     return board
@@ -139,7 +139,7 @@ register("search_leaderboard")(_search)
 
 def _sweep(spark, d):
     tr, te = _train_test(spark, d)
-    board, _ = train.model_sweep(train.fixed_layout(tr, "site_id"), te, VALUES, "incendio", KEYS, "weight", 42)
+    board, _ = train.model_sweep(train.fixed_layout(tr, ("site_id", "date")), te, VALUES, "incendio", KEYS, "weight", 42)
     return board
 
 
@@ -149,7 +149,7 @@ register("model_sweep")(_sweep)
 # --------------------------------------------------------------------------- S11 + Q4 (24-feature scorer)
 def _requests(spark, d):
     rows = td.scoring_rows(spark, d)
-    model = train.train_forest(train.fixed_layout(rows, "site_id"), fixed.SCORING_FEATURES, "incendio",
+    model = train.train_forest(train.fixed_layout(rows, ("site_id", "date")), fixed.SCORING_FEATURES, "incendio",
                                num_trees=20, max_depth=8, seed=42)
     good, bad = files.parse_score_requests(td.score_request_bodies(spark, d), "body", "request_id")
     scored = scoring.score_requests(model, good, "RandomForestClassifier")

@@ -101,10 +101,10 @@ tot as (select station_id, count(*) as total_readings, cast(count_if(alert) as b
           (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as uptime_seconds from readings group by 1),
 rec as (select station_id, avg(temperatura) as avg_temperatura, avg(humedad) as avg_humedad,
           avg(velocidad_viento) as avg_velocidad_viento
-        from (select *, row_number() over (partition by station_id order by ts desc) as rk from readings) r
-        where rk <= 100 group by 1)
+        from (select *, row_number() over (partition by station_id order by ts desc, event_id desc) as rk from readings) r
+        where rk <= 20 group by 1)
 select tot.*, rec.avg_temperatura, rec.avg_humedad, rec.avg_velocidad_viento,
   coalesce(cast(total_alerts as double) / nullif(total_readings, 0), 0) as alert_rate
 from tot left join rec on tot.station_id = rec.station_id""",
     ["uptime_seconds", "avg_temperatura", "avg_humedad", "avg_velocidad_viento", "alert_rate"]))(
-    lambda spark, d: rounded(stats.monitor_stats(readings(spark, d), "station_id", "ts", "alert")))
+    lambda spark, d: rounded(stats.monitor_stats(readings(spark, d), "station_id", "ts", "alert", history=20)))

@@ -4,12 +4,14 @@ back. Batch = stream: the oracles are the batch equivalents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators import train
-from ..session import table
+from ..session import checkpoint_path, table
 from ..sources import testdata as td
 from ..streaming import monitor as m
 from .catalog import register, rounded, wrap
@@ -37,7 +39,7 @@ def _scored_stream(spark, d):
 # --------------------------------------------------------------------------- R1 (forest on the stream)
 def _stream_scores(spark, d):
     batch = m.to_readings(table(spark, d, "events"))
-    model = train.train_forest(train.fixed_layout(batch, "station_id"),
+    model = train.train_forest(train.fixed_layout(batch, ("station_id", "event_id")),
                                ["temperatura", "humedad", "velocidad_viento"], "y",
                                num_trees=10, max_depth=5, seed=42)
     ev = _events_stream(spark, d)
@@ -57,20 +59,41 @@ where probability_fire > 0.7 and prediction = 1""", ["probability_fire"]))(
 
 
 # --------------------------------------------------------------------------- R3
+LAST_N = 20
+
+
+def _landed_late(spark, d):
+    """The readings as two landed files: the later half of the events first, late rows second."""
+    ev = table(spark, d, "events")
+    folder = checkpoint_path(spark, f"late-{uuid.uuid4().hex}")
+    middle = ev.agg(F.percentile_approx(F.col("ts").cast("timestamp"), 0.5)).first()[0]
+    for late in (False, True):
+        half = (F.col("ts").cast("timestamp") < F.lit(middle)) if late else (F.col("ts").cast("timestamp") >= F.lit(middle))
+        ev.filter(half).coalesce(1).write.mode("append").parquet(folder)
+    return m.landed_stream(spark, folder, ev.schema, max_files=1)
+
+
+def _gaps(r):
+    """Every 7th reading without a temperature."""
+    return r.withColumn("temperatura", F.when(F.col("event_id") % 7 != 0, F.col("temperatura")))
+
+
 def _stream_last100(spark, d):
-    out = m.run_available_now(m.last_n_stream(_scored_stream(spark, d), 100), "stream_last100")
-    rows = spark.read.parquet(out)
-    w = Window.partitionBy("station_id").orderBy(F.desc("total_readings"))
-    return rows.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "last_ts")
+    readings = _gaps(td.scored_readings(_landed_late(spark, d)))
+    rows = spark.read.parquet(m.run_available_now(m.last_n_stream(readings, LAST_N), "stream_last100"))
+    # one row per station and micro-batch: the one with the most readings is the newest
+    return rows.groupBy("station_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("station_id", "last_ts")]),
+                                                   "total_readings").alias("r")).select("station_id", "r.*")
 
 
 register("stream_last100", wrap("with " + READINGS.strip() + """,
 tot as (select station_id, count(*) as total_readings,
           (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as uptime_seconds from readings group by 1),
-rec as (select station_id, count(*) as retained, avg(temperatura) as avg_temperatura, avg(humedad) as avg_humedad,
+rec as (select station_id, count(*) as retained,
+          avg(case when event_id % 7 <> 0 then temperatura end) as avg_temperatura, avg(humedad) as avg_humedad,
           avg(velocidad_viento) as avg_velocidad_viento
         from (select *, row_number() over (partition by station_id order by ts desc, event_id desc) as rk
-              from readings) r where rk <= 100 group by 1)
+              from readings) r where rk <= 20 group by 1)
 select tot.station_id, total_readings, retained, avg_temperatura, avg_humedad, avg_velocidad_viento, uptime_seconds
 from tot join rec on tot.station_id = rec.station_id""",
     ["avg_temperatura", "avg_humedad", "avg_velocidad_viento", "uptime_seconds"]))(

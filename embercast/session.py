@@ -63,11 +63,14 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> d
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) do we create one under /tmp and
-    record it in the conf, so that later lookups see the same folder.
+    Only a local session (tests) that has none gets one under /tmp, recorded in
+    the conf so that later lookups see the same folder. On a cluster executors
+    would not share such a folder, so there an unset conf is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="embercast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext

@@ -33,9 +33,24 @@ HOTSPOT = T.StructType([
 
 # --------------------------------------------------------------------------- S1, S5
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """CSV with header and a declared schema -> (rows, rejects). Empty fields
+    are NULL; a line with a field that its type can't hold, or with too many or
+    too few fields, goes to the rejects whole, as text in ``line``."""
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    raw = spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    rows = nan_to_null(raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    rejects = raw.filter(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "line")  # beside the fields that did parse
+    return rows, rejects
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with header and a declared schema; empty fields are NULL."""
-    return nan_to_null(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path))
+    """S1 without a rejects frame: a malformed line is an error, never a silent NULL."""
+    return nan_to_null(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path))
 
 
 def read_hotspots_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -88,46 +103,56 @@ def flatten_daily(df: DataFrame, body: str = "body", keys=("site_id",), rename=N
 
 # --------------------------------------------------------------------------- S11
 
+def route_requests(df: DataFrame, body: str = "body", request_id: str = "request_id", features=None) -> DataFrame:
+    """S11 in one scan: ``{"data": [[numbers], ...]}`` or ``{"data": [{name: value}, ...]}``.
+
+    One row for each row that a request sent (or one for a request without
+    rows): (request_id, row_idx, values, reason). ``reason`` is NULL and
+    ``values`` holds the features in order when the row is accepted; else
+    ``reason`` says why not, so accepted and rejected rows add up to those sent.
+    Positional and named rows may be mixed in a request. A number in quotes
+    counts as a number; names beyond the features are ignored."""
+    features = list(features or fixed.SCORING_FEATURES)
+    n = len(features)
+    raw = F.get_json_object(F.col(body), "$.data")
+    rows = df.select(F.col(request_id), raw.alias("_raw"),
+                     F.from_json(F.col(body), "data array<string>")["data"].alias("_data"))
+    rows = rows.select(request_id, "_raw", F.size("_data").alias("_size"), F.posexplode_outer("_data").alias("row_idx", "_row"))
+    text = F.ltrim(F.col("_row"))
+    kind = F.when(text.startswith("["), "list").when(text.startswith("{"), "names")
+    listed, named = F.from_json("_row", "array<string>"), F.from_json("_row", "map<string,string>")
+    names = F.array(*[F.lit(f) for f in features])
+    parsed = rows.withColumn("_kind", kind).withColumn("_list", F.when(F.col("_kind") == "list", listed)) \
+        .withColumn("_names", F.when(F.col("_kind") == "names", named))
+    have = F.forall(names, lambda k: F.map_contains_key(F.col("_names"), k))
+    texts = F.when(F.col("_kind") == "list", F.col("_list")) \
+        .when(F.col("_kind") == "names", F.transform(names, lambda k: F.try_element_at(F.col("_names"), k)))
+    parsed = parsed.withColumn("_texts", texts).withColumn(
+        "values", F.transform("_texts", lambda x: x.try_cast("double")))
+    reason = (
+        F.when(F.col("_raw").isNull(), "missing data")
+        .when(F.col("_size").isNull() | (F.col("_size") < 0), "data is not a list")
+        .when(F.col("_size") == 0, "empty data")
+        .when(F.col("_row").isNull(), "row is null")
+        .when(F.col("_kind").isNull(), "row is not a list or an object")
+        .when((F.col("_kind") == "list") & F.coalesce(F.size("_list") != n, F.lit(True)),
+              F.format_string("expected %d values, got %d", F.lit(n), F.coalesce(F.size("_list"), F.lit(0))))
+        .when((F.col("_kind") == "names") & ~F.coalesce(have, F.lit(False)), "missing columns")
+        .when(F.exists("_texts", lambda x: x.isNull()), "null value")
+        .when(F.exists("values", lambda x: x.isNull() | F.isnan(x)), "value is not a number"))
+    return parsed.withColumn("reason", reason).select(
+        request_id, "row_idx", F.when(F.col("reason").isNull(), F.col("values")).alias("values"), "reason")
+
+
 def parse_score_requests(df: DataFrame, body: str = "body", request_id: str = "request_id",
                          features=None) -> tuple[DataFrame, DataFrame]:
-    """``{"data": [[24 numbers], ...]}`` or ``{"data": [{name: value}, ...]}``.
-
-    Returns (rows, quarantine). Rows carry (request_id, row_idx, features...).
-    A request without ``data``, an empty list, a row whose length or names do
-    not match, or a row holding a NULL value goes to quarantine with a reason;
-    every row is checked, not only the first."""
+    """S11 as two frames: accepted rows (request_id, row_idx, features...) and the
+    quarantine (request_id, row_idx, reason). Both come from ``route_requests``."""
     features = list(features or fixed.SCORING_FEATURES)
-    pos_schema = T.StructType([T.StructField("data", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    named_schema = T.StructType([T.StructField("data", T.ArrayType(T.MapType(T.StringType(), T.DoubleType())))])
-    p = df.select(F.col(request_id), F.from_json(F.col(body), pos_schema).alias("_p"),
-                  F.from_json(F.col(body), named_schema).alias("_n"),
-                  F.get_json_object(F.col(body), "$.data").alias("_raw"))
-    is_named = F.col("_raw").startswith("[{")
-    pos = p.filter(~is_named & (F.size("_p.data") > 0)).select(
-        request_id, F.posexplode("_p.data").alias("row_idx", "_row"))
-    pos_ok = F.size("_row") == len(features)
-    pos_rows = pos.filter(pos_ok).select(
-        request_id, "row_idx", *[F.try_element_at("_row", F.lit(i + 1)).alias(f) for i, f in enumerate(features)])
-    named = p.filter(is_named & (F.size("_n.data") > 0)).select(
-        request_id, F.posexplode("_n.data").alias("row_idx", "_row"))
-    have_all = F.forall(F.array(*[F.lit(f) for f in features]), lambda k: F.map_contains_key("_row", k))
-    named_rows = named.filter(have_all).select(
-        request_id, "row_idx", *[F.col("_row")[f].alias(f) for f in features])
-    both = pos_rows.unionByName(named_rows)
-    any_null = F.lit(False)
-    for f in features:
-        any_null = any_null | F.col(f).isNull()
-    rows = both.filter(~any_null)
-    bad_null = both.filter(any_null).select(request_id, "row_idx", F.lit("null value").alias("reason"))
-    bad_req = p.filter(F.col("_raw").isNull() | (F.coalesce(F.size("_p.data"), F.size("_n.data")) <= 0)).select(
-        request_id, F.lit(None).cast("int").alias("row_idx"),
-        F.when(F.col("_raw").isNull(), F.lit("missing data")).otherwise(F.lit("empty data")).alias("reason"))
-    bad_pos = pos.filter(~pos_ok).select(
-        request_id, "row_idx", F.format_string("expected %d values, got %d", F.lit(len(features)),
-                                               F.size("_row")).alias("reason"))
-    bad_named = named.filter(~have_all).select(
-        request_id, "row_idx", F.lit("missing columns").alias("reason"))
-    return rows, bad_req.unionByName(bad_pos).unionByName(bad_named).unionByName(bad_null)
+    routed = route_requests(df, body, request_id, features)
+    rows = routed.filter(F.col("reason").isNull()).select(
+        request_id, "row_idx", *[F.col("values")[i].alias(f) for i, f in enumerate(features)])
+    return rows, routed.filter(F.col("reason").isNotNull()).select(request_id, "row_idx", "reason")
 
 
 def require_columns(df: DataFrame, features=None) -> DataFrame:

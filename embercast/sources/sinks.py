@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, partition_by=("date",), fmt: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, partition_by=("date",), fmt: str = "parquet",
+                files_per_partition: int = 1) -> None:
     """Partitioned write with dynamic partition overwrite: re-running a day
-    replaces only that day's folder (idempotent daily load)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode("overwrite").format(fmt)
+    replaces only that day's folder (idempotent daily load). Rows are brought
+    together by folder first, so a folder gets at most ``files_per_partition``
+    files whatever the number of tasks (raise it for folders of many GB)."""
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
+    w = df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

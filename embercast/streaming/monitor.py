@@ -94,13 +94,16 @@ def alert_stream(scored: DataFrame, threshold: float = fixed.ALERT_THRESHOLD) ->
 
 # --------------------------------------------------------------------------- R3
 
+_KEPT = ["ts", "event_id", "temperatura", "humedad", "velocidad_viento"]
 _STATE = T.StructType([
     T.StructField("ts", T.ArrayType(T.TimestampType())),
+    T.StructField("event_id", T.ArrayType(T.LongType())),
     T.StructField("temperatura", T.ArrayType(T.DoubleType())),
     T.StructField("humedad", T.ArrayType(T.DoubleType())),
     T.StructField("velocidad_viento", T.ArrayType(T.DoubleType())),
     T.StructField("total", T.LongType()),
     T.StructField("first_ts", T.TimestampType()),
+    T.StructField("last_ts", T.TimestampType()),
 ])
 LAST_N_OUT = ("station_id long, total_readings long, retained long, avg_temperatura double, "
               "avg_humedad double, avg_velocidad_viento double, last_ts timestamp, uptime_seconds double")
@@ -108,37 +111,38 @@ LAST_N_OUT = ("station_id long, total_readings long, retained long, avg_temperat
 
 def _last_n_fn(n: int):
     def fn(key, pdfs, state):
+        held, total, first, last = None, 0, None, None
         if state.exists:
-            ts, t, h, w, total, first = state.get
-            ts, t, h, w = list(ts), list(t), list(h), list(w)
-        else:
-            ts, t, h, w, total, first = [], [], [], [], 0, None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])  # event-time order inside the batch
-            ts += list(pdf["ts"])
-            t += list(pdf["temperatura"])
-            h += list(pdf["humedad"])
-            w += list(pdf["velocidad_viento"])
+            *columns, total, first, last = state.get
+            held = pd.DataFrame({c: list(v) for c, v in zip(_KEPT, columns)})
+        for pdf in pdfs:  # Arrow chunks in any order: state and chunk are merged, the latest n by event time stay
+            part = pdf[_KEPT] if held is None else pd.concat([held, pdf[_KEPT]], ignore_index=True)
+            held = part.sort_values(["ts", "event_id"], na_position="first").tail(n)
             total += len(pdf)
-            ts, t, h, w = ts[-n:], t[-n:], h[-n:], w[-n:]  # the state never holds more than n readings
-            m = pdf["ts"].min()
-            first = m if first is None or m < first else first
-        state.update((ts, t, h, w, total, first))
-        last = max(ts)
-        yield pd.DataFrame({
-            "station_id": [key[0]], "total_readings": [total], "retained": [len(ts)],
-            "avg_temperatura": [sum(t) / len(t)], "avg_humedad": [sum(h) / len(h)],
-            "avg_velocidad_viento": [sum(w) / len(w)], "last_ts": [last],
-            "uptime_seconds": [(pd.Timestamp(last) - pd.Timestamp(first)).total_seconds()],
-        })
+            times = pdf["ts"].dropna()
+            if len(times):
+                first = times.min() if first is None else min(pd.Timestamp(first), times.min())
+                last = times.max() if last is None else max(pd.Timestamp(last), times.max())
+
+        def listed(c):
+            return [None if pd.isna(x) else x for x in held[c]]
+
+        state.update((listed("ts"), [None if pd.isna(x) else int(x) for x in held["event_id"]], listed("temperatura"),
+                      listed("humedad"), listed("velocidad_viento"), total, first, last))
+        span = None if first is None else (pd.Timestamp(last) - pd.Timestamp(first)).total_seconds()
+        means = {f"avg_{c}": [None if held[c].isna().all() else float(held[c].mean())] for c in _KEPT[2:]}  # NULLs skipped
+        yield pd.DataFrame({"station_id": [key[0]], "total_readings": [total], "retained": [len(held)], **means,
+                            "last_ts": [last], "uptime_seconds": [span]})
     return fn
 
 
 def last_n_stream(readings: DataFrame, n: int = fixed.MONITOR_HISTORY) -> DataFrame:
-    """Per station, the last ``n`` readings kept in state (bounded: n per
-    station) with their means, plus totals. Update mode: one row per station
-    and micro-batch (appended; the latest row per station is its current state).
-    Arrival order is made event-time order inside a batch."""
+    """Per station, the last ``n`` readings by (event time, event_id) kept in
+    state (bounded: n per station) with their means (NULL readings skipped),
+    plus totals, first and last time. One row per station and micro-batch; the
+    row with the most readings is the station's current state. Late rows land
+    where their event time says. A micro-batch brings a station's own rows to
+    one task, so bound it with ``landed_stream(max_files=...)``."""
     return readings.groupBy("station_id").applyInPandasWithState(
         _last_n_fn(n), outputStructType=LAST_N_OUT, stateStructType=_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)

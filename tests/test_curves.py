@@ -64,11 +64,12 @@ def test_roc_drops_collinear_points(spark):
     assert pts == [(1.9, 0.0, 0.0), (0.9, 0.0, 1 / 3), (0.7, 0.0, 1.0), (0.5, 1.0, 1.0)]
 
 
-def test_pr_points_stop_at_full_recall(spark):
+def test_pr_points_go_down_to_the_lowest_score(spark):
     ys, ps = [1, 0, 1, 0, 0], [0.9, 0.8, 0.7, 0.2, 0.1]
     pts = sorted(((r.threshold, r.precision, r.recall) for r in curves.pr_points(_df(spark, ys, ps)).collect()),
                  key=lambda x: (x[0] is None, -(x[0] or 0)))
-    assert pts == [(0.9, 1.0, 0.5), (0.8, 0.5, 0.5), (0.7, 2 / 3, 1.0), (None, 1.0, 0.0)]
+    assert pts == [(0.9, 1.0, 0.5), (0.8, 0.5, 0.5), (0.7, 2 / 3, 1.0), (0.2, 0.5, 1.0), (0.1, 0.4, 1.0),
+                   (None, 1.0, 0.0)]
 
 
 def test_confusion_full_grid_and_metrics(spark):

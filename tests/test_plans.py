@@ -40,7 +40,7 @@ def test_bbox_filter_reaches_parquet_scan(spark):
 
 
 def test_last_n_limits_before_shuffle(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("station_id"), F.col("id").cast("timestamp").alias("ts"),
+    df = spark.range(1000).select((F.col("id") % 3).alias("station_id"), F.col("id").alias("event_id"), F.col("id").cast("timestamp").alias("ts"),
                                   (F.col("id") % 2 == 0).alias("alert"), F.col("id").cast("double").alias("temperatura"),
                                   F.lit(1.0).alias("humedad"), F.lit(2.0).alias("velocidad_viento"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -70,7 +70,7 @@ def test_dedup_combines_before_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     below = p[p.index("Exchange"):]
-    assert "partial_min_by" in below
+    assert "partial_min" in below
     out = clean.dedup_first(df, ("site_id", "date"), "ingest_seq").filter("site_id = 0").first()
     assert out.ingest_seq == 0
 
