@@ -87,6 +87,16 @@ def segments(units: Units, window: int, run: int) -> Segments:
     return Segments(row, start, np.minimum(following, first[row + 1] - window + 1) - start, mix(m[start]))
 
 
+def rivals(x: np.ndarray) -> np.ndarray:
+    """How often each value stands in x."""
+    order = np.argsort(x)
+    ends = np.append(np.flatnonzero(x[order][1:] != x[order][:-1]), len(x) - 1)
+    out = np.empty(len(x), np.int64)
+    size = np.diff(ends, prepend=-1)
+    out[order] = np.repeat(size, size)
+    return out
+
+
 def packed(*parts) -> bytes:
     return zstandard.compress(pickle.dumps(parts, pickle.HIGHEST_PROTOCOL), 1)
 
@@ -212,10 +222,9 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in gathered(batches).items():
             own = [np.frombuffer(r["anchors"], "<u4") for r in rows]
-            several = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(a)).astype(bool) for r, a in zip(rows, own, strict=True)]
-            values, counts = np.unique(np.concatenate(own + [a[m] for a, m in zip(own, several, strict=True)]), return_counts=True)
-            values = values[counts > 1]
-            bits = [np.packbits(np.isin(a, values)).tobytes() for a in own]
+            several = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(a)) for r, a in zip(rows, own, strict=True)]
+            found = (rivals(np.concatenate(own)) > 1) | np.concatenate(several).astype(bool)
+            bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum([len(a) for a in own])[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array(bits, pa.binary())], names=["_chunk", "shard", "bits"])
 
     def send(table: pa.Table, known: pa.Table) -> pa.Table:

@@ -65,10 +65,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -88,14 +89,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """c with which ``span_hash`` gives the hash of any span of ``data``."""
     c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=c[1:])
-    return c
+    np.add(data, np.uint64(1), out=c[1:], casting="unsafe")
+    c[1:] *= powers(len(data))[0]
+    return np.cumsum(c, out=c)
 
 
 def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * powers(len(c))[1][start] + (end - start).astype(np.uint64))
 
 
+def run_hash(c: np.ndarray, run: int) -> np.ndarray:
+    """``span_hash`` of every span of ``run`` places."""
+    n = max(0, len(c) - run)
+    h = c[run:] - c[:n]
+    h *= powers(len(c))[1][:n]
+    h += np.uint64(run)
+    return mix(h)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row its first word's number (one more at the end)."""
     n = len(data)

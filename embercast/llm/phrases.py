@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from embercast.llm.anchors import Chunk, Units, find
+from embercast.llm.anchors import Chunk, Units, find, rivals
 from embercast.llm.arrays import mix, prefix_hash, span_hash
 
 #: Windows in one automaton's part of a shard, about.
@@ -79,13 +79,25 @@ def earlier_windows(window: int):
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids = (np.concatenate([c[k] for c in chunks]) for k in (0, 1, 2))
         contents = [t for c in chunks for t in c[4]]
-        parts = max(1, -(-int(windows.sum()) // PART_WINDOWS))
-        marks: list[np.ndarray | None] = [None] * len(contents)
-        part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
+        known: dict[bytes, int] = {}
+        kind = np.fromiter((known.setdefault(t, len(known)) for t in contents), np.int64, len(contents))
+        if not len(kind):
+            return [np.zeros(0, bool) for _ in chunks]
+        # equal texts are streamed once, with their smallest id, and only beside another text of their anchor
+        order = np.lexsort((ids, kind))
+        first = order[np.append(True, np.diff(kind[order]) > 0)]
+        texts = list(known)
+        alone = rivals(anchors[first]) == 1
+        parts = max(1, -(-int(windows[first][~alone].sum()) // PART_WINDOWS))
+        part_of = np.where(alone, parts, mix(anchors[first].astype(np.uint64)) % np.uint64(parts))
+        own_marks: list[np.ndarray] = [np.zeros(n, bool) for n in windows[first].tolist()]
         for p in range(parts):  # equal windows have equal anchors, and so meet in one part
             mine = np.flatnonzero(part_of == p)
-            for i, m in zip(mine.tolist(), in_part(windows[mine], ids[mine], [contents[i] for i in mine.tolist()]), strict=True):
-                marks[i] = m
+            f = first[mine]
+            for i, m in zip(mine.tolist(), in_part(windows[f], ids[f], [texts[i] for i in mine.tolist()]), strict=True):
+                own_marks[i] = m
+        again = (ids != ids[first[kind]]).tolist()  # the text stands in a smaller document as a whole
+        marks = [np.ones(n, bool) if later else own_marks[k] for n, later, k in zip(windows.tolist(), again, kind.tolist(), strict=True)]
         out, at = [], 0
         for c in chunks:
             own = marks[at:at + len(c[4])]

@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from embercast.llm.anchors import Chunk, Units, find
-from embercast.llm.arrays import mix, prefix_hash, span_hash, work_folder
+from embercast.llm.anchors import Chunk, Units, find, rivals
+from embercast.llm.arrays import mix, prefix_hash, run_hash, span_hash, work_folder
 from embercast.llm.token_files import store
 
 #: Entries of the queue that stay in memory, and bytes of text that are sorted at a time.
-QUEUE_ENTRIES, PART_BYTES = 4 << 20, 12 << 20
+QUEUE_ENTRIES, PART_BYTES = 4 << 20, 3 << 20
 
 
 class SuffixQueue:
@@ -250,8 +250,7 @@ def byte_units(run: int):
     def units(texts: list[bytes]) -> Units:
         data = np.frombuffer(b"".join(texts), np.uint8)
         first = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
-        at = np.arange(max(0, len(data) - run + 1))
-        return Units(data, first, None, None, span_hash(prefix_hash(data), at, at + run))
+        return Units(data, first, None, None, run_hash(prefix_hash(data), run))
 
     return units
 
@@ -291,13 +290,15 @@ def earlier_windows(window: int, folder: str | None):
         kind = np.fromiter((known.setdefault(t, len(known)) for t in contents), np.int64, len(contents))
         if not len(kind):
             return [np.zeros(0, bool) for _ in chunks]
-        # equal segments enter the sort once, with their earliest place
+        # equal segments enter the sort once, with their earliest place, and only beside another segment of their anchor
         order = np.lexsort((starts, ids, kind))
         first = order[np.append(True, np.diff(kind[order]) > 0)]
         texts = list(known)
-        parts = max(1, -(-sum(map(len, texts)) // PART_BYTES))
-        part_of = mix(anchors[first].astype(np.uint64)) % np.uint64(parts)
-        marks: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
+        alone = rivals(anchors[first]) == 1
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        parts = max(1, -(-int(size[~alone].sum()) // PART_BYTES))
+        part_of = np.where(alone, parts, mix(anchors[first].astype(np.uint64)) % np.uint64(parts))
+        marks: list[np.ndarray] = [np.zeros(n, bool) for n in windows[first].tolist()]
         for p in range(parts):  # equal windows have equal anchors, and so meet in one part
             mine = np.flatnonzero(part_of == p)
             if len(mine):
