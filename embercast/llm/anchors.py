@@ -30,9 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embercast.llm.arrays import mix, schema_with
+from embercast.llm.arrays import give_back, mix, schema_with
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 @dataclass
@@ -254,6 +254,7 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
                 [pa.array([r["_chunk"] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([r["bits"] for r in rows], pa.binary()), pa.array(found, pa.binary())],
                 names=["_chunk", "shard", "bits", "found"],
             )
+        give_back()
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         c, rows = made(table), known.to_pylist()

@@ -84,7 +84,7 @@ def chunk_logits(net: Network, x: np.ndarray) -> np.ndarray:
     return h @ net.weights[:-1] + repetition(x) * net.weights[-1] + net.bias[0]
 
 
-def scores(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 2048) -> np.ndarray:
+def scores(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
     """One probability for each row; ``most`` chunks are worked on at a time."""
     x, rows = chunks(data, offsets)
     z = np.concatenate([chunk_logits(net, x[i:i + most]) for i in range(0, len(x), most)]) if len(x) else np.zeros(0)
@@ -173,7 +173,7 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -
     rows get equal scores; a column called ``out`` is replaced, others stay.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text):
             yield with_columns(batch, **{out: pa.array(scores(net, *utf8(batch.column(text))), pa.float64())})
 
     return df.mapInArrow(run, schema_with(df, {out: "double"}))
