@@ -12,10 +12,13 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassifier)
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,3 +191,13 @@ def binary_auc_evaluator(label: str = fixed.TARGET) -> BinaryClassificationEvalu
     the exact figure is ``curves.roc_auc``."""
     return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
 
+
+
+def fixed_logistic(spark: SparkSession, features, coefficients, intercept: float) -> PipelineModel:
+    """A logistic scorer with given coefficients (published or fitted elsewhere):
+    P(1) = 1 / (1 + exp(-(intercept + sum(coefficient * feature))))."""
+    sc = spark.sparkContext
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        "fixed_logistic", _py2java(sc, Vectors.dense(list(coefficients))), float(intercept))
+    return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),
+                          LogisticRegressionModel(java)])
