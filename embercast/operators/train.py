@@ -141,47 +141,45 @@ def model_sweep(train: DataFrame, test: DataFrame, features, label: str = fixed.
     soft-vote ensemble (mean probability). With ``fold_col`` the leaderboard
     also carries each model's mean cross-validated AUC (one CrossValidator
     whose candidates swap the pipeline's learner stage). Returns (leaderboard, votes)."""
+    from ..session import cut_lineage
     from .curves import roc_auc
 
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_raw")
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-    learners = {
-        "logistic_regression": LogisticRegression(featuresCol="features", labelCol=label, maxIter=50),
-        "random_forest": RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=50,
-                                                maxDepth=8, seed=seed),
-        "gradient_boosted_trees": GBTClassifier(featuresCol="features", labelCol=label, maxIter=20,
-                                                maxDepth=4, seed=seed),
-    }
-    if weight_col:
-        for m in learners.values():
-            m.setWeightCol(weight_col)
-    probs = None
-    boards = []
-    keys = list(keys)  # stable row identity for joining the per-model probabilities
-    t = test
-    for name, est in learners.items():
-        m = Pipeline(stages=[assembler, scaler, est]).fit(train)
-        p = m.transform(t).select(*keys, F.col(label).alias("y"),
-                                  vector_to_array("probability")[1].alias(f"p_{name}"))
-        auc = roc_auc(p, "y", f"p_{name}").select(F.lit(name).alias("model"), F.col("roc_auc"))
-        boards.append(auc)
-        probs = p if probs is None else probs.join(p.drop("y"), keys)
-    names = [f"p_{n}" for n in learners]
-    votes = probs.withColumn("p_vote", sum(F.col(n) for n in names) / len(names))
-    boards.append(roc_auc(votes, "y", "p_vote").select(F.lit("soft_vote").alias("model"), F.col("roc_auc")))
-    board = boards[0]
-    for b in boards[1:]:
-        board = board.unionByName(b)
+    def learners(own: bool) -> dict:
+        """own: every learner writes columns of its own, so that one chain of transforms holds them all."""
+        made = {
+            "logistic_regression": LogisticRegression(labelCol=label, maxIter=50),
+            "random_forest": RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=8, seed=seed),
+            "gradient_boosted_trees": GBTClassifier(labelCol=label, maxIter=20, maxDepth=4, seed=seed),
+        }
+        for name, m in made.items():
+            if own:
+                m.setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}").setPredictionCol(f"_c_{name}")
+            if weight_col:
+                m.setWeightCol(weight_col)
+        return made
+
+    prepare = Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]).fit(train)
+    ready, out = prepare.transform(train), prepare.transform(test)
+    for est in learners(True).values():
+        out = est.fit(ready).transform(out)
+    names = [f"p_{n}" for n in learners(True)]
+    votes = out.select(*keys, F.col(label).alias("y"), *[vector_to_array("_" + n)[1].alias(n) for n in names])
+    votes = cut_lineage(votes.withColumn("p_vote", sum(F.col(n) for n in names) / len(names)))
+    board = None
+    for n in [*names, "p_vote"]:
+        one = roc_auc(votes, "y", n).select(F.lit("soft_vote" if n == "p_vote" else n[2:]).alias("model"), "roc_auc")
+        board = one if board is None else board.unionByName(one)
     if fold_col:
-        pipe = Pipeline(stages=[assembler, scaler, learners["logistic_regression"]])
-        grid = [{pipe.stages: [assembler, scaler, est]} for est in learners.values()]
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol=fold_col,
+        ests = learners(False)
+        cv = CrossValidator(estimator=Pipeline(stages=[next(iter(ests.values()))]), numFolds=folds, foldCol=fold_col,
+                            estimatorParamMaps=[{Pipeline.stages: [est]} for est in ests.values()],
                             evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                            parallelism=len(grid), seed=seed)
-        cvm = cv.fit(train)
-        spark = train.sparkSession
-        cv_auc = spark.createDataFrame([(n, float(m)) for n, m in zip(learners, cvm.avgMetrics)],
-                                       "model string, cv_auc double")
+                            parallelism=len(ests), seed=seed)
+        cv.setEstimatorParamMaps([{cv.getEstimator().stages: [est]} for est in ests.values()])
+        cv_auc = train.sparkSession.createDataFrame(
+            [(n, float(m)) for n, m in zip(ests, cv.fit(ready).avgMetrics)], "model string, cv_auc double")
         board = board.join(cv_auc, ["model"], "left")
     return board, votes
 

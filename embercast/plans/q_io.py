@@ -128,11 +128,11 @@ def _sensor_calendar(spark, d):
 
 
 # --------------------------------------------------------------------------- O2, S10, Q2 + S8, Q3, S7, S9
-register("importance_top5")(lambda spark, d: train.feature_importance(q_models._example_forest(spark, d)[0], top=5))
+register("importance_top5")(lambda spark, d: train.feature_importance(q_models._saved_forest(spark, d)[0], top=5))
 
 
 def _model_roundtrip(spark, d):
-    model, te = q_models._example_forest(spark, d)
+    model, te = q_models._saved_forest(spark, d)
     path = _scratch(spark, "model")
     sinks.save_model(model, path)
     loaded = sinks.load_model(path)
@@ -143,7 +143,7 @@ register("model_roundtrip")(_model_roundtrip)
 
 
 def _history(spark, d):
-    model, te = q_models._example_forest(spark, d)
+    model, te = q_models._saved_forest(spark, d)
     path = _scratch(spark, "history")
     sinks.append_predictions(scoring.score_with_details(model, te, keep=("site_id", "date")), path)
     sinks.append_predictions(scoring.score_with_details(model, te, keep=("site_id", "date")), path)  # 2nd call
@@ -153,7 +153,7 @@ def _history(spark, d):
 
 register("prediction_history")(_history)
 def _proba(spark, d):
-    model, te = q_models._example_forest(spark, d)
+    model, te = q_models._saved_forest(spark, d)
     return scoring.predict_proba(model, te, keep=("site_id", "date"))
 
 
@@ -161,8 +161,9 @@ register("predict_proba")(_proba)
 
 
 def _report_sinks(spark, d):
-    scored = q_models._rf_batch(spark, d).select(F.col("incendio").alias("y"), F.col("prediction").alias("pred"),
-                                                 F.col("probability_fire").alias("prob"))
+    model, te = q_models._saved_forest(spark, d)
+    scored = scoring.batch_score(model, te, keep=("incendio",)).select(
+        F.col("incendio").alias("y"), F.col("prediction").alias("pred"), F.col("probability_fire").alias("prob"))
     from ..operators import curves
     base = _scratch(spark, "eval")
     sinks.write_metrics_json(curves.metrics(scored, "y", "pred", "prob"), base + "/metrics")
