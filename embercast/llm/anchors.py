@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embercast.llm.arrays import give_back, mix, schema_with
+from embercast.llm.arrays import mix, schema_with, tidy
 
 CHUNK_BYTES = 2 << 20
 
@@ -247,14 +247,13 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
         return pa.table({name: pa.array(x, kinds[name]) for name, x in out.items()})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = tidy(lambda rows: [np.packbits(m).tobytes() for m in in_shard([unpacked(r.pop("data")) for r in rows])])
         for shard, rows in gathered(batches).items():
-            marks = in_shard([unpacked(r.pop("data")) for r in rows])
-            found = [np.packbits(m).tobytes() for m in marks]
+            found = marked(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["_chunk"] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([r["bits"] for r in rows], pa.binary()), pa.array(found, pa.binary())],
                 names=["_chunk", "shard", "bits", "found"],
             )
-        give_back()
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         c, rows = made(table), known.to_pylist()
@@ -265,8 +264,8 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
         return pa.table([columns[x] if x in columns else keep.column(x) for x in names], names=names)
 
     result = schema_with(docs.drop("_chunk"), added)
-    reports = docs.groupBy("_chunk").applyInArrow(report, "_chunk long, shard long, anchors binary, bits binary")
+    reports = docs.groupBy("_chunk").applyInArrow(tidy(report), "_chunk long, shard long, anchors binary, bits binary")
     first_answers = reports.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(recur, answer)
-    sent = docs.groupBy("_chunk").cogroup(first_answers.groupBy("_chunk")).applyInArrow(send, answer + ", data binary")
+    sent = docs.groupBy("_chunk").cogroup(first_answers.groupBy("_chunk")).applyInArrow(tidy(send), answer + ", data binary")
     second = sent.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(match, answer + ", found binary")
-    return docs.groupBy("_chunk").cogroup(second.groupBy("_chunk")).applyInArrow(remove, result)
+    return docs.groupBy("_chunk").cogroup(second.groupBy("_chunk")).applyInArrow(tidy(remove), result)

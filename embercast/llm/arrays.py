@@ -59,6 +59,23 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(work):
+    """``work`` on one group, with its memory given back afterwards."""
+    def one(table):
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    def two(left, right):
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return two if work.__code__.co_argcount == 2 else one
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` text bytes (a longer text stands alone)."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embercast.llm.arrays import LOWER, mix, prefix_hash, schema_with, slices, span_hash, text_or_empty, utf8, with_columns, words, written
+from embercast.llm.arrays import LOWER, mix, prefix_hash, schema_with, slices, span_hash, text_or_empty, tidy, utf8, with_columns, words, written
 from embercast.llm.components import components
 
 COORDINATES, BAND = 128, 4
@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     all_blocks = F.sequence(F.lit(0), F.col("r.role.blocks") - 1)
     one_block = F.array(F.pmod(F.xxhash64("node"), F.col("r.role.blocks")).cast("int"))
     held = held.select("node", "set", F.col("r.role.pivot").alias("pivot"), F.explode(F.when(F.col("r.itself"), all_blocks).otherwise(one_block)).alias("block"))
-    links = written(held.groupBy("pivot", "block").applyInArrow(against_pivot(percent), "a long, b long"), "pivot-links")
+    links = written(held.groupBy("pivot", "block").applyInArrow(tidy(against_pivot(percent)), "a long, b long"), "pivot-links")
     labels = components(links, "a", "b")
 
     # outsiders: nodes of a bucket that are not in its pivot's component; only they can have untested links
@@ -212,7 +212,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
         places = lefts.unionByName(rights).select("node", "label", F.struct("key", "i", "j", "out").alias("place"))
         distinct = places.select("node", "label").distinct().join(node_bands, "node")
         held = written(with_sets(docs, distinct, k), "open-sets").join(places.select("node", "place"), "node").select("node", "label", "bands", "set", "place.*")
-        more = held.groupBy("key", "i", "j").applyInArrow(between_blocks(percent), "a long, b long")
+        more = held.groupBy("key", "i", "j").applyInArrow(tidy(between_blocks(percent)), "a long, b long")
         links = written(links.unionByName(more), "all-links")
         labels = components(links, "a", "b")
     out = rows.join(nodes, "set_key", "left").join(labels, "node", "left")

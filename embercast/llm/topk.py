@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embercast.llm.arrays import written
+from embercast.llm.arrays import tidy, written
 
 LEVELS = (1, 4, 16)
 BLOCK, QUERY_BLOCK, GROUP_BLOCKS = 1024, 256, 8
@@ -166,6 +166,6 @@ def top_k(df: DataFrame, k: int = 5, step: int = 50, scale: float = 256.0, vec_i
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.withColumn("s", F.pmod(F.xxhash64("q"), F.lit(sets))).withColumn("g", numbers(groups))
     right = stored.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("s", numbers(sets))
-    partial = left.groupBy("s", "g").cogroup(right.groupBy("s", "g")).applyInArrow(meet(k), "q_block long, q_place long, query_id long, vec_id long, score long")
+    partial = left.groupBy("s", "g").cogroup(right.groupBy("s", "g")).applyInArrow(tidy(meet(k)), "q_block long, q_place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
