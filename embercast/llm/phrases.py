@@ -19,6 +19,7 @@ from embercast.llm.arrays import mix, prefix_hash, span_hash
 
 #: Windows in one automaton's part of a shard, about.
 PART_WINDOWS = 200_000
+NOWHERE = np.iinfo(np.int64).max
 
 
 def word_units(run: int):
@@ -53,28 +54,37 @@ def coded(texts: list[list[bytes]]) -> tuple[list[str], int]:
 
 
 def earlier_windows(window: int):
-    def in_part(windows: np.ndarray, ids: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
+    def in_part(windows: np.ndarray, ids: np.ndarray, recurs: np.ndarray, alone: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
+        """For each distinct text and window the smallest document that has it, as far as two documents have it.
+
+        ids: the smallest document of each text; recurs: whether another document has the whole text; alone:
+        whether no other text has its anchor, so that the whole text is the recurring passage."""
         texts, width = coded([c.split(b" ") for c in contents])
         step, least, several = window * width, {}, set()
-        for text, doc, n in zip(texts, ids.tolist(), windows.tolist(), strict=True):  # confirm: phrases of two documents and more
+        for text, doc, n, again, single in zip(texts, ids.tolist(), windows.tolist(), recurs.tolist(), alone.tolist(), strict=True):  # confirm
+            if single:
+                if again:
+                    least[text] = doc
+                    several.add(text)
+                continue
             for j in range(0, n * width, width):
                 phrase = text[j:j + step]
                 other = least.setdefault(phrase, doc)
-                if other != doc:
+                if again or other != doc:
                     several.add(phrase)
                     if doc < other:
                         least[phrase] = doc
-        marks = [np.zeros(n, bool) for n in windows.tolist()]
+        smallest = [np.full(n, NOWHERE) for n in windows.tolist()]
         if several:
             automaton = ahocorasick.Automaton()
             for phrase in several:
-                automaton.add_word(phrase, least[phrase])
+                automaton.add_word(phrase, (least[phrase], len(phrase)))
             automaton.make_automaton()
-            for text, doc, mark in zip(texts, ids.tolist(), marks, strict=True):  # locate every occurrence
-                for end, smallest in automaton.iter(text):
-                    if smallest < doc and (end + 1) % width == 0:
-                        mark[(end + 1 - step) // width] = True
-        return marks
+            for text, found in zip(texts, smallest, strict=True):  # locate every occurrence
+                for end, (doc, size) in automaton.iter(text):
+                    if (end + 1) % width == 0:
+                        found[(end + 1 - size) // width:(end + 1 - step) // width + 1] = doc
+        return smallest
 
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids = (np.concatenate([c[k] for c in chunks]) for k in (0, 1, 2))
@@ -83,21 +93,21 @@ def earlier_windows(window: int):
         kind = np.fromiter((known.setdefault(t, len(known)) for t in contents), np.int64, len(contents))
         if not len(kind):
             return [np.zeros(0, bool) for _ in chunks]
-        # equal texts are streamed once, with their smallest id, and only beside another text of their anchor
+        # equal texts are streamed once; what is found holds for each of them
         order = np.lexsort((ids, kind))
-        first = order[np.append(True, np.diff(kind[order]) > 0)]
-        texts = list(known)
-        alone = rivals(anchors[first]) == 1
-        parts = max(1, -(-int(windows[first][~alone].sum()) // PART_WINDOWS))
-        part_of = np.where(alone, parts, mix(anchors[first].astype(np.uint64)) % np.uint64(parts))
-        own_marks: list[np.ndarray] = [np.zeros(n, bool) for n in windows[first].tolist()]
+        head = np.append(True, np.diff(kind[order]) > 0)
+        first, last = order[head], order[np.append(head[1:], True)]
+        recurs = ids[first] != ids[last]
+        alone, texts = rivals(anchors[first]) == 1, list(known)
+        parts = max(1, -(-int(windows[first].sum()) // PART_WINDOWS))
+        part_of = mix(anchors[first].astype(np.uint64)) % np.uint64(parts)
+        smallest: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         for p in range(parts):  # equal windows have equal anchors, and so meet in one part
             mine = np.flatnonzero(part_of == p)
             f = first[mine]
-            for i, m in zip(mine.tolist(), in_part(windows[f], ids[f], [texts[i] for i in mine.tolist()]), strict=True):
-                own_marks[i] = m
-        again = (ids != ids[first[kind]]).tolist()  # the text stands in a smaller document as a whole
-        marks = [np.ones(n, bool) if later else own_marks[k] for n, later, k in zip(windows.tolist(), again, kind.tolist(), strict=True)]
+            for i, x in zip(mine.tolist(), in_part(windows[f], ids[f], recurs[mine], alone[mine], [texts[i] for i in mine.tolist()]), strict=True):
+                smallest[i] = x
+        marks = [smallest[k] < doc for k, doc in zip(kind.tolist(), ids.tolist(), strict=True)]
         out, at = [], 0
         for c in chunks:
             own = marks[at:at + len(c[4])]

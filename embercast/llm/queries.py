@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embercast.llm import bpe, edit_counts, minhash, mixing, phrases, quality_model, quality_rules, suffix_dedup, token_files, topk
+from embercast.llm import oracles
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
@@ -139,4 +140,10 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_fast_sketch": op10_fast_sketch,
 }
-ORACLE = {"op4_poisson_mix": OP4_SQL, "op9_top_k": OP9_SQL}
+ORACLE = {
+    "op3_line_rules": oracles.OP3,
+    "op4_poisson_mix": OP4_SQL,
+    "op6_phrase_automata": oracles.OP6,
+    "op9_top_k": OP9_SQL,
+    "op10_fast_sketch": oracles.OP10,
+}
