@@ -41,24 +41,34 @@ def assign_sites(points: DataFrame, boxes: DataFrame, cell: float = 0.1,
 
     A range predicate alone would be a nested-loop join. Boxes are exploded into
     the grid cells they touch, points get their cell, and the join is an
-    equi-join on the cell key with the ``between`` test as a residual. Catalyst /
-    AQE broadcast the box side only when its measured size is under
+    equi-join on the cell key with the ``between`` test as a residual. Cells are
+    ``cell`` degrees wide, or ten, a hundred, a thousand times that: each box
+    takes the finest level at which it touches at most some 20 x 20 cells, so
+    a world-wide box costs no more rows than a small one. Catalyst / AQE
+    broadcast the box side only when its measured size is under
     ``spark.sql.autoBroadcastJoinThreshold``; otherwise it is a shuffle join,
     with AQE splitting a hot cell.
     """
-    c = float(cell)
-    box_cells = boxes.select(
+    span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.lit(3)
+    for k in (2, 1, 0):
+        level = F.when(span <= 20 * float(cell) * 10 ** k, k).otherwise(level)
+    leveled = boxes.withColumn("_level", level)
+    used = sorted(r["_level"] for r in leveled.select("_level").distinct().collect())  # four values at most
+    width = F.lit(float(cell)) * F.pow(F.lit(10.0), F.col("_level"))
+    box_cells = leveled.select(
         "*",
-        F.explode(F.sequence(F.floor(F.col("south") / c), F.floor(F.col("north") / c))).alias("_cy"),
+        F.explode(F.sequence(F.floor(F.col("south") / width), F.floor(F.col("north") / width))).alias("_cy"),
     ).select(
         "*",
-        F.explode(F.sequence(F.floor(F.col("west") / c), F.floor(F.col("east") / c))).alias("_cx"),
+        F.explode(F.sequence(F.floor(F.col("west") / width), F.floor(F.col("east") / width))).alias("_cx"),
     )
-    pts = points.withColumns({"_cy": F.floor(F.col(lat) / c), "_cx": F.floor(F.col(lon) / c)})
-    j = pts.join(box_cells, ["_cy", "_cx"], "inner").filter(
+    pts = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
+    pts = pts.withColumns({"_cy": F.floor(F.col(lat) / width), "_cx": F.floor(F.col(lon) / width)})
+    j = pts.join(box_cells, ["_level", "_cy", "_cx"], "inner").filter(
         F.col(lat).between(F.col("south"), F.col("north"))
         & F.col(lon).between(F.col("west"), F.col("east")))
-    return j.drop("_cy", "_cx", "south", "north", "west", "east")
+    return j.drop("_level", "_cy", "_cx", "south", "north", "west", "east")
 
 
 def join_weather_fires(weather: DataFrame, fires: DataFrame, keys=("site_id", "date"),

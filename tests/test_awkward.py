@@ -158,3 +158,33 @@ def test_readings_of_equal_time_have_an_order(spark):
         "ts": F.lit("2024-01-01 00:00:00").cast("timestamp"), "alert": F.lit(True), "humedad": F.lit(1.0), "velocidad_viento": F.lit(1.0)})
     assert stats.monitor_stats(df.repartition(3), history=2).first()["avg_temperatura"] == 8.5
     assert SF.endswith("sf0.001")
+
+
+@pytest.mark.parametrize("block,buckets", [(10, 4), (7, 16), (10_000, 1024)])
+def test_last_n_of_a_hot_station_in_blocks(spark, block, buckets):
+    from embercast.operators import features
+
+    rows = [(1, i, float(i * i % 17)) for i in range(200)] + [(k, i, float(i)) for k in (2, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "station_id int, sec int, v double").select(
+        "station_id", F.timestamp_seconds(F.col("sec") * 60).alias("ts"), "v", "sec").repartition(5)
+    got = {(r["station_id"], r["sec"]): (r["avg_v_last7"], r["readings_last7"])
+           for r in features.last_n_stats(df, ["v"], n=7, block=block, buckets=buckets).collect()}
+    assert len(got) == len(rows)
+    for k in (1, 2, None):
+        own = [v for s, _, v in rows if s == k]
+        for i in range(len(own)):
+            last = own[max(0, i - 6):i + 1]
+            assert got[k, i] == (pytest.approx(sum(last) / len(last)), len(last))
+
+
+def test_boxes_of_any_size(spark):
+    from embercast.operators.hotspots import assign_sites
+
+    boxes = [(1, -17.6, -17.1, -66.5, -65.8), (2, -90.0, 90.0, -180.0, 180.0), (3, -20.0, -10.0, -70.0, -60.0), (4, 0.0, 0.0, 0.0, 0.0)]
+    points = [(i, -17.6 + 0.1 * i, -66.5 + 0.1 * i) for i in range(12)] + [(50, 0.0, 0.0), (51, 89.9, 179.9), (52, -15.0, -65.0)]
+    b = spark.createDataFrame(boxes, "site_id int, south double, north double, west double, east double")
+    p = spark.createDataFrame(points, "event_id int, latitude double, longitude double")
+    got = sorted((r["event_id"], r["site_id"]) for r in assign_sites(p, b).collect())
+    want = sorted((i, s) for i, y, x in points for s, lo, hi, w, e in boxes if lo <= y <= hi and w <= x <= e)
+    assert got == want
+    assert assign_sites(p, b.limit(0)).count() == 0
