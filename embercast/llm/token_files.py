@@ -37,7 +37,7 @@ MAGIC = b"EMBTOK01"
 BLOCK_IDS = 4096
 FILE_IDS = 4 << 20
 #: Words kept in each of the two generations of the word cache of a Python worker.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 18
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -164,14 +164,20 @@ class Words(dict):
         self[word] = got
         return got
 
+    def packed(self, chars: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(chars)])
+
     def made(self, word: bytes) -> bytes:
+        if self.direct and word.isalpha():  # ASCII letters alone
+            return self.packed(word.lower().decode())
+        if self.direct and word[-1] in TAILS and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
         s = word.decode()
         if self.direct:
             if s.isalpha() and max(s) <= "\u024f" and unicodedata.is_normalized("NFC", s):
                 lower = s.lower()
                 if lower.isalpha():
-                    chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(ALPHABET)
-                    return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(chars)])
+                    return self.packed(lower.encode().decode("latin-1").translate(ALPHABET))
             elif word[-1] in TAILS and len(s) > 1 and s[-2].lower().isalpha() and s[-2] <= "\u024f":
                 return self[word[:-1]] + self[word[-1:]]
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
