@@ -188,3 +188,18 @@ def test_boxes_of_any_size(spark):
     want = sorted((i, s) for i, y, x in points for s, lo, hi, w, e in boxes if lo <= y <= hi and w <= x <= e)
     assert got == want
     assert assign_sites(p, b.limit(0)).count() == 0
+
+
+def test_continuous_stream_resumes_where_it_stopped(spark):
+    folder = checkpoint_path(spark, f"landing-{uuid.uuid4().hex}")
+    df = spark.range(20).selectExpr("id AS event_id")
+    df.write.parquet(folder)
+    name = f"continuous-{uuid.uuid4().hex}"
+    for extra in (0, 5):
+        if extra:
+            spark.range(100, 100 + extra).selectExpr("id AS event_id").write.mode("append").parquet(folder)
+        q = monitor.run_continuous(monitor.landed_stream(spark, folder, df.schema), name, every="0 seconds")
+        q.processAllAvailable()
+        q.stop()
+        got = sorted(r["event_id"] for r in spark.read.parquet(checkpoint_path(spark, name) + "/out").collect())
+        assert got == [*range(20), *range(100, 100 + extra)]
