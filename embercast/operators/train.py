@@ -148,7 +148,7 @@ def model_sweep(train: DataFrame, test: DataFrame, features, label: str = fixed.
         """own: every learner writes columns of its own, so that one chain of transforms holds them all."""
         made = {
             "logistic_regression": LogisticRegression(labelCol=label, maxIter=50),
-            "random_forest": RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=8, seed=seed),
+            "random_forest": RandomForestClassifier(labelCol=label, numTrees=100, maxDepth=10, seed=seed),
             "gradient_boosted_trees": GBTClassifier(labelCol=label, maxIter=20, maxDepth=4, seed=seed),
         }
         for name, m in made.items():

@@ -170,7 +170,7 @@ register("model_sweep")(_sweep)
 def _requests(spark, d):
     rows = td.scoring_rows(spark, d)
     model = train.train_forest(train.fixed_layout(rows, ("site_id", "date")), fixed.SCORING_FEATURES, "incendio",
-                               num_trees=20, max_depth=8, seed=42)
+                               num_trees=100, max_depth=10, seed=42)
     good, bad = files.parse_score_requests(td.score_request_bodies(spark, d), "body", "request_id")
     scored = scoring.score_requests(model, good, "RandomForestClassifier")
     return scored.select("request_id", "row_idx", "prediction", "probability", "risk_level", "model_name") \

@@ -41,7 +41,7 @@ def _stream_scores(spark, d):
     batch = m.to_readings(table(spark, d, "events"))
     model = train.train_forest(train.fixed_layout(batch, ("station_id", "event_id")),
                                ["temperatura", "humedad", "velocidad_viento"], "y",
-                               num_trees=10, max_depth=5, seed=42)
+                               num_trees=100, max_depth=10, seed=42)
     ev = _events_stream(spark, d)
     out = m.run_available_now(m.score_stream(model, m.to_readings(ev)), "stream_scores")
     return spark.read.parquet(out)
