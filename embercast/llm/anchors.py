@@ -5,10 +5,15 @@ document. Its anchor is the least hash among the shorter runs of units that it
 holds, so equal windows have equal anchors. Windows in a row with one anchor
 make a segment, and equal windows are always found in segments of one anchor:
 
-1. every chunk of documents reports its anchors, and learns which recur;
+1. every chunk of documents reports its anchors, with the number of distinct
+   segments of each, and learns which recur, and which are held by more than
+   HOT_SEGMENTS segments;
 2. it sends each distinct segment of a recurring anchor to the anchor's shard,
    with the earliest place that it has in the chunk; the shard finds the
-   windows that stand earlier elsewhere, by the method of its caller;
+   windows that stand earlier elsewhere, by the method of its caller. The
+   segments of a hot anchor are taken apart first: each window is a segment of
+   its own, with the hash of all its units as anchor, so they spread over all
+   shards, and equal windows still meet;
 3. the chunk removes the units that such windows cover. Later copies of a
    segment inside the chunk are covered as a whole.
 
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from embercast.llm.arrays import mix, schema_with, tidy
 
 CHUNK_BYTES = 2 << 20
+#: Segments, distinct within their chunk, that one anchor may bring to its shard before its windows are dealt one by one.
+HOT_SEGMENTS = 4096
 
 
 @dataclass
@@ -89,12 +96,21 @@ def segments(units: Units, window: int, run: int) -> Segments:
 
 def rivals(x: np.ndarray) -> np.ndarray:
     """How often each value stands in x."""
+    return rivals_and_weight(x, None)[0]
+
+
+def rivals_and_weight(x: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """How often each value stands in x, and the sum of its weights."""
     order = np.argsort(x)
     ends = np.append(np.flatnonzero(x[order][1:] != x[order][:-1]), len(x) - 1)
     out = np.empty(len(x), np.int64)
     size = np.diff(ends, prepend=-1)
     out[order] = np.repeat(size, size)
-    return out
+    if weight is None or not len(x):
+        return out, weight
+    total = np.empty(len(x), np.int64)
+    total[order] = np.repeat(np.add.reduceat(weight[order], ends - size + 1), size)
+    return out, total
 
 
 def packed(*parts) -> bytes:
@@ -114,7 +130,7 @@ class Chunk:
         self.table, self.ids, self.texts = table.take(pa.array(order, pa.int64())), [ids[i] for i in order], [texts[i] for i in order]
         # rows without an id take no part: they are left out as if they were empty
         self.units = units_of([t if i is not None else b"" for t, i in zip(self.texts, self.ids, strict=True)])
-        self.segments, self.window, self.shards = segments(self.units, window, run), window, shards
+        self.segments, self.window, self.run, self.shards = segments(self.units, window, run), window, run, shards
         self.anchors, self.which, self.counts = np.unique(self.segments.anchor, return_inverse=True, return_counts=True)
         self.shard = (self.anchors >> np.uint64(32)) % np.uint64(shards)
 
@@ -130,17 +146,53 @@ class Chunk:
         data = u.data.tobytes()
         return [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
-    def distinct(self, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of segments with recurring anchors: their numbers, the distinct content of each,
+    def hashed(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span of units (``run`` long at least), from those of the runs that cover it."""
+        out = mix(size.astype(np.uint64))
+        for at in range(0, int(size.max(initial=0)), self.run):
+            inside = np.flatnonzero(at < size)
+            out[inside] = mix(out[inside] * np.uint64(0x9E3779B97F4A7C15) + self.units.hashes[start[inside] + np.minimum(at, size[inside] - self.run)])
+        return out
+
+    def kinds(self) -> np.ndarray:
+        """For each anchor that several segments have, how many of them differ (by 64-bit hashes)."""
+        several = self.counts > 1
+        mine = np.flatnonzero(several[self.which])
+        s = self.segments
+        content = self.hashed(s.start[mine], s.windows[mine] + self.window - 1)
+        order = np.lexsort((content, self.which[mine]))
+        w, content = self.which[mine][order], content[order]
+        new = np.append(True, (w[1:] != w[:-1]) | (content[1:] != content[:-1])) if len(w) else np.zeros(0, bool)
+        return np.bincount(w[new], minlength=len(self.anchors))[several]
+
+    def settle(self, answers: dict[int, bytes]) -> None:
+        """Keep the segments of recurring anchors, and take those of hot anchors apart."""
+        recurring, hot = np.zeros(len(self.anchors), bool), np.zeros(len(self.anchors), bool)
+        for s, at in self.by_shard():
+            if answers.get(s):
+                bits = np.unpackbits(np.frombuffer(answers[s], np.uint8).reshape(-1, -(-len(at) // 8)), axis=1, count=len(at)).astype(bool)
+                recurring[at] = bits[0]
+                hot[at] = bits[1] if len(bits) > 1 else False
+        s = self.segments
+        apart, whole = np.flatnonzero(hot[self.which]), np.flatnonzero((recurring & ~hot)[self.which])
+        size = s.windows[apart]
+        start = np.repeat(s.start[apart], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.segments = Segments(
+            np.concatenate([s.row[whole], np.repeat(s.row[apart], size)]), np.concatenate([s.start[whole], start]),
+            np.concatenate([s.windows[whole], np.ones(len(start), np.int64)]), np.concatenate([s.anchor[whole], self.hashed(start, np.full(len(start), self.window))]),
+        )
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of the settled segments: the number of the distinct content of each,
         and for each distinct content its first segment and its bytes."""
-        chosen = np.flatnonzero(recurring[self.which])
+        chosen = np.arange(len(self.segments.start))
         known: dict[bytes, int] = {}
         texts = self.content(chosen)
         kind = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
         doc, place = self.places(chosen)
         order = np.lexsort((place, doc, kind))
         first = order[np.append(True, np.diff(kind[order]) > 0)] if len(order) else order
-        return chosen, kind, chosen[first], list(known)
+        return kind, first, list(known)
 
     def places(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document id and first unit in the document of segments."""
@@ -148,26 +200,20 @@ class Chunk:
         ids = np.array([x if x is not None else 0 for x in self.ids], np.int64)
         return ids[row], self.segments.start[i] - self.units.first[row]
 
-    def recurring(self, answers: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(self.anchors), bool)
-        for s, at in self.by_shard():
-            if s in answers:
-                out[at] = np.unpackbits(np.frombuffer(answers[s], np.uint8), count=len(at)).astype(bool)
-        return out
-
 
 def shard_order(chunk: Chunk, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Distinct contents by the shard of their anchor."""
-    shard = chunk.shard[chunk.which[first]]
+    shard = (chunk.segments.anchor[first] >> np.uint64(32)) % np.uint64(chunk.shards)
     for s in np.unique(shard).tolist():
         yield s, np.flatnonzero(shard == s)
 
 
-def removed_units(chunk: Chunk, recurring: np.ndarray, answers: dict[int, bytes], whole_documents: bool) -> np.ndarray:
-    """A mark for each unit that a window with an earlier occurrence covers."""
+def removed_units(chunk: Chunk, answers: dict[int, bytes], whole_documents: bool) -> np.ndarray:
+    """A mark for each unit of a settled chunk that a window with an earlier occurrence covers."""
     seg, n = chunk.segments, int(chunk.units.first[-1])
     mark = np.zeros(n + 1, np.int64)
-    chosen, kind, first, _ = chunk.distinct(recurring)
+    kind, first, _ = chunk.distinct()
+    chosen = np.arange(len(kind))
     if len(chosen):
         count = seg.windows[first]
         at = np.cumsum(count) - count
@@ -208,7 +254,11 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
 
     def report(table: pa.Table) -> pa.Table:
         c = made(table)
-        rows = [(s, c.anchors[at].astype("<u4").tobytes(), np.packbits(c.counts[at] > 1).tobytes()) for s, at in c.by_shard()]
+        kinds = np.ones(len(c.anchors), np.int64)
+        kinds[c.counts > 1] = c.kinds()
+        # a bit for each anchor that stands there several times, then the number of distinct segments of each of these
+        several = lambda at: np.packbits(c.counts[at] > 1).tobytes() + np.minimum(kinds[at][c.counts[at] > 1], 0xFFFF).astype("<u2").tobytes()
+        rows = [(s, c.anchors[at].astype("<u4").tobytes(), several(at)) for s, at in c.by_shard()]
         key = table.column("_chunk")[0].as_py()
         return pa.table({"_chunk": pa.array([key] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int64()), "anchors": pa.array([r[1] for r in rows], pa.binary()), "bits": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -222,9 +272,14 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
     def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in gathered(batches).items():
             own = [np.frombuffer(r["anchors"], "<u4") for r in rows]
-            several = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(a)) for r, a in zip(rows, own, strict=True)]
-            found = (rivals(np.concatenate(own)) > 1) | np.concatenate(several).astype(bool)
-            bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum([len(a) for a in own])[:-1])]
+            several = [np.unpackbits(np.frombuffer(r["bits"], np.uint8, -(-len(a) // 8)), count=len(a)).astype(bool) for r, a in zip(rows, own, strict=True)]
+            weight = [np.ones(len(a), np.int64) for a in own]
+            for r, a, w, x in zip(rows, own, weight, several, strict=True):
+                w[x] = np.frombuffer(r["bits"], "<u2", offset=-(-len(a) // 8))
+            often, total = rivals_and_weight(np.concatenate(own), np.concatenate(weight))
+            found, hot = (often > 1) | np.concatenate(several), total > HOT_SEGMENTS
+            ends = np.cumsum([len(a) for a in own])[:-1]
+            bits = [np.packbits(x).tobytes() + (np.packbits(y).tobytes() if y.any() else b"") for x, y in zip(np.split(found, ends), np.split(hot, ends), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r["_chunk"] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array(bits, pa.binary())], names=["_chunk", "shard", "bits"])
 
     def send(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -232,11 +287,11 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
         if table.num_rows:
             c = made(table)
             answers = {r["shard"]: r["bits"] for r in known.to_pylist()}
-            recurring = c.recurring(answers)
-            _, _, first, contents = c.distinct(recurring)
+            c.settle(answers)
+            _, first, contents = c.distinct()
             s, (doc, place) = c.segments, c.places(first)
             parts = {k: at for k, at in shard_order(c, first)}
-            for k, bits in answers.items():
+            for k, bits in (dict.fromkeys(parts, b"") | answers).items():  # windows of hot anchors go to further shards
                 at = parts.get(k, np.zeros(0, np.int64))
                 f = first[at]
                 out["_chunk"].append(table.column("_chunk")[0].as_py())
@@ -257,7 +312,8 @@ def find(df: DataFrame, units_of: Callable[[list[bytes]], Units], window: int, r
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         c, rows = made(table), known.to_pylist()
-        gone = removed_units(c, c.recurring({r["shard"]: r["bits"] for r in rows}), {r["shard"]: r["found"] for r in rows}, whole_documents)
+        c.settle({r["shard"]: r["bits"] for r in rows})
+        gone = removed_units(c, {r["shard"]: r["found"] for r in rows}, whole_documents)
         columns = finish(c, gone)
         keep = c.table.drop_columns(["_chunk"])
         names = [*keep.schema.names, *(x for x in columns if x not in keep.schema.names)]

@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from embercast.llm import minhash, phrases, suffix_dedup
+from embercast.llm import anchors, minhash, phrases, suffix_dedup
 from embercast.llm.components import components
 from embercast.llm.queries import op6_phrase_automata, op7_induced_suffixes, op10_fast_sketch
 from tests.llm.helpers import WORD, documents, frame, prose
@@ -119,6 +120,39 @@ def test_suffixes_on_documents(spark, monkeypatch, part):
         assert [i for x in r["removed"] for i in range(x["start"], x["end"])] == [i for i, m in enumerate(marks) if m]
 
 
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_a_passage_beside_other_text_each_time_is_dealt_over_many_groups(spark, monkeypatch, kind):
+    monkeypatch.setattr(anchors, "HOT_SEGMENTS", 30, raising=False)
+    monkeypatch.setattr(anchors, "CHUNK_BYTES", 20_000)
+    rng = random.Random(9)
+    passage = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 25)} {passage} {prose(rng, 25)}") for i in range(300)]
+    rows += [(1000 + i, t[7:]) for i, (_, t) in enumerate(rows[:40])] + [(2000, rows[5][1]), (2001, "ab" * 200)]
+    window, run = (13, 5) if kind == "words" else (100, 32)
+    in_shard = phrases.earlier_windows(13) if kind == "words" else suffix_dedup.earlier_windows(100, None)
+
+    def watched(chunks):
+        held = {}
+        for c in chunks:
+            for anchor, text in zip(c[0].tolist(), c[4], strict=True):
+                held.setdefault(anchor, set()).add(text)
+        assert all(len(texts) <= 30 for texts in held.values()), max(map(len, held.values()))
+        return in_shard(chunks)
+
+    added = {"gone": "array<boolean>"}
+    units = phrases.word_units(5) if kind == "words" else suffix_dedup.byte_units(32)
+
+    def finish(chunk, gone):
+        first = chunk.units.first.tolist()
+        return {"gone": pa.array([gone[a:b].tolist() for a, b in zip(first[:-1], first[1:])], pa.list_(pa.bool_()))}
+
+    got = anchors.find(frame(spark, rows, "doc_id long, text string"), units, window, run, watched, finish, added, kind == "words", "doc_id", "text").collect()
+    want = phrase_marks(rows, 13) if kind == "words" else byte_marks(rows, 100)
+    assert len(got) == len(rows) and sum(sum(r["gone"]) for r in got) > 5000
+    for r in got:
+        assert r["gone"] == want[r["doc_id"], r["text"]][1], r["doc_id"]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert phrases.remove_phrases(empty).count() == suffix_dedup.remove_repeats(empty).count() == minhash.near_duplicates(empty).count() == 0
