@@ -12,12 +12,15 @@ the whole are sorted by induction, common-prefix values included:
   its place, and a scan in reverse the others. A queue with a first-in
   first-out line for each leading symbol is the priority queue of the scan:
   what it holds are tuples of position and common prefix with the entry before.
-  Lines longer than a bound go to the shared folder, so memory holds the text
-  and a bounded part of the queue.
+  When a queue holds more than a bound, well below the suffixes of a part, its
+  longest lines go to the shared folder.
 
 Whole lines are taken and pushed at a time with numpy. Suffixes in a row that
 have ``window`` bytes and more in common are equal windows; all but the
-earliest are marked.
+earliest are marked. They are picked out of the order while it is induced, so
+the order of a whole part is never held. What is in memory: a shard's segments,
+of one part the text, its two arrays of kinds and runs and its LMS positions,
+the queue up to its bound (and a line that is taken), and the equal windows.
 """
 
 from __future__ import annotations
@@ -34,15 +37,15 @@ from embercast.llm.arrays import mix, prefix_hash, run_hash, span_hash, work_fol
 from embercast.llm.token_files import store
 
 #: Entries of the queue that stay in memory, and bytes of text that are sorted at a time.
-QUEUE_ENTRIES, PART_BYTES = 4 << 20, 3 << 20
+QUEUE_ENTRIES, PART_BYTES = 1 << 18, 3 << 20
 
 
 class SuffixQueue:
     """Priority queue of suffix tuples: (symbol; order of arrival) is the priority.
 
     Arrivals of one call and symbol form a run. When more than ``most`` entries
-    are held, the longest lines' runs are written to ``folder`` and read when
-    their symbol comes up."""
+    are held, the runs of the longest lines are written to ``folder``, one file
+    a line, and read when their symbol comes up."""
 
     def __init__(self, symbols: int, folder: str | None, most: int = QUEUE_ENTRIES):
         self.lines: list[list] = [[] for _ in range(symbols)]
@@ -61,13 +64,13 @@ class SuffixQueue:
             loose = [i for i, r in enumerate(line) if isinstance(r, tuple)]
             if not loose or self.held <= self.most // 2:
                 break
-            for i in loose:
-                path, (positions, prefixes) = f"{base}/{uuid.uuid4().hex}", line[i]
-                with fs.open_output_stream(path) as f:
-                    f.write(positions.astype("<i8").tobytes())
-                    f.write(prefixes.tobytes())
-                self.held -= len(positions)
-                line[i] = path
+            path = f"{base}/{uuid.uuid4().hex}"
+            positions, prefixes = (np.concatenate(x) for x in zip(*line[loose[0]:], strict=True))  # files come before the runs in memory
+            with fs.open_output_stream(path) as f:
+                f.write(positions.astype("<i8").tobytes())
+                f.write(prefixes.tobytes())
+            self.held -= len(positions)
+            line[loose[0]:] = [path]
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All that has arrived for a symbol, in order of arrival; None if nothing has."""
@@ -246,6 +249,25 @@ def suffix_order(text: np.ndarray, most: int, folder: str | None = None) -> tupl
     return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
 
+def equal_windows(text: np.ndarray, window: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffixes in order those that share ``window`` symbols with a neighbour, and a number for each such group.
+
+    The runs of the induction are looked at one by one; only what is returned is kept."""
+    up, run = rising(text)
+    lms = sorted_lms(text, up, run, window, folder)
+    found, fresh = [], []
+    last, follows = np.zeros(0, np.int64), np.zeros(0, bool)  # the latest entry, and whether it equals the one before
+    for positions, prefixes in induce(text, lms, common_prefixes(text, lms, window), up, run, window, folder):
+        positions, same = np.concatenate([last, positions]), np.concatenate([follows, prefixes >= window])
+        member = np.flatnonzero(same[:-1] | same[1:])
+        found.append(positions[member])
+        fresh.append(~same[member])
+        last, follows = positions[-1:].copy(), same[-1:].copy()
+    found.append(last[follows])
+    fresh.append(np.zeros(int(follows.sum()), bool))
+    return np.concatenate(found), np.cumsum(np.concatenate(fresh))
+
+
 def byte_units(run: int):
     def units(texts: list[bytes]) -> Units:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -265,12 +287,10 @@ def earlier_windows(window: int, folder: str | None):
         inside[begin + size - 1], inside[-1] = False, False
         text[inside] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 2
         text[begin + size - 1] = 1  # ends a segment; 0 ends the text
-        order, shared = suffix_order(text, window, folder)
-        group = np.cumsum(shared < window)
+        order, group = equal_windows(text, window, folder)
         segment = np.searchsorted(begin, order, "right") - 1
         offset = order - begin[segment]
-        several = np.bincount(group, minlength=1)[group] > 1
-        use = np.flatnonzero(several & (offset < windows[segment]))
+        use = np.flatnonzero(offset < windows[segment])
         marks = np.zeros(int(windows.sum()), bool)
         if len(use):
             group, segment, offset = group[use], segment[use], offset[use]

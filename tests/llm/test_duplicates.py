@@ -103,6 +103,23 @@ def test_suffix_order_with_the_queue_on_disk(tmp_path, monkeypatch):
     assert not list((tmp_path / "queue").iterdir())
 
 
+def test_a_part_of_the_default_size_uses_the_disk_and_is_read_run_by_run(tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = rng.integers(2, 60, 1_500_000).astype(np.uint16)
+    text[400_000:400_500] = text[1_000_000:1_000_500] = text[500:1000]
+    text = np.append(text, [1, 0]).astype(np.uint16)
+    assert len(text) < suffix_dedup.PART_BYTES
+    spilled = []
+    spill = suffix_dedup.SuffixQueue.spill
+    monkeypatch.setattr(suffix_dedup.SuffixQueue, "spill", lambda self: (spilled.append(1), spill(self)))
+    order, group = suffix_dedup.equal_windows(text, 100, str(tmp_path / "queue"))
+    assert spilled and not list((tmp_path / "queue").iterdir())
+    starts = [500, 400_000, 1_000_000]
+    want = sorted(tuple(x + i for x in starts) for i in range(401))
+    got = [tuple(sorted(order[group == g].tolist())) for g in np.unique(group)]
+    assert sorted(got) == want
+
+
 @pytest.mark.parametrize("part", [12 << 20, 3000])
 def test_suffixes_on_documents(spark, monkeypatch, part):
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
