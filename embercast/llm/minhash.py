@@ -10,7 +10,7 @@ probability of their sets' similarity. Nodes that agree in all coordinates of a
 band share a bucket.
 
 Links are confirmed on whole sets, without pairing off buckets: first every node
-of a bucket is held against the bucket's smallest node; then buckets that still
+of a bucket is held against one of them, its pivot; then buckets that still
 hold several components, and more than that one comparison, are worked through
 in blocks of bounded size until no pair of different components is left
 untested. Links that are found go through connected components twice.
@@ -88,12 +88,16 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def profiles(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets; null if empty) and bands of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = [set_key(s) for s in sets]
             found = bands(sketches(sets))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(list(found), pa.list_(pa.int64()))],
@@ -112,15 +116,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def with_sets(docs: DataFrame, roles: DataFrame, k: int) -> DataFrame:
-    """Rows of ``roles`` (node, ...) with the node's shingle set as bytes."""
+def with_sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame, k: int) -> DataFrame:
+    """Rows of ``roles`` (node, ...) with the node's shingle set as bytes, from a text of the node's smallest doc_id that has this set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), k)]
-            yield with_columns(batch.drop_columns(["text"]), set=pa.array(sets, pa.binary()))
+            sets = shingle_sets(batch.column("text"), k)
+            own = [set_key(s) == key for s, key in zip(sets, batch.column("set_key").to_pylist(), strict=True)]
+            found = with_columns(batch.drop_columns(["text", "set_key"]), set=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
+            yield found.filter(pa.array(own, pa.bool_()))
 
-    joined = docs.join(roles, docs["doc_id"] == roles["node"]).select(*roles.columns, "text")
-    return joined.mapInArrow(run, schema_with(joined.drop("text"), {"set": "binary"}))
+    named = roles.join(nodes, "node").select(*(roles[c] for c in roles.columns), "least", "set_key")
+    joined = docs.join(named, docs["doc_id"] == named["least"]).select(*roles.columns, "set_key", "text")
+    return joined.mapInArrow(run, schema_with(joined.drop("text", "set_key"), {"set": "binary"}))
 
 
 def against_pivot(percent: int):
@@ -179,8 +186,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id IS NOT NULL")
     rows = written(profiles(df, k, doc_id, text), "profiles")
     with_set = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    node_bands = with_set.join(nodes, "set_key").where("doc_id = node").groupBy("node").agg(F.first("bands").alias("bands"))
+    # a node is a set, not a doc_id: texts of one doc_id can have several sets
+    nodes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "nodes")
+    node_bands = with_set.join(nodes, "set_key").where("doc_id = least").groupBy("node").agg(F.first("bands").alias("bands"))
     node_bands = written(node_bands, "node-bands")
     placed = node_bands.select("node", F.explode("bands").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -191,7 +200,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     own = sizes.select(F.col("pivot").alias("node"), F.struct("pivot", "blocks").alias("role"), F.lit(True).alias("itself"))
     others = pairs.join(sizes, "pivot").select("node", F.struct("pivot", "blocks").alias("role"), F.lit(False).alias("itself"))
     roles = own.unionByName(others).groupBy("node").agg(F.collect_list(F.struct("role", "itself")).alias("roles"))  # at most one of each band, and its own
-    held = with_sets(docs, roles, k).select("node", "set", F.explode("roles").alias("r"))
+    held = with_sets(docs, nodes, roles, k).select("node", "set", F.explode("roles").alias("r"))
     all_blocks = F.sequence(F.lit(0), F.col("r.role.blocks") - 1)
     one_block = F.array(F.pmod(F.xxhash64("node"), F.col("r.role.blocks")).cast("int"))
     held = held.select("node", "set", F.col("r.role.pivot").alias("pivot"), F.explode(F.when(F.col("r.itself"), all_blocks).otherwise(one_block)).alias("block"))
@@ -211,10 +220,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
         rights = rest.select("node", "label", "key", each("left").alias("i"), block("right").alias("j"), F.lit(False).alias("out"))
         places = lefts.unionByName(rights).select("node", "label", F.struct("key", "i", "j", "out").alias("place"))
         distinct = places.select("node", "label").distinct().join(node_bands, "node")
-        held = written(with_sets(docs, distinct, k), "open-sets").join(places.select("node", "place"), "node").select("node", "label", "bands", "set", "place.*")
+        held = written(with_sets(docs, nodes, distinct, k), "open-sets").join(places.select("node", "place"), "node").select("node", "label", "bands", "set", "place.*")
         more = held.groupBy("key", "i", "j").applyInArrow(tidy(between_blocks(percent)), "a long, b long")
         links = written(links.unionByName(more), "all-links")
         labels = components(links, "a", "b")
-    out = rows.join(nodes, "set_key", "left").join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node", "doc_id"))
+    named = labels.join(nodes, "node").select("node", "component", "least")
+    reached = named.groupBy("component").agg(F.min("least").alias("reached"))
+    out = rows.join(nodes, "set_key", "left").join(labels.join(reached, "component"), "node", "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("reached", "least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

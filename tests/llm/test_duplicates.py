@@ -227,6 +227,19 @@ def test_near_duplicates_on_documents(spark, monkeypatch, block):
     assert len({c for _, _, c, _ in ids}) < len(rows) - 40
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_texts_of_one_doc_id_keep_their_own_links(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "GROUP", block)
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(5, a), (5, b), (5, f"{c} tail"), (9, f"{a} more"), (12, f"{b} more"), (12, d), (3, f"{b} else"), (30, c), (31, f"{d} last"), (40, f"{d} end")]
+    rows += [(5 + i % 3, t) for i, (_, t) in enumerate(near_copies(4, 24, 60, 4))]
+    want = groups(rows, 4, 80)
+    got = minhash.near_duplicates(frame(spark, rows, "doc_id long, text string"), k=4).collect()
+    have = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert have == sorted((i, want[i, t][0], want[i, t][1], want[i, t][1] == i) for i, t in rows)
+
+
 def test_sketch_coordinates_agree_with_similarity():
     rng = np.random.default_rng(5)
     for size in (3, 40, 2000):
