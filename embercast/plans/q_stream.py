@@ -59,17 +59,24 @@ where probability_fire > 0.7 and prediction = 1""", ["probability_fire"]))(
 
 # --------------------------------------------------------------------------- R3
 LAST_N = 20
+#: Files in one micro-batch.
+LANDED_FILES = 32
 
 
 def _landed_late(spark, d):
-    """The readings as two landed files: the later half of the events first, late rows second."""
+    """The readings as files landed by the scan's own tasks: the later half of the events first, late rows second.
+
+    Files are taken in order of arrival, at most LANDED_FILES and at most the first half's number at a time."""
     ev = table(spark, d, "events")
     folder = checkpoint_path(spark, f"late-{uuid.uuid4().hex}")
     middle = ev.agg(F.percentile_approx(F.col("ts").cast("timestamp"), 0.5)).first()[0]
+    most = 1
     for late in (False, True):
         half = (F.col("ts").cast("timestamp") < F.lit(middle)) if late else (F.col("ts").cast("timestamp") >= F.lit(middle))
-        ev.filter(half).coalesce(1).write.mode("append").parquet(folder)
-    return m.landed_stream(spark, folder, ev.schema, max_files=1)
+        ev.filter(half).write.mode("append").parquet(folder)
+        if not late:
+            most = min(LANDED_FILES, max(1, len(spark.read.schema(ev.schema).parquet(folder).inputFiles())))
+    return m.landed_stream(spark, folder, ev.schema, max_files=most)
 
 
 def _gaps(r):

@@ -22,6 +22,26 @@ def _events(spark, n=600):
                                        "value double, props string")
 
 
+def test_late_readings_land_as_several_files_after_the_early_ones(spark, monkeypatch, tmp_path):
+    from embercast.plans import q_stream
+
+    ev = _events(spark).repartition(4)
+    monkeypatch.setattr(q_stream, "table", lambda spark, d, name: ev)
+    monkeypatch.setattr(q_stream, "checkpoint_path", lambda spark, name: str(tmp_path / "landed"))
+    stream = q_stream._landed_late(spark, "")
+    landed = sorted((os.path.getmtime(f), f) for f in (str(x) for x in (tmp_path / "landed").glob("*.parquet")))
+    assert len(landed) == 8
+    lo = [spark.read.parquet(f).agg(F.min("event_id")).first()[0] for _, f in landed]
+    assert all(x >= 290 for x in lo[:4]) and all(x < 290 for x in lo[4:])
+    out = spark.read.parquet(m.run_available_now(m.last_n_stream(m.to_readings(stream), 20), "t_late"))
+    rows = out.collect()
+    for st in (0, 1, 2):
+        own = [r for r in rows if r.station_id == st]
+        want = m.to_readings(ev).filter(F.col("station_id") == st).orderBy(F.desc("ts")).limit(20).agg(F.avg("temperatura")).first()[0]
+        last = max(own, key=lambda r: r.total_readings)
+        assert len(own) == 2 and last.total_readings == 200 and last.avg_temperatura == pytest.approx(want)
+
+
 def test_last100_stream_equals_batch(spark):
     folder = checkpoint_path(spark, "landed-" + uuid.uuid4().hex)
     ev = _events(spark)
