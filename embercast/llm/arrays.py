@@ -134,16 +134,16 @@ def run_hash(c: np.ndarray, run: int) -> np.ndarray:
     return mix(h)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row its first word's number (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of the bytes marked in ``of``), and for each row its first word's number (one more at the end)."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = of[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = inside.copy()
-    starts[1:] &= SPACE[data[:-1]] | cut[1:n]
+    starts[1:] &= ~inside[:-1] | cut[1:n]
     ends = inside.copy()
-    ends[:-1] &= SPACE[data[1:]] | cut[1:n]
+    ends[:-1] &= ~inside[1:] | cut[1:n]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 

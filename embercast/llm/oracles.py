@@ -65,3 +65,41 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) c ON d.doc_id = c.doc_id
 """
+
+
+def op12(clusters: int, rounds: int) -> str:
+    """Each round's assignment (a0, a1, ...) and the centroids that it leads to (c1, c2, ...)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT p, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT v.p, c.c, (list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))::BIGINT AS d FROM v, c{r} c) GROUP BY p)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT best.c AS c, i, sum(e::BIGINT)::BIGINT AS s, count(*) AS n
+    FROM (SELECT best, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS i FROM v JOIN a{r} USING (p)) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM s{r} GROUP BY c
+    UNION ALL SELECT c, x FROM c{r} WHERE c NOT IN (SELECT best.c FROM a{r}))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS p, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS c, x FROM v
+    QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, x) <= {clusters}),
+{", ".join(steps)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+    (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (p) JOIN c{rounds} c ON c.c = best.c
+"""
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS p, doc_id, {_TERMS} AS ts FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+posting AS (SELECT p, t, count(*) AS tf FROM (SELECT p, unnest(ts) AS t FROM d) GROUP BY ALL),
+word AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, corpus GROUP BY t, n_docs),
+norm AS (SELECT p, doc_id, 75 + (25 * len(ts)::BIGINT * n_docs) // n_terms AS m FROM d, corpus WHERE len(ts) > 0),
+item AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+scored AS (SELECT q, item_id, p, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM item JOIN word USING (t) JOIN posting USING (t) JOIN norm USING (p) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 20
+"""

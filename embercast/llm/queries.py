@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embercast.llm import bpe, edit_counts, minhash, mixing, phrases, quality_model, quality_rules, suffix_dedup, token_files, topk
+from embercast.llm import bpe, centroids, edit_counts, lexical, minhash, mixing, packing, phrases, quality_model, quality_rules, suffix_dedup, token_files, topk
 from embercast.llm import oracles
 from embercast.llm.arrays import work_folder
 from embercast.session import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE, WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json"), 49_408
 
 
@@ -128,6 +129,21 @@ def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, context=2048)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group",
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256.0, seed="2")[0]
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
@@ -139,6 +155,9 @@ QUERIES = {
     "op8_quality_net": op8_quality_net,
     "op9_top_k": op9_top_k,
     "op10_fast_sketch": op10_fast_sketch,
+    "op11_packing": op11_packing,
+    "op12_centroids": op12_centroids,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE = {
     "op3_line_rules": oracles.OP3,
@@ -146,4 +165,6 @@ ORACLE = {
     "op6_phrase_automata": oracles.OP6,
     "op9_top_k": OP9_SQL,
     "op10_fast_sketch": oracles.OP10,
+    "op12_centroids": oracles.op12(clusters=40, rounds=5),
+    "op13_ranked_search": oracles.OP13,
 }
