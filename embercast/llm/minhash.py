@@ -9,11 +9,15 @@ coordinate is filled for certain. Two sketches agree in a coordinate with the
 probability of their sets' similarity. Nodes that agree in all coordinates of a
 band share a bucket.
 
-Links are confirmed on whole sets, without pairing off buckets: first every node
-of a bucket is held against one of them, its pivot; then buckets that still
-hold several components, and more than that one comparison, are worked through
-in blocks of bounded size until no pair of different components is left
-untested. Links that are found go through connected components twice.
+Links are confirmed on whole sets, without pairing off buckets. Every node of a
+bucket is held against one of them, its pivot, and kept as its difference from
+the pivot, the shingles that only one of the two has. Two similar sets whose
+differences have nothing in common are both similar to the pivot, so what is
+left untested are pairs that share a shingle of their differences. Groups whose
+nodes are still in several components are searched for those: a group of bounded
+size in one task by counting shared shingles; in a larger one, blocks of the nodes
+outside its largest component meet blocks of all nodes, by their differences. Links that are found go through connected
+components twice.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from embercast.llm.arrays import LOWER, mix, prefix_hash, schema_with, slices, s
 from embercast.llm.components import components
 
 COORDINATES, BAND = 128, 4
-#: Sets in one task's group, of each of its two blocks.
-GROUP = 256
+#: Bytes of sets beside a pivot in one task, and of differences in a group that is searched in one.
+BLOCK_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -108,14 +112,6 @@ def profiles(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-        return False
-    at = np.searchsorted(a, b)
-    inter = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
-    return 100 * inter >= percent * (len(a) + len(b) - inter)
-
-
 def with_sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame, k: int) -> DataFrame:
     """Rows of ``roles`` (node, ...) with the node's shingle set as bytes, from a text of the node's smallest doc_id that has this set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,49 +126,94 @@ def with_sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame, k: int) -> Da
     return joined.mapInArrow(run, schema_with(joined.drop("text", "set_key"), {"set": "binary"}))
 
 
-def against_pivot(percent: int):
+def close(distance, sizes, percent: int):
+    """Whether sets with ``sizes`` elements together, ``distance`` of them in only one, have the similarity."""
+    return (100 + percent) * distance <= (100 - percent) * sizes
+
+
+def differences(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """Links of one pivot with one block of nodes of its buckets."""
+        """The nodes of one block beside their pivot: size, difference from it and whether they are linked."""
         nodes, pivot = group.column("node").to_pylist(), group.column("pivot")[0].as_py()
-        sets = [np.frombuffer(s, "<u8") for s in group.column("set").to_pylist()]
-        own = [s for n, s in zip(nodes, sets, strict=True) if n == pivot]
-        found = [n for n, s in zip(nodes, sets, strict=True) if n != pivot and any(similar(s, p, percent) for p in own)]
-        return pa.table({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        sets = {n: np.frombuffer(s, "<u8") for n, s in zip(nodes, group.column("set").to_pylist(), strict=True)}  # repeated rows give a node twice
+        own = sets.pop(pivot)
+        out = [(n, len(s), np.setxor1d(s, own, assume_unique=True)) for n, s in sets.items()]
+        return pa.table({
+            "pivot": pa.array([pivot] * len(out), pa.int64()), "node": pa.array([n for n, _, _ in out], pa.int64()), "size": pa.array([k for _, k, _ in out], pa.int64()),
+            "linked": pa.array([bool(close(len(x), k + len(own), percent)) for _, k, x in out], pa.bool_()), "difference": pa.array([x.astype("<u8").tobytes() for _, _, x in out], pa.binary()),
+        })
 
     return run
 
 
-def between_blocks(percent: int):
+def between(sizes: np.ndarray, labels: np.ndarray, parts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (places of two sets) that join what belongs together of sets given by their differences from one set.
+
+    Differences are first taken from what most of the sets have, which changes
+    no distance. Then any two linked sets share a shingle of their differences,
+    or are both linked with the set that is closest to the middle."""
+    n, row = len(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    shingle, element = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
+    count = np.bincount(element, minlength=len(shingle))
+    common = 2 * count > n
+    lacking = np.ones((n, int(common.sum())), bool)
+    number = np.cumsum(common) - 1
+    lacking[row[common[element]], number[element[common[element]]]] = False
+    more, which = np.nonzero(lacking)
+    row = np.concatenate([row[~common[element]], more])
+    element = np.concatenate([element[~common[element]], np.flatnonzero(common)[which]])
+    length = np.bincount(row, minlength=n)
+    by_row, by_element = np.lexsort((element, row)), np.lexsort((row, element))
+    first = np.searchsorted(element[by_element], np.arange(len(shingle) + 1))
+    own_first, own, holders = np.searchsorted(row[by_row], np.arange(n + 1)), element[by_row], row[by_element]
+    label, found = labels.copy(), []
+
+    def join(i: int) -> None:
+        lists = [holders[first[e]:first[e + 1]] for e in own[own_first[i]:own_first[i + 1]].tolist()]
+        shared = np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, np.int64)
+        near = np.flatnonzero(close(length + length[i] - 2 * shared, sizes + sizes[i], percent) & (label != label[i]))
+        _, at = np.unique(label[near], return_index=True)
+        for j in near[at].tolist():
+            found.append((i, j))
+            label[label == label[j]] = label[i]
+
+    join(int(np.argmin((100 + percent) * length - (100 - percent) * sizes)))
+    names, many = np.unique(label, return_counts=True)
+    for i in np.flatnonzero(label != names[many.argmax()]).tolist():
+        join(i)
+    return found
+
+
+def in_group(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """Links of a block of outsiders (rows with ``out``) with a block of a bucket's nodes, as few as
-        join what belongs together. A pair that shares several buckets is tested in that of its first common band."""
-        rows = sorted(group.to_pylist(), key=lambda r: r["node"])
-        left, right = [r for r in rows if r["out"]], [r for r in rows if not r["out"]]
-        sets = {r["node"]: np.frombuffer(r["set"], "<u8") for r in rows}
-        key, theirs = rows[0]["key"], np.array([r["bands"] for r in right])
-        outsiders, root = {r["node"] for r in left}, {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        out = []
-        for y in left:
-            own = np.array(y["bands"])
-            first = own[(theirs == own).argmax(axis=1)] == key if right else []
-            for x in (right[i] for i in np.flatnonzero(first)):
-                if x["node"] in outsiders and x["node"] >= y["node"]:
-                    continue  # held against each other the other way round
-                if (p := find(x["label"])) != (q := find(y["label"])) and similar(sets[x["node"]], sets[y["node"]], percent):
-                    root[max(p, q)] = min(p, q)
-                    out.append((x["node"], y["node"]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        nodes = group.column("node").to_pylist()
+        parts = [np.frombuffer(x, "<u8") for x in group.column("difference").to_pylist()]
+        found = between(group.column("size").to_numpy(), group.column("label").to_numpy(), parts, percent)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
     return run
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remaining_links(rows: DataFrame, percent: int, group_bytes: int) -> DataFrame:
+    """Links (a, b) within groups of rows (grp, node, label, size, difference) whose labels differ.
+
+    Differences are from any set that a group shares. A group of bounded size is one cell. In a larger one only
+    nodes outside the most frequent label can have links that matter: blocks of them meet blocks of all nodes."""
+    counts = rows.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum(F.length("difference") + 64).alias("bytes"))
+    groups = counts.groupBy("grp").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("bytes").alias("bytes"))
+    blocks = lambda x: F.ceil(x / group_bytes).cast("int")
+    many, out = blocks(F.col("bytes")), blocks(F.col("bytes") - F.col("most.bytes"))
+    groups = written(groups.where("labels > 1").select("grp", "main", many.alias("many"), F.when(many > 1, out).otherwise(1).alias("out")), "open-groups")
+    rows = rows.join(groups, "grp")
+    block = lambda n: F.pmod(F.xxhash64("node", "grp"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["grp", "node", "label", "size", "difference"]
+    members = rows.select(*columns, block("many").alias("j"), each("out").alias("i"))
+    outsiders = rows.where("many > 1 AND label <> main").select(*columns, block("out").alias("i"), each("many").alias("j"))
+    return members.unionByName(outsiders).groupBy("grp", "i", "j").applyInArrow(tidy(in_group(percent)), "a long, b long")
+
+
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked when 100 * shared shingles >= percent * shingles in
@@ -180,14 +221,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     that it is the row's own. A text with fewer than k words has one shingle,
     the whole sequence; without words, or null, it is linked with nothing. A
     null doc_id has no component and is kept. Rows of equal doc_id are given
-    the component of their own text. An empty table stays empty. A pair at the
-    threshold is missed when no band agrees: below 1e-7 at a similarity of 0.8.
+    the component of their own text. An empty table stays empty; columns other
+    than doc_id and text are ignored. A pair at the threshold is missed when no band agrees: below 1e-7 at a similarity of 0.8.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id IS NOT NULL")
     rows = written(profiles(df, k, doc_id, text), "profiles")
     with_set = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     # a node is a set, not a doc_id: texts of one doc_id can have several sets
-    nodes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size")).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
     node_bands = with_set.join(nodes, "set_key").where("doc_id = least").groupBy("node").agg(F.first("bands").alias("bands"))
     node_bands = written(node_bands, "node-bands")
@@ -196,7 +237,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     hits = written(placed.join(buckets, "key"), "bucket-members")
 
     pairs = hits.where("node <> pivot").select("node", "pivot").distinct()
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
+    sizes = pairs.join(nodes, "node").groupBy("pivot").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
     own = sizes.select(F.col("pivot").alias("node"), F.struct("pivot", "blocks").alias("role"), F.lit(True).alias("itself"))
     others = pairs.join(sizes, "pivot").select("node", F.struct("pivot", "blocks").alias("role"), F.lit(False).alias("itself"))
     roles = own.unionByName(others).groupBy("node").agg(F.collect_list(F.struct("role", "itself")).alias("roles"))  # at most one of each band, and its own
@@ -204,26 +245,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str =
     all_blocks = F.sequence(F.lit(0), F.col("r.role.blocks") - 1)
     one_block = F.array(F.pmod(F.xxhash64("node"), F.col("r.role.blocks")).cast("int"))
     held = held.select("node", "set", F.col("r.role.pivot").alias("pivot"), F.explode(F.when(F.col("r.itself"), all_blocks).otherwise(one_block)).alias("block"))
-    links = written(held.groupBy("pivot", "block").applyInArrow(tidy(against_pivot(percent)), "a long, b long"), "pivot-links")
+    beside = held.groupBy("pivot", "block").applyInArrow(tidy(differences(percent)), "pivot long, node long, size long, linked boolean, difference binary")
+    beside = written(beside, "differences")
+    links = beside.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    labels = components(links, "a", "b")
+    label = F.coalesce("component", "node").alias("label")
+    rest = beside.join(labels, "node", "left").select(F.col("pivot").alias("grp"), "node", label, "size", "difference")
+    links = written(links.unionByName(remaining_links(rest, percent, group_bytes)), "all-links")
     labels = components(links, "a", "b")
-
-    # outsiders: nodes of a bucket that are not in its pivot's component; only they can have untested links
-    member = hits.where("n > 2").join(labels, "node", "left").select("key", "node", "n", "pivot", F.coalesce("component", "node").alias("label"))
-    of_pivot = member.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("label"))).alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    rest = written(member.join(of_pivot.where("lo <> hi").select("key", "first"), "key").withColumn("outsider", F.col("label") != F.col("first")), "open-buckets")
-    if not rest.isEmpty():
-        many = rest.where("outsider").groupBy("key").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("left"))
-        rest = rest.join(many, "key").withColumn("right", F.ceil(F.col("n") / F.lit(GROUP)).cast("int"))
-        block = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        lefts = rest.where("outsider").select("node", "label", "key", block("left").alias("i"), each("right").alias("j"), F.lit(True).alias("out"))
-        rights = rest.select("node", "label", "key", each("left").alias("i"), block("right").alias("j"), F.lit(False).alias("out"))
-        places = lefts.unionByName(rights).select("node", "label", F.struct("key", "i", "j", "out").alias("place"))
-        distinct = places.select("node", "label").distinct().join(node_bands, "node")
-        held = written(with_sets(docs, nodes, distinct, k), "open-sets").join(places.select("node", "place"), "node").select("node", "label", "bands", "set", "place.*")
-        more = held.groupBy("key", "i", "j").applyInArrow(tidy(between_blocks(percent)), "a long, b long")
-        links = written(links.unionByName(more), "all-links")
-        labels = components(links, "a", "b")
     named = labels.join(nodes, "node").select("node", "component", "least")
     reached = named.groupBy("component").agg(F.min("least").alias("reached"))
     out = rows.join(nodes, "set_key", "left").join(labels.join(reached, "component"), "node", "left")

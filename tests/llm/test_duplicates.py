@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from embercast.llm import anchors, minhash, phrases, suffix_dedup
+from embercast.llm import anchors, arrays, minhash, phrases, suffix_dedup
 from embercast.llm.components import components
 from embercast.llm.queries import op6_phrase_automata, op7_induced_suffixes, op10_fast_sketch
 from tests.llm.helpers import WORD, documents, frame, prose
@@ -214,32 +214,86 @@ def near_copies(seed, n, base_words, edits):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates_on_documents(spark, monkeypatch, block):
+SMALL_GROUPS = [(minhash.GROUP_BYTES, minhash.BLOCK_BYTES), (2500, 2000)]
+
+
+@pytest.mark.parametrize(("group", "block"), SMALL_GROUPS)
+def test_near_duplicates_on_documents(spark, monkeypatch, group, block):
     """Edits enough that many members of a bucket are not linked with its smallest, or with one another."""
-    monkeypatch.setattr(minhash, "GROUP", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
     rows = [r[:2] for r in documents(n=60)] + [(3000 + d, t) for d, t in near_copies(1, 40, 150, 8)] + [(5000 + d, t) for d, t in near_copies(2, 30, 6, 1)]
     want = groups(rows, 4, 80)
-    got = minhash.near_duplicates(frame(spark, rows, "doc_id long, text string"), k=4).collect()
+    got = minhash.near_duplicates(frame(spark, rows, "doc_id long, text string"), k=4, group_bytes=group).collect()
     assert len(got) == len(rows)
     ids = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got}
     assert ids == {(d, n, c, d is None or c == d) for (d, _), (n, c) in want.items()}
     assert len({c for _, _, c, _ in ids}) < len(rows) - 40
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_texts_of_one_doc_id_keep_their_own_links(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "GROUP", block)
+@pytest.mark.parametrize(("group", "block"), SMALL_GROUPS)
+def test_texts_of_one_doc_id_keep_their_own_links(spark, monkeypatch, group, block):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
     rng = random.Random(12)
     a, b, c, d = (prose(rng, 80) for _ in range(4))
     rows = [(5, a), (5, b), (5, f"{c} tail"), (9, f"{a} more"), (12, f"{b} more"), (12, d), (3, f"{b} else"), (30, c), (31, f"{d} last"), (40, f"{d} end")]
     rows += [(5 + i % 3, t) for i, (_, t) in enumerate(near_copies(4, 24, 60, 4))]
     want = groups(rows, 4, 80)
-    got = minhash.near_duplicates(frame(spark, rows, "doc_id long, text string"), k=4).collect()
+    got = minhash.near_duplicates(frame(spark, rows, "doc_id long, text string"), k=4, group_bytes=group).collect()
     have = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
     assert have == sorted((i, want[i, t][0], want[i, t][1], want[i, t][1] == i) for i, t in rows)
 
 
+def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Near copies of one text, few of them linked: every table's rows grow in proportion, whatever the paths taken."""
+    made = {}
+
+    def counted(df, name):
+        out = arrays.written(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    rows = []
+    for n in (300, 600):
+        made.clear()
+        few = near_copies(5, n, 60, 3)
+        few = [(i, t) for i, (_, t) in enumerate(few)]
+        want = groups(few, 4, 80)
+        got = minhash.near_duplicates(frame(spark, few, "doc_id long, text string"), k=4).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, want[i, t][1]) for i, t in few}
+        rows.append(dict(made))
+    for name, n in rows[1].items():
+        assert n <= 2.4 * rows[0].get(name, 0) + 50, (name, rows)
+
+
+def test_between_finds_what_all_pairs_find():
+    rng = random.Random(6)
+    for _ in range(60):
+        base = rng.sample(range(10 ** 6), 50)
+        sets = []
+        for _ in range(rng.randint(2, 40)):
+            s = set(base)
+            for _ in range(rng.randint(0, 5)):
+                s.discard(rng.choice(base))
+                s.add(rng.randrange(10 ** 6) if rng.random() < 0.6 else rng.randrange(8))
+            sets.append(s)
+        middle = set(rng.choice(sets)) if rng.random() < 0.8 else set()
+        parts = [np.array(sorted(s ^ middle), np.uint64) for s in sets]
+        labels = np.arange(len(sets))
+        found = minhash.between(np.array([len(s) for s in sets]), labels, parts, 80)
+        assert all(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i, j in found)
+
+        def classes(links, n=len(sets)):
+            root = list(range(n))
+            for _ in range(n):
+                for i, j in links:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert classes(found) == classes(every)
+
+
 def test_sketch_coordinates_agree_with_similarity():
     rng = np.random.default_rng(5)
     for size in (3, 40, 2000):
