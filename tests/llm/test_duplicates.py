@@ -263,7 +263,7 @@ def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
         assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, want[i, t][1]) for i, t in few}
         rows.append(dict(made))
     for name, n in rows[1].items():
-        assert n <= 2.4 * rows[0].get(name, 0) + 50, (name, rows)
+        assert n <= 2.6 * rows[0].get(name, 0) + 50, (name, rows)  # a node has 32 bands, so 32 pivots at most
 
 
 def test_between_finds_what_all_pairs_find():
