@@ -7,12 +7,12 @@ share one window specification, so Spark sorts each site's series once.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import meteo
+from .scan import running_sums
 
 
 def temporal_features(df: DataFrame, date_col: str = "date", style: str = "clean") -> DataFrame:
@@ -94,35 +94,17 @@ def rolling_features(df: DataFrame, value_cols, partition=("site_id",), order: s
     return df.withColumns(new)
 
 
-def _row_numbers(df: DataFrame, partition, order: str, buckets: int) -> DataFrame:
-    """``_rn``: each row's place (from 0) in its series, without a task that holds a whole series:
-    counts per (series, time bucket) give offsets, a window inside each bucket the rest."""
-    at = F.unix_micros(F.col(order).cast("timestamp"))
-    cuts = df.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted({float(x) for x in cuts or [] if x is not None} or {0.0}), float("inf")]
-    timed = df.withColumn("_at", F.coalesce(at.cast("double"), F.lit(-1e300)))  # a NULL time sorts first
-    b = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(timed).drop("_at")
-    counts = b.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_n"))  # at most ``buckets`` rows of a series
-    before = Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias("_k" + c) for c in partition], F.col("_b").alias("_kb"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    same = F.col("_b") == F.col("_kb")
-    for c in partition:
-        same = same & F.col(c).eqNullSafe(F.col("_k" + c))
-    inside = Window.partitionBy(*partition, "_b").orderBy(order)
-    j = b.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets, same)
-    return j.withColumn("_rn", F.col("_rn") + F.col("_off")).select(*df.columns, "_rn")
-
-
 def last_n_stats(df: DataFrame, cols, partition=("station_id",), order: str = "ts", n: int = 100,
-                 block: int = 10_000, buckets: int = 1024) -> DataFrame:
-    """Per reading, the mean of each column over the station's last n readings.
+                 block: int = 10_000, tie=(), partitions: int | None = None) -> DataFrame:
+    """Per reading, the mean of each column over the station's last n readings by ``order``; readings of equal
+    time stand in the order of the ``tie`` columns, which should name a reading.
 
     A station may hold any share of all rows: its series is cut into blocks of
     ``block`` rows (n at least) by row number, the last n - 1 rows of a block
     are copied to the next one as context, and each window task sees one block."""
     partition, block = list(partition), max(block, n)
-    r = _row_numbers(df, partition, order, buckets).withColumn("_block", F.floor(F.col("_rn") / block))
+    r = running_sums(df, {"_rn": F.lit(1)}, partition, [order, *tie], partitions=partitions).withColumn("_rn", F.col("_rn") - 1)
+    r = r.withColumn("_block", F.floor(F.col("_rn") / block))
     carried = F.when(F.col("_rn") % block > block - n, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     r = r.withColumn("_ahead", F.explode(carried)).withColumn("_block", F.col("_block") + F.col("_ahead"))
     w = Window.partitionBy(*partition, "_block").orderBy("_rn").rowsBetween(-(n - 1), 0)

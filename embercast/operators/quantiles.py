@@ -3,104 +3,110 @@ column medians and the median fills).
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges it
 in one final task: for a hot group of continuous values that is an unbounded
-buffer. Here the same linear-interpolation quantile is found with bounded
-pieces only:
-
-1. (group, value) -> count: ties collapse, combined map-side;
-2. the distinct values are cut into B buckets at global approximate quantiles
-   (B-1 numbers on the driver) and bucketed with a binary search;
-3. per group, cumulative bucket counts (<= B rows per group) locate the bucket
-   that holds each target rank;
-4. only those buckets are ranked (a window per (group, bucket), ~1/B of the
-   distinct values each), giving the exact order statistics;
-5. q = v_lo + (v_hi - v_lo) * frac, frac = p * (n - 1) - floor(p * (n - 1)).
-
-There is one path for every size. ``buckets`` comes from the caller: a window
-task holds about distinct values / buckets rows of one group, so a table with
-1e11 distinct values wants 100,000 buckets, not another algorithm.
+buffer. Here an order statistic is found by radix selection on the value's
+order-preserving 64-bit form:
+
+1. count per (group, highest 16 bits); a window over these counts, at most
+   65,536 of a group, finds the prefix that holds each wanted rank;
+2. only rows with such a prefix go on to the next 16 bits, and so on, four
+   times at most;
+3. once the prefixes hold few rows each (``finish``), or all bits are used,
+   the distinct values under them are ranked by a window per prefix;
+4. q = v_lo + (v_hi - v_lo) * frac, frac = p * (n - 1) - floor(p * (n - 1)).
+
+Every step is a combined count, so it is exact for any size, distribution and
+number of ties, with nothing to set. The same source is read once per step.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .scan import same_rows
 
-def _splits(values: DataFrame, buckets: int) -> list[float]:
-    """Bucket edges at global approximate quantiles of the distinct values."""
-    fr = [i / buckets for i in range(1, buckets)]
-    row = values.agg(F.percentile_approx("v", fr, 10 * buckets).alias("q")).first()
-    bounds = sorted(set(float(x) for x in (row["q"] or []) if x is not None))
-    return [float("-inf")] + (bounds or [0.0]) + [float("inf")]
+FINISH = 1 << 20
+BITS = 16
 
 
-def _ranks(df: DataFrame, probs) -> DataFrame:
-    """Per row and probability: pos = p * (n - 1) and its floor / ceil ranks
-    (0-based order statistics), from the group size ``n`` carried on the row."""
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    return df.select("*", F.explode(ps).alias("p")).withColumn("pos", F.col("p") * (F.col("n") - 1)) \
-        .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
-
-
-def _interpolate(hits: DataFrame, by) -> DataFrame:
-    """hits: rows holding the lo and/or hi order statistic -> (*by, p, q)."""
-    stat = hits.groupBy(*by, "p").agg(
-        F.max(F.when(F.col("has_lo"), F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("has_hi"), F.col("v"))).alias("v_hi"),
-        F.first("pos").alias("pos"), F.first("lo").alias("lo"))
-    return stat.select(*by, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo"))
-                                  * (F.col("pos") - F.col("lo"))).alias("q"))
+def ordered_bits(v: Column) -> Column:
+    """A long in the order of the double ``v``: its exponent and 52 mantissa bits, negated below zero
+    (both zeros are 0, NaN is the largest). NULL stays NULL."""
+    a = F.abs(v)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
+    e = guess - (a < F.pow(F.lit(2.0), guess)).cast("double")
+    e = F.greatest(F.lit(-1022.0), F.when((e < 1023) & (a >= F.pow(F.lit(2.0), e + 1)), e + 1).otherwise(e))
+    one = F.lit(float(1 << 52))
+    finite = ((e + 1022) * one).cast("long") + (a / F.pow(F.lit(2.0), e) * one).cast("long")
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52).cast("long")).otherwise(finite)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1).cast("long")).when(v < 0, -size).otherwise(size)
 
 
-def _covers(rank: str, start, end):
-    return (F.col(rank) >= start) & (F.col(rank) < end)
-
-
-def _same_group(a: DataFrame, b: DataFrame, by):
-    """Equal group columns, where NULL is a group of its own (``b`` has them with a leading _)."""
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col("_" + c))
-    return cond
+def _targets(groups: DataFrame, probs, by) -> DataFrame:
+    """(*by, p, frac, rank, is_hi): the ranks (from 0) of the one or two order statistics of each p."""
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    t = groups.select(*by, "n", F.explode(ps).alias("p")).withColumn("_pos", F.col("p") * (F.col("n") - 1))
+    t = t.withColumn("frac", F.col("_pos") - F.floor("_pos"))
+    return t.select(*by, "p", "frac", F.explode(F.array(
+        F.struct(F.floor("_pos").cast("long").alias("rank"), F.lit(False).alias("is_hi")),
+        F.struct(F.ceil("_pos").cast("long").alias("rank"), F.lit(True).alias("is_hi")))).alias("t")).select(*by, "p", "frac", "t.*")
 
 
-def exact_quantiles_long(long: DataFrame, probs, by=(), buckets: int = 1024) -> DataFrame:
-    """``long`` holds (*by, v); returns (*by, p, q) for every group and p."""
+def exact_quantiles_long(long: DataFrame, probs, by=(), finish: int = FINISH) -> DataFrame:
+    """``long`` holds (*by, v); returns (*by, p, q) for every group with a value and every p. NULL values are
+    skipped; a NULL group is a group of its own."""
     by = list(by)
     if not by:  # one global group: a constant key keeps every join an equi-join
-        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], buckets).drop("_g")
-    vc = long.filter(F.col("v").isNotNull()).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    splits = _splits(vc, buckets)
-    b = Bucketizer(splits=splits, inputCol="v", outputCol="_bf").transform(vc) \
-        .withColumn("b", F.col("_bf").cast("int")).drop("_bf")
-    bt = b.groupBy(*by, "b").agg(F.sum("c").alias("bc"))
-    wg = Window.partitionBy(*by).orderBy("b")
-    bt = bt.select(*by, "b", "bc",
-                   F.coalesce(F.sum("bc").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-                   F.sum("bc").over(Window.partitionBy(*by)).alias("n"))
-    # buckets holding each needed rank (bucket table is bounded: <= B rows per group)
-    loc = _ranks(bt, probs)
-    loc = loc.withColumns({"has_lo": _covers("lo", F.col("off"), F.col("off") + F.col("bc")),
-                           "has_hi": _covers("hi", F.col("off"), F.col("off") + F.col("bc"))}) \
-        .filter(F.col("has_lo") | F.col("has_hi")).select(*by, "b", "off", "p", "pos", "lo", "hi")
-    # rank values inside only the buckets that are needed
-    need = loc.select(*[F.col(c).alias("_" + c) for c in by], F.col("b").alias("_b")).distinct()
-    cand = b.join(need, _same_group(b, need, by) & (F.col("b") == F.col("_b")), "left_semi")
-    wb = Window.partitionBy(*by, "b").orderBy("v")
-    cand = cand.withColumn("cum", F.sum("c").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    loc = loc.select(*[F.col(c).alias("_" + c) for c in by], F.col("b").alias("_b"), "off", "p", "pos", "lo", "hi")
-    x = cand.join(loc, _same_group(cand, loc, by) & (F.col("b") == F.col("_b")))
-    start, end = F.col("off") + F.col("cum") - F.col("c"), F.col("off") + F.col("cum")
-    x = x.withColumns({"has_lo": _covers("lo", start, end), "has_hi": _covers("hi", start, end)})
-    return _interpolate(x.filter(F.col("has_lo") | F.col("has_hi")), by)
-
-
-def exact_quantiles(df: DataFrame, cols, probs, by=(), buckets: int = 1024) -> DataFrame:
+        return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], finish).drop("_g")
+    rows = long.filter(F.col("v").isNotNull()).select(*by, ordered_bits(F.col("v")).alias("_bits"), "v")
+    wanted = None  # (*by, x: prefix so far, off: rows of the group before it, ranks that fall into it)
+    for shift in range(64 - BITS, -1, -BITS):
+        digit = F.shiftright("_bits", shift).alias("y")
+        if wanted is None:
+            counts = rows.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("c"))
+            every = Window.partitionBy(*by)
+            counts = cut_lineage(counts.withColumn("off", F.sum("c").over(every.orderBy("y")) - F.col("c")))
+            ranks = _targets(counts.groupBy(*by).agg(F.sum("c").alias("n")), probs, by)
+        else:
+            kept = _under(rows, wanted.select(*by, "x", "off").distinct(), by, shift + BITS)
+            counts = kept.groupBy(*by, "x", "off", digit).agg(F.count(F.lit(1)).alias("c"))
+            inside = Window.partitionBy(*by, "x").orderBy("y")
+            counts = counts.withColumn("off", F.col("off") + F.sum("c").over(inside) - F.col("c")).drop("x")
+            ranks = wanted.select(*by, "p", "frac", "rank", "is_hi")
+        wanted = cut_lineage(_hold(counts.withColumnRenamed("y", "x"), ranks, by))
+        if shift == 0 or (wanted.agg(F.max("c")).first()[0] or 0) <= finish:
+            break
+    values = _under(rows, wanted.select(*by, "x", "off").distinct(), by, shift)
+    values = values.groupBy(*by, "x", "off", "_bits").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
+    inside = Window.partitionBy(*by, "x").orderBy("_bits")
+    values = values.withColumn("off", F.col("off") + F.sum("c").over(inside) - F.col("c")).drop("x", "_bits")
+    found = _hold(values, wanted.select(*by, "p", "frac", "rank", "is_hi"), by)
+    stat = found.groupBy(*by, "p", "frac").agg(
+        F.max(F.when(~F.col("is_hi"), F.col("v"))).alias("lo"), F.max(F.when(F.col("is_hi"), F.col("v"))).alias("hi"))
+    return stat.select(*by, "p", (F.col("lo") + F.when(F.col("lo") == F.col("hi"), F.lit(0.0)).otherwise(
+        (F.col("hi") - F.col("lo")) * F.col("frac"))).alias("q"))
+
+
+def _under(rows: DataFrame, prefixes: DataFrame, by, shift: int) -> DataFrame:
+    """Rows whose bits from ``shift`` on are one of their group's prefixes, with x and off."""
+    p = prefixes.select(*[F.col(c).alias(f"_k_{c}") for c in by], "x", "off")
+    same = same_rows(rows, {c: f"_k_{c}" for c in by}) & (F.shiftright("_bits", shift) == F.col("x"))
+    return rows.join(p, same).select(*rows.columns, "x", "off")
+
+
+def _hold(counts: DataFrame, ranks: DataFrame, by) -> DataFrame:
+    """Each rank beside the row of ``counts`` (off, c, ...) that holds it."""
+    r = ranks.select(*[F.col(c).alias(f"_k_{c}") for c in by], "p", "frac", "rank", "is_hi")
+    inside = (F.col("rank") >= F.col("off")) & (F.col("rank") < F.col("off") + F.col("c"))
+    return counts.join(r, same_rows(counts, {c: f"_k_{c}" for c in by}) & inside).select(*counts.columns, "p", "frac", "rank", "is_hi")
+
+
+def exact_quantiles(df: DataFrame, cols, probs, by=(), finish: int = FINISH) -> DataFrame:
     """(*by, column_name, p, q) for each column: the columns are stacked into one
     long table so that all of them share one pass."""
     by = list(by)
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x")) \
         .select(*by, "_x.column_name", "_x.v")
-    return exact_quantiles_long(long, probs, by + ["column_name"], buckets)
+    return exact_quantiles_long(long, probs, by + ["column_name"], finish)

@@ -2,10 +2,11 @@
 
 Membership is a pure function of the row key and the seed: ``md5(key|seed)``.
 Exact per-class counts need each row's rank by hash within its class; a window
-per class would put the majority class (most rows) into one task, so the rank
-is a two-level prefix: counts per (class, 16-bit hash prefix) -> offsets from
-that bounded table -> rank inside each (class, prefix) bucket, which holds
-about n / 16**prefix_hex rows whatever the class sizes (a caller's parameter).
+per class would put the majority class (most rows) into one task, so the rank is
+a running count by ``scan.running_sums``.
+
+A row without a class (J1 makes NULL labels on purpose) stays in the table, in
+neither part and in no fold: ``is_test`` and ``fold`` are NULL, its weight is 0.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_sums, same_rows
+
 
 def row_hash(keys, seed: int) -> Column:
     """md5 hex of ``key1|key2|...|seed`` (same text in Spark and DuckDB)."""
@@ -20,48 +23,38 @@ def row_hash(keys, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def class_rank(df: DataFrame, target: str, keys, seed: int = 42, prefix_hex: int = 4) -> DataFrame:
-    """Adds ``_h`` (md5), ``_rank`` (1-based rank by ``_h`` within the class)
-    and ``_n_class`` (class size). ``prefix_hex`` hex digits form the buckets:
-    a window task holds about n / 16**prefix_hex rows (every caller passes it on)."""
-    h = df.withColumn("_h", row_hash(keys, seed)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int"))
-    counts = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_cnt"))  # <= classes x 16**prefix_hex rows
-    wc = Window.partitionBy(target).orderBy("_b")
-    offs = counts.select(
-        target, "_b",
-        F.coalesce(F.sum("_cnt").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(target)).alias("_n_class"))
-    wr = Window.partitionBy(target, "_b").orderBy("_h")
-    return h.join(offs, [target, "_b"]).withColumn("_rank", F.row_number().over(wr) + F.col("_off")) \
-            .drop("_b", "_off")
+def class_rank(df: DataFrame, target: str, keys, seed: int = 42) -> DataFrame:
+    """Adds ``_h`` (md5), ``_rank`` (1-based rank by ``_h``, then the keys, within the class)
+    and ``_n_class`` (class size)."""
+    one = F.lit(1)
+    return running_sums(df.withColumn("_h", row_hash(keys, seed)), {"_rank": one}, [target], ["_h", *keys], {"_n_class": one})
 
 
 def stratified_split(df: DataFrame, target: str, keys, test_size: float = 0.2, seed: int = 42,
-                     exact: bool = True, prefix_hex: int = 4) -> DataFrame:
+                     exact: bool = True) -> DataFrame:
     """Adds ``is_test``. ``exact``: per class exactly round(test_size * n_c)
     rows, the lowest hashes. ``exact=False``: hash threshold on the first 32
-    bits (map-only, no shuffle; class shares exact in expectation)."""
+    bits (map-only, no shuffle; class shares exact in expectation). NULL class: NULL."""
+    has_class = F.col(target).isNotNull()
     if not exact:
         bits = F.conv(F.substring(row_hash(keys, seed), 1, 8), 16, 10).cast("long")
-        return df.withColumn("is_test", bits < F.lit(int(test_size * 2 ** 32)))
-    r = class_rank(df, target, keys, seed, prefix_hex)
+        return df.withColumn("is_test", F.when(has_class, bits < F.lit(int(test_size * 2 ** 32))))
+    r = class_rank(df, target, keys, seed)
     n_test = F.round(F.lit(float(test_size)) * F.col("_n_class"))
-    return r.withColumn("is_test", F.col("_rank") <= n_test).drop("_h", "_rank", "_n_class")
+    return r.withColumn("is_test", F.when(has_class, F.col("_rank") <= n_test)).drop("_h", "_rank", "_n_class")
 
 
-def stratified_folds(df: DataFrame, target: str, keys, k: int = 4, seed: int = 42,
-                     prefix_hex: int = 4) -> DataFrame:
+def stratified_folds(df: DataFrame, target: str, keys, k: int = 4, seed: int = 42) -> DataFrame:
     """M4: ``fold`` = (rank within class by hash - 1) mod k: every fold gets
-    each class in equal shares (+-1)."""
-    r = class_rank(df, target, keys, seed, prefix_hex)
-    return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_n_class")
+    each class in equal shares (+-1). NULL class: NULL."""
+    r = class_rank(df, target, keys, seed)
+    return r.withColumn("fold", F.when(F.col(target).isNotNull(), ((F.col("_rank") - 1) % k).cast("int"))).drop("_h", "_rank", "_n_class")
 
 
 def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    """C10 "balanced": weight = n / (n_classes * n_c). The per-class table is
-    joined back without a hint: AQE broadcasts it when it is small."""
-    c = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nc"))
-    w = c.select(target, (F.sum("_nc").over(Window.partitionBy()).cast("double")
-                          / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc"))).alias(out))
-    return df.join(w, [target], "left")
+    """C10 "balanced": weight = n / (n_classes * n_c), over the rows that have a class; a row without one weighs 0.
+    The per-class table is joined back without a hint: AQE broadcasts it when it is small."""
+    c = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_nc"))
+    w = c.select("_class", (F.sum("_nc").over(Window.partitionBy()).cast("double")
+                            / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc"))).alias("_w"))
+    return df.join(w, same_rows(df, {target: "_class"}), "left").withColumn(out, F.coalesce("_w", F.lit(0.0))).drop("_class", "_w")

@@ -160,15 +160,15 @@ def test_readings_of_equal_time_have_an_order(spark):
     assert SF.endswith("sf0.001")
 
 
-@pytest.mark.parametrize("block,buckets", [(10, 4), (7, 16), (10_000, 1024)])
-def test_last_n_of_a_hot_station_in_blocks(spark, block, buckets):
+@pytest.mark.parametrize("block,partitions", [(10, 4), (7, 16), (10_000, 1)])
+def test_last_n_of_a_hot_station_in_blocks(spark, block, partitions):
     from embercast.operators import features
 
     rows = [(1, i, float(i * i % 17)) for i in range(200)] + [(k, i, float(i)) for k in (2, None) for i in range(5)]
     df = spark.createDataFrame(rows, "station_id int, sec int, v double").select(
         "station_id", F.timestamp_seconds(F.col("sec") * 60).alias("ts"), "v", "sec").repartition(5)
     got = {(r["station_id"], r["sec"]): (r["avg_v_last7"], r["readings_last7"])
-           for r in features.last_n_stats(df, ["v"], n=7, block=block, buckets=buckets).collect()}
+           for r in features.last_n_stats(df, ["v"], n=7, block=block, partitions=partitions).collect()}
     assert len(got) == len(rows)
     for k in (1, 2, None):
         own = [v for s, _, v in rows if s == k]

@@ -43,23 +43,23 @@ def test_fx9(spark):
     assert math.isclose(curves.average_precision(df).first()[0], 0.5 * 1 + 0.5 * (2 / 3))
 
 
-@pytest.mark.parametrize("buckets", [2, 3, 7, 1024])
-def test_sweep_equals_brute_force(spark, buckets):
-    rng = random.Random(buckets)
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40])
+def test_sweep_equals_brute_force(spark, partitions):
+    rng = random.Random(partitions)
     ys = [rng.randint(0, 1) for _ in range(300)]
     ps = [round(rng.random(), 2) for _ in range(300)]  # heavy ties
     df = _df(spark, ys, ps)
-    s = sorted(((r.score, r.tps, r.fps) for r in curves.score_sweep(df, buckets=buckets).collect()),
+    s = sorted(((r.score, r.tps, r.fps) for r in curves.score_sweep(df, partitions=partitions).collect()),
                key=lambda x: -x[0])
     assert s == brute_curve(ys, ps)
-    assert math.isclose(curves.roc_auc(df, buckets=buckets).first()[0], brute_auc(ys, ps), rel_tol=1e-12)
-    assert math.isclose(curves.average_precision(df, buckets=buckets).first()[0], brute_ap(ys, ps), rel_tol=1e-9)
+    assert math.isclose(curves.roc_auc(df, partitions=partitions).first()[0], brute_auc(ys, ps), rel_tol=1e-12)
+    assert math.isclose(curves.average_precision(df, partitions=partitions).first()[0], brute_ap(ys, ps), rel_tol=1e-9)
 
 
 def test_roc_drops_collinear_points(spark):
     # scores 0.9, 0.8, 0.7 are all positives: the middle point is collinear and dropped
     ys, ps = [1, 1, 1, 0, 0], [0.9, 0.8, 0.7, 0.6, 0.5]
-    pts = sorted(((r.threshold, r.fpr, r.tpr) for r in curves.roc_points(_df(spark, ys, ps), buckets=2).collect()),
+    pts = sorted(((r.threshold, r.fpr, r.tpr) for r in curves.roc_points(_df(spark, ys, ps), partitions=2).collect()),
                  key=lambda x: -x[0])
     assert pts == [(1.9, 0.0, 0.0), (0.9, 0.0, 1 / 3), (0.7, 0.0, 1.0), (0.5, 1.0, 1.0)]
 

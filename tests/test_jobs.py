@@ -90,12 +90,12 @@ def test_results_invariant_to_partitioning(spark, parts):
     try:
         shuffled = df.repartition(parts, F.rand(seed=parts))
         dd = sorted(tuple(r) for r in clean.dedup_first(shuffled, ("site_id", "date"), "ingest_seq").collect())
-        auc = curves.roc_auc(shuffled, "y", "prob", buckets=5).first()[0]
+        auc = curves.roc_auc(shuffled, "y", "prob", partitions=5).first()[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     base_dd = sorted(tuple(r) for r in clean.dedup_first(df, ("site_id", "date"), "ingest_seq").collect())
     assert dd == base_dd
-    assert auc == curves.roc_auc(df, "y", "prob", buckets=3).first()[0]
+    assert auc == curves.roc_auc(df, "y", "prob", partitions=3).first()[0]
 
 
 def test_model_sweep_with_cv(spark):
