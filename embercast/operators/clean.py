@@ -23,7 +23,7 @@ def dedup_first(df: DataFrame, keys=("site_id", "date"), order: str = "ingest_se
     fall to the lowest of the other columns, so the result doesn't depend on
     the order of arrival.
 
-    Expressed as an aggregation (``min_by`` over a struct of the row), not a
+    Expressed as an aggregation (``min`` of a struct of the row), not a
     window: the aggregation combines map-side, so a hot key that holds a third of
     all rows is reduced inside every map task before the shuffle.
     """
@@ -46,8 +46,8 @@ def sort_chronological(df: DataFrame, date_col: str = "date", tie=("site_id",))
 
 def _medians(df: DataFrame, cols, approx: bool) -> dict:
     """Fit: the median of each column as a literal (one row per column comes
-    back to the driver). Exact medians use the distributed two-level
-    quantile, so no task holds a whole column."""
+    back to the driver). Exact medians come from radix selection, so no task
+    holds a whole column."""
     if approx:
         return scalars(df.agg(*[F.percentile_approx(F.col(c), 0.5, 100000).cast("double").alias(c) for c in cols]))
     got = {r.column_name: r.q for r in exact_quantiles(df, cols, [0.5]).collect()}
@@ -59,8 +59,9 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     """Forward fill, then backward fill within each series, then the column's
     global median. Numeric columns only; the target is never touched.
 
-    The exact median is the distributed two-level quantile (no task holds a
-    whole column); ``approx_median=True`` uses a bounded sketch instead.
+    The median fills a series that has no value at all, so it is only made for
+    the columns that have such a series (one combined count tells). It is exact
+    (``quantiles``); ``approx_median=True`` uses a bounded sketch instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *partition])
     part = [F.col(p) for p in partition]
@@ -69,10 +70,12 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     # current..unbounded-following frame is re-aggregated for every row (quadratic per series)
     ahead = Window.partitionBy(*part).orderBy(F.col(order).desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    med = _medians(df, cols, approx_median)
+    known = df.groupBy(*part).agg(*[F.count(c).alias(c) for c in cols]).agg(*[F.min(c).alias(c) for c in cols]).first()
+    empty = [c for c in cols if known[c] == 0]
+    med = _medians(df, empty, approx_median) if empty else {}
     filled = {
-        c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back),
-                      F.last(c, ignorenulls=True).over(ahead), med[c].cast(df.schema[c].dataType))
+        c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead),
+                      *([med[c].cast(df.schema[c].dataType)] if c in med else []))
         for c in cols
     }
     return df.withColumns(filled)

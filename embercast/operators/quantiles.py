@@ -3,19 +3,20 @@ column medians and the median fills).
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges it
 in one final task: for a hot group of continuous values that is an unbounded
-buffer. Here an order statistic is found by radix selection on the value's
-order-preserving 64-bit form:
-
-1. count per (group, highest 16 bits); a window over these counts, at most
-   65,536 of a group, finds the prefix that holds each wanted rank;
-2. only rows with such a prefix go on to the next 16 bits, and so on, four
-   times at most;
-3. once the prefixes hold few rows each (``finish``), or all bits are used,
-   the distinct values under them are ranked by a window per prefix;
+buffer. Here an order statistic is found by radix selection:
+
+1. count per (group, sixteenth of an octave of the value, by its sign); a window
+   over these counts, bounded by the exponents that doubles have, finds the cell
+   that holds each wanted rank;
+2. only rows in such a cell go on; it is cut into 65,536 equal cells between its
+   least and largest value, and so on, three times at most (an octave has 2**52
+   doubles);
+3. once the wanted cells hold few rows each (``finish``), or no cut is left, the
+   distinct values in them are ranked by a window per cell;
 4. q = v_lo + (v_hi - v_lo) * frac, frac = p * (n - 1) - floor(p * (n - 1)).
 
 Every step is a combined count, so it is exact for any size, distribution and
-number of ties, with nothing to set. The same source is read once per step.
+number of ties, with nothing to set. The source is read once per step.
 """
 
 from __future__ import annotations
@@ -27,20 +28,18 @@ from ..session import cut_lineage
 from .scan import same_rows
 
 FINISH = 1 << 20
-BITS = 16
+CELLS, CUTS = 1 << 16, 3
 
 
-def ordered_bits(v: Column) -> Column:
-    """A long in the order of the double ``v``: its exponent and 52 mantissa bits, negated below zero
-    (both zeros are 0, NaN is the largest). NULL stays NULL."""
-    a = F.abs(v)
-    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double")))
-    e = guess - (a < F.pow(F.lit(2.0), guess)).cast("double")
-    e = F.greatest(F.lit(-1022.0), F.when((e < 1023) & (a >= F.pow(F.lit(2.0), e + 1)), e + 1).otherwise(e))
-    one = F.lit(float(1 << 52))
-    finite = ((e + 1022) * one).cast("long") + (a / F.pow(F.lit(2.0), e) * one).cast("long")
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52).cast("long")).otherwise(finite)
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1).cast("long")).when(v < 0, -size).otherwise(size)
+def octave(v: Column) -> Column:
+    """The sixteenth of an octave that ``v`` lies in, in the order of the values (zeros: 0, NaN: the largest)."""
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1025.0)) * 16).cast("int") + 20_000
+    return F.when(F.isnan(v), F.lit(1 << 20)).when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size)
+
+
+def cell(v: Column) -> Column:
+    """The one of CELLS equal parts between lo and hi that ``v`` lies in: never falls as v grows."""
+    return F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS).cast("int"))
 
 
 def _targets(groups: DataFrame, probs, by) -> DataFrame:
@@ -59,28 +58,21 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), finish: int = FINISH) ->
     by = list(by)
     if not by:  # one global group: a constant key keeps every join an equi-join
         return exact_quantiles_long(long.withColumn("_g", F.lit(0)), probs, ["_g"], finish).drop("_g")
-    rows = long.filter(F.col("v").isNotNull()).select(*by, ordered_bits(F.col("v")).alias("_bits"), "v")
-    wanted = None  # (*by, x: prefix so far, off: rows of the group before it, ranks that fall into it)
-    for shift in range(64 - BITS, -1, -BITS):
-        digit = F.shiftright("_bits", shift).alias("y")
-        if wanted is None:
-            counts = rows.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("c"))
-            every = Window.partitionBy(*by)
-            counts = cut_lineage(counts.withColumn("off", F.sum("c").over(every.orderBy("y")) - F.col("c")))
-            ranks = _targets(counts.groupBy(*by).agg(F.sum("c").alias("n")), probs, by)
-        else:
-            kept = _under(rows, wanted.select(*by, "x", "off").distinct(), by, shift + BITS)
-            counts = kept.groupBy(*by, "x", "off", digit).agg(F.count(F.lit(1)).alias("c"))
-            inside = Window.partitionBy(*by, "x").orderBy("y")
-            counts = counts.withColumn("off", F.col("off") + F.sum("c").over(inside) - F.col("c")).drop("x")
-            ranks = wanted.select(*by, "p", "frac", "rank", "is_hi")
-        wanted = cut_lineage(_hold(counts.withColumnRenamed("y", "x"), ranks, by))
-        if shift == 0 or (wanted.agg(F.max("c")).first()[0] or 0) <= finish:
+    rows = long.filter(F.col("v").isNotNull()).select(*by, "v")
+    extent = [F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    counts = rows.groupBy(*by, octave(F.col("v")).alias("y")).agg(*extent)
+    counts = cut_lineage(counts.withColumn("off", F.sum("c").over(Window.partitionBy(*by).orderBy("y")) - F.col("c")).drop("y"))
+    ranks = _targets(counts.groupBy(*by).agg(F.sum("c").alias("n")), probs, by)
+    for cut in range(CUTS + 1):
+        wanted = _hold(counts, ranks, by)  # a row for each rank: the cell that holds it
+        if cut == CUTS or (wanted.agg(F.max("c")).first()[0] or 0) <= finish:
             break
-    values = _under(rows, wanted.select(*by, "x", "off").distinct(), by, shift)
-    values = values.groupBy(*by, "x", "off", "_bits").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
-    inside = Window.partitionBy(*by, "x").orderBy("_bits")
-    values = values.withColumn("off", F.col("off") + F.sum("c").over(inside) - F.col("c")).drop("x", "_bits")
+        inside = _inside(rows, wanted, by).groupBy(*by, "lo", "off", cell(F.col("v")).alias("y")).agg(extent[0], F.min("v").alias("_lo"), F.max("v").alias("hi"))
+        off = F.col("off") + F.sum("c").over(Window.partitionBy(*by, "lo").orderBy("y")) - F.col("c")
+        counts = cut_lineage(inside.withColumn("off", off).drop("lo", "y").withColumnRenamed("_lo", "lo"))
+        ranks = wanted.select(*by, "p", "frac", "rank", "is_hi")
+    values = _inside(rows, wanted, by).groupBy(*by, "lo", "off", "v").agg(extent[0])
+    values = values.withColumn("off", F.col("off") + F.sum("c").over(Window.partitionBy(*by, "lo").orderBy("v")) - F.col("c")).drop("lo")
     found = _hold(values, wanted.select(*by, "p", "frac", "rank", "is_hi"), by)
     stat = found.groupBy(*by, "p", "frac").agg(
         F.max(F.when(~F.col("is_hi"), F.col("v"))).alias("lo"), F.max(F.when(F.col("is_hi"), F.col("v"))).alias("hi"))
@@ -88,11 +80,11 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), finish: int = FINISH) ->
         (F.col("hi") - F.col("lo")) * F.col("frac"))).alias("q"))
 
 
-def _under(rows: DataFrame, prefixes: DataFrame, by, shift: int) -> DataFrame:
-    """Rows whose bits from ``shift`` on are one of their group's prefixes, with x and off."""
-    p = prefixes.select(*[F.col(c).alias(f"_k_{c}") for c in by], "x", "off")
-    same = same_rows(rows, {c: f"_k_{c}" for c in by}) & (F.shiftright("_bits", shift) == F.col("x"))
-    return rows.join(p, same).select(*rows.columns, "x", "off")
+def _inside(rows: DataFrame, wanted: DataFrame, by) -> DataFrame:
+    """Rows whose value lies in a wanted cell of their group (cells don't overlap), with the cell's lo, hi and off."""
+    cells = wanted.select(*[F.col(c).alias(f"_k_{c}") for c in by], "lo", "hi", "off").distinct()
+    same = same_rows(rows, {c: f"_k_{c}" for c in by}) & F.col("v").between(F.col("lo"), F.col("hi"))
+    return rows.join(cells, same).select(*rows.columns, "lo", "hi", "off")
 
 
 def _hold(counts: DataFrame, ranks: DataFrame, by) -> DataFrame:
