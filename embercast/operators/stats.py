@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric_columns
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 
 
@@ -166,6 +167,7 @@ def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float =
     q = _quantile_table(df, [col], [0.25, 0.5, 0.75], by=(by,), approx=approx)
     q = q.select(by, F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"), F.col("q0_75").alias("q3")) \
          .withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = cut_lineage(q)  # a row for each group, read twice
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
     x = F.col(col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import fit_row, numeric_columns
-from ..operators import clean, curves, features, hotspots, scale, scoring, split, train
+from ..operators import clean, curves, features, forest, hotspots, scale, scoring, split, train
 from ..session import cut_lineage
 from ..sources import files, sinks
 
@@ -120,3 +120,31 @@ def evaluation_job(model, test: DataFrame, target: str = fixed.TARGET, metrics_p
     if report_path:
         sinks.write_report(rep, report_path)
     return m, rep, curves.confusion(scored, "y", "pred"), curves.roc_points(scored, "y", "prob")
+
+
+def candidates(n_iter: int, seed: int = 42, space=None, trees_divided_by: int = 1) -> list[forest.Settings]:
+    """M3: sampled settings, every parameter of the space applied."""
+    return [forest.Settings(trees=max(1, c["n_estimators"] // trees_divided_by), max_depth=c["max_depth"], min_split=c["min_samples_split"],
+                            min_leaf=c["min_samples_leaf"], max_features=c["max_features"], bootstrap=c["bootstrap"],
+                            class_weight=c["class_weight"], seed=seed) for c in train.sample_search_space(n_iter, seed, space)]
+
+
+def training_job(df: DataFrame, features_cols=VALUES, target: str = fixed.TARGET, keys=("site_id", "date"), n_iter: int = 20, folds: int = 4,
+                 seed: int = 42, space=None, trees_divided_by: int = 1) -> dict:
+    """X5 on the hash-seeded forest: split (C9) -> scaling fitted on the training rows (C5) -> stratified folds (M4) ->
+    search over candidates x folds in shared passes (M3) -> best refitted -> test rows scored and evaluated (V1-V5).
+
+    Returns forest, leaderboard (with each candidate's settings), test (scored), metrics, report, confusion, roc."""
+    s = split.stratified_split(df, target, keys, 0.2, seed)
+    s = scale.standard_scale(s, list(features_cols), fit_on=s.filter(~F.col("is_test")))
+    s = cut_lineage(s)  # the folds, the search, the refit and the scores read it
+    tr = cut_lineage(split.stratified_folds(s.filter(~F.col("is_test")), target, keys, folds, seed))
+    options = candidates(n_iter, seed, space, trees_divided_by)
+    model, board = forest.search(tr, features_cols, target, keys, options, "fold", folds)
+    rows = [(i, c.trees, c.max_depth, c.min_split, c.min_leaf, str(c.max_features), c.bootstrap, c.class_weight) for i, c in enumerate(options)]
+    names = "candidate int, trees int, max_depth int, min_split int, min_leaf int, max_features string, bootstrap boolean, class_weight string"
+    board = board.join(df.sparkSession.createDataFrame(rows, names), "candidate").orderBy(F.desc("mean_f1"), "candidate")
+    test = model.score(s.filter(F.col("is_test")).select(*keys, target, *features_cols), "prob")
+    test = cut_lineage(test.withColumns({"y": F.col(target), "pred": (F.col("prob") > 0.5).cast("int")}))
+    return {"forest": model, "leaderboard": board, "test": test, "metrics": curves.metrics(test), "report": curves.report(test),
+            "confusion": curves.confusion(test), "roc": curves.roc_points(test)}
