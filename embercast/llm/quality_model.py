@@ -3,13 +3,11 @@
 A document's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by
 half, so that every byte is covered and no pattern is lost at a cut. Learned
 filters run over byte embeddings inside each chunk (width ``WIDTH``, stride
-``STRIDE``). A second bank looks at repetition: for each lag it takes the share
-of bytes equal to the byte that many places before, over short windows, and
-the largest over all lags. Each
-filter is max-pooled over its chunk; a learned layer turns the pooled values
-into one logit per chunk, and the mean of the logits over all chunks gives the
-document's probability. Embeddings, filters and weights are learned together
-by Adam on the log loss.
+``STRIDE``). Each filter is max-pooled over its chunk; a learned layer turns the
+pooled values into one logit per chunk, and the mean of the logits over all
+chunks gives the document's probability. Embeddings, filters and weights are
+learned together by Adam on the log loss. An epoch takes some chunks of each
+document, other ones each time, so that all have been learned from at the end.
 """
 
 from __future__ import annotations
@@ -25,8 +23,7 @@ from pyspark.sql import functions as F
 from embercast.llm.arrays import schema_with, slices, utf8, with_columns
 
 CHUNK, HOP = 512, 256
-EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 16
-LAGS, LAG_WINDOW = range(2, 26), 32
+EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 2, 16
 
 
 @dataclass
@@ -34,7 +31,7 @@ class Network:
     embed: np.ndarray  # (256, EMBED)
     filters: np.ndarray  # (WIDTH * EMBED, FILTERS)
     offset: np.ndarray  # (FILTERS,)
-    weights: np.ndarray  # (FILTERS + 1,) the last is for repetition
+    weights: np.ndarray  # (FILTERS,)
     bias: np.ndarray  # (1,)
 
     def parts(self) -> list[np.ndarray]:
@@ -54,17 +51,6 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(inside, padded[np.minimum(at, len(data))], np.uint8(0)), rows
 
 
-def repetition(x: np.ndarray) -> np.ndarray:
-    """For each chunk the mean over its windows of the largest share, over lags, of bytes equal to the byte one lag before."""
-    n = CHUNK // LAG_WINDOW - 1
-    filled = x[:, -n * LAG_WINDOW:].reshape(len(x), n, LAG_WINDOW)[:, :, -1] != 0
-    best = np.zeros((len(x), n), np.int32)
-    for lag in LAGS:
-        same = x[:, -n * LAG_WINDOW:] == x[:, CHUNK - n * LAG_WINDOW - lag:CHUNK - lag]
-        best = np.maximum(best, same.reshape(len(x), n, LAG_WINDOW).sum(axis=2, dtype=np.int32))
-    return ((best * filled).sum(axis=1) / (LAG_WINDOW * np.maximum(1, filled.sum(axis=1)))).astype(np.float32)
-
-
 def windows(net: Network, x: np.ndarray) -> np.ndarray:
     n = (x.shape[1] - WIDTH) // STRIDE + 1
     e = net.embed[x].reshape(len(x), -1)
@@ -81,7 +67,7 @@ def pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunk_logits(net: Network, x: np.ndarray) -> np.ndarray:
     h = np.maximum(pooled(net, x)[0], 0)
-    return h @ net.weights[:-1] + repetition(x) * net.weights[-1] + net.bias[0]
+    return h @ net.weights + net.bias[0]
 
 
 def scores(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 512) -> np.ndarray:
@@ -93,33 +79,39 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray, most: int = 512)
     return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
 
-def fit(x: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Learn from chunks ``x`` of documents ``rows`` (ascending) with 0/1 ``labels`` by document."""
+def drawn(n: int, epoch: int, epochs: int, most: int, order: np.ndarray) -> np.ndarray:
+    """The chunks of a document with n that an epoch takes: ``most``, or as many as all epochs need to take each one."""
+    k = min(n, max(most, -(-n // epochs)))
+    return order[(epoch * k + np.arange(k)) % n]
+
+
+def fit(x: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7, chunks_an_epoch: int = 8) -> Network:
+    """Learn from all chunks ``x`` of documents ``rows`` (ascending) with 0/1 ``labels`` by document."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)).astype(np.float32),
-        np.zeros(FILTERS, np.float32), np.append(rng.normal(0, 0.1, FILTERS), -1).astype(np.float32), np.zeros(1, np.float32),
+        np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), np.zeros(1, np.float32),
     )
     first = np.searchsorted(rows, np.arange(len(labels) + 1))
-    repeats = repetition(x) if len(x) else np.zeros(0, np.float32)
+    orders = [rng.permutation(n) for n in np.diff(first).tolist()]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     positive = max(1, labels.sum())
     balance = np.where(labels == 1, len(labels) / (2 * positive), len(labels) / (2 * max(1, len(labels) - positive)))
     step = 0
-    for _ in range(epochs if len(labels) else 0):
+    for epoch in range(epochs if len(labels) else 0):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
             docs = order[at:at + batch]
-            take = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            own = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
+            parts = [first[d] + drawn(len(orders[d]), epoch, epochs, chunks_an_epoch, orders[d]) for d in docs]
+            take, own = np.concatenate(parts), np.repeat(np.arange(len(docs)), [len(p) for p in parts])
             size = np.bincount(own, minlength=len(docs))
-            xb, rb = x[take], repeats[take]
+            xb = x[take]
             z, place = pooled(net, xb)
             h = np.maximum(z, 0)
-            logit = np.bincount(own, h @ net.weights[:-1] + rb * net.weights[-1] + net.bias[0], len(docs)) / size
+            logit = np.bincount(own, h @ net.weights + net.bias[0], len(docs)) / size
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             g = ((p - labels[docs]) * balance[docs] / len(docs) / size)[own].astype(np.float32)
-            gh = (g[:, None] * net.weights[:-1]) * (z > 0)
+            gh = (g[:, None] * net.weights) * (z > 0)
             w = windows(net, xb)
             chosen = np.take_along_axis(w, place[:, :, None], 1)  # (chunks, FILTERS, WIDTH * EMBED)
             g_filters = np.einsum("cf,cfk->kf", gh, chosen)
@@ -128,7 +120,7 @@ def fit(x: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs: int = 12, b
             byte_at = place[:, :, None] * STRIDE + np.arange(WIDTH)
             bytes_in = np.take_along_axis(xb, byte_at.reshape(len(xb), -1), 1).reshape(-1)
             np.add.at(g_embed, bytes_in, g_in.reshape(-1, EMBED))
-            grads = [g_embed, g_filters, gh.sum(0), np.append(h.T @ g, g @ rb), np.array([g.sum()])]
+            grads = [g_embed, g_filters, gh.sum(0), h.T @ g, np.array([g.sum()])]
             step += 1
             for part, grad, (m, v) in zip(net.parts(), grads, moments, strict=True):
                 m += 0.1 * (grad - m)
@@ -137,33 +129,23 @@ def fit(x: np.ndarray, rows: np.ndarray, labels: np.ndarray, epochs: int = 12, b
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_at_most: int = 3000, chunks_of_each: int = 12, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """Fit on at most ``rows_at_most`` labelled documents, those with the smallest hashes of their id,
-    and ``chunks_of_each`` chunks spread evenly over each; both bounds hold the sample, whatever the tables' size.
+def train(docs: DataFrame, labels: DataFrame, rows_at_most: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
+    """Fit on the whole texts of at most ``rows_at_most`` labelled documents, those with the smallest hashes of
+    their id; that bound holds the sample, whatever the tables' size.
 
-    Rows without a label, a label other than 0 and 1, or a null id are left out. With no labels at all
-    the network gives every document about the same score.
+    Rows without a label, a label other than 0 and 1, or a null id are left out; of several texts of
+    one id the first in order counts. Null and empty texts are one chunk of padding. With no labels at
+    all, or an empty table, the network gives every document about the same score. Other columns are ignored.
     """
     key = F.col(doc_id).cast("string")
     marked = labels.where(F.col(label).isin(0, 1) & key.isNotNull()).groupBy(key.alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     marked = marked.orderBy(F.xxhash64("_k"), "_k").limit(rows_at_most)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t"):
-            x, rows = chunks(*utf8(batch.column("_t")))
-            first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            data = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                some = np.unique(np.linspace(a, b - 1, min(chunks_of_each, b - a)).round().astype(int))
-                data.append(x[some].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), pa.array(data, pa.binary())], names=["k", "y", "x"])
-
     found = docs.select(key.alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(marked), "_k")
-    sample = found.select("_k", "_y", "_t").mapInArrow(run, "k string, y int, x binary").limit(2 * rows_at_most).collect()
-    sample = sorted(sample, key=lambda r: (r["k"], r["x"]))
-    x = np.frombuffer(b"".join(r["x"] for r in sample), np.uint8).reshape(-1, CHUNK)
-    rows = np.repeat(np.arange(len(sample)), [len(r["x"]) // CHUNK for r in sample])
-    return fit(x, rows, np.array([r["y"] for r in sample], np.int64))
+    sample = found.groupBy("_k").agg(F.first("_y").alias("y"), F.min("_t").alias("t")).collect()  # rows_at_most rows
+    sample = sorted(((r["_k"], r["t"].encode(), r["y"]) for r in sample), key=lambda r: r[0])
+    texts = np.frombuffer(b"".join(t for _, t, _ in sample), np.uint8)
+    x, rows = chunks(texts, np.cumsum([0, *(len(t) for _, t, _ in sample)]))
+    return fit(x, rows, np.array([y for _, _, y in sample], np.int64))
 
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:

@@ -128,13 +128,21 @@ def test_chunks_cover_every_byte():
 
 def test_gradient_learns_a_pattern():
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(list("abcdefgh ")) for _ in range(700)) for _ in range(200)]
-    texts = [t if i % 2 else t[:300] + "QZ!" + t[300:] for i, t in enumerate(texts)]
+    texts = ["".join(rng.choice(list("abcdefgh ")) for _ in range(700)) for _ in range(600)]
+    at = rng.integers(0, 690, len(texts))  # any alignment
+    texts = [t if i % 2 else t[:at[i]] + "QZ!" + t[at[i]:] for i, t in enumerate(texts)]
     x, rows = quality_model.chunks(*utf8(pa.array(texts)))
-    labels = np.arange(200) % 2
-    net = quality_model.fit(x[rows < 150], rows[rows < 150], labels[:150], epochs=15)
-    s = quality_model.scores(net, *utf8(pa.array(texts[150:])))
-    assert ((s >= 0.5) == labels[150:]).mean() > 0.9
+    labels = np.arange(600) % 2
+    net = quality_model.fit(x[rows < 450], rows[rows < 450], labels[:450], epochs=15)
+    s = quality_model.scores(net, *utf8(pa.array(texts[450:])))
+    assert ((s >= 0.5) == labels[450:]).mean() > 0.9
+
+
+def test_all_chunks_are_learned_from():
+    for n, epochs, most in [(1, 12, 8), (5, 12, 8), (8, 3, 8), (97, 12, 8), (1000, 12, 8), (1000, 4, 300)]:
+        order = np.random.default_rng(n).permutation(n)
+        seen = [quality_model.drawn(n, e, epochs, most, order) for e in range(epochs)]
+        assert set(np.concatenate(seen).tolist()) == set(range(n)) and {len(s) for s in seen} == {min(n, max(most, -(-n // epochs)))}
 
 
 def test_scores_of_awkward_texts(spark):
