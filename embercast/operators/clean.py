@@ -192,3 +192,8 @@ def validate_target(df: DataFrame, target: str = fixed.TARGET) -> DataFrame:
     if s["n_null"]:
         raise ValueError(f"target {target} holds {s['n_null']} NULL values")
     return df
+
+
+def of_class(df: DataFrame, value: int = 1, target: str = fixed.TARGET) -> DataFrame:
+    """P5: the rows of one class (a comparison that reaches the scan); a row without a class belongs to none."""
+    return df.filter(F.col(target) == F.lit(value))

@@ -8,8 +8,10 @@ already-aggregated, bounded tables.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,36 +101,52 @@ def seasonal(df: DataFrame, date_col: str = "date", target: str = fixed.TARGET)
 
 # --------------------------------------------------------------------------- A7, A8
 
-def _corr_expr(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson: both std taken on the rows where both are set.
-    Constant column -> NULL (``try_divide``), never an ANSI error."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    sa = F.stddev_samp(F.when(both, F.col(a)))
-    sb = F.stddev_samp(F.when(both, F.col(b)))
-    return F.try_divide(F.covar_samp(a, b), sa * sb)
+def gram(df: DataFrame, cols) -> DataFrame:
+    """(i, j, n, s, q, p) for each pair of columns over the rows where both are set: their number, and the sums of
+    column i, of its square and of the products, each column taken from its mean (so that no digits cancel).
+
+    Every batch gives four matrix products of its values and their masks, whatever the number of columns; tasks add
+    them up, and k * k rows a task are shuffled."""
+    cols = list(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(cols), len(cols)))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) - shift if b.num_rows else np.zeros((0, len(cols)))
+            there = ~np.isnan(x)
+            x, mask = np.where(there, x, 0.0), there.astype(np.float64)
+            total += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        at = np.indices(total.shape[1:]).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (*at, total[0].reshape(-1).astype(np.int64), *total[1:].reshape(3, -1))], names=["i", "j", "n", "s", "q", "p"])
+
+    part = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "i long, j long, n long, s double, q double, p double")
+    return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p")])
+
+
+def _correlations(df: DataFrame, cols) -> DataFrame:
+    """(col_a, col_b, corr), pairwise complete; constant on the common rows: NULL."""
+    g = cut_lineage(gram(df, cols))  # k * k rows
+    other = g.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("s_j"), F.col("q").alias("q_j"))
+    spread = lambda q, s: F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+    a, b = spread("q", "s"), spread("q_j", "s_j")
+    varies = (a > 1e-12 * F.col("q")) & (b > 1e-12 * F.col("q_j"))  # what is left of a constant is rounding
+    corr = F.when(varies, (F.col("p") - F.try_divide(F.col("s") * F.col("s_j"), F.col("n"))) / F.sqrt(a * b))
+    names = F.array(*[F.lit(c) for c in cols])
+    return g.join(other, ["i", "j"]).select(names[F.col("i").cast("int")].alias("col_a"), names[F.col("j").cast("int")].alias("col_b"), corr.alias("corr"))
 
 
 def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
-    """Full correlation matrix as (col_a, col_b, corr), from ONE aggregation."""
-    cols = list(cols) if cols is not None else numeric_columns(df)
-    pairs = [(a, b) for a, b in combinations(cols, 2)] + [(a, a) for a in cols]
-    names = [f"c{i}" for i in range(len(pairs))]
-    wide = df.agg(*[_corr_expr(a, b).alias(n) for (a, b), n in zip(pairs, names)])
-    stacked = F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(n).alias("corr"))
-        for (a, b), n in zip(pairs, names)
-    ] + [
-        F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(n).alias("corr"))
-        for (a, b), n in zip(pairs, names) if a != b
-    ]))
-    return wide.select(stacked)
+    """Full correlation matrix as (col_a, col_b, corr), pairwise complete, from one masked Gram matrix."""
+    return _correlations(df, list(cols) if cols is not None else numeric_columns(df))
 
 
 def corr_target(df: DataFrame, target: str = fixed.TARGET, cols=None) -> DataFrame:
     """Correlation of each column with the target, strongest first."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
-    wide = df.agg(*[_corr_expr(c, target).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column_name", "corr").orderBy(F.desc_nulls_last("corr"), "column_name")
+    found = _correlations(df, [*cols, target]).filter((F.col("col_b") == target) & (F.col("col_a") != target))
+    return found.select(F.col("col_a").alias("column_name"), "corr").orderBy(F.desc_nulls_last("corr"), "column_name")
 
 
 # --------------------------------------------------------------------------- A9, A10

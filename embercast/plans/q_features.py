@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import features as fe
 from ..operators import hotspots as hs
 from ..operators import stats
@@ -115,3 +117,21 @@ from obs_daily window w as (partition by site_id order by date rows between 99 p
                              .select("site_id", "date", "avg_temperatura_last100", "avg_humedad_last100",
                                      "readings_last100")))
 
+
+
+# --------------------------------------------------------------------------- E6 on readings (hot stations, equal times)
+def _last_readings(spark, d):
+    from ..session import table
+    from ..streaming.monitor import to_readings
+    r = to_readings(table(spark, d, "events")).withColumn("ts", F.date_trunc("hour", "ts"))  # many readings of equal time
+    out = fe.last_n_stats(r, ["temperatura", "humedad"], ("station_id",), "ts", 100, tie=("event_id",))
+    return rounded(out.select("station_id", "event_id", "avg_temperatura_last100", "avg_humedad_last100", "readings_last100"))
+
+
+register("last100_readings", wrap("""
+with r as (select user_id as station_id, event_id, date_trunc('hour', cast(ts as timestamp)) as ts,
+    cast(10 + cast(trunc(value) as int) % 25 as double) as temperatura, cast(30 + event_id % 60 as double) as humedad from events)
+select station_id, event_id, avg(temperatura) over w as avg_temperatura_last100, avg(humedad) over w as avg_humedad_last100,
+  count(*) over w as readings_last100
+from r window w as (partition by station_id order by ts, event_id rows between 99 preceding and current row)""",
+    ["avg_temperatura_last100", "avg_humedad_last100"]))(_last_readings)

@@ -173,3 +173,21 @@ def _report_sinks(spark, d):
 
 register("metrics_sink")(_report_sinks)
 
+
+# --------------------------------------------------------------------------- P5, F14
+register("class_rows", wrap(with_views("obs_daily") + "select * from obs_daily where incendio = 1", VALUES))(
+    lambda spark, d: rounded(clean.of_class(td.obs_daily(spark, d), 1, "incendio")))
+
+
+def _elapsed(spark, d):
+    from ..session import table
+    r = table(spark, d, "events").select(F.col("user_id").alias("station_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = r.groupBy("station_id").agg(F.min("ts").alias("first_ts"))
+    return r.join(first, ["station_id"]).select("station_id", "event_id", cal.elapsed_minutes("ts", "first_ts").alias("minutes"))
+
+
+register("elapsed_minutes", """
+with r as (select user_id as station_id, event_id, cast(ts as timestamp) as ts from events),
+f as (select station_id, min(ts) as first_ts from r group by 1)
+select r.station_id, r.event_id, (epoch_us(r.ts) - epoch_us(f.first_ts)) / 60000000.0::double as minutes
+from r join f on r.station_id = f.station_id""")(_elapsed)

@@ -138,6 +138,36 @@ from events join (values {_VALUES}) k(kind, row_idx, reason) on event_id % 12 =
     lambda spark, d: files.route_requests(_bodies(spark, d), features=FEATURES).select("request_id", "row_idx", "reason"))
 
 
+# --------------------------------------------------------------------------- P2, O5: the columns that a request's rows lack
+def _missing(spark, d):
+    """Each event's request leaves out the features whose bit of its id is set, and carries one that nobody asked for."""
+    r = readings(spark, d)
+    kept = [F.when(F.shiftright(F.col("event_id"), i).bitwiseAND(F.lit(1)) == 0, F.col(f)).alias(f) for i, f in enumerate(FEATURES)]
+    body = F.concat(F.lit('{"data": ['), F.to_json(F.struct(*kept, F.col("station_id").alias("zone"))), F.lit("]}"))
+    out = files.missing_columns(r.select(F.col("event_id").alias("request_id"), body.alias("body")), features=FEATURES)
+    return out.select("request_id", "row_idx", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+register("requests_missing_columns", """
+select event_id as request_id, 0 as row_idx, concat_ws(',',
+  case when (event_id >> 1) & 1 = 1 then 'humedad' end, case when event_id & 1 = 1 then 'temperatura' end,
+  case when (event_id >> 2) & 1 = 1 then 'velocidad_viento' end) as missing, 'zone' as extra from events""")(_missing)
+
+
+# --------------------------------------------------------------------------- R1 + S8: a stream's history, one batch replayed
+def _recorded(spark, d):
+    path = _folder(spark, "recorded")
+    for replay in range(2):  # the second stream has lost its checkpoint: it sends every batch again
+        landed = m.landed_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+        sinks.recorded_stream(m.score_stream(model(spark), m.to_readings(landed)), path, _folder(spark, f"recorded-checkpoint-{replay}")).awaitTermination()
+    h = spark.read.parquet(path)
+    return h.groupBy("prediction_label", "risk_level").agg(
+        F.count(F.lit(1)).alias("n"), F.count("timestamp").alias("n_stamped"), F.countDistinct("event_id").alias("n_events"))
+
+
+register("stream_history", ORACLE["logistic_history"])(_recorded)
+
+
 def _request_scores(spark, d):
     rows, _ = files.parse_score_requests(_bodies(spark, d), features=FEATURES)
     out = scoring.score_requests(model(spark), rows, "fixed_logistic")

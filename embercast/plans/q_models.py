@@ -91,13 +91,19 @@ def _train_test(spark, d):
     return s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
 
 
-_SAVED: dict[tuple[str, str], tuple[str, str]] = {}
+_SAVED: dict[tuple, tuple[str, str]] = {}
+
+
+def _files_of(spark, d):
+    """What the table that the forest is fitted on consists of just now: files, their sizes and times."""
+    f = spark.read.format("binaryFile").load(f"{d.rstrip('/')}/lineitem.parquet").select("path", "length", "modificationTime")
+    return f.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
 
 
 def _saved_forest(spark, d):
-    """The example forest and its test rows, fitted once in a session, saved, and loaded by each query that
-    asks for it (``rf_batch_score`` always fits its own)."""
-    key = (spark.sparkContext.applicationId, d)
+    """The example forest and its test rows, fitted once in a session for the table's files as they are, saved, and
+    loaded by each query that asks for it (``rf_batch_score`` always fits its own)."""
+    key = (spark.sparkContext.applicationId, d, *_files_of(spark, d))
     if key not in _SAVED:
         model, te = _example_forest(spark, d)
         path = checkpoint_path(spark, f"forest-{uuid.uuid4().hex}")

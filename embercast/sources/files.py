@@ -162,3 +162,16 @@ def require_columns(df: DataFrame, features=None) -> DataFrame:
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     return df.select(*[c for c in df.columns if c not in features], *features)
+
+
+def missing_columns(df: DataFrame, body: str = "body", request_id: str = "request_id", features=None) -> DataFrame:
+    """P2/O5 by row: (request_id, row_idx, missing, extra) of every object in a request's ``data`` list: the required
+    columns that it lacks and the ones that are ignored, both sorted. Rows that aren't objects, and bodies without
+    such a list, have none (``route_requests`` names their reason)."""
+    features = sorted(features or fixed.SCORING_FEATURES)
+    data = F.from_json(F.get_json_object(body, "$.data"), "array<string>")
+    rows = df.select(request_id, F.posexplode(data).alias("row_idx", "_row"))
+    keys = F.json_object_keys("_row")
+    needed = F.array(*[F.lit(f) for f in features])
+    return rows.filter(F.col("_row").startswith("{") & keys.isNotNull()).select(
+        request_id, "row_idx", F.array_except(needed, keys).alias("missing"), F.sort_array(F.array_except(keys, needed)).alias("extra"))
