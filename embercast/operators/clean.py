@@ -2,18 +2,19 @@
 
 Column statistics (mean, std) are computed in ONE aggregation over all columns,
 whose single row comes to the driver and goes into the plan as literals; no join
-and no per-column passes. Per-site windows are bounded: after
-``dedup_first`` a site holds at most one row per calendar day.
+and no per-column passes. The fills hand values on between parts of a series
+(``scan.nearest_values``), so a site may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric_columns, scalars
 from .quantiles import exact_quantiles
+from .scan import nearest_values
 
 
 # --------------------------------------------------------------------------- E1, O1
@@ -64,21 +65,15 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     (``quantiles``); ``approx_median=True`` uses a bounded sketch instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *partition])
-    part = [F.col(p) for p in partition]
-    back = Window.partitionBy(*part).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # backward fill = forward fill in descending order: a running frame (linear), whereas a
-    # current..unbounded-following frame is re-aggregated for every row (quadratic per series)
-    ahead = Window.partitionBy(*part).orderBy(F.col(order).desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = df.groupBy(*part).agg(*[F.count(c).alias(c) for c in cols]).agg(*[F.min(c).alias(c) for c in cols]).first()
+    near = nearest_values(df, cols, partition, [order])  # a series of any length: no task holds a whole one
+    known = df.groupBy(*partition).agg(*[F.count(c).alias(c) for c in cols]).agg(*[F.min(c).alias(c) for c in cols]).first()
     empty = [c for c in cols if known[c] == 0]
     med = _medians(df, empty, approx_median) if empty else {}
     filled = {
-        c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead),
-                      *([med[c].cast(df.schema[c].dataType)] if c in med else []))
+        c: F.coalesce(F.col(f"_prev_{c}"), F.col(f"_next_{c}"), *([med[c].cast(df.schema[c].dataType)] if c in med else []))
         for c in cols
     }
-    return df.withColumns(filled)
+    return near.withColumns(filled).select(*df.columns)
 
 
 # --------------------------------------------------------------------------- C2

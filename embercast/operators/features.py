@@ -77,13 +77,18 @@ def interactions(df: DataFrame, temp="temperatura", humidity="humedad", wind="ve
 
 
 def rolling_features(df: DataFrame, value_cols, partition=("site_id",), order: str = "date",
-                     windows=(7, 30), precip: str | None = "precipitacion") -> DataFrame:
+                     windows=(7, 30), precip: str | None = "precipitacion", block: int | None = None) -> DataFrame:
     """``<col>_ma<n>`` = mean of the last n rows (min_periods 1, NULLs
     skipped) and ``precip_acum_<n>d`` = sum of the last n rows (all-NULL -> NULL).
 
     Frames count rows, not days; run ``complete_calendar`` first to make them
-    days. Columns are explicit: never the target (no label leak)."""
-    w = Window.partitionBy(*[F.col(p) for p in partition]).orderBy(F.col(order))
+    days. Columns are explicit: never the target (no label leak). One series is
+    one window task; with ``block`` (rows) a series of any length is cut into
+    blocks that carry the longest window's rows along."""
+    r, w = df, Window.partitionBy(*[F.col(p) for p in partition]).orderBy(F.col(order))
+    if block:
+        r = _in_blocks(df, partition, [order], max(windows), block)
+        w = Window.partitionBy(*partition, "_block").orderBy("_rn")
     new = {}
     for c in value_cols:
         for n in windows:
@@ -91,7 +96,18 @@ def rolling_features(df: DataFrame, value_cols, partition=("site_id",), order: s
     if precip and precip in df.columns:
         for n in windows:
             new[f"precip_acum_{n}d"] = F.sum(precip).over(w.rowsBetween(-(n - 1), 0))
-    return df.withColumns(new)
+    out = r.withColumns(new)
+    return out.filter("_ahead = 0").drop("_rn", "_block", "_ahead") if block else out
+
+
+def _in_blocks(df: DataFrame, partition, order, n: int, block: int, partitions: int | None = None) -> DataFrame:
+    """Rows with their place in the series (``_rn``) and a ``_block`` of it; the last n - 1 rows of a block stand in the
+    next one too, as context (``_ahead`` = 1)."""
+    block = max(block, n)
+    r = running_sums(df, {"_rn": F.lit(1)}, partition, order, partitions=partitions).withColumn("_rn", F.col("_rn") - 1)
+    r = r.withColumn("_block", F.floor(F.col("_rn") / block))
+    carried = F.when(F.col("_rn") % block > block - n, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return r.withColumn("_ahead", F.explode(carried)).withColumn("_block", F.col("_block") + F.col("_ahead"))
 
 
 def last_n_stats(df: DataFrame, cols, partition=("station_id",), order: str = "ts", n: int = 100,
@@ -102,11 +118,7 @@ def last_n_stats(df: DataFrame, cols, partition=("station_id",), order: str = "t
     A station may hold any share of all rows: its series is cut into blocks of
     ``block`` rows (n at least) by row number, the last n - 1 rows of a block
     are copied to the next one as context, and each window task sees one block."""
-    partition, block = list(partition), max(block, n)
-    r = running_sums(df, {"_rn": F.lit(1)}, partition, [order, *tie], partitions=partitions).withColumn("_rn", F.col("_rn") - 1)
-    r = r.withColumn("_block", F.floor(F.col("_rn") / block))
-    carried = F.when(F.col("_rn") % block > block - n, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    r = r.withColumn("_ahead", F.explode(carried)).withColumn("_block", F.col("_block") + F.col("_ahead"))
+    r = _in_blocks(df, list(partition), [order, *tie], n, block, partitions)
     w = Window.partitionBy(*partition, "_block").orderBy("_rn").rowsBetween(-(n - 1), 0)
     out = r.withColumns({f"avg_{c}_last{n}": F.avg(c).over(w) for c in cols}) \
            .withColumn(f"readings_last{n}", F.count(F.lit(1)).over(w))

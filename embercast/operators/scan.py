@@ -59,3 +59,30 @@ def running_sums(df: DataFrame, sums: dict[str, str | Column], by=(), order=(),
         *[(F.coalesce(F.sum(as_column(x)).over(run), F.lit(0)) + F.col(f"_before_{k}")).alias(k) for k, x in sums.items()],
         *[F.col(f"_all_{k}").alias(k) for k in totals],
         *[F.when(F.lead(F.lit(True)).over(inside), F.lead(c).over(inside)).otherwise(F.col(f"_next_{k}")).alias(k) for k, c in leads.items()])
+
+
+def nearest_values(df: DataFrame, cols, by=(), order=(), partitions: int | None = None) -> DataFrame:
+    """``df`` with, for each column, ``_prev_<column>``: its last value that isn't NULL up to this row of the group, and
+    ``_next_<column>``: the first one from this row on (NULL if there is none). A group of any length: each part
+    hands its first and last values on."""
+    by, order, cols = list(by), list(order), list(cols)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    at = F.struct(*order)
+    own = lambda c: F.when(F.col(c).isNotNull(), at)
+    per_part = placed.groupBy("_part", *by).agg(
+        *[F.max_by(F.col(c), own(c)).alias(f"_last_{c}") for c in cols], *[F.min_by(F.col(c), own(c)).alias(f"_first_{c}") for c in cols])
+    parts = Window.partitionBy(*by).orderBy("_part")
+    before, after = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    per_part = per_part.select(
+        F.col("_part").alias("_p"), *[F.col(c).alias(f"_k_{c}") for c in by],
+        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
+        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols])
+    j = placed.join(per_part, (F.col("_part") == F.col("_p")) & same_rows(placed, {c: f"_k_{c}" for c in by}))
+    # the next value = the last one in falling order: a running frame (linear), where a frame to the end is one for each row
+    forth = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_part", *by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(
+        *[F.col(c) for c in df.columns],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(forth), F.col(f"_before_{c}")).alias(f"_prev_{c}") for c in cols],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_after_{c}")).alias(f"_next_{c}") for c in cols])

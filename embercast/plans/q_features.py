@@ -9,7 +9,7 @@ from ..operators import hotspots as hs
 from ..operators import stats
 from ..sources import testdata as td
 from .adapters_sql import with_views
-from .catalog import register, rounded, wrap
+from .catalog import ORACLE, register, rounded, wrap
 
 VALUES = ["temperatura", "humedad", "velocidad_viento", "precipitacion", "temp_max", "temp_min"]
 OBS_COLS = ["date", "site_id", *VALUES, "incendio"]
@@ -135,3 +135,6 @@ select station_id, event_id, avg(temperatura) over w as avg_temperatura_last100,
   count(*) over w as readings_last100
 from r window w as (partition by station_id order by ts, event_id rows between 99 preceding and current row)""",
     ["avg_temperatura_last100", "avg_humedad_last100"]))(_last_readings)
+
+register("rolling_ma_blocks", ORACLE["rolling_ma"])(
+    lambda spark, d: rounded(fe.rolling_features(td.obs_daily(spark, d), MA_COLS, precip=None, block=100).select("site_id", "date", *_MA)))

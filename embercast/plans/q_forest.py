@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, forest, split, train
+from ..operators import curves, forest, model_queue, split, train
 from ..session import cut_lineage
 from ..sources import testdata as td
 from . import jobs
@@ -202,3 +202,14 @@ c as (select *, (sum(pos) over w)::double as tps, (sum(neg) over w)::double as f
 register("curves_by_model", wrap(with_views("scored", extra=_GROUPED) + """
 select model, sum(neg * (tps - pos / 2.0)) / (max(P) * max(N)) as roc_auc, sum(pos * tps / (tps + fps)) / max(P) as average_precision
 from c group by model""", ["roc_auc", "average_precision"]))(_grouped)
+
+
+def _queue(spark, d):
+    """Five folds, stop after three candidates without a gain, forward-selected vote."""
+    tr = split.stratified_folds(_train_test(spark, d)[0].drop("is_test"), "incendio", KEYS, 5, 42)
+    options = [forest.Settings(trees=4, max_depth=m, min_leaf=k, class_weight=w) for m, k, w in (
+        (3, 1, None), (6, 1, "balanced"), (6, 20, None), (2, 1, None), (2, 20, "balanced"), (1, 1, None), (8, 5, None))]
+    return model_queue.run_queue(tr, VALUES, "incendio", KEYS, options, folds=5, patience=3).leaderboard
+
+
+register("model_queue")(_queue)
