@@ -94,19 +94,14 @@ def segments(units: Units, window: int, run: int) -> Segments:
     return Segments(row, start, np.minimum(following, first[row + 1] - window + 1) - start, mix(m[start]))
 
 
-def rivals(x: np.ndarray) -> np.ndarray:
-    """How often each value stands in x."""
-    return rivals_and_weight(x, None)[0]
-
-
-def rivals_and_weight(x: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+def rivals_and_weight(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each value stands in x, and the sum of its weights."""
     order = np.argsort(x)
     ends = np.append(np.flatnonzero(x[order][1:] != x[order][:-1]), len(x) - 1)
     out = np.empty(len(x), np.int64)
     size = np.diff(ends, prepend=-1)
     out[order] = np.repeat(size, size)
-    if weight is None or not len(x):
+    if not len(x):
         return out, weight
     total = np.empty(len(x), np.int64)
     total[order] = np.repeat(np.add.reduceat(weight[order], ends - size + 1), size)

@@ -2,9 +2,10 @@
 
 Windows of words that recur are confirmed in the shard of their anchor (see
 ``anchors``), an Aho-Corasick automaton of the confirmed phrases is compiled
-for each part of a shard, and every document's text around a recurring anchor
-is streamed through it to find all occurrences. Words are compared exactly: a
-part gives each distinct word one character (two, beyond a million words).
+for each part of a shard, and the text that every chunk has around a recurring
+anchor is streamed through it to find all occurrences; the least document that
+a phrase was found in keeps it. Words are compared exactly: a part gives each
+distinct word one character (two, beyond a million words).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from embercast.llm.anchors import Chunk, Units, find, rivals
+from embercast.llm.anchors import Chunk, Units, find
 from embercast.llm.arrays import mix, prefix_hash, span_hash
 
 #: Windows in one automaton's part of a shard, about.
@@ -39,81 +40,88 @@ def word_units(run: int):
     return units
 
 
-def character(i: int) -> str:
-    return chr(i + 1 if i + 1 < 0xD800 else i + 1 + 0x800)
-
-
-def coded(texts: list[list[bytes]]) -> tuple[list[str], int]:
-    """Texts with a fixed number of characters for each distinct word."""
-    known: dict[bytes, int] = {}
-    numbers = [[known.setdefault(w, len(known)) for w in t] for t in texts]
-    if len(known) <= 1_000_000:
-        letters = [character(i) for i in range(len(known))]
-        return ["".join([letters[i] for i in t]) for t in numbers], 1
-    return ["".join([character(i >> 16) + character(i & 0xFFFF) for i in t]) for t in numbers], 2
+def lettered(codes: np.ndarray, kinds: int) -> tuple[str, int]:
+    """Word numbers (of ``kinds`` words; 0 stands between texts) as a string with a fixed number of characters each."""
+    if kinds <= 1_000_000:
+        letters, width = codes + 1, 1
+    else:
+        letters, width = np.stack([(codes >> 16) + 1, (codes & 0xFFFF) + 1], axis=1).reshape(-1), 2
+    letters = np.where(letters < 0xD800, letters, letters + 0x800)  # no surrogates
+    return letters.astype("<u4").tobytes().decode("utf-32-le"), width
+
+
+def phrase_hash(codes: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each ``window`` neighbours."""
+    n = max(0, len(codes) - window + 1)
+    h = np.zeros(n, np.uint64)
+    c = mix(codes.astype(np.uint64) + np.uint64(1))
+    for j in range(window):
+        h += c[j:j + n] * (mix(np.array([j + 1], np.uint64)) | np.uint64(1))
+    return mix(h)
+
+
+def recurring(codes: np.ndarray, places: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """Places of phrases that two documents and more may share, one place for each phrase.
+
+    Phrases are grouped by hash; a place whose words differ from its group's first is returned too."""
+    h = phrase_hash(codes, window)[places]
+    order = np.lexsort((docs, h))
+    h, docs, places = h[order], docs[order], places[order]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(h)))
+    shared = docs[head] != docs[head + size - 1]
+    first, member = np.repeat(places[head], size), np.repeat(shared, size)
+    other, first = places[member], first[member]
+    differs = np.zeros(len(other), bool)
+    for j in range(window):
+        differs |= codes[other + j] != codes[first + j]
+    return np.concatenate([places[head[shared]], other[differs]])
 
 
 def earlier_windows(window: int):
-    def in_part(windows: np.ndarray, ids: np.ndarray, recurs: np.ndarray, alone: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
-        """For each distinct text and window the smallest document that has it, as far as two documents have it.
-
-        ids: the smallest document of each text; recurs: whether another document has the whole text; alone:
-        whether no other text has its anchor, so that the whole text is the recurring passage."""
-        texts, width = coded([c.split(b" ") for c in contents])
-        step, least, several = window * width, {}, set()
-        for text, doc, n, again, single in zip(texts, ids.tolist(), windows.tolist(), recurs.tolist(), alone.tolist(), strict=True):  # confirm
-            if single:
-                if again:
-                    least[text] = doc
-                    several.add(text)
-                continue
-            for j in range(0, n * width, width):
-                phrase = text[j:j + step]
-                other = least.setdefault(phrase, doc)
-                if again or other != doc:
-                    several.add(phrase)
-                    if doc < other:
-                        least[phrase] = doc
-        smallest = [np.full(n, NOWHERE) for n in windows.tolist()]
-        if several:
-            automaton = ahocorasick.Automaton()
-            for phrase in several:
-                automaton.add_word(phrase, (least[phrase], len(phrase)))
+    def in_part(windows: np.ndarray, ids: np.ndarray, contents: list[bytes]) -> np.ndarray:
+        """A mark for each window of each text in turn: whether it stands in a document with a smaller id too."""
+        known: dict[bytes, int] = {}
+        numbers, begin = [], []
+        for c in contents:
+            begin.append(len(numbers))
+            numbers += [known.setdefault(w, len(known) + 1) for w in c.split(b" ")]
+            numbers.append(0)
+        codes = np.array(numbers, np.int64)
+        place = np.repeat(np.array(begin, np.int64) - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        doc = np.repeat(ids, windows)
+        marks = np.zeros(len(place), bool)
+        phrases = recurring(codes, place, doc, window)
+        if len(phrases):
+            text, width = lettered(codes, len(known) + 1)
+            step, automaton = window * width, ahocorasick.Automaton()
+            for k, at in enumerate((phrases * width).tolist()):
+                automaton.add_word(text[at:at + step], k)
             automaton.make_automaton()
-            for text, found in zip(texts, smallest, strict=True):  # locate every occurrence
-                for end, (doc, size) in automaton.iter(text):
-                    if (end + 1) % width == 0:
-                        found[(end + 1 - size) // width:(end + 1 - step) // width + 1] = doc
-        return smallest
+            found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)  # every occurrence in every text
+            start = found[:, 0] + 1 - step
+            start, phrase = start[start % width == 0] // width, found[start % width == 0, 1]
+            of = np.full(len(codes), -1)
+            of[place] = np.arange(len(place))
+            of = of[start]
+            least = np.full(len(phrases), NOWHERE)
+            np.minimum.at(least, phrase, doc[of])
+            marks[of[least[phrase] < doc[of]]] = True
+        return marks
 
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids = (np.concatenate([c[k] for c in chunks]) for k in (0, 1, 2))
         contents = [t for c in chunks for t in c[4]]
-        known: dict[bytes, int] = {}
-        kind = np.fromiter((known.setdefault(t, len(known)) for t in contents), np.int64, len(contents))
-        if not len(kind):
-            return [np.zeros(0, bool) for _ in chunks]
-        # equal texts are streamed once; what is found holds for each of them
-        order = np.lexsort((ids, kind))
-        head = np.append(True, np.diff(kind[order]) > 0)
-        first, last = order[head], order[np.append(head[1:], True)]
-        recurs = ids[first] != ids[last]
-        alone, texts = rivals(anchors[first]) == 1, list(known)
-        parts = max(1, -(-int(windows[first].sum()) // PART_WINDOWS))
-        part_of = mix(anchors[first].astype(np.uint64)) % np.uint64(parts)
-        smallest: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        parts = max(1, -(-int(windows.sum()) // PART_WINDOWS))
+        part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
+        ends = np.cumsum(windows)
+        marks = np.zeros(int(windows.sum()), bool)
         for p in range(parts):  # equal windows have equal anchors, and so meet in one part
             mine = np.flatnonzero(part_of == p)
-            f = first[mine]
-            for i, x in zip(mine.tolist(), in_part(windows[f], ids[f], recurs[mine], alone[mine], [texts[i] for i in mine.tolist()]), strict=True):
-                smallest[i] = x
-        marks = [smallest[k] < doc for k, doc in zip(kind.tolist(), ids.tolist(), strict=True)]
-        out, at = [], 0
-        for c in chunks:
-            own = marks[at:at + len(c[4])]
-            out.append(np.concatenate(own) if own else np.zeros(0, bool))
-            at += len(c[4])
-        return out
+            size = windows[mine].astype(np.int64)
+            at = np.repeat(ends[mine] - np.cumsum(size), size) + np.arange(int(size.sum()))
+            marks[at] = in_part(size, ids[mine], [contents[i] for i in mine.tolist()])
+        return np.split(marks, np.cumsum([int(c[1].sum()) for c in chunks])[:-1])
 
     return in_shard
 

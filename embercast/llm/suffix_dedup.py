@@ -1,7 +1,7 @@
 """Substring dedup by bytes: suffix arrays by external induced sorting.
 
-The shard of an anchor (see ``anchors``) holds the distinct segments of bytes
-around it. They are joined with a terminator after each, and the suffixes of
+The shard of an anchor (see ``anchors``) holds the segments of bytes around it,
+each as often as there are chunks with it. They are joined with a terminator after each, and the suffixes of
 the whole are sorted by induction, common-prefix values included:
 
 * suffixes that begin a rise after a fall (LMS) are sorted first: one induction
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from embercast.llm.anchors import Chunk, Units, find, rivals
+from embercast.llm.anchors import Chunk, Units, find
 from embercast.llm.arrays import mix, prefix_hash, run_hash, span_hash, work_folder
 from embercast.llm.token_files import store
 
@@ -279,7 +279,7 @@ def byte_units(run: int):
 
 def earlier_windows(window: int, folder: str | None):
     def in_part(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
-        """For each segment a mark for each window that stands earlier in the part; contents are distinct."""
+        """For each segment a mark for each window that stands earlier in the part."""
         size = np.array([len(c) + 1 for c in contents])
         begin = np.cumsum(size) - size
         text = np.zeros(int(size.sum()) + 1, np.uint16)
@@ -306,29 +306,19 @@ def earlier_windows(window: int, folder: str | None):
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids, starts = (np.concatenate([c[k] for c in chunks]) for k in range(4))
         contents = [t for c in chunks for t in c[4]]
-        known: dict[bytes, int] = {}
-        kind = np.fromiter((known.setdefault(t, len(known)) for t in contents), np.int64, len(contents))
-        if not len(kind):
-            return [np.zeros(0, bool) for _ in chunks]
-        # equal segments enter the sort once, with their earliest place, and only beside another segment of their anchor
-        order = np.lexsort((starts, ids, kind))
-        first = order[np.append(True, np.diff(kind[order]) > 0)]
-        texts = list(known)
-        alone = rivals(anchors[first]) == 1
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        parts = max(1, -(-int(size[~alone].sum()) // PART_BYTES))
-        part_of = np.where(alone, parts, mix(anchors[first].astype(np.uint64)) % np.uint64(parts))
-        marks: list[np.ndarray] = [np.zeros(n, bool) for n in windows[first].tolist()]
+        # every chunk's segments enter the sort, equal ones too
+        size = np.fromiter(map(len, contents), np.int64, len(contents))
+        parts = max(1, -(-int(size.sum()) // PART_BYTES))
+        part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
+        marks: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
         for p in range(parts):  # equal windows have equal anchors, and so meet in one part
             mine = np.flatnonzero(part_of == p)
             if len(mine):
-                f = first[mine]
-                for i, m in zip(mine.tolist(), in_part(windows[f], ids[f], starts[f], [texts[i] for i in mine.tolist()]), strict=True):
+                for i, m in zip(mine.tolist(), in_part(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
                     marks[i] = m
-        again = (ids != ids[first[kind]]) | (starts != starts[first[kind]])
         out, at = [], 0
         for c in chunks:
-            own = [np.ones(n, bool) if later else marks[k] for n, later, k in zip(c[1].tolist(), again[at:at + len(c[4])].tolist(), kind[at:at + len(c[4])].tolist(), strict=True)]
+            own = marks[at:at + len(c[4])]
             out.append(np.concatenate(own) if own else np.zeros(0, bool))
             at += len(c[4])
         return out

@@ -67,12 +67,37 @@ def test_phrases_on_documents(spark, monkeypatch, part):
 
 def test_phrases_with_two_characters_a_word(monkeypatch):
     rng = random.Random(3)
-    texts = [[b"%d" % rng.randrange(4) for _ in range(9)] for _ in range(40)]
-    one, width = phrases.coded(texts)
-    assert width == 1 and len({tuple(t) for t in texts}) == len(set(one))
-    many = [[b"%d" % i for i in range(1_000_001)], [b"70000", b"5"]]
-    two, width = phrases.coded(many)
-    assert width == 2 and two[1] in two[0] + two[1] and two[0].find(two[1][:2]) == 140_000
+    codes = np.array([rng.randrange(1, 70_000) for _ in range(500)] + [0xD7FE, 0xD7FF, 0xDFFF, 0])
+    one, width = phrases.lettered(codes, 70_000)
+    assert width == 1 and len(one) == len(codes) and len(set(one)) == len(set(codes.tolist()))
+    two, width = phrases.lettered(np.append(codes, 1_000_000), 1_000_001)
+    assert width == 2 and len({two[i:i + 2] for i in range(0, len(two), 2)}) == len(set(codes.tolist())) + 1
+    words = [b"w%d" % rng.randrange(30) for _ in range(60)]
+    chunks = [(np.array([7, 7], np.uint32), np.array([3, 8], np.int32), np.array([1, 5]), np.array([0, 0]), [b" ".join(words[4:19]), b" ".join(words[:20])])]
+    want = [False] * 3 + [4 <= j < 7 for j in range(8)]
+    assert phrases.earlier_windows(13)(chunks)[0].tolist() == want
+    plain = phrases.lettered
+    monkeypatch.setattr(phrases, "lettered", lambda codes, kinds: plain(codes, 1_000_001))
+    assert phrases.earlier_windows(13)(chunks)[0].tolist() == want
+
+
+def test_phrases_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(phrases, "phrase_hash", lambda codes, window: np.zeros(max(0, len(codes) - window + 1), np.uint64))
+    rng = random.Random(4)
+    words = [b"w%d" % rng.randrange(9) for _ in range(40)]
+    chunks = [(np.array([7, 7, 7], np.uint32), np.array([3, 8, 3], np.int32), np.array([1, 5, 9]), np.zeros(3, np.int64), [b" ".join(words[4:19]), b" ".join(words[:20]), b" ".join(words[20:35])])]
+    assert phrases.earlier_windows(13)(chunks)[0].tolist() == [False] * 3 + [4 <= j < 7 for j in range(8)] + [False] * 3
+
+
+def test_equal_segments_of_two_chunks_go_through_the_suffix_sort(monkeypatch):
+    rng = random.Random(5)
+    data = bytes(rng.randrange(97, 123) for _ in range(140))
+    chunk = lambda doc: (np.array([7], np.uint32), np.array([41], np.int32), np.array([doc]), np.array([3]), [data])
+    seen = []
+    sort = suffix_dedup.equal_windows
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda text, window, folder: (seen.append(len(text)), sort(text, window, folder))[1])
+    marks = suffix_dedup.earlier_windows(100, None)([chunk(4), chunk(2)])
+    assert seen == [2 * 141 + 1] and marks[0].all() and not marks[1].any()
 
 
 def test_suffix_order_against_sorting():
