@@ -108,6 +108,12 @@ def rivals_and_weight(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np
     return out, total
 
 
+def grouped(x: np.ndarray) -> list[np.ndarray]:
+    """The places of each value in x."""
+    order = np.argsort(x, kind="stable")
+    return np.split(order, np.flatnonzero(x[order][1:] != x[order][:-1]) + 1) if len(x) else []
+
+
 def packed(*parts) -> bytes:
     return zstandard.compress(pickle.dumps(parts, pickle.HIGHEST_PROTOCOL), 1)
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from embercast.llm.anchors import Chunk, Units, find
+from embercast.llm.anchors import Chunk, Units, find, grouped
 from embercast.llm.arrays import mix, prefix_hash, run_hash, span_hash, work_folder
 from embercast.llm.token_files import store
 
@@ -311,11 +311,9 @@ def earlier_windows(window: int, folder: str | None):
         parts = max(1, -(-int(size.sum()) // PART_BYTES))
         part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
         marks: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
-        for p in range(parts):  # equal windows have equal anchors, and so meet in one part
-            mine = np.flatnonzero(part_of == p)
-            if len(mine):
-                for i, m in zip(mine.tolist(), in_part(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
-                    marks[i] = m
+        for mine in grouped(part_of):  # equal windows have equal anchors, and so meet in one part
+            for i, m in zip(mine.tolist(), in_part(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
+                marks[i] = m
         out, at = [], 0
         for c in chunks:
             own = marks[at:at + len(c[4])]

@@ -50,7 +50,7 @@ def byte_marks(rows, window):
     return out
 
 
-@pytest.mark.parametrize("part", [200_000, 50])
+@pytest.mark.parametrize("part", [8000, 50])
 def test_phrases_on_documents(spark, monkeypatch, part):
     monkeypatch.setattr(phrases, "PART_WINDOWS", part)
     rows = documents(n=80)
