@@ -38,6 +38,7 @@ from embercast.llm.token_files import store
 
 #: Entries of the queue that stay in memory, and bytes of text that are sorted at a time.
 QUEUE_ENTRIES, PART_BYTES = 1 << 18, 3 << 20
+NOWHERE = np.iinfo(np.int64).max
 
 
 class SuffixQueue:
@@ -197,12 +198,13 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
             yield positions, prefixes
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, same: np.ndarray, most: int) -> np.ndarray:
+    """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols; ``same`` marks those that share so many."""
     long = np.append(text, np.arange(most + 4, dtype=text.dtype)).astype(np.uint64)
     four = long[:-3] | long[1:-2] << np.uint64(16) | long[2:-1] << np.uint64(32) | long[3:] << np.uint64(48)
     out = np.zeros(len(order), np.int64)
-    at, k = np.arange(1, len(order)), 0
+    out[same] = most
+    at, k = np.flatnonzero(~same[1:]) + 1, 0
     while len(at) and k < most:  # four symbols at a time, then the equal ones of the first four that differ
         other = four[order[at] + k] ^ four[order[at - 1] + k]
         differ = other != 0
@@ -213,8 +215,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(out, most).astype(np.uint8)
 
 
-def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None) -> np.ndarray:
-    """The LMS suffixes in order of their first ``most`` symbols and more."""
+def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The LMS suffixes in order of their first ``most`` symbols and more, and marks of those that share
+    as many with the one before (not of all: some are told apart by later symbols)."""
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     seeds = lms[np.argsort(text[lms], kind="stable")]
     is_lms = np.zeros(len(text), bool)
@@ -237,15 +240,19 @@ def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, fol
         covered, before, kinds = 2 * covered, kinds, len(values)
         if kinds == before:
             break
-    return lms[np.argsort(names, kind="stable")]
+    order = np.argsort(names, kind="stable")
+    same = np.zeros(len(lms), bool)
+    if 2 * covered >= most:  # equal names are followed by equal symbols, two and more to a name
+        same[1:] = names[order[1:]] == names[order[:-1]]
+    return lms[order], same
 
 
 def suffix_order(text: np.ndarray, most: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in descending order of their first ``most`` symbols, and what each shares with the one before
     (up to ``most``). The last symbol must be 0 and stand nowhere else; its own suffix is left out."""
     up, run = rising(text)
-    lms = sorted_lms(text, up, run, most, folder)
-    found = list(induce(text, lms, common_prefixes(text, lms, most), up, run, most, folder))
+    lms, same = sorted_lms(text, up, run, most, folder)
+    found = list(induce(text, lms, common_prefixes(text, lms, same, most), up, run, most, folder))
     return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
 
@@ -254,10 +261,10 @@ def equal_windows(text: np.ndarray, window: int, folder: str | None) -> tuple[np
 
     The runs of the induction are looked at one by one; only what is returned is kept."""
     up, run = rising(text)
-    lms = sorted_lms(text, up, run, window, folder)
+    lms, equal = sorted_lms(text, up, run, window, folder)
     found, fresh = [], []
     last, follows = np.zeros(0, np.int64), np.zeros(0, bool)  # the latest entry, and whether it equals the one before
-    for positions, prefixes in induce(text, lms, common_prefixes(text, lms, window), up, run, window, folder):
+    for positions, prefixes in induce(text, lms, common_prefixes(text, lms, equal, window), up, run, window, folder):
         positions, same = np.concatenate([last, positions]), np.concatenate([follows, prefixes >= window])
         member = np.flatnonzero(same[:-1] | same[1:])
         found.append(positions[member])
@@ -279,7 +286,7 @@ def byte_units(run: int):
 
 def earlier_windows(window: int, folder: str | None):
     def in_part(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
-        """For each segment a mark for each window that stands earlier in the part."""
+        """A mark for each window of each segment in turn: whether it stands earlier in the part."""
         size = np.array([len(c) + 1 for c in contents])
         begin = np.cumsum(size) - size
         text = np.zeros(int(size.sum()) + 1, np.uint16)
@@ -288,7 +295,7 @@ def earlier_windows(window: int, folder: str | None):
         text[inside] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 2
         text[begin + size - 1] = 1  # ends a segment; 0 ends the text
         order, group = equal_windows(text, window, folder)
-        segment = np.searchsorted(begin, order, "right") - 1
+        segment = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
         offset = order - begin[segment]
         use = np.flatnonzero(offset < windows[segment])
         marks = np.zeros(int(windows.sum()), bool)
@@ -301,7 +308,31 @@ def earlier_windows(window: int, folder: str | None):
             later = (doc[by] != doc[least]) | (place[by] != place[least])
             first = np.cumsum(windows) - windows
             marks[(first[segment] + offset)[by[later]]] = True
-        return np.split(marks, np.cumsum(windows)[:-1])
+        return marks
+
+    def in_cut(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
+        """For each segment a mark for each window that stands earlier. Each segment is cut to what lies between its
+        first and last window whose hash another window has too; a window with a hash of its own can't recur."""
+        size = np.array([len(c) for c in contents])
+        begin, ends = np.cumsum(size) - size, np.cumsum(windows, dtype=np.int64)
+        first = ends - windows
+        inner = np.arange(int(ends[-1])) - np.repeat(first, windows)
+        h = run_hash(prefix_hash(np.frombuffer(b"".join(contents), np.uint8)), window)[np.repeat(begin, windows) + inner]
+        order = np.argsort(h)
+        same = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+        recurs = np.zeros(len(h), bool)
+        recurs[order] = same[1:] | same[:-1]
+        low = np.minimum.reduceat(np.where(recurs, inner, NOWHERE), first)
+        high = np.maximum.reduceat(np.where(recurs, inner, -1), first) + 1
+        marks = np.zeros(len(h), bool)
+        mine = np.flatnonzero(high > 0)
+        if len(mine):
+            low, high = low[mine], high[mine]
+            cut = [contents[i][a:b + window - 1] for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist(), strict=True)]
+            n = high - low
+            at = np.repeat(first[mine] + low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            marks[at] = in_part(n, ids[mine], starts[mine] + low, cut)
+        return np.split(marks, ends[:-1])
 
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids, starts = (np.concatenate([c[k] for c in chunks]) for k in range(4))
@@ -312,7 +343,7 @@ def earlier_windows(window: int, folder: str | None):
         part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
         marks: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
         for mine in grouped(part_of):  # equal windows have equal anchors, and so meet in one part
-            for i, m in zip(mine.tolist(), in_part(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
+            for i, m in zip(mine.tolist(), in_cut(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
                 marks[i] = m
         out, at = [], 0
         for c in chunks:

@@ -98,6 +98,10 @@ def test_equal_segments_of_two_chunks_go_through_the_suffix_sort(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "equal_windows", lambda text, window, folder: (seen.append(len(text)), sort(text, window, folder))[1])
     marks = suffix_dedup.earlier_windows(100, None)([chunk(4), chunk(2)])
     assert seen == [2 * 141 + 1] and marks[0].all() and not marks[1].any()
+    # of a longer segment only the part with recurring windows is sorted
+    longer = (np.array([7], np.uint32), np.array([61], np.int32), np.array([9]), np.array([0]), [b"0123456789" + data + b"9876543210"])
+    marks = suffix_dedup.earlier_windows(100, None)([chunk(4), longer])
+    assert seen[1:] == [2 * 141 + 1] and not marks[0].any() and marks[1].tolist() == [10 <= j < 51 for j in range(61)]
 
 
 def test_suffix_order_against_sorting():
