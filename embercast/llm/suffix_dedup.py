@@ -105,10 +105,12 @@ def rising(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scan:
-    """One direction of the induction: pushes predecessors of the given kind, with their common prefixes."""
+    """One direction of the induction: pushes predecessors of the given kind, with their common prefixes
+    (without ``prefixed`` with zeros, where only the order counts)."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, symbols: int, most: int, folder: str | None):
-        self.text, self.wanted, self.most = text, wanted, most
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, symbols: int, most: int, folder: str | None, prefixed: bool = True):
+        #: Symbols of the wanted positions, 0 elsewhere. The last symbol is 0, so the predecessor of the first position has none.
+        self.symbol_of, self.most, self.prefixed = text * wanted, most, prefixed
         self.queue = SuffixQueue(symbols, folder)
         #: Least common prefix met since the last push of each symbol.
         self.since = np.full(symbols, most, np.uint8)
@@ -116,29 +118,33 @@ class Scan:
     def take(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
         """The next entries of the order; prefixes[i] is what entry i shares with the entry before it."""
         before = positions - 1
-        ok = np.flatnonzero(before >= 0)
-        ok = ok[self.wanted[before[ok]]]
+        symbol = self.symbol_of[before]
+        ok = np.flatnonzero(symbol)
         least = prefixes.min() if len(prefixes) else self.most
         if len(ok):
-            symbol = self.text[before[ok]]
+            symbol = symbol[ok]
             order = np.argsort(symbol, kind="stable")
             ok, symbol = ok[order], symbol[order]
             edges = np.concatenate([[0], np.flatnonzero(symbol[1:] != symbol[:-1]) + 1, [len(symbol)]])
-            seen = symbol[edges[:-1]]
-            # before the first push of a symbol, and after its last, its running minimum goes on
-            first, last = ok[edges[:-1]], ok[edges[1:] - 1]
-            low = np.minimum.accumulate(prefixes)
-            rest = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], self.most)
-            shared = self.between(prefixes, ok, edges)
-            shared[edges[:-1]] = np.minimum(self.since[seen], low[first])
-            shared = np.minimum(shared + np.uint8(1), self.most).astype(np.uint8)
-            self.since = np.minimum(self.since, least)
-            self.since[seen] = rest[last + 1]
+            seen, before = symbol[edges[:-1]], before[ok]
+            shared = self.shared_with_last(prefixes, ok, edges, seen, least) if self.prefixed else np.zeros(len(ok), np.uint8)
             for s, a, b in zip(seen.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.queue.push(s, before[ok[a:b]], shared[a:b])
+                self.queue.push(s, before[a:b], shared[a:b])
         else:
             self.since = np.minimum(self.since, least)
 
+    def shared_with_last(self, prefixes: np.ndarray, ok: np.ndarray, edges: np.ndarray, seen: np.ndarray, least: int) -> np.ndarray:
+        """What each pushed entry shares with the entry of its symbol pushed before it."""
+        # before the first push of a symbol, and after its last, its running minimum goes on
+        first, last = ok[edges[:-1]], ok[edges[1:] - 1]
+        low = np.minimum.accumulate(prefixes)
+        rest = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], self.most)
+        shared = self.between(prefixes, ok, edges)
+        shared[edges[:-1]] = np.minimum(self.since[seen], low[first])
+        self.since = np.minimum(self.since, least)
+        self.since[seen] = rest[last + 1]
+        return np.minimum(shared + np.uint8(1), self.most).astype(np.uint8)
+
     def between(self, prefixes: np.ndarray, ok: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """For each pushed entry the least prefix since the entry of its symbol before it (the first of a symbol: open)."""
         shared = np.full(len(ok), self.most, np.uint8)
@@ -161,12 +167,13 @@ class Scan:
         return shared
 
 
-def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None, prefixed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes but the terminator's in descending order, as pairs of positions and common prefixes
-    with the entry before, from the LMS suffixes in ascending order and what each shares with the one before."""
+    with the entry before, from the LMS suffixes in ascending order and what each shares with the one before.
+    Without ``prefixed`` the common prefixes mean nothing."""
     symbols = int(text.max()) + 1
     bounds = np.searchsorted(text[seeds], np.arange(symbols + 1))
-    falls, scan = SuffixQueue(symbols, folder), Scan(text, ~up, symbols, most, folder)
+    falls, scan = SuffixQueue(symbols, folder), Scan(text, ~up, symbols, most, folder, prefixed)
     for c in range(symbols):
         last = None
         while (got := scan.queue.pop(c)) is not None:
@@ -180,7 +187,7 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
         if a < b:
             seam = 0 if last is None else min(run[last], run[seeds[a]], most)
             scan.take(seeds[a:b], np.append(np.uint8(seam), shared[a + 1:b]))
-    scan = Scan(text, up, symbols, most, folder)
+    scan = Scan(text, up, symbols, most, folder, prefixed)
     for c in range(symbols - 1, -1, -1):
         last = None
         while (got := scan.queue.pop(c)) is not None:
@@ -200,17 +207,19 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, same: np.ndarray, most: int) -> np.ndarray:
     """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols; ``same`` marks those that share so many."""
-    long = np.append(text, np.arange(most + 4, dtype=text.dtype)).astype(np.uint64)
-    four = long[:-3] | long[1:-2] << np.uint64(16) | long[2:-1] << np.uint64(32) | long[3:] << np.uint64(48)
+    width = text.itemsize
+    per = 8 // width
+    padded = np.append(text, np.zeros(per, text.dtype))
+    words = np.ndarray(len(text), "<u8", padded, strides=(width,)).copy()  # the symbols from each place on, as many as 8 bytes hold
     out = np.zeros(len(order), np.int64)
     out[same] = most
     at, k = np.flatnonzero(~same[1:]) + 1, 0
-    while len(at) and k < most:  # four symbols at a time, then the equal ones of the first four that differ
-        other = four[order[at] + k] ^ four[order[at - 1] + k]
+    while len(at) and k < most:  # a word at a time, then the equal symbols of the first that differs
+        other = words[order[at] + k] ^ words[order[at - 1] + k]
         differ = other != 0
         low = other[differ] & (~other[differ] + np.uint64(1))
-        out[at[differ]] = k + (low >= 1 << 16).astype(np.int64) + (low >= 1 << 32) + (low >= 1 << 48)
-        at, k = at[~differ], k + 4
+        out[at[differ]] = k + (np.frexp(low.astype(np.float64))[1] - 1) // (8 * width)
+        at, k = at[~differ], k + per
     out[at] = most
     return np.minimum(out, most).astype(np.uint8)
 
@@ -223,24 +232,31 @@ def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, fol
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     # a first induction, from seeds in order of their first symbol alone, sorts the substrings from one LMS position to the next
-    parts = [p[is_lms[p]] for p, _ in induce(text, seeds, np.zeros(len(seeds), np.uint8), up, run, most, folder)]
+    parts = [p[is_lms[p]] for p, _ in induce(text, seeds, np.zeros(len(seeds), np.uint8), up, run, most, folder, False)]
     order = np.append(np.concatenate(parts), len(text) - 1)[::-1]
     number = np.zeros(len(text), np.int64)
     number[lms] = np.arange(len(lms))
     stop = np.append(lms[1:] + 1, len(text))
     h = span_hash(prefix_hash(text), lms, stop)[number[order]]
     size = (stop - lms)[number[order]]
+    order = number[order]
     names = np.zeros(len(lms), np.int64)
-    names[number[order]] = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
-    # the string of names: each doubling orders twice as many names, which hold at least twice as many symbols
+    names[order] = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
+    # the string of names: each step orders as many times more names as fit into a number, which hold at least twice as many symbols
     covered, kinds = 1, int(names.max()) + 1
     while kinds < len(names) and 2 * covered < most:
-        following = np.append(names[covered:] + 1, np.zeros(min(covered, len(names)), np.int64))
-        values, names = np.unique(names * (kinds + 1) + following, return_inverse=True)
-        covered, before, kinds = 2 * covered, kinds, len(values)
+        values = names
+        joined = max(2, 63 // (kinds + 1).bit_length())
+        for k in range(1, joined):
+            after = min(k * covered, len(names))
+            values = values * (kinds + 1) + np.append(names[after:] + 1, np.zeros(after, np.int64))
+        order = np.argsort(values)
+        values = values[order]
+        names = np.zeros(len(lms), np.int64)
+        names[order] = np.cumsum(np.append(0, values[1:] != values[:-1]))
+        covered, before, kinds = joined * covered, kinds, int(names[order[-1]]) + 1
         if kinds == before:
             break
-    order = np.argsort(names, kind="stable")
     same = np.zeros(len(lms), bool)
     if 2 * covered >= most:  # equal names are followed by equal symbols, two and more to a name
         same[1:] = names[order[1:]] == names[order[:-1]]
@@ -285,15 +301,14 @@ def byte_units(run: int):
 
 
 def earlier_windows(window: int, folder: str | None):
-    def in_part(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
+    def in_part(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> np.ndarray:
         """A mark for each window of each segment in turn: whether it stands earlier in the part."""
         size = np.array([len(c) + 1 for c in contents])
         begin = np.cumsum(size) - size
-        text = np.zeros(int(size.sum()) + 1, np.uint16)
-        inside = np.ones(len(text), bool)
-        inside[begin + size - 1], inside[-1] = False, False
-        text[inside] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 2
+        text = np.frombuffer(b"\0".join(contents) + b"\0\0", np.uint8)
+        text = text + (np.uint8(2) if text.max() < 254 else np.uint16(2))  # no byte of UTF-8 is 254 or more
         text[begin + size - 1] = 1  # ends a segment; 0 ends the text
+        text[-1] = 0
         order, group = equal_windows(text, window, folder)
         segment = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
         offset = order - begin[segment]
@@ -301,17 +316,16 @@ def earlier_windows(window: int, folder: str | None):
         marks = np.zeros(int(windows.sum()), bool)
         if len(use):
             group, segment, offset = group[use], segment[use], offset[use]
-            doc, place = ids[segment], starts[segment] + offset
-            by = np.lexsort((place, doc, group))
-            head = np.append(True, np.diff(group[by]) > 0)
-            least = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            later = (doc[by] != doc[least]) | (place[by] != place[least])
+            _, rank = np.unique(ids, return_inverse=True)
+            key = (rank[segment] << 32) + starts[segment] + offset  # document and place in it
+            head = np.flatnonzero(np.append(True, np.diff(group) > 0))  # the entries of a group stand in a row
+            least = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(key))))
             first = np.cumsum(windows) - windows
-            marks[(first[segment] + offset)[by[later]]] = True
+            marks[(first[segment] + offset)[key != least]] = True
         return marks
 
-    def in_cut(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> list[np.ndarray]:
-        """For each segment a mark for each window that stands earlier. Each segment is cut to what lies between its
+    def in_cut(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> np.ndarray:
+        """A mark for each window of each segment in turn: whether it stands earlier. Each segment is cut to what lies between its
         first and last window whose hash another window has too; a window with a hash of its own can't recur."""
         size = np.array([len(c) for c in contents])
         begin, ends = np.cumsum(size) - size, np.cumsum(windows, dtype=np.int64)
@@ -332,7 +346,7 @@ def earlier_windows(window: int, folder: str | None):
             n = high - low
             at = np.repeat(first[mine] + low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             marks[at] = in_part(n, ids[mine], starts[mine] + low, cut)
-        return np.split(marks, ends[:-1])
+        return marks
 
     def in_shard(chunks: list[tuple]) -> list[np.ndarray]:
         anchors, windows, ids, starts = (np.concatenate([c[k] for c in chunks]) for k in range(4))
@@ -341,16 +355,13 @@ def earlier_windows(window: int, folder: str | None):
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         parts = max(1, -(-int(size.sum()) // PART_BYTES))
         part_of = mix(anchors.astype(np.uint64)) % np.uint64(parts)
-        marks: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
+        first = np.cumsum(windows, dtype=np.int64) - windows
+        marks = np.zeros(int(windows.sum()), bool)
         for mine in grouped(part_of):  # equal windows have equal anchors, and so meet in one part
-            for i, m in zip(mine.tolist(), in_cut(windows[mine], ids[mine], starts[mine], [contents[i] for i in mine.tolist()]), strict=True):
-                marks[i] = m
-        out, at = [], 0
-        for c in chunks:
-            own = marks[at:at + len(c[4])]
-            out.append(np.concatenate(own) if own else np.zeros(0, bool))
-            at += len(c[4])
-        return out
+            n = windows[mine]
+            at = np.repeat(first[mine] - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(int(n.sum()))
+            marks[at] = in_cut(n, ids[mine], starts[mine], [contents[i] for i in mine.tolist()])
+        return np.split(marks, np.cumsum([int(c[1].sum()) for c in chunks])[:-1])
 
     return in_shard
 

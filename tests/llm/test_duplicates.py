@@ -104,12 +104,32 @@ def test_equal_segments_of_two_chunks_go_through_the_suffix_sort(monkeypatch):
     assert seen[1:] == [2 * 141 + 1] and not marks[0].any() and marks[1].tolist() == [10 <= j < 51 for j in range(61)]
 
 
+@pytest.mark.parametrize("alphabet", [b"ab", b"\x00\x01\xf4", b"\x00\xfd\xfe\xff"])
+def test_marks_of_a_shard_against_brute_force(alphabet):
+    rng = random.Random(11)
+    for _ in range(60):
+        chunks, first = [], {}
+        for _ in range(rng.randint(1, 3)):
+            n = rng.randint(1, 5)
+            ids, starts = [rng.randint(-2, 4) for _ in range(n)], [rng.randint(0, 30) for _ in range(n)]
+            texts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(4, 40))) * rng.choice([1, 1, 3]) for _ in range(n)]
+            chunks.append((np.full(n, 7, np.uint32), np.array([len(t) - 3 for t in texts], np.int32), np.array(ids), np.array(starts), texts))
+        for _, _, ids, starts, texts in chunks:
+            for d, s, t in zip(ids.tolist(), starts.tolist(), texts, strict=True):
+                for j in range(len(t) - 3):
+                    first[t[j:j + 4]] = min(first.get(t[j:j + 4], (d, s + j)), (d, s + j))
+        got = suffix_dedup.earlier_windows(4, None)(chunks)
+        for (_, _, ids, starts, texts), marks in zip(chunks, got, strict=True):
+            want = [first[t[j:j + 4]] < (d, s + j) for d, s, t in zip(ids.tolist(), starts.tolist(), texts, strict=True) for j in range(len(t) - 3)]
+            assert marks.tolist() == want
+
+
 def test_suffix_order_against_sorting():
     rng = random.Random(6)
     for _ in range(800):
         n, kinds, most = rng.randint(1, 60), rng.choice([1, 2, 4]), rng.choice([2, 4, 9, 20])
         t = [rng.randint(1, kinds) for _ in range(n)] * rng.choice([1, 1, 4])
-        order, shared = suffix_dedup.suffix_order(np.array([*t, 0], np.uint16), most)
+        order, shared = suffix_dedup.suffix_order(np.array([*t, 0], rng.choice([np.uint8, np.uint16])), most)
         assert sorted(order.tolist()) == list(range(len(t)))
         for i in range(1, len(order)):
             a, b = t[order[i - 1]:] + [0], t[order[i]:] + [0]
