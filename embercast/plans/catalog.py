@@ -46,4 +46,4 @@ def wrap(sql: str, doubles: list[str], digits: int = DIGITS) -> str:
 
 
 # Query modules register themselves on import.
-from . import q_clean, q_features, q_stats, q_hotspots, q_curves, q_scoring, q_models, q_stream, q_jobs, q_io, q_logistic, q_forest  # noqa: E402,F401,E501
+from . import q_clean, q_features, q_stats, q_hotspots, q_curves, q_scoring, q_models, q_stream, q_jobs, q_io, q_logistic, q_forest, q_manifest  # noqa: E402,F401,E501
