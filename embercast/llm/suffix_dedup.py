@@ -7,7 +7,7 @@ the whole are sorted by induction, common-prefix values included:
 * suffixes that begin a rise after a fall (LMS) are sorted first: one induction
   sorts their substrings, these get names, and the string of names is sorted in
   turn; as only ``window`` bytes of order are needed, which hold at most
-  window / 2 names, doubling the names settles it in a few steps,
+  window / 2 names, joining two or more neighbours at a step settles it soon,
 * a scan in order then puts each suffix that is larger than its successor in
   its place, and a scan in reverse the others. A queue with a first-in
   first-out line for each leading symbol is the priority queue of the scan:
