@@ -32,3 +32,16 @@ def test_quantile_equals_numpy_linear(spark, vals, p):
     got = exact_quantiles(df, ["x"], [p], finish=0).first().q
     assert got == exact_quantiles(df, ["x"], [p]).first().q  # direct path gives the same value
     assert got == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12)
+
+
+def test_forest_training_keeps_no_node_ids_by_row(spark):
+    from embercast.operators import train
+
+    df = train.fixed_layout(spark.range(400).selectExpr("id", "cast(id % 17 as double) a", "cast(id % 29 as double) b", "int(id % 17 + id % 29 > 22) y"), "id")
+    pipe = train.forest_pipeline(["a", "b"], "y", num_trees=5, max_depth=12, seed=3)
+    assert not pipe.getStages()[-1].getCacheNodeIds()  # rows x trees numbers, written anew at every level
+    cached = pipe.copy()
+    cached.getStages()[-1].setCacheNodeIds(True)
+    trees = lambda p: [t.toDebugString.split("\n", 1)[1] for t in p.fit(df).stages[-1].trees]
+    plain = trees(train.forest_pipeline(["a", "b"], "y", num_trees=5, max_depth=12, seed=3))
+    assert plain == trees(cached)
