@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Rows of one part or task; rows of a table that is broadcast without asking for more.
+PART_ROWS, SMALL_ROWS = 1 << 19, 500_000
+
+
+def parts_for(rows: int, least: int) -> int:
+    """How many parts hold ``rows``: never fewer than ``least``, and more as the table grows, so that a task's share doesn't."""
+    return max(least, -(-rows // PART_ROWS))
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (checkpointed: it is counted) marked for a broadcast join unless it has more than ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
 
 def same_rows(left: DataFrame, columns: dict[str, str]) -> Column:
     """Equality of ``left``'s columns with other ones (name -> other name), where NULL equals NULL."""
@@ -51,7 +64,8 @@ def running_sums(df: DataFrame, sums: dict[str, str | Column], by=(), order=(),
         *[F.sum(f"_total_{k}").over(group).alias(f"_all_{k}") for k in totals],
         *[F.lead(f"_first_{k}").over(parts).alias(f"_next_{k}") for k in leads])
 
-    j = placed.join(per_part, (F.col("_part") == F.col("_p")) & same_rows(placed, {c: f"_k_{c}" for c in by}))
+    # shuffled once, for the windows: the join keeps that layout if the parts' sums are broadcast
+    j = placed.repartition(n, "_part", *by).join(small(cut_lineage(per_part)), (F.col("_part") == F.col("_p")) & same_rows(placed, {c: f"_k_{c}" for c in by}))
     inside = Window.partitionBy("_part", *by).orderBy(*order)
     run = inside.rowsBetween(Window.unboundedPreceding, 0)
     return j.select(
@@ -78,7 +92,7 @@ def nearest_values(df: DataFrame, cols, by=(), order=(), partitions: int | None
         F.col("_part").alias("_p"), *[F.col(c).alias(f"_k_{c}") for c in by],
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
         *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols])
-    j = placed.join(per_part, (F.col("_part") == F.col("_p")) & same_rows(placed, {c: f"_k_{c}" for c in by}))
+    j = placed.repartition(n, "_part", *by).join(small(cut_lineage(per_part)), (F.col("_part") == F.col("_p")) & same_rows(placed, {c: f"_k_{c}" for c in by}))
     # the next value = the last one in falling order: a running frame (linear), where a frame to the end is one for each row
     forth = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("_part", *by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
