@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import same_rows
+from .scan import same_rows, small
 
 FINISH = 1 << 20
 CELLS, CUTS = 1 << 16, 3
@@ -64,7 +64,7 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), finish: int = FINISH) ->
     counts = cut_lineage(counts.withColumn("off", F.sum("c").over(Window.partitionBy(*by).orderBy("y")) - F.col("c")).drop("y"))
     ranks = _targets(counts.groupBy(*by).agg(F.sum("c").alias("n")), probs, by)
     for cut in range(CUTS + 1):
-        wanted = _hold(counts, ranks, by)  # a row for each rank: the cell that holds it
+        wanted = cut_lineage(_hold(counts, ranks, by))  # a row for each rank: the cell that holds it
         if cut == CUTS or (wanted.agg(F.max("c")).first()[0] or 0) <= finish:
             break
         inside = _inside(rows, wanted, by).groupBy(*by, "lo", "off", cell(F.col("v")).alias("y")).agg(extent[0], F.min("v").alias("_lo"), F.max("v").alias("hi"))
@@ -81,10 +81,11 @@ def exact_quantiles_long(long: DataFrame, probs, by=(), finish: int = FINISH) ->
 
 
 def _inside(rows: DataFrame, wanted: DataFrame, by) -> DataFrame:
-    """Rows whose value lies in a wanted cell of their group (cells don't overlap), with the cell's lo, hi and off."""
+    """Rows whose value lies in a wanted cell of their group (cells don't overlap), with the cell's lo, hi and off.
+    The cells are broadcast unless there are many: a shuffle by group would put a whole group into one task."""
     cells = wanted.select(*[F.col(c).alias(f"_k_{c}") for c in by], "lo", "hi", "off").distinct()
     same = same_rows(rows, {c: f"_k_{c}" for c in by}) & F.col("v").between(F.col("lo"), F.col("hi"))
-    return rows.join(cells, same).select(*rows.columns, "lo", "hi", "off")
+    return rows.join(small(cells), same).select(*rows.columns, "lo", "hi", "off")
 
 
 def _hold(counts: DataFrame, ranks: DataFrame, by) -> DataFrame:

@@ -19,6 +19,7 @@ from .. import fixed
 from ..functions import numeric_columns
 from ..session import cut_lineage
 from .quantiles import exact_quantiles
+from .scan import small
 
 
 def _pct_approx(c: str, qs) -> Column:
@@ -160,8 +161,9 @@ def hist_density(df: DataFrame, col: str, by: str = fixed.TARGET, bins: int = 30
     hi = F.when(F.col("_mx") > F.col("_mn"), F.col("_mx")).otherwise(F.col("_mx") + 0.5)
     stats = stats.select(by, lo.cast("double").alias("_lo"), hi.cast("double").alias("_hi"), "_n") \
                  .withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
-    # a NULL class is a class of its own, so the joins are null-safe; AQE decides how the group table travels
-    own = stats.withColumnRenamed(by, "_by")
+    # a NULL class is a class of its own, so the joins are null-safe; the rows aren't shuffled by class
+    stats = cut_lineage(stats)
+    own = small(stats.withColumnRenamed(by, "_by"))
     binned = df.filter(F.col(col).isNotNull()).join(own, F.col(by).eqNullSafe(F.col("_by"))).select(
         by, F.least(F.floor((F.col(col) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count"))
@@ -185,7 +187,7 @@ def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float =
     q = _quantile_table(df, [col], [0.25, 0.5, 0.75], by=(by,), approx=approx)
     q = q.select(by, F.col("q0_25").alias("q1"), F.col("q0_5").alias("median"), F.col("q0_75").alias("q3")) \
          .withColumn("iqr", F.col("q3") - F.col("q1"))
-    q = cut_lineage(q)  # a row for each group, read twice
+    q = small(cut_lineage(q))  # a row for each group, read twice; no shuffle of the rows by group: one may be most of them
     lo_f = F.col("q1") - whisker * F.col("iqr")
     hi_f = F.col("q3") + whisker * F.col("iqr")
     x = F.col(col)
@@ -197,7 +199,7 @@ def box_stats(df: DataFrame, col: str, by: str = fixed.TARGET, whisker: float =
         F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    return q.join(agg, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return agg.join(q, F.col(by).eqNullSafe(F.col("_by"))).select(*q.columns, *agg.columns).drop("_by")
 
 
 # --------------------------------------------------------------------------- V9, A13, A15
