@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import numeric_columns, scalars
 from .quantiles import exact_quantiles
-from .scan import nearest_values
+from .scan import nearest_values, parts_for
 
 
 # --------------------------------------------------------------------------- E1, O1
@@ -65,8 +65,11 @@ def fill_three_stage(df: DataFrame, cols=None, partition=("site_id",), order: st
     (``quantiles``); ``approx_median=True`` uses a bounded sketch instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *partition])
-    near = nearest_values(df, cols, partition, [order])  # a series of any length: no task holds a whole one
-    known = df.groupBy(*partition).agg(*[F.count(c).alias(c) for c in cols]).agg(*[F.min(c).alias(c) for c in cols]).first()
+    known = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols]) \
+              .agg(F.sum("_rows").alias("_rows"), *[F.min(c).alias(c) for c in cols]).first()
+    # a series of any length: no task holds a whole one; more parts as the table grows
+    n = parts_for(known["_rows"] or 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = nearest_values(df, cols, partition, [order], n)
     empty = [c for c in cols if known[c] == 0]
     med = _medians(df, empty, approx_median) if empty else {}
     filled = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import meteo
-from .scan import running_sums
+from .scan import parts_for, running_sums
 
 
 def temporal_features(df: DataFrame, date_col: str = "date", style: str = "clean") -> DataFrame:
@@ -83,12 +83,16 @@ def rolling_features(df: DataFrame, value_cols, partition=("site_id",), order: s
 
     Frames count rows, not days; run ``complete_calendar`` first to make them
     days. Columns are explicit: never the target (no label leak). One series is
-    one window task; with ``block`` (rows) a series of any length is cut into
+    one window task, and tasks are as many as the rows (counted) ask for; with ``block`` (rows) a series of any length is cut into
     blocks that carry the longest window's rows along."""
     r, w = df, Window.partitionBy(*[F.col(p) for p in partition]).orderBy(F.col(order))
     if block:
         r = _in_blocks(df, partition, [order], max(windows), block)
         w = Window.partitionBy(*partition, "_block").orderBy("_rn")
+    else:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_tasks = parts_for(df.count(), least)
+        r = df.repartition(n_tasks, *partition) if n_tasks > least else df
     new = {}
     for c in value_cols:
         for n in windows:
