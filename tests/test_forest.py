@@ -168,3 +168,25 @@ def test_rows_without_a_class_stay(spark):
     assert len(folds) == 30 and all((r["fold"] is None) == (r["y"] is None) for r in folds)
     w = {r["y"]: r["weight"] for r in split.class_weights(df, "y").collect()}
     assert w == {None: 0.0, 0: 1.0, 1: 1.0}
+
+
+def test_draws_by_cells_equal_the_thresholds():
+    s, n = S, forest.PRIME
+    a, b = forest.draw_factors(2, s.seed)
+    back = pow(a, -1, n)
+    near = [d + k for d in forest.DRAWS for k in (-1, 0, 1) if 0 <= d + k < n] + list(range(0, n, 9_999_991))
+    rows = np.array([(v - b) * back % n for v in near], np.int64)
+    assert forest.draws(rows, np.zeros(len(rows)), 2, s).tolist() == [sum(v >= d for d in forest.DRAWS) for v in near]
+
+
+def test_candidates_share_the_binned_rows(spark, monkeypatch):
+    from embercast.operators import model_queue
+
+    made, plain_cuts = [], forest.cut_points
+    monkeypatch.setattr(forest, "cut_points", lambda *a: made.append(1) or plain_cuts(*a))
+    df = split.stratified_folds(frame(spark, rows(300)), "y", ["id"], 3, 1).cache()
+    options = [replace(S, max_depth=2), replace(S, max_depth=3)]
+    got = model_queue.run_queue(df, FEATURES, "y", ["id"], options, folds=3)
+    assert len(made) == 1  # one set of cut points for all candidates, folds and refits
+    for i, f in got.forests.items():
+        assert f.nodes == forest.fit(df, FEATURES, "y", ["id"], options[i]).nodes
