@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,28 +111,36 @@ LAST_N_OUT = ("station_id long, total_readings long, retained long, avg_temperat
 
 
 def _last_n_fn(n: int):
+    """A call costs little beside its rows: numpy columns, not frames, as there are as many calls as stations."""
+    def columns_of(ts, event_id, *values):
+        """Times, ids and values as numpy columns; a time that is missing is NaT and comes first in the order."""
+        ids = np.asarray(event_id)
+        ids = ids if ids.dtype.kind == "i" else np.array([np.nan if x is None else x for x in event_id], np.float64)
+        return [np.asarray(ts, "datetime64[us]"), ids, *[np.asarray(v, np.float64) for v in values]]
+
     def fn(key, pdfs, state):
         held, total, first, last = None, 0, None, None
         if state.exists:
             *columns, total, first, last = state.get
-            held = pd.DataFrame({c: list(v) for c, v in zip(_KEPT, columns)})
+            held = columns_of(*columns)
         for pdf in pdfs:  # Arrow chunks in any order: state and chunk are merged, the latest n by event time stay
-            part = pdf[_KEPT] if held is None else pd.concat([held, pdf[_KEPT]], ignore_index=True)
-            held = part.sort_values(["ts", "event_id"], na_position="first").tail(n)
-            total += len(pdf)
-            times = pdf["ts"].dropna()
+            part = columns_of(*[pdf[c].to_numpy() for c in _KEPT])
+            times = part[0][~np.isnat(part[0])]
             if len(times):
-                first = times.min() if first is None else min(pd.Timestamp(first), times.min())
-                last = times.max() if last is None else max(pd.Timestamp(last), times.max())
-
-        def listed(c):
-            return [None if pd.isna(x) else x for x in held[c]]
-
-        state.update((listed("ts"), [None if pd.isna(x) else int(x) for x in held["event_id"]], listed("temperatura"),
-                      listed("humedad"), listed("velocidad_viento"), total, first, last))
-        span = None if first is None else (pd.Timestamp(last) - pd.Timestamp(first)).total_seconds()
-        means = {f"avg_{c}": [None if held[c].isna().all() else float(held[c].mean())] for c in _KEPT[2:]}  # NULLs skipped
-        yield pd.DataFrame({"station_id": [key[0]], "total_readings": [total], "retained": [len(held)], **means,
+                first, last = (f(times.tolist() + ([] if x is None else [x])) for f, x in ((min, first), (max, last)))
+            total += len(pdf)
+            part = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            order = np.lexsort((np.where(np.isnan(part[1]), -np.inf, part[1]) if part[1].dtype.kind == "f" else part[1], part[0].view(np.int64)))[-n:]
+            held = [x[order] for x in part]
+
+        def listed(x):
+            return [None if v != v else v for v in x.tolist()]
+
+        state.update((held[0].tolist(), [None if v is None else int(v) for v in listed(held[1])], *map(listed, held[2:]), total, first, last))
+        span = None if first is None else (last - first).total_seconds()
+        there = [x[~np.isnan(x)] for x in held[2:]]
+        means = {f"avg_{c}": [float(x.mean()) if len(x) else None] for c, x in zip(_KEPT[2:], there)}  # NULLs skipped
+        yield pd.DataFrame({"station_id": [key[0]], "total_readings": [total], "retained": [len(held[0])], **means,
                             "last_ts": [last], "uptime_seconds": [span]})
     return fn
 
