@@ -81,3 +81,14 @@ def test_last_n_of_a_station_with_missing_times_ids_and_values():
     assert (out["total_readings"], out["retained"], out["uptime_seconds"]) == (5, 3, 7200.0)
     assert (out["avg_temperatura"], out["avg_humedad"], out["avg_velocidad_viento"]) == (3.0, 8.0, 3.0)
     assert state.held[1] == [7, 4, 5] and state.held[0] == [t0 + timedelta(hours=1), t0 + timedelta(hours=2), t0 + timedelta(hours=2)]
+
+
+def test_training_rows_are_laid_out_once(spark):
+    import __spark_entry__  # noqa: F401  (registers the queries in their order)
+    from embercast.plans import q_models
+
+    df = spark.range(300).selectExpr("cast(id % 30 as int) site_id", "date_add(date'2020-01-01', cast(id / 30 as int)) date", "id v")
+    out = q_models._laid_out(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300
+    for part in out.select("site_id", "date").rdd.glom().collect():
+        assert part == sorted(part)
