@@ -187,9 +187,9 @@ class Chunk:
         """Of the settled segments: the number of the distinct content of each,
         and for each distinct content its first segment and its bytes."""
         chosen = np.arange(len(self.segments.start))
-        known: dict[bytes, int] = {}
         texts = self.content(chosen)
-        kind = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
+        known = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        kind = np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
         doc, place = self.places(chosen)
         order = np.lexsort((place, doc, kind))
         first = order[np.append(True, np.diff(kind[order]) > 0)] if len(order) else order

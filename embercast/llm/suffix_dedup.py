@@ -37,7 +37,7 @@ from embercast.llm.arrays import mix, prefix_hash, run_hash, span_hash, work_fol
 from embercast.llm.token_files import store
 
 #: Entries of the queue that stay in memory, and bytes of text that are sorted at a time.
-QUEUE_ENTRIES, PART_BYTES = 1 << 18, 3 << 20
+QUEUE_ENTRIES, PART_BYTES = 1 << 18, 3 << 19
 NOWHERE = np.iinfo(np.int64).max
 
 
@@ -50,10 +50,12 @@ class SuffixQueue:
 
     def __init__(self, symbols: int, folder: str | None, most: int = QUEUE_ENTRIES):
         self.lines: list[list] = [[] for _ in range(symbols)]
-        self.held, self.most, self.folder, self.files = 0, most, folder, []
+        self.loose = [0] * symbols  # entries of each line that are in memory
+        self.held, self.most, self.folder = 0, most, folder
 
     def push(self, symbol: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
         self.lines[symbol].append((positions, prefixes))
+        self.loose[symbol] += len(positions)
         self.held += len(positions)
         if self.held > self.most and self.folder:
             self.spill()
@@ -61,21 +63,23 @@ class SuffixQueue:
     def spill(self) -> None:
         fs, base = store(self.folder)
         fs.create_dir(base, recursive=True)
-        for line in sorted(self.lines, key=lambda runs: -sum(len(r[0]) for r in runs if isinstance(r, tuple))):
-            loose = [i for i, r in enumerate(line) if isinstance(r, tuple)]
-            if not loose or self.held <= self.most // 2:
+        for symbol in sorted(range(len(self.lines)), key=lambda c: -self.loose[c]):
+            if not self.loose[symbol] or self.held <= self.most // 2:
                 break
-            path = f"{base}/{uuid.uuid4().hex}"
-            positions, prefixes = (np.concatenate(x) for x in zip(*line[loose[0]:], strict=True))  # files come before the runs in memory
+            line, path = self.lines[symbol], f"{base}/{uuid.uuid4().hex}"
+            files = sum(isinstance(r, str) for r in line)  # they come before the runs in memory
+            positions, prefixes = (np.concatenate(x) for x in zip(*line[files:], strict=True))
             with fs.open_output_stream(path) as f:
                 f.write(positions.astype("<i8").tobytes())
                 f.write(prefixes.tobytes())
             self.held -= len(positions)
-            line[loose[0]:] = [path]
+            self.loose[symbol] = 0
+            line[files:] = [path]
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All that has arrived for a symbol, in order of arrival; None if nothing has."""
         line, self.lines[symbol] = self.lines[symbol], []
+        self.held, self.loose[symbol] = self.held - self.loose[symbol], 0
         runs = []
         for r in line:
             if isinstance(r, str):
@@ -86,22 +90,28 @@ class SuffixQueue:
                 n = len(data) // 9
                 runs.append((np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n)))
             else:
-                self.held -= len(r[0])
                 runs.append(r)
-        if not runs:
-            return None
+        if len(runs) < 2:
+            return runs[0] if runs else None
         return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
 
 
-def rising(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix whether it is smaller than the next one, and how often its first symbol stands in a row.
+def rising(text: np.ndarray) -> np.ndarray:
+    """For each suffix whether it is smaller than the next one.
 
     The last symbol must be smaller than all others; its suffix counts as rising."""
-    n = len(text)
-    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    size = np.diff(np.concatenate([[-1], change]))
-    up = np.append(text[change[:-1]] < text[change[:-1] + 1], True)
-    return np.repeat(up, size), np.repeat(change, size) - np.arange(n) + 1
+    up = np.append(text[:-1] < text[1:], True)
+    level = np.flatnonzero(text[:-1] == text[1:])  # decided at the end of the run
+    ends = np.flatnonzero(np.append(np.diff(level) != 1, True))
+    if len(level):
+        up[level] = np.repeat(up[level[ends] + 1], np.diff(ends, prepend=-1))
+    return up
+
+
+def in_a_row(text: np.ndarray, at: int, most: int) -> int:
+    """How often the symbol at a place stands in a row from there (``most`` and more: ``most``)."""
+    other = np.flatnonzero(text[at:at + most] != text[at])
+    return int(other[0]) if len(other) else most
 
 
 class Scan:
@@ -109,16 +119,15 @@ class Scan:
     (without ``prefixed`` with zeros, where only the order counts)."""
 
     def __init__(self, text: np.ndarray, wanted: np.ndarray, symbols: int, most: int, folder: str | None, prefixed: bool = True):
-        #: Symbols of the wanted positions, 0 elsewhere. The last symbol is 0, so the predecessor of the first position has none.
-        self.symbol_of, self.most, self.prefixed = text * wanted, most, prefixed
+        #: The symbol before each position, 0 where it isn't wanted. The last symbol is 0, so before the first position there is none.
+        self.symbol_before, self.most, self.prefixed = np.roll(text * wanted, 1), most, prefixed
         self.queue = SuffixQueue(symbols, folder)
         #: Least common prefix met since the last push of each symbol.
         self.since = np.full(symbols, most, np.uint8)
 
     def take(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
         """The next entries of the order; prefixes[i] is what entry i shares with the entry before it."""
-        before = positions - 1
-        symbol = self.symbol_of[before]
+        symbol = self.symbol_before[positions]
         ok = np.flatnonzero(symbol)
         least = prefixes.min() if len(prefixes) else self.most
         if len(ok):
@@ -126,7 +135,7 @@ class Scan:
             order = np.argsort(symbol, kind="stable")
             ok, symbol = ok[order], symbol[order]
             edges = np.concatenate([[0], np.flatnonzero(symbol[1:] != symbol[:-1]) + 1, [len(symbol)]])
-            seen, before = symbol[edges[:-1]], before[ok]
+            seen, before = symbol[edges[:-1]], positions[ok] - 1
             shared = self.shared_with_last(prefixes, ok, edges, seen, least) if self.prefixed else np.zeros(len(ok), np.uint8)
             for s, a, b in zip(seen.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 self.queue.push(s, before[a:b], shared[a:b])
@@ -137,37 +146,32 @@ class Scan:
         """What each pushed entry shares with the entry of its symbol pushed before it."""
         # before the first push of a symbol, and after its last, its running minimum goes on
         first, last = ok[edges[:-1]], ok[edges[1:] - 1]
-        low = np.minimum.accumulate(prefixes)
-        rest = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], self.most)
+        cuts = np.unique(np.concatenate([[0], first + 1, last + 1]))
+        cuts = cuts[cuts < len(prefixes)]
+        span = np.minimum.reduceat(prefixes, cuts)  # what lies between the places that are asked for
+        low, rest = np.minimum.accumulate(span), np.append(np.minimum.accumulate(span[::-1])[::-1], np.uint8(self.most))
         shared = self.between(prefixes, ok, edges)
-        shared[edges[:-1]] = np.minimum(self.since[seen], low[first])
+        shared[edges[:-1]] = np.minimum(self.since[seen], low[np.searchsorted(cuts, first + 1) - 1])
         self.since = np.minimum(self.since, least)
-        self.since[seen] = rest[last + 1]
+        self.since[seen] = rest[np.searchsorted(cuts, last + 1)]
         return np.minimum(shared + np.uint8(1), self.most).astype(np.uint8)
 
     def between(self, prefixes: np.ndarray, ok: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """For each pushed entry the least prefix since the entry of its symbol before it (the first of a symbol: open)."""
-        shared = np.full(len(ok), self.most, np.uint8)
-        lo, hi = ok[:-1] + 1, ok[1:] + 1  # ranges of prefixes between two entries of one symbol
-        inner = np.ones(len(ok), bool)
-        inner[edges[:-1]] = False
-        at = np.flatnonzero(inner)
-        if len(at):
-            lo, hi = lo[at - 1], hi[at - 1]
-            width = hi - lo
-            level = np.frexp(width.astype(np.float64))[1] - 1  # sparse table: least of 2**k prefixes from each place
-            table, k = prefixes, 0
-            for want in range(int(level.max()) + 1):
-                while k < want:
-                    table = np.minimum(table[:-(1 << k)], table[1 << k:])
-                    k += 1
-                mine = np.flatnonzero(level == want)
-                if len(mine):
-                    shared[at[mine]] = np.minimum(table[lo[mine]], table[hi[mine] - (1 << want)])
-        return shared
-
-
-def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None, prefixed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each pushed entry the least prefix since the entry of its symbol before it (the first of a symbol: its own)."""
+        lo = np.append(0, ok[:-1] + 1)  # ranges of prefixes between two entries of one symbol
+        lo[edges[:-1]] = ok[edges[:-1]]
+        level = ((ok + 1 - lo).astype(np.float64).view(np.int64) >> 52) - 1023  # whole part of the logarithm
+        n = len(prefixes)
+        table = np.empty((int(level.max()) + 1, n), np.uint8)  # sparse table: least of 2**k prefixes from each place
+        table[0] = prefixes
+        for k in range(1, len(table)):
+            half, last = 1 << k - 1, n - (1 << k) + 1
+            np.minimum(table[k - 1, :last], table[k - 1, half:half + last], out=table[k, :last])
+        table, row = table.ravel(), level * n
+        return np.minimum(table[row + lo], table[row + ok + 1 - (1 << level)])
+
+
+def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarray, most: int, folder: str | None, prefixed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes but the terminator's in descending order, as pairs of positions and common prefixes
     with the entry before, from the LMS suffixes in ascending order and what each shares with the one before.
     Without ``prefixed`` the common prefixes mean nothing."""
@@ -185,7 +189,7 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
             last = positions[-1]
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            seam = 0 if last is None else min(run[last], run[seeds[a]], most)
+            seam = 0 if last is None else min(in_a_row(text, last, most), in_a_row(text, seeds[a], most))
             scan.take(seeds[a:b], np.append(np.uint8(seam), shared[a + 1:b]))
     scan = Scan(text, up, symbols, most, folder, prefixed)
     for c in range(symbols - 1, -1, -1):
@@ -199,76 +203,88 @@ def induce(text: np.ndarray, seeds: np.ndarray, shared: np.ndarray, up: np.ndarr
             last = positions[-1]
         if (got := falls.pop(c)) is not None:
             positions, prefixes = got
-            seam = 0 if last is None else min(run[last], run[positions[-1]], most)
+            seam = 0 if last is None else min(in_a_row(text, last, most), in_a_row(text, positions[-1], most))
             positions, prefixes = positions[::-1], np.append(np.uint8(seam), prefixes[:0:-1])
             scan.take(positions, prefixes)
             yield positions, prefixes
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, same: np.ndarray, most: int) -> np.ndarray:
-    """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols; ``same`` marks those that share so many."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """What each suffix of ``order`` shares with the one before it, up to ``most`` symbols; ``least`` are known to be shared."""
     width = text.itemsize
     per = 8 // width
     padded = np.append(text, np.zeros(per, text.dtype))
     words = np.ndarray(len(text), "<u8", padded, strides=(width,)).copy()  # the symbols from each place on, as many as 8 bytes hold
-    out = np.zeros(len(order), np.int64)
-    out[same] = most
-    at, k = np.flatnonzero(~same[1:]) + 1, 0
-    while len(at) and k < most:  # a word at a time, then the equal symbols of the first that differs
-        other = words[order[at] + k] ^ words[order[at - 1] + k]
+    out = least.astype(np.int64)
+    at = np.flatnonzero(out[1:] < most) + 1
+    k = out[at]
+    one, two = order[at] + k, order[at - 1] + k
+    while len(at):  # a word at a time, then the equal symbols of the first that differs
+        other = words[one] ^ words[two]
         differ = other != 0
-        low = other[differ] & (~other[differ] + np.uint64(1))
-        out[at[differ]] = k + (np.frexp(low.astype(np.float64))[1] - 1) // (8 * width)
-        at, k = at[~differ], k + per
-    out[at] = most
+        low = other[differ]
+        out[at[differ]] = k[differ] + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // (8 * width)
+        go = np.flatnonzero(~differ)
+        at, k, one, two = at[go], k[go] + per, one[go] + per, two[go] + per
+        out[at] = k
+        go = np.flatnonzero(k < most)
+        at, k, one, two = at[go], k[go], one[go], two[go]
     return np.minimum(out, most).astype(np.uint8)
 
 
-def sorted_lms(text: np.ndarray, up: np.ndarray, run: np.ndarray, most: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The LMS suffixes in order of their first ``most`` symbols and more, and marks of those that share
-    as many with the one before (not of all: some are told apart by later symbols)."""
+def sorted_lms(text: np.ndarray, up: np.ndarray, most: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The LMS suffixes in order of their first ``most`` symbols and more, and how many symbols each is known
+    to share with the one before at least."""
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
+    n = len(lms)
     seeds = lms[np.argsort(text[lms], kind="stable")]
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     # a first induction, from seeds in order of their first symbol alone, sorts the substrings from one LMS position to the next
-    parts = [p[is_lms[p]] for p, _ in induce(text, seeds, np.zeros(len(seeds), np.uint8), up, run, most, folder, False)]
+    parts = [p[is_lms[p]] for p, _ in induce(text, seeds, np.zeros(n, np.uint8), up, most, folder, False)]
     order = np.append(np.concatenate(parts), len(text) - 1)[::-1]
-    number = np.zeros(len(text), np.int64)
-    number[lms] = np.arange(len(lms))
-    stop = np.append(lms[1:] + 1, len(text))
-    h = span_hash(prefix_hash(text), lms, stop)[number[order]]
-    size = (stop - lms)[number[order]]
+    number = np.zeros(len(text), np.int32)
+    number[lms] = np.arange(n)
     order = number[order]
-    names = np.zeros(len(lms), np.int64)
-    names[order] = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
-    # the string of names: each step orders as many times more names as fit into a number, which hold at least twice as many symbols
-    covered, kinds = 1, int(names.max()) + 1
-    while kinds < len(names) and 2 * covered < most:
-        values = names
-        joined = max(2, 63 // (kinds + 1).bit_length())
-        for k in range(1, joined):
-            after = min(k * covered, len(names))
-            values = values * (kinds + 1) + np.append(names[after:] + 1, np.zeros(after, np.int64))
-        order = np.argsort(values)
-        values = values[order]
-        names = np.zeros(len(lms), np.int64)
-        names[order] = np.cumsum(np.append(0, values[1:] != values[:-1]))
-        covered, before, kinds = joined * covered, kinds, int(names[order[-1]]) + 1
-        if kinds == before:
-            break
-    same = np.zeros(len(lms), bool)
-    if 2 * covered >= most:  # equal names are followed by equal symbols, two and more to a name
-        same[1:] = names[order[1:]] == names[order[:-1]]
-    return lms[order], same
+    del parts, seeds, number, is_lms
+    h = span_hash(prefix_hash(text), lms, np.append(lms[1:] + 1, len(text)))[order]  # of the substrings with their lengths
+    fresh = np.append(True, h[1:] != h[:-1])
+    names = np.empty(n, np.int32)
+    names[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    del h
+    # the string of names: each step joins as many neighbours as fit into a number. Of equal names only those go on that
+    # cover less than ``most`` symbols; from the first step on a name is the first place of its equals in the order
+    spanned = lambda i, count: np.minimum(lms[np.minimum(i + count, n - 1)] - lms[i] + 1, most).astype(np.uint8)  # noqa: E731  to the next one's first symbol
+    covered, least, at = 1, np.zeros(n, np.uint8), np.arange(0 if fresh.all() else n, dtype=np.int32)
+    while len(at):
+        mine = np.sort(order[at])  # by place in the text, as their neighbours are looked up
+        kinds = int(names.max()) + 2
+        joined, values = max(2, 63 // kinds.bit_length()), names[mine].astype(np.int64)
+        for k in range(covered, joined * covered, covered):
+            inside = np.searchsorted(mine, n - k)
+            values *= kinds
+            values[:inside] += names[mine[:inside] + k] + 1
+        turn = np.argsort(values)
+        values = values[turn]
+        new = np.append(True, values[1:] != values[:-1])
+        told = np.flatnonzero(new & ~fresh)  # they differ only now
+        least[at[told]] = spanned(mine, covered)[turn[told]]
+        covered *= joined
+        whole = (spanned(mine, covered) >= most)[turn] & ~(new & np.append(new[1:], True))
+        mine = mine[turn]
+        names[mine], order[at] = np.maximum.accumulate(np.where(new, at, 0)), mine
+        least[at[whole & ~new]] = most
+        on = np.flatnonzero(~whole & ~(new & np.append(new[1:], True)))
+        at, fresh = at[on], new[on]
+    return lms[order], least
 
 
 def suffix_order(text: np.ndarray, most: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in descending order of their first ``most`` symbols, and what each shares with the one before
     (up to ``most``). The last symbol must be 0 and stand nowhere else; its own suffix is left out."""
-    up, run = rising(text)
-    lms, same = sorted_lms(text, up, run, most, folder)
-    found = list(induce(text, lms, common_prefixes(text, lms, same, most), up, run, most, folder))
+    up = rising(text)
+    lms, least = sorted_lms(text, up, most, folder)
+    found = list(induce(text, lms, common_prefixes(text, lms, least, most), up, most, folder))
     return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
 
@@ -276,11 +292,11 @@ def equal_windows(text: np.ndarray, window: int, folder: str | None) -> tuple[np
     """Of the suffixes in order those that share ``window`` symbols with a neighbour, and a number for each such group.
 
     The runs of the induction are looked at one by one; only what is returned is kept."""
-    up, run = rising(text)
-    lms, equal = sorted_lms(text, up, run, window, folder)
+    up = rising(text)
+    lms, least = sorted_lms(text, up, window, folder)
     found, fresh = [], []
     last, follows = np.zeros(0, np.int64), np.zeros(0, bool)  # the latest entry, and whether it equals the one before
-    for positions, prefixes in induce(text, lms, common_prefixes(text, lms, equal, window), up, run, window, folder):
+    for positions, prefixes in induce(text, lms, common_prefixes(text, lms, least, window), up, window, folder):
         positions, same = np.concatenate([last, positions]), np.concatenate([follows, prefixes >= window])
         member = np.flatnonzero(same[:-1] | same[1:])
         found.append(positions[member])
@@ -309,20 +325,19 @@ def earlier_windows(window: int, folder: str | None):
         text = text + (np.uint8(2) if text.max() < 254 else np.uint16(2))  # no byte of UTF-8 is 254 or more
         text[begin + size - 1] = 1  # ends a segment; 0 ends the text
         text[-1] = 0
+        _, rank = np.unique(ids, return_inverse=True)
+        place = np.repeat((rank << 32) + starts - begin, size) + np.arange(len(text) - 1)  # document and place in it
+        whole = np.arange(len(text) - 1) < np.repeat(begin + windows, size)  # a window of its segment begins here
         order, group = equal_windows(text, window, folder)
-        segment = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
-        offset = order - begin[segment]
-        use = np.flatnonzero(offset < windows[segment])
-        marks = np.zeros(int(windows.sum()), bool)
+        use = np.flatnonzero(whole[order])
+        marks = np.zeros(len(text) - 1, bool)
         if len(use):
-            group, segment, offset = group[use], segment[use], offset[use]
-            _, rank = np.unique(ids, return_inverse=True)
-            key = (rank[segment] << 32) + starts[segment] + offset  # document and place in it
-            head = np.flatnonzero(np.append(True, np.diff(group) > 0))  # the entries of a group stand in a row
+            order, group = order[use], group[use]
+            key = place[order]
+            head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))  # the entries of a group stand in a row
             least = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(key))))
-            first = np.cumsum(windows) - windows
-            marks[(first[segment] + offset)[key != least]] = True
-        return marks
+            marks[order[key != least]] = True
+        return marks[whole]
 
     def in_cut(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, contents: list[bytes]) -> np.ndarray:
         """A mark for each window of each segment in turn: whether it stands earlier. Each segment is cut to what lies between its
@@ -331,9 +346,11 @@ def earlier_windows(window: int, folder: str | None):
         begin, ends = np.cumsum(size) - size, np.cumsum(windows, dtype=np.int64)
         first = ends - windows
         inner = np.arange(int(ends[-1])) - np.repeat(first, windows)
-        h = run_hash(prefix_hash(np.frombuffer(b"".join(contents), np.uint8)), window)[np.repeat(begin, windows) + inner]
+        at = np.repeat(begin, windows) + inner
+        h = span_hash(prefix_hash(np.frombuffer(b"".join(contents), np.uint8)), at, at + window)
         order = np.argsort(h)
-        same = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+        h = h[order]
+        same = np.concatenate([[False], h[1:] == h[:-1], [False]])
         recurs = np.zeros(len(h), bool)
         recurs[order] = same[1:] | same[:-1]
         low = np.minimum.reduceat(np.where(recurs, inner, NOWHERE), first)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,36 @@ def test_a_part_of_the_default_size_uses_the_disk_and_is_read_run_by_run(tmp_pat
     assert sorted(got) == want
 
 
+def test_a_shard_is_sorted_within_bounded_memory(tmp_path):
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(900)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 900, 40))[:140].ljust(140, b".") for _ in range(11_000)]
+    chunk = lambda doc: (np.arange(11_000, dtype=np.uint32), np.full(11_000, 41, np.int32), np.full(11_000, doc), 200 * np.arange(11_000), texts)
+    chunks = [chunk(4), chunk(2)]
+    tracemalloc.start()
+    try:
+        marks = suffix_dedup.earlier_windows(100, str(tmp_path / "queue"))(chunks)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert marks[0].all() and not marks[1].any()
+    assert peak < 160 << 20, peak
+
+
+def test_names_that_cover_the_window_are_not_sorted_on(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = np.append(np.tile(rng.integers(2, 30, 4000), 3), 0).astype(np.uint8)
+    sizes = []
+    sort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (sizes.append(len(x)) if x.dtype == np.int64 and not k else None, sort(x, *a, **k))[1])
+    lms, least = suffix_dedup.sorted_lms(text, suffix_dedup.rising(text), 100, None)
+    monkeypatch.undo()
+    assert sum(sizes) < 3 * len(lms)
+    for a, b, known in zip(lms[:-1].tolist(), lms[1:].tolist(), least[1:].tolist(), strict=True):
+        assert (text[a:a + known] == text[b:b + known]).all() and known <= 100
+    assert (least == 100).sum() > len(lms) // 2
+
+
 @pytest.mark.parametrize("part", [12 << 20, 3000])
 def test_suffixes_on_documents(spark, monkeypatch, part):
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
