@@ -6,6 +6,9 @@ Readers never infer schemas (a full extra pass at scale) and turn NaN into NULL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,19 @@ HOTSPOT = T.StructType([
 # --------------------------------------------------------------------------- S1, S5
 
 CORRUPT = "_corrupt_record"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by four tasks a core, as the path is given to the reader; by default each has a task of its own
+    (up to 10,000), which costs more than to list it."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -41,8 +57,9 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tu
     are NULL; a line with a field that its type can't hold, or with too many or
     too few fields, goes to the rejects whole, as text in ``line``."""
     kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    with few_listing_tasks(spark):
+        raw = spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE") \
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     rows = nan_to_null(raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
     rejects = raw.filter(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "line")  # beside the fields that did parse
     return rows, rejects
@@ -50,7 +67,8 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tu
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S1 without a rejects frame: a malformed line is an error, never a silent NULL."""
-    return nan_to_null(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path))
+    with few_listing_tasks(spark):
+        return nan_to_null(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path))
 
 
 def read_hotspots_csv(spark: SparkSession, path: str) -> DataFrame:

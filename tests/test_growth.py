@@ -4,9 +4,11 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import types as T
 
 from embercast.operators import clean, features, scan, split, stats
 from embercast.session import cut_lineage
+from embercast.sources import files
 
 
 def test_split_ranks_only_rows_at_the_edge(spark, monkeypatch):
@@ -92,3 +94,20 @@ def test_training_rows_are_laid_out_once(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300
     for part in out.select("site_id", "date").rdd.glom().collect():
         assert part == sorted(part)
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"site_id={i}").mkdir()
+        (tmp_path / f"site_id={i}" / "part.csv").write_text(f"v\n{i}\n")
+    sc, before = spark.sparkContext, spark.conf.get(files.LISTING)
+    sc.setJobGroup("listing", "")
+    try:
+        rows = files.read_csv(spark, str(tmp_path), T.StructType([T.StructField("v", T.IntegerType()), T.StructField("site_id", T.IntegerType())]))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    at = sc.statusTracker()
+    tasks = sum(at.getStageInfo(s).numTasks for j in at.getJobIdsForGroup("listing") for s in at.getJobInfo(j).stageIds)
+    assert 0 < tasks <= 4 * sc.defaultParallelism
+    assert spark.conf.get(files.LISTING) == before
+    assert sorted((r["v"], r["site_id"]) for r in rows.collect()) == [(i, i) for i in range(60)]
