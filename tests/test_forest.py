@@ -190,3 +190,62 @@ def test_candidates_share_the_binned_rows(spark, monkeypatch):
     assert len(made) == 1  # one set of cut points for all candidates, folds and refits
     for i, f in got.forests.items():
         assert f.nodes == forest.fit(df, FEATURES, "y", ["id"], options[i]).nodes
+
+
+def no_fetching(monkeypatch):
+    def fetched(self):
+        raise AssertionError("the driver fetched a table of nodes")
+
+    from pyspark.sql.classic.dataframe import DataFrame
+    monkeypatch.setattr(DataFrame, "toArrow", fetched)
+
+
+def test_importances_do_not_fetch_the_nodes(spark, monkeypatch):
+    data, settings = rows(800), replace(S, max_depth=None, min_split=2, min_leaf=1, class_weight="balanced_subsample")
+    no_fetching(monkeypatch)
+    model = forest.fit(frame(spark, data), FEATURES, "y", ["id"], settings, few_rows=300)
+    got = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}
+    share = dict.fromkeys(FEATURES, 0.0)
+    for nodes in plain(data, settings).values():
+        m0, m1 = nodes[1][2:]
+        w0, w1 = (m0 + m1) / (2 * m0), (m0 + m1) / (2 * m1)
+        pure = lambda n, w0=w0, w1=w1, nodes=nodes: ((w0 * nodes[n][2]) ** 2 + (w1 * nodes[n][3]) ** 2) / (w0 * nodes[n][2] + w1 * nodes[n][3])
+        own = dict.fromkeys(FEATURES, 0.0)
+        for n, x in nodes.items():
+            if x[0]:
+                own[x[0]] += pure(2 * n) + pure(2 * n + 1) - pure(n)
+        for f in FEATURES:
+            share[f] += own[f] / sum(own.values()) / settings.trees
+    assert all(math.isclose(got[f], share[f], rel_tol=1e-9) for f in FEATURES)
+
+
+def test_batches_do_not_change_the_subtrees(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, settings = 4000, [replace(S, max_depth=None, min_split=2, min_leaf=1), replace(S, max_features=None)]
+    rules, weights = forest.Rules(settings, [0, 1], 3), np.ones((2, 2))
+    x, slot, y = rng.integers(0, 32, (n, 3)).astype(np.uint8), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    code, n1 = (2 + y).astype(np.uint8), np.bincount(slot, y, 2).astype(np.int64)
+    ride = np.where(rng.random(n) < 0.2, np.arange(n), -1)
+    code[ride >= 0] &= 1
+    n1 = np.bincount(slot, (code == 3), 2).astype(np.int64)
+    n0 = np.bincount(slot, (code == 2), 2).astype(np.int64)
+
+    def grown():
+        nodes, rides = {}, {}
+        for part, _, out in forest._grown(np.array([1, 1]), np.array([0, 1]), n0, n1, slot, code, x, ride, 32, rules, weights):
+            for t, k, *v in zip(*part, strict=True) if part is not None else ():
+                nodes[int(t), int(k)] = tuple(map(int, v))
+            for r, t, p in zip(*out, strict=True) if out is not None else ():
+                assert r not in rides
+                rides[int(r)] = int(t), float(p)
+        return nodes, rides
+
+    whole = grown()
+    monkeypatch.setattr(forest, "BATCH_NODES", 3)
+    monkeypatch.setattr(forest, "BATCH_ROWS", 50)
+    assert grown() == whole and sorted(whole[1]) == np.flatnonzero(ride >= 0).tolist()
+    for r, (t, p) in whole[1].items():
+        k = 1
+        while (v := whole[0][t, k])[0] >= 0:
+            k = 2 * k + int(x[r, v[0]] > v[1])
+        assert slot[r] == t and p == v[3] / (v[2] + v[3])
