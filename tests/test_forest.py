@@ -249,3 +249,22 @@ def test_batches_do_not_change_the_subtrees(monkeypatch):
         while (v := whole[0][t, k])[0] >= 0:
             k = 2 * k + int(x[r, v[0]] > v[1])
         assert slot[r] == t and p == v[3] / (v[2] + v[3])
+
+
+def test_search_scores_left_out_rows_without_fetching_the_nodes(spark, monkeypatch):
+    df = split.stratified_folds(frame(spark, rows(400)), "y", ["id"], 3, 1).cache()
+    options = [replace(S, max_depth=None, min_split=2, min_leaf=1), replace(S, max_features=None, bootstrap=False, trees=2)]
+    want = []
+    for s in options:
+        own = []
+        for k in range(3):
+            alone = forest.fit(df, FEATURES, "y", ["id"], replace(s, without_fold=k), fold="fold")
+            got = [(r["y"], r["p"] > 0.5) for r in alone.score(df.filter(F.col("fold") == k), "p").collect()]
+            tp, wrong = got.count((1, True)), got.count((1, False)) + got.count((0, True))
+            own.append(2 * tp / (2 * tp + wrong))
+        want.append(own)
+    no_fetching(monkeypatch)
+    monkeypatch.setattr(forest, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(forest, "FEW_ROWS", 60)  # some rows end in upper nodes
+    got = {r["candidate"]: r["fold_f1"] for r in forest.search(df, FEATURES, "y", ["id"], options, "fold", 3)[1].collect()}
+    assert got == dict(enumerate(want))
