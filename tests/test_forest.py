@@ -268,3 +268,15 @@ def test_search_scores_left_out_rows_without_fetching_the_nodes(spark, monkeypat
     monkeypatch.setattr(forest, "FEW_ROWS", 60)  # some rows end in upper nodes
     got = {r["candidate"]: r["fold_f1"] for r in forest.search(df, FEATURES, "y", ["id"], options, "fold", 3)[1].collect()}
     assert got == dict(enumerate(want))
+
+
+def test_equal_trees_are_grown_once_and_counted_each(spark, monkeypatch):
+    data, drawn, plain_draws = rows(300), [], forest._walks
+    monkeypatch.setattr(forest, "_walks", lambda model, nodes: drawn.append({t for t, _ in nodes}) or plain_draws(model, nodes))
+    s = replace(S, bootstrap=False, max_features=None, class_weight="balanced")
+    model = forest.fit(frame(spark, data), FEATURES, "y", ["id"], [S, s], few_rows=100)
+    assert set().union(*drawn) == {0, 1, 2, 3}  # of the second forest, which has trees 3, 4 and 5, one
+    got, want = model.only(1), plain(data, s)
+    assert got.nodes == [{n: (FEATURES.index(x[0]) if x[0] else -1, got.cuts[FEATURES.index(x[0])].index(x[1]) if x[0] else 0, *x[2:]) for n, x in want[t].items()} for t in range(3)]
+    table = {(r["tree"], r["node"]): (r["feature"], r["threshold"], r["n0"], r["n1"]) for r in got.table(spark).collect()}
+    assert table == {(t, n): x for t, nodes in want.items() for n, x in nodes.items()}
