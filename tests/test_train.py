@@ -90,3 +90,66 @@ def test_other_labels_and_weights_go_to_sparks_learner(spark):
     for bad in (F.lit(None).cast("double"), F.lit(float("nan"))):
         with pytest.raises(Exception):  # noqa: B017
             train.train_forest(df.withColumn("a", F.when(F.col("id") == 7, bad).otherwise(F.col("a"))), ["a", "b"], "y", num_trees=2, max_depth=2)
+
+
+class Asked(Exception):
+    pass
+
+
+def asked(monkeypatch):
+    def stop(df, features, label, keys, candidates, fold, folds, *a, **k):
+        raise Asked(candidates, folds)
+
+    monkeypatch.setattr(forest, "search", stop)
+
+
+def test_registered_searches_leave_out_nothing(spark, monkeypatch):
+    from embercast import fixed
+    from embercast.plans import catalog
+
+    asked(monkeypatch)
+    for query, n in (("forest_search", 20), ("search_leaderboard", 30)):
+        with pytest.raises(Asked) as found:
+            catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+        candidates, folds = found.value.args
+        drawn = train.sample_search_space(n, 42, fixed.SEARCH_SPACE)
+        assert folds == 4 and [(c.trees, c.min_split, c.min_leaf, c.bootstrap) for c in candidates] == [
+            (c["n_estimators"], c["min_samples_split"], c["min_samples_leaf"], c["bootstrap"]) for c in drawn]
+        assert [c.max_depth or 30 for c in candidates] == [c["max_depth"] or 30 for c in drawn]
+
+
+SPACE = {"n_estimators": [3, 5], "max_depth": [2, None], "min_samples_split": [2, 60], "min_samples_leaf": [1, 4],
+         "max_features": ["sqrt", None], "bootstrap": [True, False], "class_weight": ["balanced", "balanced_subsample"]}
+
+
+def test_search_scores_candidates_as_their_forests_do(spark):
+    df = frame(spark, 700).withColumn("fold", (F.col("id") % 3).cast("int"))
+    best, board = train.random_search(df, ["a", "b", "noise"], "y", n_iter=4, folds=3, weight_col="w", seed=5, space=SPACE)
+    rows = {r.candidate: r for r in board.collect()}
+    ready, weights = train._ready(df, ["a", "b", "noise"], "y", train.forest_pipeline(["a"], "y", weight_col="w", seed=5).getStages()[-1], "fold", 3)
+    for i, c in enumerate(train.sample_search_space(4, 5, SPACE)):
+        assert (rows[i].n_estimators, rows[i].min_samples_split) == (c["n_estimators"], c["min_samples_split"])
+        f1 = []
+        for k in range(3):
+            s = forest.Settings(c["n_estimators"], c["max_depth"], c["min_samples_split"], c["min_samples_leaf"], 2 if c["max_features"] else 3, c["bootstrap"],
+                                weights if c["class_weight"] == "balanced" else "balanced_subsample", k, 5)
+            grown = forest.fit(df, ["a", "b", "noise"], "y", ["place"], s, fold="fold", ready=ready)
+            got = [(r.y, r.p > 0.5) for r in grown.score(df.filter(F.col("fold") == k), "p").collect()]
+            tp, wrong = got.count((1, True)), got.count((1, False)) + got.count((0, True))
+            f1.append(2 * tp / (2 * tp + wrong))
+        assert rows[i].mean_f1 == pytest.approx(sum(f1) / 3, abs=1e-12)
+    first = board.first()
+    assert best.model().stages[-1].getNumTrees == first.n_estimators and best.model().transform(df).filter("prediction = y").count() > 500
+
+
+def test_search_in_batches_equals_one(spark):
+    df = frame(spark, 500).withColumn("fold", (F.col("id") % 2).cast("int"))
+    options = [forest.Settings(7, 6, min_leaf=2, seed=3), forest.Settings(9, 4, max_features=None, bootstrap=False, seed=3), forest.Settings(4, None, seed=3)]
+    fits = [forest.replace(s, without_fold=k) for s in options for k in range(2)]
+    cut = forest._batches(fits, 3, 500, 500 * 8 * 5)
+    assert len(cut) > 3 and all(sum(s.trees if s.bootstrap else 1 for _, s in b) <= 5 for b in cut)
+    for i, s in enumerate(fits):
+        own = [piece for b in cut for j, piece in b if j == i]
+        assert [t for p in own for t in range(p.first, p.first + p.trees)] == list(range(s.trees))
+    board = lambda **k: [tuple(r) for r in forest.search(df, ["a", "b", "noise"], "y", ["id"], options, "fold", 2, **k)[1].collect()]
+    assert board() == board(sent_bytes=500 * 8 * 5)
