@@ -153,3 +153,36 @@ def test_search_in_batches_equals_one(spark):
         assert [t for p in own for t in range(p.first, p.first + p.trees)] == list(range(s.trees))
     board = lambda **k: [tuple(r) for r in forest.search(df, ["a", "b", "noise"], "y", ["id"], options, "fold", 2, **k)[1].collect()]
     assert board() == board(sent_bytes=500 * 8 * 5)
+
+
+def test_trees_grown_in_batches_are_the_same(spark):
+    df = frame(spark, 500)
+    s = forest.Settings(7, 5, seed=3)
+    ready = forest.prepared(df, ["a", "b"], "y", ["id"], 3)
+    whole = forest.fit(df, ["a", "b"], "y", ["id"], s, ready=ready)
+    cut = forest.fit_arrays(df, ["a", "b"], "y", ["id"], s, 32, ready, sent_bytes=500 * 7 * 3)  # three trees at a time
+    assert cut.nodes == whole.nodes and cut.numbers == whole.numbers and cut.twin == whole.twin
+
+
+def test_sweep_grows_its_forest_like_train_forest(spark):
+    df = frame(spark, 600).withColumns({"site_id": F.col("id"), "date": F.lit(1)})
+    board, votes = train.model_sweep(df, df, ["a", "b", "noise"], "y", weight_col="w")
+    alone = train.train_forest(df, ["a", "b", "noise"], "y", num_trees=100, max_depth=10, weight_col="w", seed=42)
+    want = {r.id: r.p for r in alone.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert {r.site_id: r.p_random_forest for r in votes.collect()} == want and board.count() == 4
+
+
+def test_requests_are_parsed_once(spark):
+    from embercast.sources import files
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        parsed.add(1)
+        return text
+
+    df = spark.createDataFrame([("r", '{"data": [[1, 2], [3], [4, null]]}')], "request_id string, body string").select("request_id", seen.asNondeterministic()("body").alias("body"))
+    good, bad = files.parse_score_requests(df, features=["a", "b"])
+    assert [tuple(r) for r in good.collect()] == [("r", 0, 1.0, 2.0)] and {r.row_idx for r in bad.collect()} == {1, 2}
+    assert parsed.value == 1
